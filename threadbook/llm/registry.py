@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op2_suffix_dedup", "op9_substring_dedup"]
+MODULES = ["op2_suffix_dedup", "op3_secret_scan", "op7_decontaminate", "op8_source_mix", "op9_substring_dedup"]
 
 QUERIES = {}
 ORACLE_SQL = {}
