@@ -269,14 +269,39 @@ def later_copies(docs: DataFrame, parts: int, salts: int = 32) -> DataFrame:
     firsts = one.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.where("first < last").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     one = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    found = one.join(firsts, ["digest", "salt"]).select("doc_id", (F.col("doc_id") > F.col("first")).cast("int").alias("bucket"))
-    return found.select(part_of("doc_id", parts).alias("part"), F.lit(COPIES).alias("kind"), "bucket", F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("data"))
+    found = one.join(firsts, ["digest", "salt"]).select("doc_id", "first", (F.col("doc_id") > F.col("first")).cast("int").alias("bucket"))
+    pair = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("first").cast("string"))
+    return found.select(part_of("doc_id", parts).alias("part"), F.lit(COPIES).alias("kind"), "bucket", F.encode(pair, "UTF-8").alias("data"))
 
 
-def copies(table: pa.Table) -> tuple[set[int], set[int]]:
-    """Ids of copied first documents and of their later copies."""
-    out: tuple[set[int], set[int]] = (set(), set())
+def copies(table: pa.Table) -> tuple[dict[int, int], dict[int, int]]:
+    """Copied first documents, and later copies, each with the first document."""
+    out: tuple[dict[int, int], dict[int, int]] = ({}, {})
     for k, b, d in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True):
         if k == COPIES:
-            out[b].add(int(d))
+            doc, first = map(int, d.split())
+            out[b][doc] = first
     return out
+
+
+# ---------------------------------------------------------------- components
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` has a and b. Returns node and component, the smallest node that edges reach, for all nodes of edges.
+
+    Each round takes the least label among the neighbours, then follows the labels' own labels. Rounds go by way of
+    the shared folder; only the number of changes comes to the driver.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(both.distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        own = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("seen"))
+        far = labels.select(F.col("node").alias("seen"), F.col("component").alias("far"))
+        step = written(own.join(far, "seen", "left").select("node", "old", F.least("seen", F.coalesce("far", "seen")).alias("component")))
+        changed = step.where("old <> component").limit(1).count()
+        labels = step.drop("old")
+        if not changed:
+            return labels

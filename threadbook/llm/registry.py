@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_exact_topk", "op2_suffix_dedup", "op3_secret_scan", "op5_quality", "op6_warc", "op7_decontaminate", "op8_source_mix", "op9_substring_dedup", "op10_token_rollups"]
+MODULES = ["op1_exact_topk", "op2_suffix_dedup", "op3_secret_scan", "op4_ngram_join", "op5_quality", "op6_warc", "op7_decontaminate", "op8_source_mix", "op9_substring_dedup", "op10_token_rollups"]
 
 QUERIES = {}
 ORACLE_SQL = {}
