@@ -37,16 +37,21 @@ ARCHIVES = "name string, data binary"
 
 
 def packed(record: bytes) -> bytes:
-    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(record) + z.flush()
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+def unpacked(data: bytes, step: int = 1 << 15) -> Iterator[bytes]:
+    """The gzip members of an archive, read on in small steps: what is left over of a step is copied."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            parts.append(z.decompress(view[at : at + step]))
+            at = min(at + step, len(data)) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 # ---------------------------------------------------------------- ARC
