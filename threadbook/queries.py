@@ -6,7 +6,6 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fixtures import NOW, Fixtures, with_tables
@@ -15,7 +14,7 @@ from .functions import udfs
 from .operators import dims, fusion, ingest, lessons, sessions, stats, text, vector
 from .plans import search
 from .schemas import CAPTURED_TOOLS, FIELD_WEIGHTS, LESSON_WEIGHTS, LISTS, SKIPPED_TOOLS, TABLES, TOOL_CALL, schema
-from .scratch import shared_dir, written
+from .scratch import shared_dir
 from .sources import tables
 from .streaming import streams
 
