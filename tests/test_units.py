@@ -126,6 +126,14 @@ def test_recall_of_the_index(spark):
 # ---------------------------------------------------------------- time lines
 
 
+def test_recall_without_structure(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    queries = corpus.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = {(x.query_id, x.id) for x in vector.ann_topk(queries, corpus, 20).collect()}
+    exact = {(x.query_id, x.id) for x in vector.vector_topk(queries, corpus, 20, "matmul").collect()}
+    assert len(near & exact) / len(exact) >= 0.9
+
+
 @pytest.mark.parametrize(("anchor", "before", "after", "expected"), [(3, 3, 3, [1, 2, 3, 5, 6]), (3, 1, 1, [2, 3, 5]), (1, 3, 0, [1]), (99, 3, 3, [])])
 def test_timeline(spark, anchor, before, after, expected):
     rows = [(i, "S", datetime(2024, 1, 1, t)) for i, t in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5))] + [(7, "R", datetime(2024, 1, 1, 2))]

@@ -187,13 +187,13 @@ def vector_topk(x):
     return vector.vector_topk(x.queries, x.observations, 20, "sql")
 
 
-_ALL = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 5 = 0"
+_ALL = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0"
 _FLIP = "SELECT query_id, '' AS text, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM many"
 
 
 @query(with_tables("observations", "SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM vec", many=_ALL, **(_VECTORS | {"w": _FLIP}), **_vec(20)))
 def vector_topk_matmul(x):
-    many = x.read("embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    many = x.read("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return vector.vector_topk(many, x.observations, 20, "matmul")
 
 
@@ -591,14 +591,14 @@ def list_sessions(x):
 _AROUND = """SELECT anchor_id, 0 AS position, o.id, a.created_at FROM a JOIN o ON o.id = anchor_id
 UNION ALL SELECT anchor_id, -row_number() OVER (PARTITION BY anchor_id ORDER BY o.created_at DESC, o.id) AS p, o.id, o.created_at FROM a JOIN o ON o.session_id = a.session_id AND o.created_at < a.created_at QUALIFY p >= -3
 UNION ALL SELECT anchor_id, row_number() OVER (PARTITION BY anchor_id ORDER BY o.created_at, o.id) AS p, o.id, o.created_at FROM a JOIN o ON o.session_id = a.session_id AND o.created_at > a.created_at QUALIFY p <= 3"""
-# times cut to half days, so that rows of a session share them
+# times cut to days, so that rows of a session share them
 _TIED = "SELECT * REPLACE (date_trunc('day', created_at) AS created_at) FROM observations"
 
 
-@query(with_tables("observations", f"SELECT anchor_id, CAST(position AS INTEGER) AS position, id, {sat()} FROM t t0", o=_TIED, a="SELECT id AS anchor_id, session_id, created_at FROM o WHERE id % 3 = 0", t=_AROUND))
+@query(with_tables("observations", f"SELECT anchor_id, CAST(position AS INTEGER) AS position, id, {sat()} FROM t t0", o=_TIED, a="SELECT id AS anchor_id, session_id, created_at FROM o", t=_AROUND))
 def timeline(x):
     tied = x.rows.withColumn("created_at", F.date_trunc("day", "created_at"))
-    return sessions.timeline(tied, tied.where("id % 3 = 0").select(F.col("id").alias("anchor_id"))).select("anchor_id", "position", "id", at())
+    return sessions.timeline(tied, tied.select(F.col("id").alias("anchor_id"))).select("anchor_id", "position", "id", at())
 
 
 @query(with_tables("observations queries", "SELECT b.query_id, anchor_id, CAST(position AS INTEGER) AS position, t.id FROM t JOIN b USING (anchor_id)", **_VECTORS, **_vec(1), b="SELECT query_id, id AS anchor_id FROM vec", o="SELECT * FROM observations", a="SELECT DISTINCT anchor_id, session_id, created_at FROM b JOIN o ON o.id = anchor_id", t=_AROUND))
