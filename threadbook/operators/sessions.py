@@ -21,22 +21,29 @@ def timeline(obs: DataFrame, anchors: DataFrame, before: int = 3, after: int = 3
     """For each anchor (anchor_id): the observation itself and its neighbours in the session's time, ``before`` earlier and ``after``
     later ones. Rows at the anchor's own time are left out. Columns: anchor_id, position (0 is the anchor), and those of obs.
 
-    A session's rows are numbered once, so the cost is that of a sort by session and not of anchors times session.
+    A session's rows are numbered once, so the cost is that of a sort by session and not of anchors times session. Only ids and times
+    are sorted; the rows themselves are fetched by id at the end.
     """
-    at = anchors.select("anchor_id").distinct().join(obs.select(F.col("id").alias("anchor_id"), F.col("session_id").alias("_session"), F.col("created_at").alias("_at")), "anchor_id")
-    by_time = W.partitionBy("session_id").orderBy("created_at")
-    # ranks of a row from either end of its session; ties share the count of strictly earlier and later rows
-    low = F.rank().over(by_time)
-    order_back = F.row_number().over(W.partitionBy("session_id").orderBy("created_at", F.desc("id")))
-    order_on = F.row_number().over(W.partitionBy("session_id").orderBy("created_at", "id"))
-    in_time = F.count("*").over(by_time.rangeBetween(W.unboundedPreceding, W.currentRow))
-    placed = obs.withColumns({"_low": low, "_back": order_back, "_on": order_on, "_upto": in_time})
-    own = placed.select(F.col("id").alias("anchor_id"), F.col("_low").alias("_first"), F.col("_upto").alias("_last"), F.col("session_id").alias("_session")).join(at.select("anchor_id"), "anchor_id", "left_semi")
-    # places in the session that the anchor reaches, one row each
-    reach = own.select("anchor_id", "_session", F.explode(F.array_union(F.transform(F.sequence(F.lit(1), F.lit(max(before, 1))), lambda i: F.struct((-i).alias("position"), (F.col("_first") - i).cast("int").alias("place"))), F.transform(F.sequence(F.lit(1), F.lit(max(after, 1))), lambda i: F.struct(i.alias("position"), (F.col("_last") + i).cast("int").alias("place"))))).alias("r")).select("anchor_id", "_session", "r.position", "r.place")
-    reach = reach.where((F.col("position") >= -before) & (F.col("position") <= after) & (F.col("position") != 0))
-    earlier = reach.where("position < 0").join(placed, (F.col("_session") == F.col("session_id")) & (F.col("place") == F.col("_back")))
-    later = reach.where("position > 0").join(placed, (F.col("_session") == F.col("session_id")) & (F.col("place") == F.col("_on")))
-    columns = ["anchor_id", "position", *obs.columns]
-    itself = at.select("anchor_id", F.lit(0).alias("position")).join(obs, F.col("anchor_id") == F.col("id")).select(*columns)
-    return itself.unionByName(earlier.select(*columns)).unionByName(later.select(*columns))
+    narrow = obs.select("id", "session_id", "created_at")
+    by = lambda *order: W.partitionBy("session_id").orderBy(*order)
+    placed = narrow.withColumns(
+        {
+            "_first": F.rank().over(by("created_at")),  # one more than the rows before
+            "_last": F.count("*").over(by("created_at").rangeBetween(W.unboundedPreceding, W.currentRow)),  # rows up to this time
+            "_back": F.row_number().over(by("created_at", F.desc("id"))),
+            "_on": F.row_number().over(by("created_at", "id")),
+        }
+    )
+    own = placed.join(anchors.select(F.col("anchor_id").alias("id")).distinct(), "id").select(F.col("id").alias("anchor_id"), "session_id", "_first", "_last")
+    step = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
+    found = [own.select("anchor_id", F.lit(0).alias("position"), F.col("anchor_id").alias("id"))]
+    if before > 0:
+        places = own.select("anchor_id", "session_id", "_first", step(before).alias("n")).select("anchor_id", "session_id", (-F.col("n")).alias("position"), (F.col("_first") - F.col("n")).alias("_back"))
+        found.append(places.join(placed.select("id", "session_id", "_back"), ["session_id", "_back"]).select("anchor_id", "position", "id"))
+    if after > 0:
+        places = own.select("anchor_id", "session_id", "_last", step(after).alias("n")).select("anchor_id", "session_id", F.col("n").alias("position"), (F.col("_last") + F.col("n")).alias("_on"))
+        found.append(places.join(placed.select("id", "session_id", "_on"), ["session_id", "_on"]).select("anchor_id", "position", "id"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.join(obs, "id").select("anchor_id", "position", *obs.columns)
