@@ -17,10 +17,10 @@ SCALE = 256
 #: Vectors whose lists one task holds, and queries it answers.
 SHARD = 8192
 QUERIES = 4096
-#: Depths to which the lists are read, as parts of their length.
-DEPTHS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
-#: With so few rows left besides outsiders, their scores are resolved.
-FEW = 64
+#: Frontiers to which all lists are read, as multiples of the spread of one list's contributions.
+FRONTIERS = (0.4, 0.0, -0.4, -1.2, -np.inf)
+#: So many leaders are resolved early, and reading stops at FEW, or this part of the rows, that may still qualify.
+FEW, PART = 64, 0.15
 
 
 class SortedLists:
@@ -28,41 +28,55 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.up = np.argsort(vectors, axis=0, kind="stable").T
-        self.down = np.ascontiguousarray(self.up[:, ::-1])
-        self.values = vectors.astype(np.float64)
+        up = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors, up, 0).T).astype(np.float64)
+        self.rows = np.ascontiguousarray(up.T.astype(np.intp)).ravel()
+        self.flat = self.values.ravel()
+        self.spread = vectors.std(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
 
     def survivors(self, query: np.ndarray, k: int, barred: np.ndarray) -> np.ndarray:
-        """Rows that may be among the k best: lists are read from the end where they add most; a row's score is at
-        least what was seen plus each unread list's last entry, and at most what was seen plus each list's frontier.
+        """Rows that may be among the k best. All lists are read, from the end where they add most, down to one frontier after
+        another: entries that add more. A row's score is what was read of it, and from each other list at most the frontier
+        (or the list's first entry) and at least the smallest last entry. The leaders so far are resolved to raise the bar.
         """
-        n, dims = self.vectors.shape
-        w = query.astype(np.float64)
-        use = np.flatnonzero(w)
+        n = len(self.vectors)
+        use = np.flatnonzero(query)
         open_rows = np.flatnonzero(~barred)
         if len(open_rows) <= max(k, FEW) or not len(use):
             return open_rows
-        lists = np.where((w[use] > 0)[:, None], self.down[use], self.up[use])
-        w = w[use]
-        worst = w * self.values[lists[:, -1], use]
-        seen = np.zeros((n, len(use)))
-        partial, read = np.zeros(n), 0
-        for depth in DEPTHS:
-            upto = max(read + 1, math.ceil(depth * n))
-            block = lists[:, read:upto]
-            gained = w[:, None] * self.values[block, use[:, None]]
-            partial += np.bincount(block.ravel(), gained.ravel(), minlength=n)
-            seen[block, np.arange(len(use))[:, None]] = 1.0
-            read = upto
-            frontier = gained[:, -1]
-            lower = (partial + worst.sum() - seen @ worst)[open_rows]
-            upper = (partial + frontier.sum() - seen @ frontier)[open_rows]
-            # the sums are whole numbers; the slack covers rounding where they are very large
-            bound = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            bound -= 1e-9 * abs(bound) if np.isfinite(bound) else 0.0
-            keep = upper >= bound
-            open_rows = open_rows[keep]
-            if frontier.sum() < bound and len(open_rows) <= FEW or read >= n:
+        w = query[use].astype(np.float64)
+        first = np.where(w > 0, w * self.values[use, -1], w * self.values[use, 0])
+        last = np.where(w > 0, w * self.values[use, 0], w * self.values[use, -1]).min()
+        step = float(np.sqrt(np.mean((w * self.spread[use]) ** 2)))
+        partial, count = np.zeros(n), np.zeros(n, np.int64)
+        low, high = np.zeros(len(use), np.int64), np.full(len(use), n, np.int64)  # unread part of each list
+        bar = -np.inf
+        for level in FRONTIERS:
+            frontier = level * step if np.isfinite(level) else -np.inf
+            if np.isfinite(frontier):
+                cut = np.array([self.values[d].searchsorted(frontier / x, "right" if x > 0 else "left") for d, x in zip(use.tolist(), w.tolist(), strict=True)], np.int64)
+            else:
+                cut = np.where(w > 0, 0, n)
+            a, b = np.where(w > 0, np.minimum(cut, high), low), np.where(w > 0, high, np.maximum(cut, low))
+            high, low = np.where(w > 0, a, high), np.where(w > 0, low, b)
+            size = b - a
+            at = np.repeat(use * n + a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            rows = self.rows[at]
+            partial += np.bincount(rows, np.repeat(w, size) * self.flat[at], minlength=n)
+            count += np.bincount(rows, minlength=n)
+            unread = len(use) - count
+            if np.isfinite(frontier):
+                upper = partial + np.minimum(frontier, first).sum() - count * frontier
+            else:
+                upper = partial
+            lower = partial + unread * last
+            leaders = open_rows[np.argpartition(-partial[open_rows], FEW - 1)[:FEW]] if len(open_rows) > FEW else open_rows
+            known = np.sort(self.vectors[leaders] @ query)
+            floor = np.partition(lower[open_rows], len(open_rows) - k)[len(open_rows) - k] if len(open_rows) >= k else -np.inf
+            bar = max(bar, float(floor), float(known[-k]) if len(known) >= k else -np.inf)
+            slack = 1e-9 * (abs(bar) + 1) if np.isfinite(bar) else 0.0  # rounding of very large sums
+            open_rows = open_rows[upper[open_rows] >= bar - slack]
+            if len(open_rows) <= max(FEW, PART * n):
                 break
         return open_rows
 
