@@ -92,6 +92,17 @@ def test_text_queries(spark):
     assert values(text.query_lexemes(spark.createDataFrame([(1, "one two three")], "query_id long, text string"), first_words=2), "lexeme") == [("one",), ("two",)]
 
 
+def test_stored_index_is_pruned(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} common w{i % 11}") for i in range(60)], "id long, raw_text string")
+    post = text.build_postings(docs, {"raw_text": 1.0})
+    text.write_postings(post, str(tmp_path / "index"))
+    held = text.read_postings(spark, str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "common w3"), (2, "w5 w10")], "query_id long, text string")
+    found = text.fts_rank(q, held)
+    assert sorted(found.collect()) == sorted(text.fts_rank(q, post).collect())
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_closer_words_score_higher(spark):
     docs = spark.createDataFrame([(1, "cat dog x x x x x x"), (2, "cat x x x x x x dog"), (3, "cat dog cat dog")], "id long, raw_text string")
     got = dict(values(text.fts_cover_rank(spark.createDataFrame([(1, "dog cat")], "query_id long, text string"), text.build_postings(docs, {"raw_text": 1.0})), "id", "score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,6 +44,26 @@ def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem:
     return words.groupBy("lexeme", "id", "field", "weight").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+BUCKETS = 64
+
+
+def lexeme_bucket(lexeme: str | Column = "lexeme") -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str, files: int = 1) -> None:
+    """Stores an index by buckets of lexemes, so that a search reads the buckets of its words only. A bucket is ``files`` files,
+    each sorted by lexeme: one common word does not make one large file.
+    """
+    dealt = postings.withColumn("bucket", lexeme_bucket()).repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index. Its bucket column lets searches prune."""
+    return spark.read.parquet(path)
+
+
 def query_lexemes(queries: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:
     """query_id, lexeme, needed: the distinct lexemes of each query (query_id, text). ``first_words`` looks at so many words only."""
     text = F.col("text") if first_words is None else F.concat_ws(" ", F.slice(F.split(F.trim("text"), r"\s+"), 1, first_words))
@@ -54,7 +74,10 @@ def query_lexemes(queries: DataFrame, first_words: int | None = None, stem: bool
 
 
 def _hits(queries: DataFrame, postings: DataFrame, first_words: int | None, stem: bool) -> DataFrame:
-    return postings.join(query_lexemes(queries, first_words, stem), "lexeme")
+    words = query_lexemes(queries, first_words, stem)
+    if "bucket" in postings.columns:
+        return postings.join(words.withColumn("bucket", lexeme_bucket()), ["bucket", "lexeme"])
+    return postings.join(words, "lexeme")
 
 
 def fts_match(queries: DataFrame, postings: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:

@@ -222,6 +222,13 @@ def fts_rank(x):
     return text.fts_rank(x.queries, text.build_postings(x.rows))
 
 
+@query(SQL["fts_rank"])
+def write_postings(x):
+    path = shared_dir(x.spark)
+    text.write_postings(text.build_postings(x.rows), path)
+    return text.fts_rank(x.queries, text.read_postings(x.spark, path))
+
+
 @query()
 def fts_cover_rank(x):
     return text.fts_cover_rank(x.queries, text.build_postings(x.rows), first_words=10)
