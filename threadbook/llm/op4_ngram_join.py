@@ -4,7 +4,7 @@
    of any order, so documents that share too few tokens there go; a bit a token answers that.
 2. For the rest, document frequencies give the orders: rare tokens first, equal ones by one hash an order.
 3. Documents that share a prefix token of the first order, directly or by others, form a cluster, so no candidate pair
-   crosses clusters. Clusters over BLOCK documents are cut into blocks, and every pair of blocks is a task.
+   crosses clusters. Larger clusters are cut into blocks, and every pair of blocks is a task.
 4. Within a task the candidates of all orders are intersected, and those left are verified by their whole sets.
 Links come out as a few edges for each document, never as all pairs.
 """
@@ -25,7 +25,8 @@ WORDS = 5
 SIMILAR = 80
 #: One seed for each global order.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-BLOCK = 1024
+#: Documents in a block of a large cluster at most and at least, and blocks into which a cluster is cut before blocks grow.
+BLOCK, LEAST_BLOCK, BLOCKS = 1024, 128, 16
 SHARED, FREQUENCY = 1, 2
 
 
@@ -284,7 +285,9 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     edges = parted.groupBy("part").applyInArrow(_send_first_order(buckets), C.HASHES).groupBy("bucket").applyInArrow(_cluster_edges, EDGES)
     clusters = C.components(edges)
 
-    held = C.written(clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    n = F.count("*")
+    blocks = F.least(F.ceil(n / min(block, LEAST_BLOCK)), F.greatest(F.lit(BLOCKS), F.ceil(n / block))).cast("int")
+    held = C.written(clusters.groupBy("component").agg(blocks.alias("blocks")))
     dealt = clusters.join(held, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = ordered.join(dealt, "doc_id").withColumn("other", meet)
