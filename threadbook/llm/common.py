@@ -21,7 +21,7 @@ U64 = np.uint64
 #: Bytes of text that one numpy pass handles at once.
 CHUNK = 1 << 20
 #: Bytes of text in one part of the corpus, at most on average.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
