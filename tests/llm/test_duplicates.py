@@ -39,7 +39,7 @@ def corpus(seed=0, words=400):
         if kind == 5:
             t = "ab " * r.randint(10, 300)
         rows.append((i, t))
-    rows += [(100, None), (101, ""), (102, "  \n\t "), (103, "two words"), (104, "Two WORDS"), (105, "x" * 49), (106, "x" * 50), (107, "x" * 200), (108, passage), (109, passage.upper()), (None, passage), (None, rows[0][1]), (7, rows[7][1]), (110, rows[3][1]), (110, rows[3][1])]
+    rows += [(100, None), (101, ""), (102, "  \n\t "), (103, "two words"), (104, "Two WORDS"), (105, "x" * 49), (106, "x" * 50), (107, "x" * 200), (108, passage), (109, passage.upper()), (None, passage), (None, rows[0][1]), (7, rows[7][1]), (110, rows[3][1]), (110, rows[3][1]), (111, rows[0][1]), (111, text(50) + " " + passage), (112, text(80)), (0, text(70))]
     return rows
 
 

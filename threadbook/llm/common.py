@@ -7,9 +7,8 @@ finished by a mixing step. They choose where rows go and which rows are compared
 
 from __future__ import annotations
 
+import hashlib
 import math
-import tempfile
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -17,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at once.
 CHUNK = 1 << 20
@@ -28,23 +31,6 @@ _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 # ---------------------------------------------------------------- session
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="threadbook-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/threadbook-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written as Parquet to the shared folder and read back: cuts the lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -269,19 +255,26 @@ def later_copies(docs: DataFrame, parts: int, salts: int = 32) -> DataFrame:
     firsts = one.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.where("first < last").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     one = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    found = one.join(firsts, ["digest", "salt"]).select("doc_id", "first", (F.col("doc_id") > F.col("first")).cast("int").alias("bucket"))
-    pair = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("first").cast("string"))
-    return found.select(part_of("doc_id", parts).alias("part"), F.lit(COPIES).alias("kind"), "bucket", F.encode(pair, "UTF-8").alias("data"))
+    found = one.join(firsts, ["digest", "salt"]).withColumn("bucket", (F.col("doc_id") > F.col("first")).cast("int"))
+    about = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("first").cast("string"), "digest")
+    return found.select(part_of("doc_id", parts).alias("part"), F.lit(COPIES).alias("kind"), "bucket", F.encode(about, "UTF-8").alias("data"))
 
 
-def copies(table: pa.Table) -> tuple[dict[int, int], dict[int, int]]:
-    """Copied first documents, and later copies, each with the first document."""
-    out: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    for k, b, d in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True):
+def copies(table: pa.Table, note: pa.Table) -> tuple[np.ndarray, list[int | None]]:
+    """By row of a part: whether others copy it, and the first document if it is a later copy. Rows that share an id may differ in text."""
+    marks: dict[tuple[int, str], tuple[int, int]] = {}
+    for k, b, d in zip(note["kind"].to_pylist(), note["bucket"].to_pylist(), note["data"].to_pylist(), strict=True):
         if k == COPIES:
-            doc, first = map(int, d.split())
-            out[b][doc] = first
-    return out
+            doc, first, digest = d.decode().split()
+            marks[int(doc), digest] = b, int(first)
+    ids = {doc for doc, _ in marks}
+    copied, later = np.zeros(len(table), bool), [None] * len(table)
+    for i, doc in enumerate(table["doc_id"].to_pylist()):
+        if doc in ids and (text := table["text"][i].as_py()) is not None:
+            b, first = marks.get((doc, hashlib.sha1(text.encode()).hexdigest()), (None, None))
+            copied[i] = b == 0
+            later[i] = first if b == 1 else None
+    return copied, later
 
 
 # ---------------------------------------------------------------- components

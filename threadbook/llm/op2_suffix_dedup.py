@@ -56,7 +56,7 @@ def _load(table: pa.Table) -> Part:
     return Part(table, off, lambda a, b: C._BYTE[buf[a:b]], lambda i: buf[i], None, ids)
 
 
-def _finish(table: pa.Table, part: Part, cover: np.ndarray, own: np.ndarray, copied: set[int]) -> pa.Table:
+def _finish(table: pa.Table, part: Part, cover: np.ndarray, own: np.ndarray, copied: np.ndarray) -> pa.Table:
     buf, off = C.text_buffer(table["text"])
     size = np.diff(off)
     gone = np.repeat(~own & (size >= WINDOW), size)

@@ -71,8 +71,8 @@ def _firsts(off: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _opened(table: pa.Table, note: pa.Table):
     """The part in a fixed order, later copies with their firsts, and which rows are compared."""
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    _, later = C.copies(note)
-    return table, later, np.array([x is not None and x not in later for x in table["doc_id"].to_pylist()], bool)
+    _, later = C.copies(table, note)
+    return table, later, np.array([x is not None and y is None for x, y in zip(table["doc_id"].to_pylist(), later, strict=True)], bool)
 
 
 def _send_prefixes(buckets: int):
@@ -98,9 +98,8 @@ def _base_rows(buckets: int):
         shared = C.spread(C.notes(note, SHARED), lambda d, k: np.unpackbits(np.frombuffer(d, np.uint8), count=k), order, at, np.uint8)
         got = np.bincount(np.repeat(np.arange(len(n)), looked), weights=shared, minlength=len(n))
         stays = own & (n > 0) & (got >= np.minimum(_spare(n), _spare(least_overlap(n))))
-        ids = table["doc_id"].to_pylist()
         tokens = [token[a:b].tobytes() if s else None for a, b, s in zip(off[:-1], off[1:], stays, strict=True)]
-        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "first": pa.array([later.get(i) if k else None for i, k in zip(ids, n, strict=True)], pa.int64()), "tokens": pa.array(tokens, pa.binary())})
+        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "first": pa.array([x if k else None for x, k in zip(later, n, strict=True)], pa.int64()), "tokens": pa.array(tokens, pa.binary())})
 
     return run
 
@@ -294,10 +293,9 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     small = -1 - F.pmod(F.xxhash64("cluster"), F.lit(4 * buckets))
     met = met.withColumn("task", F.when(F.col("blocks") == 1, small).otherwise(F.col("cluster"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     links = met.select("task", "low", "high", "cluster", "block", "doc_id", "n", "tokens", "prefixes").groupBy("task", "low", "high").applyInArrow(_link_edges, EDGES)
-    found = C.components(links).select(F.col("node").alias("of"), "component")
-
-    out = base.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("of"))
-    return out.join(found, "of", "left").select("doc_id", "n_shingles", F.coalesce("component", "of").alias("component_id"))
+    same = base.where("first is not null").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    found = C.components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
+    return base.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

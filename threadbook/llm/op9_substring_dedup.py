@@ -47,9 +47,8 @@ def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.n
     return out, out_off
 
 
-def _finish(table: pa.Table, part: Part, cover: np.ndarray, own: np.ndarray, copied: set[int]) -> pa.Table:
+def _finish(table: pa.Table, part: Part, cover: np.ndarray, own: np.ndarray, copied: np.ndarray) -> pa.Table:
     buf, off = C.text_buffer(table["text"])
-    ids = table["doc_id"].to_pylist()
     cuts = np.zeros(len(own) + 1, np.int64)
     cuts[1:] = np.cumsum(own)
     n_words, n_removed, kept = [], [], []
@@ -58,7 +57,7 @@ def _finish(table: pa.Table, part: Part, cover: np.ndarray, own: np.ndarray, cop
         starts, ends = C.word_bounds(data, rows, C.PLAIN[0])
         at = np.searchsorted(starts, rows)
         n = np.diff(at)
-        gone = np.repeat([not o or i in copied for o, i in zip(own[a:b], ids[a:b], strict=True)] & (n >= WINDOW), n)
+        gone = np.repeat((~own[a:b] | copied[a:b]) & (n >= WINDOW), n)
         mine = np.repeat(own[a:b], n)
         gone[mine] |= cover[part.off[cuts[a]] : part.off[cuts[b]]]
         left = np.append(0, np.cumsum(~gone))[at]

@@ -287,7 +287,9 @@ def covered(part: Part, note: pa.Table, kind: Kind, buckets: int) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame, kind: Kind, load: Callable, finish: Callable, schema: str) -> DataFrame:
-    """``docs`` has doc_id and text. load(table) gives a Part without pieces; finish(table, part, cover, excluded rows) the result rows of a part."""
+    """``docs`` has doc_id and text. load(table) gives a Part without pieces; finish(table, part, cover, own, copied) the result rows of a part, where own
+    says which rows the part holds, all but later copies of one text, and copied which rows have such copies.
+    """
     parts = C.parts_for(docs)
     buckets = parts
     rows = docs.select(C.part_of("doc_id", parts).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -295,23 +297,23 @@ def find_repeats(docs: DataFrame, kind: Kind, load: Callable, finish: Callable,
 
     def opened(table: pa.Table, note: pa.Table):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        _, later = C.copies(note)
-        own = np.array([x not in later for x in table["doc_id"].to_pylist()], bool)
+        copied, later = C.copies(table, note)
+        own = np.array([x is None for x in later], bool)
         part = load(table.filter(pa.array(own)) if not own.all() else table)
         part.pieces = cut_pieces(part.symbols, part.off, kind)
-        return table, part, own
+        return table, part, own, copied
 
     def first_round(key, table, note):
-        _, part, _ = opened(table, note)
+        _, part, _, _ = opened(table, note)
         return C.send_hashes(key[0].as_py(), part.pieces.h, buckets)
 
     def second_round(key, table, note):
-        _, part, _ = opened(table, note)
+        _, part, _, _ = opened(table, note)
         return send_pieces(key[0].as_py(), part, note, kind, buckets)
 
     def last_round(key, table, note):
-        table, part, own = opened(table, note)
-        return finish(table, part, covered(part, note, kind, buckets), own, C.copies(note)[0])
+        table, part, own, copied = opened(table, note)
+        return finish(table, part, covered(part, note, kind, buckets), own, copied)
 
     def by_part(note, f, out):
         return rows.groupBy("part").cogroup(note.groupBy("part")).applyInArrow(f, out)
