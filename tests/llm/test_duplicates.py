@@ -207,3 +207,11 @@ def test_digests_of_queries(spark):
     for key, size, removed, kept in brute_words(rows):
         r = got[key]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (size, removed, hashlib.sha256(kept.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("module", [four, nine])
+def test_queries_agree_with_sql(spark, duck, module):
+    from tests.conftest import DATA, same
+
+    name = module.__name__.rpartition(".")[2]
+    same(getattr(module, name)(spark, f"{DATA}/sf0.001"), duck, module.SQL)

@@ -257,8 +257,9 @@ def test_index_finds_all_places():
         assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
 
 
-def test_contamination_query(spark):
+def test_contamination_query(spark, duck):
     d = f"{DATA}/sf0.001"
+    same(seven.op7_decontaminate(spark, d), duck, seven.SQL)
     rows = lambda t, key: [(r[key], r.text) for r in spark.read.parquet(f"{d}/{t}.parquet").collect()]
     got = {r.doc_id: r for r in seven.op7_decontaminate(spark, d).collect()}
     for key, n, hit, items in brute_hits(rows("documents", "doc_id"), rows("benchmark", "item_id")):

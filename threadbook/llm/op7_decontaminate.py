@@ -315,4 +315,18 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(listed, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-SQL = None
+SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (SELECT item_id, r, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM b),
+bg AS (SELECT item_id, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS key FROM bw),
+p AS (SELECT DISTINCT item_id, least(n, 10) AS size, key FROM bg WHERE i <= greatest(n - 9, 1)),
+dw AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+dg AS (SELECT r, i, string_agg(word, ' ') OVER f AS key, count(*) OVER f AS n FROM dw WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+q AS (SELECT r, i, z.size, CASE WHEN z.size = n THEN key ELSE array_to_string(list_slice(string_split(key, ' '), 1, z.size), ' ') END AS key FROM dg JOIN (SELECT DISTINCT size FROM p) z ON n >= z.size),
+o AS (SELECT r, i, item_id, size FROM q JOIN p USING (size, key)),
+h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + size - 1)) AS i FROM o) GROUP BY r),
+x AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT r, item_id FROM o) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN x USING (r)
+"""

@@ -85,4 +85,13 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-SQL = None
+SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT r, i, word, string_agg(word, ' ') OVER f AS key, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+k AS (SELECT key FROM g WHERE n = 35 GROUP BY key HAVING count(*) > 1),
+f AS (SELECT g.r, g.i, g.word, CASE WHEN n = 35 AND k.key IS NOT NULL THEN 1 ELSE 0 END AS again FROM g LEFT JOIN k ON k.key = g.key),
+c AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT r, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY r)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (r)
+"""
