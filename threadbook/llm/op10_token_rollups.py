@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +79,16 @@ class Rollups:
             return False
         aside = f"{self.root}/aside/{batch}-{uuid.uuid4().hex}"
         changes.select(*[F.col(c) for c in ("source", "lang", "tokenizer", "docs", "tokens")]).write.parquet(aside)
-        target = self._path(f"{self.root}/batches/{batch}")
-        if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
-            self._fs.delete(self._path(aside), True)
+        source, target = self._path(aside), self._path(f"{self.root}/batches/{batch}")
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        strict = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        strict[0] = fs.Options.Rename.NONE  # refuses an existing target, where a plain rename would move into it
+        try:
+            fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, strict)
+        except Py4JJavaError:
+            if not self.committed(batch):
+                raise
+            self._fs.delete(source, True)
             return False
         return True
 
