@@ -311,6 +311,42 @@ def test_mix(spark):
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0)] * 3
 
 
+def test_mixed_texts(spark):
+    rows = [(i, f"\n{i}a  {i}b\t" + f"{i} é\n" * (i % 23), f"s{i % 4}" if i % 9 else None) for i in range(300)] + [(400, "", "s0"), (401, None, "s1"), (402, "long  " * 3000, "s2"), (403, "p q", "s3"), (403, "r s", "s3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = eight.mix_sources(df, block=8, shard=64)
+    words = re.compile(r"[^\x20\x09-\x0D]+").findall
+    place = {r.row_id: r for r in mix.documents.collect()}
+    corpus, drawn = mix.corpus.collect(), mix.drawn.collect()
+    slot = lambda r: (r.shard, r.source or "", r.epoch, r.block)
+    assert {slot(r) for r in corpus} == {slot(r) for r in drawn}
+    blocks, slots, taken = {}, {}, Counter()
+    for p in corpus:
+        assert p["at"] // 8 == p.block and place[p.row_id].source == p.source and len(words(p.text)) == p.words
+        slots.setdefault(slot(p), []).append((p.row_id, p["at"], p.words, p.text))
+        taken[p.row_id] += p.words
+    for s, x in slots.items():
+        x.sort(key=lambda p: p[1])
+        assert blocks.setdefault((s[1], s[3]), x) == x  # each time the same
+        assert all(a[1] + a[2] == b[1] for a, b in zip(x, x[1:]))
+    assert sum(n for x in blocks.values() for _, _, n, _ in x) <= 8 * len(blocks)
+    assert {r.row_id: r.taken for r in mix.taken.collect()} == taken
+    pieces = {}
+    for x in blocks.values():
+        for p in x:
+            pieces.setdefault(p[0], []).append(p[1:])
+    texts, whole = {(i, t) for i, t, _ in rows}, 0
+    for row, got in pieces.items():
+        if sum(n for _, n, _ in got) == place[row].size:
+            whole += 1
+            assert (place[row].doc_id, "".join(t for _, _, t in sorted(got))) in texts
+    assert whole > 200
+    assert sorted(words(" ".join(r.text for r in eight.shard_texts(mix).collect()))) == sorted(words(" ".join(p.text for p in corpus)))
+    assert eight.shard_texts(mix).count() == len(drawn)
+    again = eight.shard_texts(eight.mix_sources(df.repartition(7), block=8, shard=64)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, eight.shard_texts(mix).collect()))
+
+
 def test_mix_runs_no_python(spark):
     plan = eight.op8_source_mix(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,17 +22,22 @@ PRIMES = (1152921504606846983, 1152921504606847009, 1152921504606847067, 1152921
 #: Cells of the unit interval by which draws meet the sources.
 CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the space behind it, the first one with that before it too: all of them in order are the text.
+SPACED = r"(?:\A[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 
 
 @dataclass
 class Mix:
     """documents: row_id, doc_id, source, size, source_size, target, offset (words of the source before the document).
     drawn: shard, source, epoch, block: the blocks that each output shard takes, one row a slot.
-    taken: row_id, taken. All but for the pieces of blocks small numeric rows.
+    corpus: shard, source, epoch, block, at, row_id, words, text: the text of the blocks in ``drawn``, a row for each document
+    that is in one, in order of ``at`` (words of the source before it). Written in the shared folder.
+    taken: row_id, taken: the words of the document that are in ``corpus``.
     """
 
     documents: DataFrame
     drawn: DataFrame
+    corpus: DataFrame
     taken: DataFrame
 
 
@@ -62,19 +68,51 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return out.withColumn("target", F.when(F.col("level").isNull(), full).otherwise(rest * F.col("weight"))).select("source", "source_size", "target")
 
 
-def starts(df: DataFrame, key: str, bucket: str, order: list[str], value: str, extra: DataFrame | None = None) -> DataFrame:
-    """Adds offset, the sum of ``value`` over the earlier rows of the key: by bucket first, so that no task holds
-    more of a key than the square root of its rows. ``extra`` is joined on the key by way of the buckets.
+def named(df: DataFrame) -> DataFrame:
+    """Adds nil and name, by which a null source joins as others do and rows stay where a grouping has sent them."""
+    return df.withColumn("nil", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
+
+
+def starts(df: DataFrame, bucket: str, order: list[str], value: str, extra: DataFrame) -> DataFrame:
+    """Adds offset, the sum of ``value`` over the earlier rows of the source: by bucket first, so that no task holds
+    more of a source than the square root of its rows. ``extra`` is joined on the source by way of the buckets.
     """
-    inner = W.partitionBy(key, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy(key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    totals = df.groupBy(key, bucket).agg(F.sum(value).alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
-    if extra is not None:
-        totals = totals.alias("t").join(extra.alias("e"), F.col(f"t.{key}").eqNullSafe(F.col(f"e.{key}"))).select("t.*", *[f"e.{c}" for c in extra.columns if c != key])
-    out = df.withColumn("within", F.coalesce(F.sum(value).over(inner), F.lit(0))).alias("d")
-    same = F.col(f"d.{key}").eqNullSafe(F.col(f"t.{key}")) & (F.col(f"d.{bucket}") == F.col(f"t.{bucket}"))
-    joined = out.join(totals.alias("t"), same).withColumn("offset", F.col("base") + F.col("within"))
-    return joined.select("d.*", "offset", *[f"t.{c}" for c in (extra.columns if extra is not None else []) if c != key]).drop("within", bucket)
+    df = named(df)
+    inner = W.partitionBy("nil", "name", bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("nil", "name").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    totals = df.groupBy("nil", "name", bucket).agg(F.sum(value).alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
+    totals = totals.join(named(extra).drop("source"), ["nil", "name"])
+    out = df.withColumn("within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    joined = out.join(totals, ["nil", "name", bucket]).withColumn("offset", F.col("base") + F.col("within"))
+    return joined.drop("base", "within")
+
+
+@contextmanager
+def by_leading_keys(spark: SparkSession):
+    """Lets joins keep rows where a grouping by some of the keys has sent them, so that texts move once."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def cut(placed: DataFrame, block: int) -> DataFrame:
+    """The pieces of blocks: nil, name, bucket, row_id, block, at, words and text. Each text is split once."""
+    end = F.col("offset") + F.col("size")
+
+    def piece(words: Column, b: Column) -> Column:
+        begin, stop = F.greatest(F.col("offset"), b * block), F.least(end, (b + 1) * block)
+        n = stop - begin
+        text = F.array_join(F.slice(words, (begin - F.col("offset") + 1).cast("int"), n.cast("int")), "")
+        return F.struct(b.alias("block"), begin.alias("at"), n.alias("words"), text.alias("text"))
+
+    numbers = F.sequence(F.floor(F.col("offset") / block), F.floor((end - 1) / block))
+    cuts = F.transform(F.array(F.regexp_extract_all("text", F.lit(SPACED), 0)), lambda words: F.transform(numbers, lambda b: piece(words, b)))
+    keys = ["nil", "name", "bucket", "row_id"]
+    return placed.select(*keys, F.explode(F.element_at(cuts, 1)).alias("p")).select(*keys, "p.*")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> Mix:
@@ -82,20 +120,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
 
     Documents are packed by source into blocks of ``block`` words; each output shard takes the whole part of every
     source's expected number of blocks and draws the rest as a multinomial; the j-th slot of a source maps to
-    a block by a permutation of the source's blocks, a new one each time round, and stops after ``cap`` rounds.
+    a block by a permutation of the source's blocks, a new one each time round, and stops after ``cap`` rounds. The
+    texts, cut at the bounds of blocks, are joined with the slots by block and written.
 
     Null and empty texts have size 0 and are never taken. A null source is a source, last in order. Equal rows are
-    documents of their own. With no words at all, all targets are 0. An empty table gives no rows. Hashes of ids
+    documents of their own; rows that share id, size and text may change places. With no words at all, all targets are 0. An empty table gives no rows. Hashes of ids
     and sources make all draws, so reruns agree. Other columns are ignored.
     """
-    rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words("text").alias("size")).withColumn("row_id", F.monotonically_increasing_id()))
+    source, digest = F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("digest")
+    rows = written(docs.select("doc_id", source, n_words("text").alias("size"), digest).withColumn("row_id", F.monotonically_increasing_id()))
     n = rows.count()
     buckets = max(1, round(n**0.5))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     sources = written(sources.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")))
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets))
-    placed = starts(rows.withColumn("bucket", bucket), "source", "bucket", ["doc_id", "size", "row_id"], "size", sources.drop("blocks"))
-    placed = written(placed)
+    bucket = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets))
+    in_bucket = W.partitionBy("nil", "name", "bucket")
+    placed = starts(rows.withColumn("bucket", bucket), "bucket", ["doc_id", "digest", "row_id"], "size", sources.drop("blocks"))
+    placed = written(placed.withColumn("nth", F.row_number().over(in_bucket.orderBy("doc_id", "digest", "row_id"))))
 
     total = sources.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, -(-int(total) // (block * shard)))
@@ -114,7 +155,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
         counts = counts.unionByName(drawn.groupBy("source", "shard").agg(F.count("*").alias("n")), allowMissingColumns=False)
     counts = counts.groupBy("source", F.col("shard").cast("long").alias("shard")).agg(F.sum("n").alias("n"))
     width = max(1, round(shards**0.5))
-    slots = starts(counts.withColumn("bucket", F.floor(F.col("shard") / width)), "source", "bucket", ["shard"], "n", sources.select("source", "blocks"))
+    slots = starts(counts.withColumn("bucket", F.floor(F.col("shard") / width)), "bucket", ["shard"], "n", sources.select("source", "blocks"))
     slots = slots.select("source", "shard", "blocks", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("n") - 1)).alias("slot")).where(F.col("slot") < F.col("blocks") * cap)
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("place", F.col("slot") % F.col("blocks"))
     wide = lambda c: c.cast("decimal(19,0)")
@@ -123,14 +164,26 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
     shift = F.pmod(F.xxhash64("source", "epoch", F.lit(seed)), F.col("blocks"))
     slots = slots.withColumn("block", ((wide(step) * wide(F.col("place")) + wide(shift)) % wide(F.col("blocks"))).cast("long")).drop("blocks", "place", "slot")
 
-    last = F.col("offset") + F.col("size") - 1
-    pieces = placed.where("size > 0").select("row_id", "source", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor(last / block))).alias("block"))
-    inside = F.least(last + 1, (F.col("block") + 1) * block) - F.greatest(F.col("offset"), F.col("block") * block)
-    pieces = pieces.select("row_id", "source", "block", inside.alias("words"))
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-    same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
-    taken = pieces.alias("p").join(times.alias("t"), same).groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return Mix(placed, slots, taken)
+    keys = ["nil", "name", "bucket"]
+    full = placed.where("size > 0")
+    ranges = full.groupBy(*keys).agg(F.min("offset").alias("low"), F.max(F.col("offset") + F.col("size") - 1).alias("high"))
+    ranges = ranges.select(*keys, F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))).alias("block"))
+    wanted = ranges.join(named(slots), ["nil", "name", "block"])
+    # equal ids and digests are equal texts, so it does not matter which of them is the n-th
+    texts = named(docs.select("doc_id", source, F.col("text").cast("string").alias("text"), digest)).withColumn("bucket", bucket)
+    texts = texts.withColumn("nth", F.row_number().over(in_bucket.orderBy("doc_id", "digest"))).select(*keys, "nth", "text")
+    with by_leading_keys(docs.sparkSession):
+        pieces = cut(texts.join(full.select(*keys, "nth", "row_id", "offset", "size"), [*keys, "nth"]), block)
+        corpus = written(pieces.join(wanted, [*keys, "block"]).select("shard", "source", "epoch", "block", "at", "row_id", "words", "text"))
+    taken = corpus.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    return Mix(placed.drop(*keys, "nth", "digest"), slots, corpus, taken)
+
+
+def shard_texts(mix: Mix) -> DataFrame:
+    """The output shards, one row a block: shard, source, epoch, block, text. A shard is in one partition, its blocks in a hashed order; an empty line parts documents."""
+    blocks = mix.corpus.groupBy("shard", "source", "epoch", "block").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("pieces"))
+    out = blocks.select("shard", "source", "epoch", "block", F.array_join("pieces.text", "\n\n").alias("text"))
+    return out.repartition("shard").sortWithinPartitions("shard", F.xxhash64("shard", "source", "epoch", "block"))
 
 
 def mixed(mix: Mix) -> DataFrame:
