@@ -242,6 +242,19 @@ def test_stripping(spark):
     assert sum(r.text == t for r in out.values() for i, t in DOCS if i == r.doc_id) >= 7
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 10])
+def test_stripping_by_groups(spark, limit):
+    w = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(w[a : a + 10])) for i, a in enumerate((0, 5, 10, 13))] + [(9, " ".join(w[27:29] + w[:3]))]
+    docs = [(1, "x " + " ".join(w[:23]) + " y", 0, "a"), (2, None, 0, "b"), (3, " ".join(w[:9]), 0, "c"), (None, " ".join(w[5:15]), 0, "d"), (4, " ".join(w[27:29] + w[5:15] + w[:3]), 0, None), (1, "", 0, "e")]
+    out = seven.strip_contamination(spark.createDataFrame(docs, "doc_id long, text string, n_chars long, spans string"), spark.createDataFrame(items, "item_id long, text string"), limit)
+    assert out.columns == ["doc_id", "text", "n_chars", "spans"]
+    got = sorted(((r.doc_id, r.text, r.spans, r.n_chars) for r in out.collect()), key=str)
+    cut = {"a": "x   y", "d": " ", None: "w27 w28   w0 w1 w2"}
+    want = [(i, cut.get(s, t), s, None if t is None else len(cut.get(s, t))) for i, t, _, s in docs]
+    assert got == sorted(want, key=str)
+
+
 def test_index_finds_all_places():
     r = np.random.default_rng(0)
     text = r.integers(0, 6, 2000)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -234,12 +236,31 @@ def _one_pass(docs: DataFrame, p: Phrases) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def benchmark_groups(benchmark: DataFrame, limit: int) -> list[Phrases]:
-    """The benchmark's phrases in groups of about ``limit`` bytes of text: one group unless it is larger."""
+def benchmark_groups(benchmark: DataFrame, limit: int) -> Iterator[Phrases]:
+    """The benchmark's phrases in groups of about ``limit`` bytes of text, one after another: one group unless it is larger."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(total / limit))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return [phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()]) for g in range(groups)]
+    for g in range(groups):
+        yield phrases([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()])
+
+
+def _passes(rows: DataFrame, first: Phrases, groups: Iterator[Phrases]) -> DataFrame:
+    """What each group hits in the same texts. Each pass is written before the next group is read, so the driver holds one."""
+    found = []
+    for p in chain([first], groups):
+        found.append(C.written(_one_pass(rows, p).where("n_hit > 0")))
+    return C.tree_union(found)
+
+
+def _merged(off: np.ndarray, spans: list[list[dict] | None]) -> np.ndarray:
+    """By byte of all rows: whether a span of its row covers it."""
+    edge = np.zeros(off[-1] + 1, np.int64)
+    for i, row in enumerate(spans):
+        for s in row or []:
+            edge[off[i] + s["start"]] += 1
+            edge[off[i] + s["end"]] -= 1
+    return np.cumsum(edge) > 0
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_BENCHMARK_BYTES) -> DataFrame:
@@ -252,10 +273,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_B
     kept. An empty table of documents gives no rows, an empty benchmark hits nothing. Other columns are ignored.
     """
     groups = benchmark_groups(benchmark, limit)
-    if len(groups) == 1:
-        return _one_pass(docs, groups[0])
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        return _one_pass(docs, first)
     rows = C.written(docs.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("key"), F.monotonically_increasing_id().alias("doc_id"), "text"))
-    found = C.tree_union([_one_pass(rows, p).where("n_hit > 0") for p in groups])
+    found = _passes(rows, first, chain([second], groups))
     joined = rows.select("key", F.col("doc_id").alias("row"), "text").join(found.groupBy(F.col("doc_id").alias("row")).agg(F.collect_list("spans").alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "row", "left")
 
     def merge(batches):
@@ -263,12 +285,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_B
             buf, off = C.text_buffer(b["text"])
             starts, ends = C.word_bounds(buf, off, C.ALNUM[0])
             at = np.searchsorted(starts, off)
-            edge = np.zeros(len(buf) + 1, np.int64)
-            for i, groups_ in enumerate(b["all"].to_pylist()):
-                for s in (x for g in groups_ or [] for x in g):
-                    edge[off[i] + s["start"]] += 1
-                    edge[off[i] + s["end"]] -= 1
-            hit = (np.cumsum(edge) > 0)[starts]
+            hit = _merged(off, [[x for g in groups_ or [] for x in g] for groups_ in b["all"].to_pylist()])[starts]
             first, last = _runs(hit, at)
             base = off[np.searchsorted(at, first, "right") - 1]
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, at), pa.int32()), pa.StructArray.from_arrays([pa.array(starts[first] - base), pa.array(ends[last] - base)], ["start", "end"]))
@@ -279,13 +296,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_B
 
 
 def strip_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """The documents without their hit spans (a space stands for each) and with n_chars counted anew; all columns stay."""
-    out = docs
-    for p in benchmark_groups(benchmark, limit):
-        out = out.withColumn("text", _stripper(p)("text"))
+    """The documents without their hit spans (a space stands for each) and with n_chars counted anew; all columns stay.
+
+    Every group of a large benchmark is held against the texts as they are, and what any of them hits is cut at once.
+    """
+    groups = benchmark_groups(benchmark, limit)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        out = docs.withColumn("text", _stripper(first)("text"))
+    else:
+        rows = C.written(docs.select(F.struct(*docs.columns).alias("held"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("doc_id")))
+        found = _passes(rows, first, chain([second], groups)).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        out = rows.join(found, "doc_id", "left").select(F.col("held").withField("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_cutter("text", "spans"))).alias("held")).select("held.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+def _without(texts: pa.Array, data: np.ndarray, rows: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Texts with a space for each run of bytes from ``first`` to ``end``; nulls stay."""
+    gone = np.zeros(len(data) + 1, np.int64)
+    gone[first] += 1
+    np.add.at(gone, end, -1)
+    keep = np.cumsum(gone)[:-1] == 0
+    keep[first] = True
+    data = data.copy()
+    data[first] = 32
+    made = C.binary_rows(data[keep], np.append(0, np.cumsum(keep))[rows], pa.string())
+    return pa.array([None if not v else m for v, m in zip(texts.is_valid().to_pylist(), made.to_pylist(), strict=True)], pa.string())
+
+
 def _stripper(p: Phrases):
     def clean(texts: pa.Array) -> pa.Array:
         parts = []
@@ -294,20 +332,23 @@ def _stripper(p: Phrases):
                 parts.append(texts.slice(a, b - a))
                 continue
             first, last = _runs(hit, at)
-            gone = np.zeros(len(data) + 1, np.int64)
-            gone[starts[first]] += 1
-            np.add.at(gone, ends[last], -1)
-            keep = np.cumsum(gone)[:-1] == 0
-            keep[starts[first]] = True
-            data = data.copy()
-            data[starts[first]] = 32
-            made = C.binary_rows(data[keep], np.append(0, np.cumsum(keep))[rows], pa.string())
-            parts.append(pa.array([None if not v else m for v, m in zip(texts.slice(a, b - a).is_valid().to_pylist(), made.to_pylist(), strict=True)], pa.string()))
+            parts.append(_without(texts.slice(a, b - a), data, rows, starts[first], ends[last]))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return F.arrow_udf(clean, "string")
 
 
+def _cutter(text: str, spans: str):
+    def clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        buf, off = C.text_buffer(texts)
+        starts, ends = C.word_bounds(buf, off, C.ALNUM[0])
+        hit = _merged(off, spans.to_pylist())[starts]
+        first, last = _runs(hit, np.searchsorted(starts, off))
+        return _without(texts, buf, off, starts[first], ends[last])
+
+    return F.arrow_udf(clean, "string")(text, spans)
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     out = find_contamination(read("documents"), read("benchmark"))
