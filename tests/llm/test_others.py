@@ -134,6 +134,15 @@ def test_quality_on_held_out_rows(spark):
     assert junk.where("keep").count() <= 0.02 * junk.count()
 
 
+def test_toxic_on_held_out_rows(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
+    h = five.fit_both(docs, labels).held_out
+    assert h["toxic"] > 30 and h["caught"] >= 0.7 * h["toxic"] and h["rejected"] <= 0.01 * h["others"]
+    few = docs.join(labels.where("toxic = 1 and quality = 1"), "doc_id", "left_semi").select(docs.columns)
+    kept = five.keep_documents(docs, labels).join(few.select("doc_id"), "doc_id", "left_semi").count()
+    assert kept <= 0.25 * few.count()
+
+
 def test_quality_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
     docs = spark.createDataFrame([(1, None, None, None, None, 0.0), (2, "", "en", "a", 0, 0.0), (None, "some words", "en", "a", 10, 0.0), (3, "word " * 50_000, "en", "b", 250_000, 0.0), (3, "word", "en", "b", 4, 0.0)], schema)

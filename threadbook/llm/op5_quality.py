@@ -19,6 +19,10 @@ ROUNDS = 3
 CONFIDENT, PASSED = 0.97, 500
 #: Documents whose score is below are rejected.
 KEEP = 0.4
+#: Documents whose toxic score is at least this are toxic.
+TOXIC = 0.5
+#: Bins of word hashes, and how many of them, the most telling ones of the training rows, the toxic target's text view has.
+WORD_BITS, TELLING = 20, 64
 SOURCE_BINS, LANG_BINS, SIZE_BINS = 64, 16, 24
 _TEXT = 129 + 4
 #: Added to the size of a text, so that the bytes of very short ones weigh little.
@@ -55,6 +59,43 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_bins(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bins of each text's words (letters, digits and non-ASCII, A-Z in lower case), and the row offsets."""
+    bins, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for a, b in C.chunked_rows(off):
+        h, _, _, at = C.words(buf[off[a] : off[b]], off[a : b + 1] - off[a], C.ALNUM)
+        of = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(at))
+        both = np.unique((of << WORD_BITS) | (h >> U64(64 - WORD_BITS)).astype(np.int64))
+        bins.append((both & ((1 << WORD_BITS) - 1)).astype(np.uint32))
+        sizes.append(np.bincount(both >> WORD_BITS, minlength=b - a))
+    return np.concatenate(bins), np.cumsum(np.concatenate(sizes))
+
+
+def telling_bins(bins: np.ndarray, at: np.ndarray, y: np.ndarray, most: int = TELLING) -> np.ndarray:
+    """The bins whose presence says most about ``y`` (0, 1 or nan for rows that do not count), by the G statistic."""
+    row = np.repeat(y, np.diff(at))
+    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
+    if not n1 or not n0:
+        return np.zeros(0, np.int64)
+    with1 = np.bincount(bins[row == 1], minlength=1 << WORD_BITS).astype(np.float64)
+    with0 = np.bincount(bins[row == 0], minlength=1 << WORD_BITS).astype(np.float64)
+    part = (with1 + with0) / (n1 + n0)
+    term = lambda k, expected: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    g = term(with1, part * n1) + term(with0, part * n0) + term(n1 - with1, (1 - part) * n1) + term(n0 - with0, (1 - part) * n0)
+    g[with1 + with0 < 3] = 0
+    best = np.argsort(-g, kind="stable")[:most]
+    return np.sort(best[g[best] > 0])
+
+
+def word_view(bins: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at) - 1, len(chosen)))
+    place = np.full(1 << WORD_BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    column, row = place[bins], np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out[row[column >= 0], column[column >= 0]] = 1
+    return out
+
+
 def metadata_columns() -> list[Column]:
     """Bins of source, language and declared size; a null has a bin of its own."""
     held = lambda c, n: F.coalesce(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(n - 1)) + 1, F.lit(0)).cast("int")
@@ -166,76 +207,118 @@ def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.nda
 # ---------------------------------------------------------------- Spark
 
 
+@dataclass
+class Models:
+    """The models of both targets (None without labels of it), and the word bins that the toxic one sees. held_out: of labelled
+    rows that took no part in training, how many are toxic and not, how many of the toxic are caught and of the others rejected.
+    """
+
+    quality: Model | None
+    toxic: Model | None
+    chosen: np.ndarray
+    held_out: dict
+
+    def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, metadata and joint score of quality, and the toxic score, by row."""
+        text, metadata = _views(batch)
+        n = batch.num_rows
+        a, b, p = (np.ones(n),) * 3 if self.quality is None else self.quality.score(text, metadata)
+        toxic = np.zeros(n)
+        if self.toxic is not None:
+            bins, at = word_bins(*C.text_buffer(batch["text"]))
+            for i in range(0, n, 1024):
+                j = min(n, i + 1024)
+                seen = word_view(bins[at[i] : at[j]], at[i : j + 1] - at[i], self.chosen)
+                toxic[i:j] = self.toxic.score(np.column_stack([text[i:j], seen]), metadata[i:j])[2]
+        return a, b, p, toxic
+
+
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text_view(*C.text_buffer(batch["text"])), metadata_view(*(np.asarray(batch[c], np.int64) for c in ("source_bin", "lang_bin", "size_bin")))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int) -> DataFrame:
-    """doc_id, quality of the sampled ids: both bounds are parameters, so the frame may be broadcast."""
+    """doc_id, quality and toxic of the sampled ids: both bounds are parameters, so the frame may be broadcast."""
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
     some = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*by).limit(labelled)
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    rest = ids.join(known, "doc_id", "left_anti").orderBy(*by).limit(unlabelled).withColumn("quality", F.lit(None).cast("double"))
+    none = F.lit(None).cast("double")
+    rest = ids.join(known, "doc_id", "left_anti").orderBy(*by).limit(unlabelled).withColumn("quality", none).withColumn("toxic", none)
     return some.unionByName(rest)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """Trains on a bounded sample; its features are made on the executors. None without any labelled document."""
+def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Models:
+    """Trains both targets on one bounded sample; its features are made on the executors."""
     chosen = C.written(_sample(docs, labels, labelled, unlabelled))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text"), *metadata_columns())
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *metadata_columns()).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text", "source_bin", "lang_bin", "size_bin")
 
     def features(batches):
         for b in batches:
-            text, metadata = _views(b)
-            both = np.column_stack([text, metadata]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], pa.array([x.tobytes() for x in both], pa.binary())], ["doc_id", "quality", "x"])
-
-    got = rows.mapInArrow(features, "doc_id long, quality double, x binary").toPandas()
-    if not got["quality"].notna().any():
-        return None
-    got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+            both = np.column_stack(_views(b)).astype(np.float32)
+            bins, at = word_bins(*C.text_buffer(b["text"]))
+            words = C.binary_rows(bins.view(np.uint8), at * 4)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], b["toxic"], pa.array([x.tobytes() for x in both], pa.binary()), words], ["doc_id", "quality", "toxic", "x", "words"])
+
+    got = rows.mapInArrow(features, "doc_id long, quality double, toxic double, x binary, words binary").toPandas()
+    got = got.sort_values(["doc_id", "x", "words"]).drop_duplicates("doc_id")
+    quality, toxic = (got[c].to_numpy(np.float64) for c in ("quality", "toxic"))
+    none = np.zeros(0, np.int64)
+    if np.isnan(quality).all() and np.isnan(toxic).all():
+        return Models(None, None, none, {})
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     fold = (C.mix(got["doc_id"].to_numpy(np.int64).astype(U64)) % U64(10)).astype(np.int64)
-    return co_train(x[:, :_TEXT], x[:, _TEXT:], got["quality"].to_numpy(np.float64), fold)
+    text, metadata = x[:, :_TEXT], x[:, _TEXT:]
+    out = Models(None if np.isnan(quality).all() else co_train(text, metadata, quality, fold), None, none, {})
+    if not np.isnan(toxic).all():
+        bins, at = np.frombuffer(b"".join(got["words"]), np.uint32), np.cumsum(np.append(0, got["words"].str.len().to_numpy(np.int64) // 4))
+        del got
+        out.chosen = telling_bins(bins, at, np.where(fold > 1, toxic, np.nan))
+        text = np.column_stack([text, word_view(bins, at, out.chosen)])
+        out.toxic = co_train(text, metadata, toxic, fold)
+        test = (fold == 1) & ~np.isnan(toxic)
+        found, bad = out.toxic.score(text[test], metadata[test])[2] >= TOXIC, toxic[test] == 1
+        out.held_out = {"toxic": int(bad.sum()), "caught": int((found & bad).sum()), "others": int((~bad).sum()), "rejected": int((found & ~bad).sum())}
+    return out
 
 
-SCHEMA = "doc_id long, text_score double, metadata_score double, score double, keep boolean"
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
+    """The model of quality. None without any labelled document."""
+    return fit_both(docs, labels, labelled, unlabelled).quality
 
 
-def _scored(batch: pa.RecordBatch, model: Model | None):
-    if model is None:
-        one = np.ones(batch.num_rows)
-        return one, one, one
-    return model.score(*_views(batch))
+SCHEMA = "doc_id long, text_score double, metadata_score double, score double, keep boolean, toxic_score double"
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
-    """Returns one row per input row: doc_id, text_score, metadata_score (calibrated chances of quality 1), score and keep.
+    """Returns one row per input row: doc_id, text_score, metadata_score (calibrated chances of quality 1), score, keep (by quality
+    alone) and toxic_score (the chance of toxic 1; a document is toxic from ``TOXIC``).
 
     Null and empty texts have zero text features; null source, lang and n_chars have bins of their own. Null ids and
-    repeated rows are scored, but only one row of an id trains, and repeated labels count once with the smaller quality.
-    Without labels every document is kept with score 1. An empty table gives no rows. Other columns are ignored.
+    repeated rows are scored, but only one row of an id trains, and repeated labels count once with the smaller quality and the
+    larger toxic. Without labels of quality every document is kept with score 1, without labels of toxic none is toxic. An empty
+    table gives no rows. Other columns are ignored.
     """
-    model = fit(docs, labels, labelled, unlabelled)
+    models = fit_both(docs, labels, labelled, unlabelled)
 
     def run(batches):
         for b in batches:
-            a, m, p = _scored(b, model)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(a), pa.array(m), pa.array(p), pa.array(p >= KEEP)], ["doc_id", "text_score", "metadata_score", "score", "keep"])
+            a, m, p, t = models.score(b)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(a), pa.array(m), pa.array(p), pa.array(p >= KEEP), pa.array(t)], ["doc_id", "text_score", "metadata_score", "score", "keep", "toxic_score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns()).mapInArrow(run, SCHEMA)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
-    """The rows that are not rejected, with all their columns."""
-    model, columns = fit(docs, labels, labelled, unlabelled), docs.columns
+def keep_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
+    """The rows that none of ``targets`` rejects, with all their columns."""
+    models, columns = fit_both(docs, labels, labelled, unlabelled), docs.columns
 
     def run(batches):
         for b in batches:
             row = pa.RecordBatch.from_struct_array(b["row"])
-            views = pa.RecordBatch.from_arrays([b["text"], b["source_bin"], b["lang_bin"], b["size_bin"]], ["text", "source_bin", "lang_bin", "size_bin"])
-            yield row.filter(pa.array(_scored(views, model)[2] >= KEEP))
+            _, _, p, t = models.score(pa.RecordBatch.from_arrays([b["text"], b["source_bin"], b["lang_bin"], b["size_bin"]], ["text", "source_bin", "lang_bin", "size_bin"]))
+            keep = (p >= KEEP if "quality" in targets else p >= 0) & (t < TOXIC if "toxic" in targets else t >= 0)
+            yield row.filter(pa.array(keep))
 
     held = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"), *metadata_columns())
     return held.mapInArrow(run, docs.schema)
