@@ -145,6 +145,16 @@ def test_recall_without_structure(spark):
     assert len(near & exact) / len(exact) >= 0.9
 
 
+def test_recall_of_the_query(spark):
+    from threadbook.queries import QUERIES
+
+    d = "/root/testdata/sf0.1"
+    near, exact = ({(x.query_id, x.id) for x in QUERIES[q](spark, d).collect()} for q in ("ann_topk", "vector_topk_matmul"))
+    wanted = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+    print("recall", len(near & exact) / len(exact), len(wanted))
+    assert {q for q, _ in near} == wanted and len(near & exact) / len(exact) >= 0.9
+
+
 @pytest.mark.parametrize(("anchor", "before", "after", "expected"), [(3, 3, 3, [1, 2, 3, 5, 6]), (3, 1, 1, [2, 3, 5]), (1, 3, 0, [1]), (99, 3, 3, [])])
 def test_timeline(spark, anchor, before, after, expected):
     rows = [(i, "S", datetime(2024, 1, 1, t)) for i, t in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5))] + [(7, "R", datetime(2024, 1, 1, 2))]

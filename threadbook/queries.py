@@ -191,15 +191,19 @@ _ALL = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec
 _FLIP = "SELECT query_id, '' AS text, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM many"
 
 
+def _many(x):
+    """The query vectors of _ALL."""
+    return x.read("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 @query(with_tables("observations", "SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM vec", many=_ALL, **(_VECTORS | {"w": _FLIP}), **_vec(20)))
 def vector_topk_matmul(x):
-    many = x.read("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector.vector_topk(many, x.observations, 20, "matmul")
+    return vector.vector_topk(_many(x), x.observations, 20, "matmul")
 
 
 @query()
 def ann_topk(x):
-    return vector.ann_topk(x.queries, x.observations, 20)
+    return vector.ann_topk(_many(x), x.observations, 20)
 
 
 @query(with_tables("observations", "SELECT lexeme, id, field, weight, tf, positions FROM postings", **_postings(FIELD_WEIGHTS, "observations")))
