@@ -17,10 +17,9 @@ CAP = 3
 BLOCK = 64
 SHARD = 4096
 SEED = 20240215
-# Primes above 2**60, coprime to every smaller number of blocks.
-PRIMES = (1152921504606846983, 1152921504606847009, 1152921504606847067, 1152921504606847081, 2305843009213693951)
-#: Cells of the unit interval by which draws meet the sources.
-CELLS = 4096
+#: Rounds of the index permutation, an even number, and slots that one row stands for until they are dealt out.
+ROUNDS = 6
+CHUNK = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the space behind it, the first one with that before it too: all of them in order are the text.
 SPACED = r"(?:\A[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
@@ -45,9 +44,27 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit(*cols: Column) -> Column:
-    """A number in [0, 1) from the hash of the columns."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """A pseudorandom permutation of 0..n-1 for each key, at x.
+
+    Rounds of a Feistel network go over pairs (u, v) below (a, b), where a * b is n or the least more: u moves by a hash of v,
+    then they change places. That permutes 0..a*b-1; a result of n or more goes in again until it is less (cycle walking).
+    Less than a of the a * b are n or more, so that happens once in the square root of n, and the walk ends within a * b - n steps.
+    """
+    a = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double")))).cast("long")
+    b = F.floor((n + a - 1) / a).cast("long")
+
+    def once(x: Column) -> Column:
+        def turn(s: Column, i: Column) -> Column:
+            moved = F.pmod(s["u"] + F.pmod(F.xxhash64(*key, i, s["v"]), s["a"]), s["a"])
+            return F.struct(s["v"].alias("u"), moved.alias("v"), s["b"].alias("a"), s["a"].alias("b"))
+
+        pair = F.struct(F.pmod(x, a).alias("u"), F.floor(x / a).cast("long").alias("v"), a.alias("a"), b.alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pair, turn, lambda s: s["v"] * s["a"] + s["u"])
+
+    first = once(x)
+    walked = lambda start: F.aggregate(F.sequence(F.lit(0).cast("long"), a * b - n), start, lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    return F.element_at(F.transform(F.array(first), lambda y: F.when(y < n, y).otherwise(walked(y))), 1)
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -115,15 +132,35 @@ def cut(placed: DataFrame, block: int) -> DataFrame:
     return placed.select(*keys, F.explode(F.element_at(cuts, 1)).alias("p")).select(*keys, "p.*")
 
 
+def draw_slots(sources: DataFrame, cap: int = CAP, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """``sources`` has source, source_size, target and blocks. Returns shard, source, epoch and block, one row a slot.
+
+    A source has as many slots as give its target, a whole number, and at most ``cap`` times its blocks. The slots of all sources are
+    dealt to output shards of ``shard`` slots by one permutation, so each shard's source counts are drawn as a multinomial whose
+    totals over all shards are given. The j-th slot of a source takes block p(j) by the source's permutation p, a new one each time round.
+    """
+    n = F.least(F.round(F.col("target") / (F.col("source_size") / F.col("blocks"))).cast("long"), F.col("blocks") * cap)
+    share = sources.where("target > 0").select("source", "blocks", n.alias("n")).where("n > 0")
+    by_name = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    share = share.withColumn("base", F.coalesce(F.sum("n").over(by_name), F.lit(0)))
+    total = F.lit(share.agg(F.sum("n")).first()[0] or 1).cast("long")
+    step = F.lit(CHUNK).cast("long")
+    chunks = share.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step))).repartition("source", "low")
+    rows = chunks.withColumn("slot", F.explode(F.sequence("low", F.least(F.col("low") + CHUNK, F.col("n")) - 1)))
+    place = permuted(F.col("base") + F.col("slot"), total, F.lit(seed))
+    rows = rows.select("source", "blocks", "slot", F.floor(place / shard).cast("long").alias("shard"), F.floor(F.col("slot") / F.col("blocks")).cast("long").alias("epoch"))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("epoch"))
+    return rows.select("shard", "source", "epoch", block.alias("block"))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> Mix:
     """Draws a corpus in which each source has its target share of words.
 
-    Documents are packed by source into blocks of ``block`` words; each output shard takes the whole part of every
-    source's expected number of blocks and draws the rest as a multinomial; the j-th slot of a source maps to
-    a block by a permutation of the source's blocks, a new one each time round, and stops after ``cap`` rounds. The
-    texts, cut at the bounds of blocks, are joined with the slots by block and written.
+    Documents are packed by source into blocks of ``block`` words; ``draw_slots`` draws how many blocks of each source an output
+    shard takes, and maps slots to blocks by permutations of the source's blocks, at most ``cap`` times round. The texts,
+    cut at the bounds of blocks, are joined with the slots by block and written.
 
-    Null and empty texts have size 0 and are never taken. A null source is a source, last in order. Equal rows are
+    Null and empty texts have size 0 and are never taken; a very long text is cut into blocks as others are, and no task holds its source. A null source is a source, last in order. Equal rows are
     documents of their own; rows that share id, size and text may change places. With no words at all, all targets are 0. An empty table gives no rows. Hashes of ids
     and sources make all draws, so reruns agree. Other columns are ignored.
     """
@@ -138,31 +175,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
     placed = starts(rows.withColumn("bucket", bucket), "bucket", ["doc_id", "digest", "row_id"], "size", sources.drop("blocks"))
     placed = written(placed.withColumn("nth", F.row_number().over(in_bucket.orderBy("doc_id", "digest", "row_id"))))
 
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    shards = max(1, -(-int(total) // (block * shard)))
-    expected = F.col("target") / (F.col("source_size") / F.col("blocks")) / shards
-    share = sources.where("target > 0").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long")).withColumn("part", F.col("expected") - F.col("whole"))
-    rest = share.agg(F.sum("part")).first()[0] or 0.0
-    draws = int(-(-rest // 1))
-    per = lambda col, k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(col)
-    counts = share.where("whole > 0").select("source", F.col("whole").alias("n"), per("shard", shards))
-    if draws:
-        by_name = W.orderBy(F.col("source").asc_nulls_last())
-        held = share.withColumn("high", F.sum("part").over(by_name.rowsBetween(W.unboundedPreceding, 0)) / draws).withColumn("low", F.col("high") - F.col("part") / draws)
-        cells = held.where("part > 0").select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("long"), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)).cast("long"))).alias("cell"))
-        points = docs.sparkSession.range(shards).withColumnRenamed("id", "shard").select("shard", per("draw", draws)).withColumn("u", unit(F.lit(seed), F.col("shard"), F.col("draw")))
-        drawn = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("long")).join(cells, "cell").where("u >= low and u < high")
-        counts = counts.unionByName(drawn.groupBy("source", "shard").agg(F.count("*").alias("n")), allowMissingColumns=False)
-    counts = counts.groupBy("source", F.col("shard").cast("long").alias("shard")).agg(F.sum("n").alias("n"))
-    width = max(1, round(shards**0.5))
-    slots = starts(counts.withColumn("bucket", F.floor(F.col("shard") / width)), "bucket", ["shard"], "n", sources.select("source", "blocks"))
-    slots = slots.select("source", "shard", "blocks", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("n") - 1)).alias("slot")).where(F.col("slot") < F.col("blocks") * cap)
-    slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")).cast("long")).withColumn("place", F.col("slot") % F.col("blocks"))
-    wide = lambda c: c.cast("decimal(19,0)")
-    which = F.pmod(F.xxhash64(F.lit(seed), "source", "epoch"), F.lit(len(PRIMES))).cast("int") + 1
-    step = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), which) % F.col("blocks")
-    shift = F.pmod(F.xxhash64("source", "epoch", F.lit(seed)), F.col("blocks"))
-    slots = slots.withColumn("block", ((wide(step) * wide(F.col("place")) + wide(shift)) % wide(F.col("blocks"))).cast("long")).drop("blocks", "place", "slot")
+    slots = draw_slots(sources, cap, shard, seed)
 
     keys = ["nil", "name", "bucket"]
     full = placed.where("size > 0")
