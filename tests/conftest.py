@@ -41,11 +41,11 @@ def duck():
 
 def same(df, con, sql) -> None:
     """Rows and column names agree, in any order of rows."""
-    got, want = df.toPandas(), con.sql(sql)
-    columns = sorted(got.columns)
+    want = con.sql(sql)
+    columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     plain = lambda v: None if v is None or v != v else round(v, 6) if isinstance(v, float) else v
-    a = sorted((tuple(plain(v) for v in r) for r in got[columns].astype(object).itertuples(index=False, name=None)), key=str)
+    a = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=str)
     b = sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
     assert [tuple(map(str, x)) for x in a] == [tuple(map(str, x)) for x in b]
