@@ -1,7 +1,9 @@
 """Operators 1, 3, 5, 6, 7, 8 and 10 against brute force, round trips and held-out rows."""
 
+import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -102,6 +104,34 @@ def test_secret_spans(spark):
     assert three.find_secrets(df.limit(0)).count() == 0
 
 
+def key_block(kind, data, headers=""):
+    body = base64.b64encode(data).decode()
+    lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{headers}{lines}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_private_keys_and_other_tokens():
+    der = b"\x30\x81\xc8" + bytes(range(200))
+    wrong = b"\x30\x81\xc9" + bytes(range(200))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n"
+    good = [key_block("", der), key_block("RSA ", der), key_block("OPENSSH ", three.OPENSSH + bytes(120)), key_block("RSA ", bytes(range(160)), headers)]
+    bad = [key_block("", wrong), key_block("", bytes(100)), key_block("RSA ", bytes(range(161)), headers), good[0][:-10]]
+    kinds = lambda t: [s[2] for s in three.scan(t) if s[2] not in three.BASE]
+    for t in good:
+        assert kinds(f"a {t} b") == ["pem"] and three.scan(f"é {t}")[0][:2] == (2, 2 + len(t))
+    assert [k for t in bad for k in kinds(t)] == []
+    npm = checked_token("npm_", "abcDEF0123456789abcDEF01234567")
+    assert kinds(f"x {npm} y") == ["npm"] and kinds(npm[:-1] + "x") == [] and kinds(npm + "0") == []
+
+
+def test_scan_takes_time_in_proportion():
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    for t in ("eyJ" * 400_000, "eyJa." * 200_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "token=" * 150_000, "secret " * 150_000, "AKIA" * 200_000, "ab" * 600_000):
+        began = time.process_time()
+        assert (token in t + token) and three.scan(t + " " + token)[-1][1] == len(t) + 1 + len(token)
+        assert time.process_time() - began < 8
+
+
 def test_redaction_keeps_rows(spark):
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, source string, n_chars int")
     out = {r.doc_id: r for r in three.redact(df).collect()}
@@ -182,6 +212,30 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     assert six.read_archives(six.archive_pages(df.limit(0))[1]).count() == 0
 
 
+def test_records_refer_to_each_other(spark):
+    df = spark.createDataFrame([*PAGES, (20, "http://u/20", "x" * 1500)], "page_id long, url string, html string")
+    legacy, archives = six.archive_pages(df)
+    records = [fields for a in archives.collect() for fields, _ in six.read_warc(bytes(a.data))]
+    ids = {f["WARC-Record-ID"]: f for f in records}
+    assert len(ids) == len(records)  # equal rows too
+    again = [f for f in records if f["WARC-Type"] == "revisit"]
+    assert len(again) == 5
+    for f in again:
+        of = ids[f["WARC-Refers-To"]]
+        assert of["WARC-Type"] == "response" and of["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+        assert (of["WARC-Target-URI"], of["WARC-Date"]) == (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"])
+
+
+def test_warc_query_with_revisits(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([p for p in PAGES if p[0] is not None], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert con.sql(f"SELECT count(*) FROM ({six.SQL}) WHERE record_type = 'revisit'").fetchall() == [(2,)]
+    same(six.op6_warc(spark, str(tmp_path)), con, six.SQL)
+
+
 def test_both_legacy_versions():
     for version in "12":
         document = b"HTTP/1.1 200 OK\r\nPage-Id: 4\r\n\r\nbody\nwith lines"
@@ -369,6 +423,34 @@ def test_mixed_texts(spark):
     assert sorted(map(str, again)) == sorted(map(str, eight.shard_texts(mix).collect()))
 
 
+def test_permutations(spark):
+    from pyspark.sql import functions as F
+
+    counts = [*range(1, 1200), *(1723 * k for k in (1, 2, 3)), *(2447 * k for k in (1, 2)), 5000, 46_341]
+    sizes = spark.createDataFrame([(n,) for n in counts], "n long").repartition(8)
+    rows = sizes.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    out = rows.withColumn("y", eight.permuted(F.col("x"), F.col("n"), F.lit(7), F.col("n"))).groupBy("n")
+    out = out.agg(F.count_distinct("y").alias("k"), F.min("y").alias("low"), F.max("y").alias("high"), F.count_if(F.col("x") == F.col("y")).alias("fixed")).collect()
+    assert len(out) == len(counts) and all((r.k, r.low, r.high) == (r.n, 0, r.n - 1) for r in out)
+    assert sum(r.fixed for r in out) < 3 * len(counts)  # about one a permutation
+
+
+def test_every_time_round_visits_each_block_once(spark):
+    sizes = [("a", 1723 * 64, 3.0 * 1723 * 64, 1723), ("b", 10, 30.0, 1), (None, 64 * 500, 64.0 * 777, 500), ("c", 64 * 9, 0.0, 9), ("d", 64 * 4000, 64.0 * 2447, 4000)]
+    slots = eight.draw_slots(spark.createDataFrame(sizes, "source string, source_size long, target double, blocks long"), shard=512).collect()
+    n = Counter(r.source for r in slots)
+    assert n == {"a": 3 * 1723, "b": 3, None: 777, "d": 2447}
+    assert set(Counter((r.source, r.epoch, r.block) for r in slots).values()) == {1}
+    for s, _, _, blocks in sizes:
+        mine = [r for r in slots if r.source == s]
+        assert all(0 <= r.block < blocks for r in mine) and all(len([r for r in mine if r.epoch == e]) in (blocks, n[s] % blocks) for e in {r.epoch for r in mine})
+    per = Counter(r.shard for r in slots)
+    assert all(per[i] == 512 for i in range(len(slots) // 512)) and sum(per.values()) == len(slots)
+    drawn = Counter(r.shard for r in slots if r.source == "d")
+    share = n["d"] / len(slots)
+    assert all(abs(drawn[i] - 512 * share) < 5 * (512 * share * (1 - share)) ** 0.5 for i in range(len(slots) // 512)) and len(set(drawn.values())) > 3
+
+
 def test_mix_runs_no_python(spark):
     plan = eight.op8_source_mix(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -413,6 +495,37 @@ def test_a_lost_writer_leaves_no_trace(spark, tmp_path):
     assert rollups.totals().count() == 0
 
 
+def test_snapshots_hold_the_totals(spark, tmp_path):
+    rollups, want = ten.Rollups(spark, str(tmp_path), compact=3), Counter()
+    for i in range(11):
+        rows = [(f"s{i % 3}", "en", "t", 1, i + 1), ("s0", None, "t", -1 if i == 5 else 1, 2)]
+        for s, lang, _, n, k in rows:
+            want[s, lang, 0] += n
+            want[s, lang, 1] += k
+        assert rollups.commit(f"b{i}", spark.createDataFrame(rows, ten.Rollups.SCHEMA)) and not rollups.commit(f"b{i}", spark.createDataFrame(rows, ten.Rollups.SCHEMA))
+        other = ten.Rollups(spark, str(tmp_path))
+        assert {(r.source, r.lang): (r.docs, r.tokens) for r in other.totals().collect()} == {k[:2]: (want[(*k[:2], 0)], want[(*k[:2], 1)]) for k in want}
+    last, held, since = rollups._since()
+    assert last == 3 and len(held) == 9 and len(since) == 2
+
+
+def test_rollup_query_by_key(spark):
+    d = f"{DATA}/sf0.001"
+    marks = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        marks[r.doc_id] = (r.quality, r.toxic)
+    encode, want = ten._encoding(ten.RANKS).encode_ordinary, Counter()
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        quality, toxic = marks.get(r.doc_id, (1, 0))
+        if toxic != 1:
+            source = r.source + "/low" if quality == 0 else r.source
+            for name, n in ((ten.WORDS, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))), (ten.version_of(ten.RANKS), len(encode(r.text or "")))):
+                want[source, r.lang, name, 0] += 1
+                want[source, r.lang, name, 1] += n
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in ten.op10_token_rollups(spark, d).collect()}
+    assert got == {k[:3]: (want[(*k[:3], 0)], want[(*k[:3], 1)]) for k in want}
+
+
 def test_rollup_query(spark):
     d = f"{DATA}/sf0.001"
     got = ten.op10_token_rollups(spark, d).groupBy("tokenizer").sum("docs", "tokens").collect()

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 from functools import cache
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, written
 
-#: Where the merge ranks of the subword tokenizer are; its version is the name of the file.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the driver finds the merge ranks of the subword tokenizer; its version is the name of the file.
+RANKS = os.environ.get("THREADBOOK_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Batches beyond the last snapshot of the totals from which a commit makes a new one.
+COMPACT = 8
 WORDS = "words-1"
 # Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,10 +39,14 @@ def version_of(path: str) -> str:
 
 
 def count_tokens(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens: two rows a document, one for words and one for subwords. Null texts have 0 tokens."""
+    """doc_id, source, lang, tokenizer, tokens: two rows a document, one for words and one for subwords. Null texts have 0 tokens, very
+    long ones are counted whole. The ranks at ``path`` travel from the driver to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
 
     def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(path)
+        encoding = _encoding(SparkFiles.get(name))
         return pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -58,19 +66,41 @@ def deltas(added: DataFrame | None = None, removed: DataFrame | None = None) ->
 
 
 class Rollups:
-    """Committed batches of deltas in a folder; their sums are the totals."""
+    """Totals by key in a folder, maintained by committed batches of deltas.
+
+    batches/<name> holds the deltas of a batch; the rename that gives the folder its name is the commit. totals/<n> is the n-th snapshot,
+    the totals of the batches that totals/<n>/batches lists; it is the sum of the one before and of the batches committed since, and is renamed
+    into place as well. Reading adds the batches since the last snapshot to it, so the cost does not grow with the history. Needs a file
+    system whose rename of a folder is atomic and can refuse an existing target, such as HDFS or a local one; not an object store.
+    """
 
     SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, compact: int = COMPACT):
+        self.spark, self.root, self.compact = spark, root, compact
         path = spark._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path(f"{root}/batches"))
+        for folder in ("batches", "totals"):
+            self._fs.mkdirs(path(f"{root}/{folder}"))
 
     def committed(self, batch: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/batches/{batch}"))
 
+    def _placed(self, aside: str, target: str) -> bool:
+        """Renames a finished folder to its name. False, and the folder goes, if another writer was there first."""
+        source, place = self._path(aside), self._path(target)
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        strict = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        strict[0] = fs.Options.Rename.NONE  # refuses an existing target, where a plain rename would move into it
+        try:
+            fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, place, strict)
+        except Py4JJavaError:
+            if not self._fs.exists(place):
+                raise
+            self._fs.delete(source, True)
+            return False
+        return True
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch once: written aside, then renamed to its name. False, and no change, if that name was committed
         before or another writer commits it first. What a failed writer leaves aside is never read.
@@ -79,25 +109,38 @@ class Rollups:
             return False
         aside = f"{self.root}/aside/{batch}-{uuid.uuid4().hex}"
         changes.select(*[F.col(c) for c in ("source", "lang", "tokenizer", "docs", "tokens")]).write.parquet(aside)
-        source, target = self._path(aside), self._path(f"{self.root}/batches/{batch}")
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        strict = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
-        strict[0] = fs.Options.Rename.NONE  # refuses an existing target, where a plain rename would move into it
-        try:
-            fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, strict)
-        except Py4JJavaError:
-            if not self.committed(batch):
-                raise
-            self._fs.delete(source, True)
+        if not self._placed(aside, f"{self.root}/batches/{batch}"):
             return False
+        if len(self._since()[2]) >= self.compact:
+            self.snapshot()
         return True
 
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
+
+    def _since(self) -> tuple[int, list[str], list[str]]:
+        """The number of the last snapshot (0: none), the batches that it holds and those that it does not."""
+        last = max(map(int, self._names("totals")), default=0)
+        held = [r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.root}/totals/{last}/batches").collect()] if last else []
+        return last, held, sorted(set(self._names("batches")) - set(held))
+
+    def _summed(self, last: int, since: list[str]) -> DataFrame:
+        paths = [f"{self.root}/totals/{last}/rows"] * (last > 0) + [f"{self.root}/batches/{n}" for n in since]
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+
+    def snapshot(self) -> bool:
+        """Makes the next snapshot of the last one and the batches since. False if another writer made it first."""
+        last, held, since = self._since()
+        aside = f"{self.root}/aside/totals-{uuid.uuid4().hex}"
+        self._summed(last, since).write.parquet(f"{aside}/rows")
+        self.spark.createDataFrame([(n,) for n in held + since], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
+        return self._placed(aside, f"{self.root}/totals/{last + 1}")
+
     def totals(self) -> DataFrame:
         """docs and tokens by key over all committed batches, without keys that no document is left in."""
-        names = [s.getPath().toString() for s in self._fs.listStatus(self._path(f"{self.root}/batches"))]
-        read = self.spark.read.schema(self.SCHEMA)
-        rows = read.parquet(*names) if names else self.spark.createDataFrame([], self.SCHEMA)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        last, _, since = self._since()
+        return self._summed(last, since)
 
 
 def maintain(docs: DataFrame, labels: DataFrame, root: str | None = None, path: str = RANKS) -> DataFrame:

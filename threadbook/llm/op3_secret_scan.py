@@ -23,7 +23,9 @@ ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CHECKED = re.compile(r"(?:gh[pousr]_|npm_)[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{64,}?-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s*((?:(?:Proc-Type|DEK-Info):[\x20A-Za-z0-9,-]{1,100}\r?\n)*)([A-Za-z0-9+/=\s]{64,}?)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+OPENSSH = b"openssh-key-v1\0"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
@@ -62,12 +64,20 @@ def header_holds(token: str) -> bool:
         return False
 
 
-def _body_decodes(block: str) -> bool:
-    body = "".join(block.split("-----")[2].split())
+def body_holds(headers: str, body: str) -> bool:
+    """The body is a key file of its own kind, or a DER sequence of just its declared length; an encrypted one (by its headers) is whole blocks."""
     try:
-        return base64.b64decode(body, validate=True)[:1] == b"\x30"
+        data = base64.b64decode("".join(body.split()), validate=True)
     except (ValueError, binascii.Error):
         return False
+    if headers:
+        return len(data) > 0 and len(data) % 8 == 0
+    if data.startswith(OPENSSH):
+        return True
+    if len(data) < 2 or data[0] != 0x30:
+        return False
+    wide = data[1] & 0x7F if data[1] & 0x80 else 0
+    return 2 + wide + (int.from_bytes(data[2 : 2 + wide]) if wide else data[1]) == len(data)
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -83,9 +93,11 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
             continue
         pattern = {"assign": ASSIGN, "access": ACCESS, "jwt": JWT, "pem": PEM}.get(kind, CHECKED)
         if not (m := pattern.match(text, at)):
+            if kind == "jwt" and (run := JWT_RUN.match(text, at)):
+                upto[kind] = run.end()  # what follows this run fails for every later start within it
             continue
         upto[kind] = m.end()
-        good = {"assign": lambda m=m: len(m[1]) >= MIN_ASSIGN, "access": lambda m=m: len(m[0]) >= MIN_ACCESS, "jwt": lambda m=m: header_holds(m[0]), "pem": lambda m=m: _body_decodes(m[0])}.get(kind, lambda m=m: checksum_holds(m[0]))
+        good = {"assign": lambda m=m: len(m[1]) >= MIN_ASSIGN, "access": lambda m=m: len(m[0]) >= MIN_ACCESS, "jwt": lambda m=m: header_holds(m[0]), "pem": lambda m=m: body_holds(m[1], m[2])}.get(kind, lambda m=m: checksum_holds(m[0]))
         if good():
             found.append((at, m.end(), kind))
     shape = narrow.translate(_HEX)
@@ -104,7 +116,7 @@ SCHEMA = "doc_id long, spans array<struct<start: int, end: int, kind: string>>"
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Returns one row per input row: doc_id and spans (start, end in code points, end exclusive, and kind), by start.
 
-    Null and empty texts have no spans. Matches of one kind never overlap, those of different kinds may. A match that
+    Null and empty texts have no spans. Very long texts are scanned whole, in time in proportion to their length. Matches of one kind never overlap, those of different kinds may. A match that
     fails its length or checksum still hides what it covers from its own kind. Null ids and repeated rows are kept
     as they are, an empty table gives no rows, other columns are ignored. There is no shuffle.
     """
@@ -121,7 +133,10 @@ def listed(spans: F.Column) -> F.Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The documents with every span replaced by ``mark`` and n_chars counted anew; all other columns stay. Overlapping spans are one."""
+    """The documents with every span replaced by ``mark`` and n_chars counted anew; all other columns stay. Overlapping spans are one.
+
+    Null and empty texts stay as they are, very long ones are treated whole, repeated rows and null ids are kept, an empty table gives no rows.
+    """
     columns = docs.columns
 
     def clean(texts: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -19,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 #: Payload bytes from which equal payloads become revisits, and bytes of one archive before compression.
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20
 SALTS = 32
+#: Archives that meet their decisions in one task, on average.
+TASK_ARCHIVES = 4
 
 # The header lines of the two versions of the format, and names of the record fields.
 ARC_FIELDS = {
@@ -127,9 +130,13 @@ def arc_archives(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- WARC
 
 
-def record_id(page: str | None, digest: str, name: str, i: int) -> str:
-    about = f"{page}:{digest}" if page is not None else f"{name}:{i}:{digest}"
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, about)}>"
+def record_id(name: str, i: int) -> str:
+    """Of the i-th record of a legacy archive: names of archives differ, so ids do, whatever the records hold."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}:{i}')}>"
+
+
+def warc_date(arc: str) -> str:
+    return datetime.strptime(arc, "%Y%m%d%H%M%S").replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def b32(digest: str) -> str:
@@ -165,19 +172,21 @@ def _digests(archives: DataFrame) -> DataFrame:
             for name, data in zip(b["name"], b["data"], strict=True):
                 for i, r in enumerate(read_arc(data)):
                     _, fields, payload = http_parts(r["document"])
-                    rows.append((name, i, fields.get(PAGE), len(payload), hashlib.sha1(payload).hexdigest()))
-            yield pd.DataFrame(rows, columns=["name", "i", "page", "size", "digest"])
+                    rows.append((name, i, fields.get(PAGE), r["URL"], warc_date(r["Archive-date"]), len(payload), hashlib.sha1(payload).hexdigest()))
+            yield pd.DataFrame(rows, columns=["name", "i", "page", "url", "date", "size", "digest"])
 
-    return archives.mapInPandas(run, "name string, i int, page string, size long, digest string")
+    return archives.mapInPandas(run, "name string, i int, page string, url string, date string, size long, digest string")
 
 
 def _revisits(archives: DataFrame, least: int) -> DataFrame:
-    """Records whose payload a record of a larger page has too: name, i and that page. Salted by record, as one payload may hold a third of them."""
+    """Records whose payload a record of a larger page has too: name, i, and best, what is known of that record. Salted by record, as one
+    payload may hold a third of them.
+    """
     rows = written(_digests(archives)).where(F.col("size") >= least).withColumn("page", F.col("page").cast("long"))
-    best = rows.groupBy("digest").agg(F.max("page").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").drop("n")
+    best = rows.groupBy("digest").agg(F.max(F.struct("page", "name", "i", "url", "date")).alias("best"), F.count("*").alias("n")).where("n > 1 and best.page is not null").drop("n")
     best = best.select("digest", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("name", "i"), F.lit(SALTS)).cast("int"))
-    return rows.join(best, ["digest", "salt"]).where("page is null or page < best").select("name", "i", "best")
+    rows = rows.select("name", "i", "page", "digest", F.pmod(F.xxhash64("name", "i"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(best, ["digest", "salt"]).where("page is null or page < best.page").select("name", "i", "best")
 
 
 def convert(archives: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -187,21 +196,21 @@ def convert(archives: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         best, out_rows = dict(zip(decided["i"], decided["best"], strict=True)), []
         for name, data in zip(table["name"], table["data"], strict=True):
             target = re.sub(r"\.arc\.gz$", ".warc.gz", name)
-            made = [packed(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, "", target, -1)), ("WARC-Date", "2024-02-15T00:00:00Z"), ("WARC-Filename", target), ("Content-Type", "application/warc-fields")], b"software: threadbook\r\nformat: WARC File Format 1.1\r\n"))]
+            made = [packed(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(target, -1)), ("WARC-Date", "2024-02-15T00:00:00Z"), ("WARC-Filename", target), ("Content-Type", "application/warc-fields")], b"software: threadbook\r\nformat: WARC File Format 1.1\r\n"))]
             for i, r in enumerate(read_arc(data)):
-                head, fields, payload = http_parts(r["document"])
-                digest, page = hashlib.sha1(payload).hexdigest(), fields.get(PAGE)
-                when = datetime.strptime(r["Archive-date"], "%Y%m%d%H%M%S").replace(tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-                out = [("WARC-Type", "revisit" if i in best else "response"), ("WARC-Record-ID", record_id(page, digest, name, i)), ("WARC-Date", when), ("WARC-Target-URI", r["URL"]), ("WARC-IP-Address", r["IP-address"]), ("WARC-Payload-Digest", b32(digest)), ("Content-Type", "application/http; msgtype=response")]
+                head, _, payload = http_parts(r["document"])
+                digest = hashlib.sha1(payload).hexdigest()
+                out = [("WARC-Type", "revisit" if i in best else "response"), ("WARC-Record-ID", record_id(name, i)), ("WARC-Date", warc_date(r["Archive-date"])), ("WARC-Target-URI", r["URL"]), ("WARC-IP-Address", r["IP-address"]), ("WARC-Payload-Digest", b32(digest)), ("Content-Type", "application/http; msgtype=response")]
                 if i in best:
-                    first = str(int(best[i]))
-                    out += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, digest, "", 0)), (OF_PAGE, first)]
+                    of = best[i]
+                    out += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(of["name"], of["i"])), ("WARC-Refers-To-Target-URI", of["url"]), ("WARC-Refers-To-Date", of["date"]), (OF_PAGE, str(int(of["page"])))]
                 made.append(packed(warc_record(out, head if i in best else head + payload)))
             out_rows.append((target, b"".join(made)))
         return pd.DataFrame(out_rows, columns=["name", "data"])
 
-    decided = _revisits(archives, least)
-    return archives.groupBy("name").cogroup(decided.groupBy("name")).applyInPandas(run, ARCHIVES)
+    tasks = max(shuffle_partitions(archives.sparkSession), math.ceil(archives.count() / TASK_ARCHIVES))
+    dealt = lambda df: df.repartition(tasks, "name").groupBy("name")
+    return dealt(archives).cogroup(dealt(_revisits(archives, least))).applyInPandas(run, ARCHIVES)
 
 
 RECORDS = "page_id long, record_type string, record_id string, url string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -250,7 +259,7 @@ def export(archives: DataFrame, directory: str) -> None:
 def archive_pages(pages: DataFrame, least: int = REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """Legacy archives of the pages and the WARC archives converted from them, both in the shared folder.
 
-    Null html is an empty payload, a null url is "-". Of records with equal payloads of ``least`` bytes or more, those with the
+    Null html is an empty payload, a null url is "-"; a very long html is one record, whole. Every record has an identifier of its own. Of records with equal payloads of ``least`` bytes or more, those with the
     largest page_id are responses and the others revisits of that page; a null page_id is smaller than any, and
     records without any page_id among their copies are all responses. Repeated rows are records of their own. An
     empty table gives no archives. Other columns are ignored.
