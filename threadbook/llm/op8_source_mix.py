@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -17,9 +17,10 @@ CAP = 3
 BLOCK = 64
 SHARD = 4096
 SEED = 20240215
-#: Rounds of the index permutation, an even number, and slots that one row stands for until they are dealt out.
+#: Rounds of the index permutation, an even number.
 ROUNDS = 6
-CHUNK = 1 << 14
+#: Slots that one row stands for until they are dealt out, and that a task makes of such rows.
+CHUNK, TASK_SLOTS = 1 << 14, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the space behind it, the first one with that before it too: all of them in order are the text.
 SPACED = r"(?:\A[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
@@ -143,9 +144,10 @@ def draw_slots(sources: DataFrame, cap: int = CAP, shard: int = SHARD, seed: int
     share = sources.where("target > 0").select("source", "blocks", n.alias("n")).where("n > 0")
     by_name = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     share = share.withColumn("base", F.coalesce(F.sum("n").over(by_name), F.lit(0)))
-    total = F.lit(share.agg(F.sum("n")).first()[0] or 1).cast("long")
+    n_slots = share.agg(F.sum("n")).first()[0] or 1
+    total, tasks = F.lit(n_slots).cast("long"), max(shuffle_partitions(sources.sparkSession), -(-n_slots // TASK_SLOTS))
     step = F.lit(CHUNK).cast("long")
-    chunks = share.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step))).repartition("source", "low")
+    chunks = share.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step))).repartition(tasks, "source", "low")
     rows = chunks.withColumn("slot", F.explode(F.sequence("low", F.least(F.col("low") + CHUNK, F.col("n")) - 1)))
     place = permuted(F.col("base") + F.col("slot"), total, F.lit(seed))
     rows = rows.select("source", "blocks", "slot", F.floor(place / shard).cast("long").alias("shard"), F.floor(F.col("slot") / F.col("blocks")).cast("long").alias("epoch"))
@@ -175,7 +177,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
     placed = starts(rows.withColumn("bucket", bucket), "bucket", ["doc_id", "digest", "row_id"], "size", sources.drop("blocks"))
     placed = written(placed.withColumn("nth", F.row_number().over(in_bucket.orderBy("doc_id", "digest", "row_id"))))
 
-    slots = draw_slots(sources, cap, shard, seed)
+    slots = written(draw_slots(sources, cap, shard, seed))  # written, so that joins know their size
 
     keys = ["nil", "name", "bucket"]
     full = placed.where("size > 0")
