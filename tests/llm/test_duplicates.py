@@ -39,6 +39,9 @@ def corpus(seed=0, words=400):
         if kind == 5:
             t = "ab " * r.randint(10, 300)
         rows.append((i, t))
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows += [(120, morse), (121, other), (122, " ".join([morse] * 40)), (123, " ".join([other] * 40))]  # polynomials modulo 2**64 do not tell these words apart
     rows += [(100, None), (101, ""), (102, "  \n\t "), (103, "two words"), (104, "Two WORDS"), (105, "x" * 49), (106, "x" * 50), (107, "x" * 200), (108, passage), (109, passage.upper()), (None, passage), (None, rows[0][1]), (7, rows[7][1]), (110, rows[3][1]), (110, rows[3][1]), (111, rows[0][1]), (111, text(50) + " " + passage), (112, text(80)), (0, text(70))]
     return rows
 
@@ -73,10 +76,10 @@ def brute_bytes(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "group"), [(100_000, 50_000), (2, 50_000), (100_000, 3)])
+def test_suffix_dedup(spark, monkeypatch, hot, group):
     rows = corpus(1)
-    monkeypatch.setattr(two, "KIND", repeats.Kind(**{**two.KIND.__dict__, "hot": hot}))
+    monkeypatch.setattr(two, "KIND", repeats.Kind(**{**two.KIND.__dict__, "hot": hot, "group": group}))
     got = two.suffix_dedup(shuffled(frame(spark, rows))).collect()
     have = sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=str)
     assert have == brute_bytes(rows)
@@ -114,14 +117,65 @@ def brute_words(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_substring_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "group"), [(100_000, 50_000), (2, 50_000), (100_000, 3)])
+def test_substring_dedup(spark, monkeypatch, hot, group):
     rows = corpus(2)
-    monkeypatch.setattr(nine, "KIND", repeats.Kind(**{**nine.KIND.__dict__, "hot": hot}))
+    monkeypatch.setattr(nine, "KIND", repeats.Kind(**{**nine.KIND.__dict__, "hot": hot, "group": group}))
     got = nine.substring_dedup(shuffled(frame(spark, rows))).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute_words(rows)
 
 
+def test_deep_nodes_are_the_maximal_repeats():
+    r, least, reach = np.random.default_rng(0), 3, 20
+    for _ in range(60):
+        x = r.integers(1, 4, int(r.integers(1, 60))).astype(np.uint64)
+        n = len(x)
+        size = np.minimum(reach, n - np.arange(n))
+        text = np.array([[x[i + c] if c < size[i] else 0 for c in range(reach)] for i in range(n)], np.uint64)
+        perm, head = np.arange(n), np.arange(n) == 0
+        repeats.refine(perm, head, text)
+        first, last, depth = nine.deep_nodes(nine.common_words(text[perm], size[perm], np.arange(n) == 0), least)
+        got = sorted((tuple(text[perm[a], :d].tolist()), b - a + 1) for a, b, d in zip(first.tolist(), last.tolist(), depth.tolist(), strict=True))
+        places = {}
+        for i in range(n):
+            for k in range(least, size[i] + 1):
+                places.setdefault(tuple(x[i : i + k].tolist()), []).append(i)
+        after = lambda p, k: int(x[p + k]) if k < size[p] else ("end", p)
+        assert got == sorted((w, len(at)) for w, at in places.items() if len({after(p, len(w)) for p in at}) > 1)
+
+
+def test_prefixes_grow_until_groups_are_small():
+    r = np.random.default_rng(0)
+    flat = r.integers(0, 3, 5000).astype(np.uint64)
+    flat[1000:1400] = 7  # one string too common for any prefix
+    start = np.arange(4900)
+    kind = repeats.Kind(**{**nine.KIND.__dict__, "group": 20})
+    prefix, equal = repeats.lengthened(np.zeros(4900, np.int64), start, flat, kind)
+    n = np.bincount(prefix)
+    windows = np.array([flat[i : i + nine.WINDOW] for i in start])
+    for g in np.flatnonzero(n):
+        mine = windows[prefix == g]
+        if equal[prefix == g].all():
+            assert (mine == mine[0]).all()
+        else:
+            assert n[g] <= 20
+    for w in np.unique(windows, axis=0):  # equal windows stay together
+        assert len(np.unique(prefix[(windows == w).all(1)])) == 1
+
+
+def test_equal_hashes_are_compared_by_symbol(spark, monkeypatch):
+    real = repeats.C.mix
+    monkeypatch.setattr(repeats.C, "mix", lambda x: real(x) & np.uint64(0xFFFFFF00000000FF))  # content hashes that often agree
+    buf = np.frombuffer(" ".join(t or "" for _, t in corpus(5))[:20_000].encode() * 2, np.uint8)
+    off = np.array([0, len(buf) // 2, len(buf)])
+    part = repeats.Part(None, off, lambda a, b: repeats.C._BYTE[buf[a:b]], lambda i: buf[i], repeats.cut_pieces(lambda a, b: repeats.C._BYTE[buf[a:b]], off, two.KIND), np.array([1, 2]))
+    every = repeats.C.Distinct.of(part.pieces.h, 1)
+    note = repeats.pa.table({"part": [0], "kind": [repeats.SHARED], "bucket": [0], "data": [np.packbits(np.append(np.ones(len(every.h), bool), np.zeros(len(every.h), bool))).tobytes()]})
+    s, first, which = repeats.unique_pieces(part, note, two.KIND, 1)
+    text = lambda p, i: bytes(buf[p.lo[i] : p.hi[i] + two.WINDOW])
+    assert all(text(s, i) == text(s, first[which[i]]) for i in range(len(s.lo)))
+
+
 def test_substring_dedup_empty(spark):
     assert nine.substring_dedup(frame(spark, [])).count() == 0
 
@@ -187,6 +241,38 @@ def test_overlaps_dense_and_sparse():
     assert (four.overlaps(*flat(a), *flat(b)) == want).all()
 
 
+def sets_of(texts, ids=None):
+    token, off = four.shingle_sets(repeats.pa.array(texts))
+    n = np.diff(off)
+    row = np.repeat(np.arange(len(n)), n)
+    rare = repeats.C.totals_of(token, np.ones(len(token), np.int64))
+    flags = np.zeros(len(token), np.uint8)
+    for i, seed in enumerate(four.ORDERS):
+        tie = repeats.C.mix(token ^ np.uint64(seed))
+        flags[np.lexsort((tie, rare, row) if i == 0 else (tie, row))[four._firsts(off, n - four.least_overlap(n) + 1)]] |= 1 << i
+    return {"doc": np.arange(len(n)) if ids is None else np.array(ids), "n": n, "token": token, "flags": flags, "row": row}
+
+
+def test_each_order_cuts_candidates():
+    """Three orders leave fewer pairs than one, and near copies are joined without verifying their pairs."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts, family = [], []
+    for k in range(80):  # groups of near copies; one of each shares two rare tokens with one of another group
+        own, passage = [word() for _ in range(150)], [word() for _ in range(6)] if k % 2 == 0 else passage
+        texts += [" ".join(own[:i] + [f"e{k}"] + own[i + 1 :] + (passage if i == 0 else [])) for i in range(3)]
+        family += [3 * k] * 3
+    counts: list[int] = []
+    ids, label = four.link_forest(*[sets_of(texts)] * 2, counts)
+    assert label.tolist() == family and counts[0] == 280 and counts[0] > counts[1] > counts[2] >= 240 and counts[3] < 240
+    base, copies = [word() for _ in range(200)], []
+    for i in range(300):
+        copies.append(" ".join(base[:i] + ["edit"] + base[i + 1 :]) if i < 200 else " ".join([*base, f"x{i}"]))
+    counts = []
+    ids, label = four.link_forest(*[sets_of(copies)] * 2, counts)
+    assert (label == 0).all() and counts[2] > 40_000 and counts[3] <= 300
+
+
 def test_components_of_a_chain(spark):
     from threadbook.llm.common import components
 

@@ -1,14 +1,16 @@
 """Shared helpers of the training-data operators: the shared folder, Arrow text buffers,
 vectorised word hashes, and the hash exchange that several operators use.
 
-Word and window hashes are polynomial sums modulo 2**64 over a fixed random value per byte,
-finished by a mixing step. They choose where rows go and which rows are compared.
+A word's hash sums, over its eight-byte lanes, a mixed value of lane and place, so that no structure of
+long words cancels out. Hashes of runs of symbols are polynomials modulo 2**64 over such values, for runs of up to some
+seventy symbols. They choose where rows go and which rows are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -45,6 +47,12 @@ def part_of(col: str | F.Column, parts: int) -> F.Column:
     return F.pmod(F.xxhash64(col), F.lit(parts)).cast("int")
 
 
+def parted(docs: DataFrame, parts: int) -> DataFrame:
+    """part, doc_id and text. Rows that share an id, or have none, are dealt by their texts as well."""
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return one.select(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
+
+
 def tree_union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 
@@ -123,12 +131,13 @@ class Rolling:
 
 
 def _table(separators: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are in words, and what each byte counts as."""
     inside = np.ones(256, bool)
     inside[list(separators)] = False
-    value = _BYTE.copy()
+    same = np.arange(256, dtype=np.uint8)
     if fold:
-        value[65:91] = value[97:123]
-    return inside, value
+        same[65:91] += 32
+    return inside, same
 
 
 #: Words [^\x20\x09-\x0D]+ unchanged; the same with A-Z in lower case; and runs of letters, digits and non-ASCII.
@@ -151,14 +160,38 @@ def word_bounds(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
     return starts, ends
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+_LANE = np.arange(8)
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indexes lo[i], lo[i]+1, ... n[i] of them, for each i."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _lane_sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, skipped: int, same: np.ndarray) -> np.ndarray:
+    """Sums of the mixed lanes of each word, whose first lane is number ``skipped``."""
+    lanes = (ends - starts + 7) // 8
+    j = flat(np.zeros(len(starts), np.int64), lanes)
+    at = np.repeat(starts, lanes) + 8 * j
+    size = np.minimum(np.repeat(ends, lanes) - at, 8)
+    lane = same[buf[np.minimum(at[:, None] + _LANE, len(buf) - 1)]].view("<u8").ravel() & _FIRST_BYTES[size]
+    term = mix(mix(lane + _BASE) + (j + (skipped + 1)).astype(U64) * U64(0xD1342543DE82EF95))
+    return np.add.reduceat(term, np.cumsum(lanes) - lanes)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, same: np.ndarray) -> np.ndarray:
     out, a = np.empty(len(starts), U64), 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, "right")))
-        base = starts[a]
-        roll = Rolling(value[buf[base : ends[b - 1]]])
-        s, e = starts[a:b] - base, ends[a:b] - base
-        out[a:b] = mix(roll.raw(s, e) + (e - s).astype(U64))
+        out[a:b] = 0
+        for cut in range(int(starts[a]), int(ends[b - 1]), CHUNK):  # more than once for one very long word only
+            stop = min(cut + CHUNK, int(ends[b - 1])) if b == a + 1 else int(ends[b - 1])
+            s, e = (np.array([cut]), np.array([stop])) if b == a + 1 else (starts[a:b], ends[a:b])
+            out[a:b] += _lane_sums(buf, s, e, (cut - int(starts[a])) // 8, same)
+            if stop == ends[b - 1]:
+                break
+        out[a:b] = mix(out[a:b] + (ends[a:b] - starts[a:b]).astype(U64) * _INVERSE)
         a = b
     return out
 
@@ -172,45 +205,80 @@ def words(buf: np.ndarray, off: np.ndarray, table) -> tuple[np.ndarray, np.ndarr
 # ---------------------------------------------------------------- exchange by hash
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """By the high bits, so that sorted hashes are in order of buckets."""
+    return (((h >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+
+
 def bucket_order(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order of ``h`` by bucket, and the offsets of the buckets in that order."""
-    b = ((h >> U64(40)) % U64(buckets)).astype(np.int32)
+    b = bucket_of(h, buckets)
     order = np.argsort(b, kind="stable")
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
+@dataclass
+class Distinct:
+    """Hashes of a part, each once and sorted, hence by bucket: bucket b has those from at[b] to at[b + 1]."""
+
+    h: np.ndarray
+    which: np.ndarray  # of each hash that was given
+    times: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(h: np.ndarray, buckets: int) -> Distinct:
+        u, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        return Distinct(u, which, times, np.searchsorted(bucket_of(u, buckets), np.arange(buckets + 1)))
+
+    def spread(self, answers: dict[int, bytes], decode, dtype) -> np.ndarray:
+        """Answers in the order of the hashes that were given. decode(bytes, n) gives n values."""
+        out = np.zeros(len(self.h), dtype)
+        for b, data in answers.items():
+            out[self.at[b] : self.at[b + 1]] = decode(data, int(self.at[b + 1] - self.at[b]))
+        return out[self.which]
+
+
 HASHES = "bucket int, part int, data binary"
 NOTES = "part int, kind int, bucket int, data binary"
 _KEPT = 6  # bytes of a hash that travel; buckets use the rest too
+_EXACT = 127  # counts in a part up to here are exact, larger ones to a tenth
+
+
+def _code(times: np.ndarray) -> np.ndarray:
+    return np.where(times <= _EXACT, times, np.minimum(255, _EXACT + np.rint(8 * np.log2(np.maximum(times, 1) / _EXACT)))).astype(np.uint8)
+
 
+_TIMES = np.array([i if i <= _EXACT else round(_EXACT * 2 ** ((i - _EXACT) / 8)) for i in range(256)], np.int64)
 
-def send_hashes(part: int, h: np.ndarray, buckets: int) -> pa.Table:
-    """A row for each bucket that has hashes: their low bytes, in order."""
-    order, at = bucket_order(h, buckets)
-    low = np.ascontiguousarray(h[order]).view(np.uint8).reshape(-1, 8)[:, :_KEPT]
-    full = np.flatnonzero(np.diff(at))
-    off = np.append(at[full], at[-1]) * _KEPT
+
+def send_hashes(part: int, d: Distinct) -> pa.Table:
+    """A row for each bucket that has hashes: for each distinct one its low bytes and a byte that says how often it occurs here."""
+    low = np.empty((len(d.h), _KEPT + 1), np.uint8)
+    low[:, :_KEPT] = d.h.view(np.uint8).reshape(-1, 8)[:, :_KEPT]
+    low[:, _KEPT] = _code(d.times)
+    full = np.flatnonzero(np.diff(d.at))
+    off = np.append(d.at[full], d.at[-1]) * (_KEPT + 1)
     return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array(np.full(len(full), part), pa.int32()), "data": binary_rows(low.reshape(-1), off)})
 
 
-def read_hashes(table: pa.Table) -> list[np.ndarray]:
-    out = []
-    for x in table["data"].to_pylist():
-        low = np.frombuffer(x, np.uint8).reshape(-1, _KEPT)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :_KEPT] = low
-        out.append(wide.view(U64).ravel())
-    return out
+def read_hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and counts of all rows, and the row offsets."""
+    buf, off = text_buffer(table["data"])
+    low = buf.reshape(-1, _KEPT + 1)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :_KEPT] = low[:, :_KEPT]
+    return wide.view(U64).ravel(), _TIMES[low[:, _KEPT]], off // (_KEPT + 1)
 
 
-def counts_of(h: np.ndarray) -> np.ndarray:
-    """How often the value at each place occurs in ``h``."""
+def totals_of(h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """At each place, the sum of ``times`` over all places that hold the same value."""
     order = np.argsort(h)
     s = h[order]
     new = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(new, len(s)))
     out = np.empty(len(h), np.int64)
-    out[order] = np.repeat(sizes, sizes)
+    if len(s):
+        out[order] = np.repeat(np.add.reduceat(times[order], new), np.diff(np.append(new, len(s))))
     return out
 
 
@@ -218,11 +286,9 @@ def answer_counts(kind: int, encode) -> callable:
     """Reducer of send_hashes: answers each part with encode(counts) of its hashes, in their order."""
 
     def reduce_bucket(key, table):
-        got = read_hashes(table)
-        counts = counts_of(np.concatenate(got)) if got else np.zeros(0, np.int64)
-        cuts = np.cumsum([len(x) for x in got])[:-1]
-        data = [encode(c) for c in np.split(counts, cuts)] if got else []
-        n = len(data)
+        h, times, off = read_hashes(table)
+        counts, n = totals_of(h, times), table.num_rows
+        data = [encode(counts[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
         return pa.table({"part": table["part"].cast(pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return reduce_bucket
@@ -233,31 +299,22 @@ def notes(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: d for k, b, d in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True) if k == kind}
 
 
-def spread(answers: dict[int, bytes], decode, order: np.ndarray, at: np.ndarray, dtype) -> np.ndarray:
-    """Answers put back in the order of the hashes that were sent. decode(bytes, n) gives n values."""
-    out = np.zeros(len(order), dtype)
-    for b, data in answers.items():
-        place = order[at[b] : at[b + 1]]
-        out[place] = decode(data, len(place))
-    return out
-
-
 # ---------------------------------------------------------------- exact copies
 
 COPIES = 0
 
 
-def later_copies(docs: DataFrame, parts: int, salts: int = 32) -> DataFrame:
-    """Notes of kind COPIES for each part: ids of documents whose whole text is that of a document
+def later_copies(rows: DataFrame, salts: int = 32) -> DataFrame:
+    """``rows`` has part, doc_id and text. Notes of kind COPIES for each part: ids of documents whose whole text is that of a document
     with a smaller id (bucket 1), or that others copy (bucket 0). Salted, as one text may hold a third of the rows.
     """
-    one = docs.where("text is not null and doc_id is not null").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("digest"))
+    one = rows.where("text is not null and doc_id is not null").select(F.col("part").alias("part"), "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
     firsts = one.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.where("first < last").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     one = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     found = one.join(firsts, ["digest", "salt"]).withColumn("bucket", (F.col("doc_id") > F.col("first")).cast("int"))
     about = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("first").cast("string"), "digest")
-    return found.select(part_of("doc_id", parts).alias("part"), F.lit(COPIES).alias("kind"), "bucket", F.encode(about, "UTF-8").alias("data"))
+    return found.select("part", F.lit(COPIES).alias("kind"), "bucket", F.encode(about, "UTF-8").alias("data"))
 
 
 def copies(table: pa.Table, note: pa.Table) -> tuple[np.ndarray, list[int | None]]:
@@ -271,7 +328,7 @@ def copies(table: pa.Table, note: pa.Table) -> tuple[np.ndarray, list[int | None
     copied, later = np.zeros(len(table), bool), [None] * len(table)
     for i, doc in enumerate(table["doc_id"].to_pylist()):
         if doc in ids and (text := table["text"][i].as_py()) is not None:
-            b, first = marks.get((doc, hashlib.sha1(text.encode()).hexdigest()), (None, None))
+            b, first = marks.get((doc, hashlib.sha256(text.encode()).hexdigest()), (None, None))
             copied[i] = b == 0
             later[i] = first if b == 1 else None
     return copied, later

@@ -39,14 +39,14 @@ def multikey_quicksort(perm: np.ndarray, head: np.ndarray, words: np.ndarray) ->
         act = act[depth[act] < words.shape[1]]
 
 
-def deep_shallow(perm: np.ndarray, head: np.ndarray, text: np.ndarray, shallow: int = SHALLOW) -> None:
+def deep_shallow(perm: np.ndarray, head: np.ndarray, text: np.ndarray, size: np.ndarray | None = None, shallow: int = SHALLOW) -> None:
     """Multikey quicksort to ``shallow`` bytes; blind tries order the groups that still agree there."""
     words = np.ascontiguousarray(text[:, :shallow]).view(">u8").astype(np.uint64)
     multikey_quicksort(perm, head, words)
     refine(perm, head, text)
 
 
-KIND = Kind(window=WINDOW, anchor=24, symbol=np.uint8, by_first=True, sort=deep_shallow)
+KIND = Kind(window=WINDOW, anchor=24, symbol=np.uint8, by_first=True, sort=deep_shallow, reach=WINDOW)
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -77,7 +77,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Removes each byte that lies in a 50-byte string which also starts in a document with a smaller doc_id.
 
     Returns one row per input row: doc_id, n_bytes, spans (removed byte runs, end exclusive) and kept (the other bytes).
-    Null and empty texts have 0 bytes; texts under 50 bytes stay whole. Rows with a null doc_id come after all
+    Null and empty texts have 0 bytes; texts under 50 bytes stay whole; very long ones are looked at in full, a step at a time. Rows with a null doc_id come after all
     others and never count as smaller; rows that share a doc_id do not remove from each other. Repeats inside one
     document stay. An empty table gives no rows; other columns are ignored.
     """

@@ -2,10 +2,12 @@
 
 1. Equal texts are one document (``later_copies``). A document that has a link shares tokens with it in the longer prefixes
    of any order, so documents that share too few tokens there go; a bit a token answers that.
-2. For the rest, document frequencies give the orders: rare tokens first, equal ones by one hash an order.
+2. For the rest, three global orders of tokens: rare ones first, and two by independent hashes alone.
 3. Documents that share a prefix token of the first order, directly or by others, form a cluster, so no candidate pair
-   crosses clusters. Larger clusters are cut into blocks, and every pair of blocks is a task.
-4. Within a task the candidates of all orders are intersected, and those left are verified by their whole sets.
+   crosses clusters. Larger clusters are cut into blocks. Each block meets itself and the first block of its cluster; where that does
+   not join the whole cluster, every other pair of blocks meets too.
+4. Within a task, pairs that share a prefix token in all orders are candidates, and those are verified by their whole sets,
+   but for pairs that earlier links join already.
 Links come out as a few edges for each document, never as all pairs.
 """
 
@@ -17,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .repeats import _flat
 
 U64 = np.uint64
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: One seed for each global order.
+#: One seed for each global order: the first is by frequency and then by hash, the others are by hash.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 #: Documents in a block of a large cluster at most and at least, and blocks into which a cluster is cut before blocks grow.
 BLOCK, LEAST_BLOCK, BLOCKS = 1024, 128, 16
+#: Tokens that are looked up at once when pairs are verified.
+PAIRED = 1 << 21
 SHARED, FREQUENCY = 1, 2
 
 
@@ -48,7 +51,7 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
         h, _, _, at = C.words(buf[off[a] : off[b]], off[a : b + 1] - off[a], C.FOLDED)
         n = np.diff(at)
         count = np.where(n > 0, np.maximum(n - WORDS + 1, 1), 0)
-        start = _flat(at[:-1], count)
+        start = C.flat(at[:-1], count)
         end = start + np.repeat(np.minimum(n, WORDS), count)
         token = C.mix(C.Rolling(h).raw(start, end) + (end - start).astype(U64))
         row = np.repeat(np.arange(b - a), count)
@@ -62,7 +65,7 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _firsts(off: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Places of the first n[i] tokens of each row."""
-    return _flat(off[:-1], n)
+    return C.flat(off[:-1], n)
 
 
 # ---------------------------------------------------------------- step 1
@@ -80,7 +83,7 @@ def _send_prefixes(buckets: int):
         table, _, own = _opened(table, note)
         token, off = shingle_sets(table.filter(pa.array(own))["text"])
         n = np.diff(off)
-        return C.send_hashes(key[0].as_py(), token[_firsts(off, n - least_overlap(n) + _spare(n))], buckets)
+        return C.send_hashes(key[0].as_py(), C.Distinct.of(token[_firsts(off, n - least_overlap(n) + _spare(n))], buckets))
 
     return run
 
@@ -94,8 +97,8 @@ def _base_rows(buckets: int):
         token, off = shingle_sets(table["text"])
         n = np.diff(off)
         looked = np.where(own, n - least_overlap(n) + _spare(n), 0)
-        order, at = C.bucket_order(token[_firsts(off, looked)], buckets)
-        shared = C.spread(C.notes(note, SHARED), lambda d, k: np.unpackbits(np.frombuffer(d, np.uint8), count=k), order, at, np.uint8)
+        sent = C.Distinct.of(token[_firsts(off, looked)], buckets)
+        shared = sent.spread(C.notes(note, SHARED), lambda d, k: np.unpackbits(np.frombuffer(d, np.uint8), count=k), np.uint8)
         got = np.bincount(np.repeat(np.arange(len(n)), looked), weights=shared, minlength=len(n))
         stays = own & (n > 0) & (got >= np.minimum(_spare(n), _spare(least_overlap(n))))
         tokens = [token[a:b].tobytes() if s else None for a, b, s in zip(off[:-1], off[1:], stays, strict=True)]
@@ -124,14 +127,14 @@ ORDERED = "doc_id long, n long, tokens binary, prefixes binary"
 def _ordered_rows(buckets: int):
     def run(key, table, note):
         table, token, off = _loaded(table)
-        order, at = C.bucket_order(token, buckets)
-        rare = C.spread(C.notes(note, FREQUENCY), lambda d, k: np.frombuffer(d, np.uint8), order, at, np.uint8)
+        rare = C.Distinct.of(token, buckets).spread(C.notes(note, FREQUENCY), lambda d, k: np.frombuffer(d, np.uint8), np.uint8)
         n = np.diff(off)
         row = np.repeat(np.arange(len(n)), n)
         prefix = _firsts(off, n - least_overlap(n) + 1)
         flags = np.zeros(len(token), np.uint8)
         for i, seed in enumerate(ORDERS):
-            flags[np.lexsort((C.mix(token ^ U64(seed)), rare, row))[prefix]] |= 1 << i
+            tie = C.mix(token ^ U64(seed))
+            flags[np.lexsort((tie, rare, row) if i == 0 else (tie, row))[prefix]] |= 1 << i
         keep = rare > 0
         cut = np.append(0, np.cumsum(keep))[off]
         return pa.table({"doc_id": table["doc_id"], "n": pa.array(n, pa.int64()), "tokens": C.binary_rows(token[keep].view(np.uint8), cut * 8), "prefixes": C.binary_rows(flags[keep], cut)})
@@ -210,21 +213,59 @@ def overlaps(ta: np.ndarray, ra: np.ndarray, na: int, tb: np.ndarray, rb: np.nda
     order = np.argsort(cb, kind="stable")
     at = np.append(0, np.cumsum(fb))
     take = fb[ca[i]]
-    out += np.bincount(np.repeat(ra[i], take) * nb + rb[order[_flat(at[ca[i]], take)]], minlength=na * nb).reshape(na, nb)
+    out += np.bincount(np.repeat(ra[i], take) * nb + rb[order[C.flat(at[ca[i]], take)]], minlength=na * nb).reshape(na, nb)
     return out
 
 
-def linked(a: dict, b: dict) -> np.ndarray:
-    """Which sets of ``a`` link with which of ``b``."""
+def candidates(a: dict, b: dict, counts: list[int] | None = None) -> np.ndarray:
+    """Which sets of ``a`` share a prefix token with which of ``b`` in every order. counts: gets the pairs left after each order."""
     na, nb = len(a["n"]), len(b["n"])
-    candidate = np.ones((na, nb), bool)
+    out = np.ones((na, nb), bool) if a is not b else np.triu(np.ones((na, nb), bool), 1)
     for i in range(len(ORDERS)):
         pa_, pb_ = a["flags"] & (1 << i) > 0, b["flags"] & (1 << i) > 0
-        candidate &= overlaps(a["token"][pa_], a["row"][pa_], na, b["token"][pb_], b["row"][pb_], nb) > 0
-    if not candidate.any():
-        return candidate
-    both = overlaps(a["token"], a["row"], na, b["token"], b["row"], nb)
-    return candidate & (100 * both >= SIMILAR * (a["n"][:, None] + b["n"][None, :] - both))
+        out &= overlaps(a["token"][pa_], a["row"][pa_], na, b["token"][pb_], b["row"][pb_], nb) > 0
+        if counts is not None:
+            counts.append(int(out.sum()))
+    return out
+
+
+def verified(a: dict, b: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of sets link, by all tokens of both."""
+    every = np.unique(np.concatenate([a["token"], b["token"]]))
+    code = lambda x: np.searchsorted(every, x["token"])
+    held = np.sort(b["row"] * len(every) + code(b))
+    ca, na = code(a), np.bincount(a["row"], minlength=len(a["n"]))
+    at, both = np.cumsum(na) - na, np.zeros(len(i), np.int64)
+    ends = np.cumsum(na[i])
+    for some in np.split(np.arange(len(i)), np.searchsorted(ends, np.arange(PAIRED, ends[-1] if len(ends) else 0, PAIRED))):
+        if len(some):
+            pair = np.repeat(some, na[i[some]])
+            key = j[pair] * len(every) + ca[C.flat(at[i[some]], na[i[some]])]
+            both[some] = np.bincount(pair - some[0], weights=held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key, minlength=len(some))
+    return 100 * both >= SIMILAR * (a["n"][i] + b["n"][j] - both)
+
+
+def link_forest(a: dict, b: dict, counts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the documents of ``a`` and ``b``, sorted, and the place of the smallest one that each reaches by links among them.
+
+    Candidates whose documents are joined already are not verified. Each time round, every set tries so many of its open candidates,
+    twice as many as before; a group of near copies is joined the first time. counts: gets the pairs after each order, and those verified.
+    """
+    ids, place = np.unique(np.concatenate([a["doc"], b["doc"]]), return_inverse=True)
+    pa_, pb_ = place[: len(a["doc"])], place[len(a["doc"]) :]
+    open_pairs, label, tried, most = candidates(a, b, counts), np.arange(len(ids)), 0, 1
+    while True:
+        open_pairs &= label[pa_][:, None] != label[pb_][None, :]
+        if not open_pairs.any():
+            break
+        i, j = np.nonzero(open_pairs & (np.cumsum(open_pairs, axis=1, dtype=np.int32) <= most))
+        open_pairs[i, j] = False
+        good = verified(a, b, i, j)
+        tried, most = tried + len(i), most * 2
+        label = forest(np.append(np.arange(len(ids)), pa_[i[good]]), np.append(label, pb_[j[good]]), len(ids))
+    if counts is not None:
+        counts.append(tried)
+    return ids, label
 
 
 def _sets(table: pa.Table, pick: np.ndarray) -> dict:
@@ -250,10 +291,7 @@ def _link_edges(key, table):
             if not len(one) or not len(two):
                 continue
             a, b = _sets(table, one), _sets(table, two)
-        i, j = np.nonzero(linked(a, b))
-        docs = np.concatenate([a["doc"], b["doc"]])
-        ids, d = np.unique(docs, return_inverse=True)
-        out.append(_edge_table(ids, forest(d[i], d[len(a["doc"]) + j], len(ids))))
+        out.append(_edge_table(*link_forest(a, b)))
     return pa.concat_tables(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
@@ -264,19 +302,20 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Returns one row per input row: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
     Words are runs without ASCII white space, A-Z in lower case; a set holds the distinct five-word shingles, or all words
-    of a shorter text as one. Two documents link when 100 * shared >= 80 * all tokens of both. Null, empty and blank texts have
+    of a shorter text as one, compared by 64-bit hash. Two documents link when 100 * shared >= 80 * all tokens of both. Very long texts
+    and very long words count in full. Null, empty and blank texts have
     no shingles and link with nothing. Rows that share a doc_id are one document with the links of all of them; rows with a
     null doc_id have a null component and take no part. An empty table gives no rows. Other columns are ignored.
     """
     parts = buckets = C.parts_for(docs)
-    rows = docs.select(C.part_of(F.col("doc_id").cast("long"), parts).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    copies = C.later_copies(rows.select("doc_id", "text"), parts)
+    rows = C.parted(docs, parts)
+    copies = C.later_copies(rows)
     by_part = lambda left, note, f, out: left.groupBy("part").cogroup(note.groupBy("part")).applyInArrow(f, out)
     shared = by_part(rows, copies, _send_prefixes(buckets), C.HASHES).groupBy("bucket").applyInArrow(C.answer_counts(SHARED, lambda c: np.packbits(c > 1).tobytes()), C.NOTES)
     base = C.written(by_part(rows, copies.unionByName(shared), _base_rows(buckets), BASE))
 
     sets = base.where("tokens is not null").select(C.part_of("doc_id", parts).alias("part"), "doc_id", "tokens")
-    sent = sets.groupBy("part").applyInArrow(lambda key, table: C.send_hashes(key[0].as_py(), _loaded(table)[1], buckets), C.HASHES)
+    sent = sets.groupBy("part").applyInArrow(lambda key, table: C.send_hashes(key[0].as_py(), C.Distinct.of(_loaded(table)[1], buckets)), C.HASHES)
     frequency = sent.groupBy("bucket").applyInArrow(C.answer_counts(FREQUENCY, _frequency_code), C.NOTES)
     ordered = C.written(by_part(sets, frequency, _ordered_rows(buckets), ORDERED))
 
@@ -287,17 +326,28 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     n = F.count("*")
     blocks = F.least(F.ceil(n / min(block, LEAST_BLOCK)), F.greatest(F.lit(BLOCKS), F.ceil(n / block))).cast("int")
     held = C.written(clusters.groupBy("component").agg(blocks.alias("blocks")))
-    dealt = clusters.join(held, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = ordered.join(dealt, "doc_id").withColumn("other", meet)
-    small = -1 - F.pmod(F.xxhash64("cluster"), F.lit(4 * buckets))
-    met = met.withColumn("task", F.when(F.col("blocks") == 1, small).otherwise(F.col("cluster"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    links = met.select("task", "low", "high", "cluster", "block", "doc_id", "n", "tokens", "prefixes").groupBy("task", "low", "high").applyInArrow(_link_edges, EDGES)
+    dealt = C.written(clusters.join(held, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    own = F.col("block")
+    first = F.array_distinct(F.when(own == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), own)))
+    links = C.written(_met(ordered.join(dealt.withColumn("other", F.explode(first)), "doc_id"), buckets))
+    if held.where("blocks > 2").limit(1).count():
+        joined = dealt.where("blocks > 2").join(C.components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        apart = joined.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cluster")
+        rest = F.filter(F.sequence(F.lit(1), F.col("blocks") - 1), lambda k: k != own)
+        again = dealt.where("blocks > 2 and block > 0").join(apart, "cluster", "left_semi").withColumn("other", F.explode(rest))
+        links = links.unionByName(_met(ordered.join(again, "doc_id"), buckets))
     same = base.where("first is not null").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = C.components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
     return base.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _met(rows: DataFrame, buckets: int) -> DataFrame:
+    """Edges of the links between each row's block and ``other``. Clusters of one block share tasks."""
+    small = -1 - F.pmod(F.xxhash64("cluster"), F.lit(4 * buckets))
+    rows = rows.withColumn("task", F.when(F.col("blocks") == 1, small).otherwise(F.col("cluster"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return rows.select("task", "low", "high", "cluster", "block", "doc_id", "n", "tokens", "prefixes").groupBy("task", "low", "high").applyInArrow(_link_edges, EDGES)
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -12,10 +12,55 @@ from .repeats import NO_ID, Kind, Part, find_repeats, refine
 
 WINDOW = 35
 
-# A prefix is the minimizer of a window, eight words long, and the window's offset from it; prefixes that are
-# too common for one group become the whole window. Below a prefix, ``refine`` grows the subtree from the top:
-# every group it leaves with two leaves or more is an internal node at least WINDOW words deep.
-KIND = Kind(window=WINDOW, anchor=8, symbol=np.uint64, by_first=False, sort=refine)
+#: Words of the minimizer that names a window's bucket.
+ANCHOR = 8
+
+
+def common_words(text: np.ndarray, size: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """How many words each suffix, in order, has in common with the one before; 0 where a group starts."""
+    out = np.zeros(len(text), np.int64)
+    if len(text) > 1:
+        differs = text[1:] != text[:-1]
+        first = np.where(differs.any(1), differs.argmax(1), text.shape[1])
+        out[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
+    out[head] = 0
+    return out
+
+
+def deep_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The internal nodes of a suffix tree that are at least ``least`` deep, from its leaves in order and what neighbours have in common:
+    first and last leaf, and depth. The path to a node is a repeat that no longer one has all the occurrences of.
+    """
+    first, last, depth = [], [], []
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], common >= least, [0]]).astype(np.int8)))
+    for a, b in runs.reshape(-1, 2).tolist():  # leaves a - 1 to b - 1 are below one such node
+        open_nodes: list[tuple[int, int]] = []  # depth and first leaf, deeper ones last
+        for leaf, d in enumerate([*common[a:b].tolist(), 0], a):
+            at = leaf - 1
+            while open_nodes and open_nodes[-1][0] > d:
+                k, at = open_nodes.pop()
+                first.append(at)
+                last.append(leaf - 1)
+                depth.append(k)
+            if d >= least and (not open_nodes or open_nodes[-1][0] < d):
+                open_nodes.append((d, at))
+    return tuple(np.array(x, np.int64) for x in (first, last, depth))
+
+
+def grow_subtrees(perm: np.ndarray, head: np.ndarray, text: np.ndarray, size: np.ndarray) -> None:
+    """Orders the suffixes of each prefix and builds the subtree below it. What stays together is what is below one deep node."""
+    group = head.copy()
+    refine(perm, head, text)
+    first, last, _ = deep_nodes(common_words(text[perm], size[perm], group), WINDOW)
+    joined = np.zeros(len(head) + 1, np.int64)
+    np.add.at(joined, first + 1, 1)
+    np.add.at(joined, last + 1, -1)
+    head[:] = np.cumsum(joined)[:-1] == 0
+
+
+# The suffixes of a bucket have prefixes of variable length: the minimizer of their first WINDOW words and its offset, then as many words as
+# make the group small enough (``lengthened``); what is too common for one bucket has the whole window for its prefix.
+KIND = Kind(window=WINDOW, anchor=ANCHOR, symbol=np.uint64, by_first=False, sort=grow_subtrees, reach=2 * WINDOW - ANCHOR)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -73,7 +118,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """Removes each word of a 35-word window whose words also occur, in that order, anywhere else.
 
     Returns one row per input row: doc_id, n_words, n_removed and kept (the other words joined by one space).
-    Null and empty texts have no words; texts under 35 words stay whole. Every occurrence goes, the first too,
+    Null and empty texts have no words; texts under 35 words stay whole; very long ones, and very long words, are looked at in full.
+    Words are compared by 64-bit hash. Every occurrence goes, the first too,
     and overlapping occurrences in one document count. Repeated rows are occurrences of each other; a null doc_id
     is an ordinary row. An empty table gives no rows; other columns are ignored.
     """

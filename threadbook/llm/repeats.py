@@ -5,10 +5,13 @@ worth sorting where its first W symbols may occur twice, so the work goes in rou
 
 1. Each window is named after its minimizer, the smallest of its k-symbol slices: equal windows
    choose the same slice at the same place. Consecutive windows with one minimizer form a piece.
-   Six bytes a piece go to the bucket of the minimizer, which answers with two bits: shared, hot.
-2. Shared pieces, once for each part and content, go to that bucket as text. Hot minimizers get
-   longer prefixes (the whole window), so that no bucket grows with a very common line.
-3. The bucket sorts the suffixes and answers with one bit a window.
+   Each part sends its distinct minimizers, seven bytes each, to their buckets, which answer with
+   two bits: shared, hot.
+2. Shared pieces, once for each part and content (compared symbol by symbol), go to that bucket as
+   text. Hot minimizers get longer prefixes (the whole window), so that no bucket grows with a very
+   common line.
+3. The bucket cuts its suffixes into groups that fit in memory, by minimizer and then by longer and
+   longer prefixes; it sorts each group and answers with one bit a window.
 4. Each part maps the bits back to its documents.
 
 All rounds see whole texts. A piece that is dropped in round 1 has a minimizer that occurs once in
@@ -32,20 +35,27 @@ _AT = U64((1 << 24) - 1)
 _STEP = 1 << 20
 SHARED, WINDOWS = 1, 2
 NO_ID = np.iinfo(np.int64).max
-#: Windows that are sorted together in one numpy pass.
-BATCH = 200_000
+#: Windows that are looked at in one numpy pass, suffixes that are sorted together, and symbols by which prefixes grow.
+BATCH, GROUP, LONGER = 400_000, 50_000, 8
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What is compared: window length, minimizer length, symbol type, and how a class of equal windows is judged."""
+    """What is compared: window length, minimizer length, symbol type, and how a class of equal windows is judged.
+
+    ``reach`` is how much of a suffix is sorted, the window at least. sort(perm, head, text, size) orders the suffixes of each group (a run that
+    starts where ``head`` is set) in place and leaves ``head`` set where a window differs from the one before; text has a row a suffix,
+    zero beyond its size.
+    """
 
     window: int
     anchor: int
     symbol: type
     by_first: bool  # judged by a smaller document id; else by a second occurrence
-    sort: Callable[[np.ndarray, np.ndarray, np.ndarray], None]
+    sort: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]
+    reach: int
     hot: int = 100_000
+    group: int = GROUP
 
 
 @dataclass
@@ -90,7 +100,7 @@ def cut_pieces(symbols: Callable[[int, int], np.ndarray], off: np.ndarray, kind:
         first = np.flatnonzero(new)
         lo, hi, p = at[first], at[np.append(first[1:], len(at)) - 1], place[first]
         content = C.mix(roll.raw(lo, hi + W) + (hi - lo).astype(U64))
-        found.append((lo + a, hi + a, p - lo, grams[p], content, np.searchsorted(off, lo + a, "right") - 1))
+        found.append((lo + a, hi + a, p - lo, C.mix(grams[p] ^ C._BASE), content, np.searchsorted(off, lo + a, "right") - 1))
     if not found:
         z = np.zeros(0, np.int64)
         return Pieces(z, z, z, z.astype(U64), z.astype(U64), z)
@@ -137,23 +147,24 @@ class Part:
 
 def unique_pieces(part: Part, note: pa.Table, kind: Kind, buckets: int):
     """Shared pieces of the part, an index of the first of each kind of content, and which one each piece is."""
-    order, at = C.bucket_order(part.pieces.h, buckets)
-    code = C.spread(C.notes(note, SHARED), _decode, order, at, np.uint8)
+    code = C.Distinct.of(part.pieces.h, buckets).spread(C.notes(note, SHARED), _decode, np.uint8)
     shared = part.pieces.take(np.flatnonzero(code == 1))
     if (code == 2).any():
         more = windows_of(part.pieces.take(np.flatnonzero(code == 2)), part.symbols, kind)
         shared = Pieces(*(np.concatenate([getattr(shared, f), getattr(more, f)]) for f in ("lo", "hi", "back", "h", "content", "doc")))
     by = np.lexsort((part.ids[shared.doc], shared.hi - shared.lo, shared.content, shared.h))
     s = shared.take(by)
-    new = np.append(True, (s.h[1:] != s.h[:-1]) | (s.content[1:] != s.content[:-1]) | (s.hi - s.lo)[1:].__ne__((s.hi - s.lo)[:-1])) if len(by) else np.zeros(0, bool)
+    m = s.hi - s.lo
+    new = np.append(True, (s.h[1:] != s.h[:-1]) | (s.content[1:] != s.content[:-1]) | (m[1:] != m[:-1])) if len(by) else np.zeros(0, bool)
+    again, head = np.flatnonzero(~new), np.flatnonzero(new)[np.cumsum(new) - 1]
+    size = m + kind.window
+    for i in np.split(again, np.searchsorted(np.cumsum(size[again]), np.arange(_STEP, size[again].sum(), _STEP))):  # equal hashes: compare the symbols
+        if len(i):
+            same = part.raw(C.flat(s.lo[i], size[i])) == part.raw(C.flat(s.lo[head[i]], size[i]))
+            new[i] = ~np.logical_and.reduceat(same, np.cumsum(size[i]) - size[i])
     return s, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Indexes lo[i], lo[i]+1, ... n[i] of them, for each i."""
-    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def send_pieces(part_no: int, part: Part, note: pa.Table, kind: Kind, buckets: int) -> pa.Table:
     s, first, which = unique_pieces(part, note, kind, buckets)
     times = np.bincount(which, minlength=len(first)) if len(first) else first
@@ -165,7 +176,7 @@ def send_pieces(part_no: int, part: Part, note: pa.Table, kind: Kind, buckets: i
     for b in full:
         i = order[at[b] : at[b + 1]]
         m = u.hi[i] - u.lo[i] + 1
-        body = part.raw(_flat(u.lo[i], m + kind.window - 1))
+        body = part.raw(C.flat(u.lo[i], m + kind.window - 1))
         data.append(b"".join((np.int64(len(i)).tobytes(), u.h[i].tobytes(), value[i].astype(np.int64).tobytes(), u.back[i].astype(np.uint8).tobytes(), m.astype(np.uint8).tobytes(), body.tobytes())))
     return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([part_no] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -194,39 +205,74 @@ def answer_pieces(kind: Kind, batch: int = BATCH):
 
 
 def judged(h, value, back, m, at, flat, kind: Kind, batch: int) -> np.ndarray:
+    """A bit for each window of the pieces. ``flat`` holds the symbols of all pieces, from ``at`` on each."""
     mask = np.zeros(len(h), np.int64)
     order = np.argsort(h, kind="stable")
     group = np.empty(len(h), np.int64)
     group[order] = np.cumsum(np.append(False, h[order][1:] != h[order][:-1]))
     rows = np.flatnonzero(np.bincount(group)[group] > 1)
     rows = rows[np.argsort(group[rows], kind="stable")]
-    view = np.lib.stride_tricks.sliding_window_view(flat, kind.window)
     done, ends = 0, np.cumsum(m[rows])
-    while done < len(rows):  # whole groups, about ``batch`` windows
+    while done < len(rows):  # whole minimizers, about ``batch`` windows
         upto = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + batch, "right"))
         upto = int(np.searchsorted(group[rows], group[rows[min(max(upto, done + 1), len(rows)) - 1]], "right"))
         some = rows[done:upto]
         done = upto
         r = np.repeat(some, m[some])
-        i = _flat(np.zeros(len(some), np.int64), m[some])
+        i = C.flat(np.zeros(len(some), np.int64), m[some])
         prefix = group[r] * 256 + back[r] - i
+        start, size = at[r] + i, np.minimum(m[r] - i + kind.window - 1, kind.reach)
+        prefix, equal = lengthened(prefix, start, flat, kind)
         by = np.argsort(prefix, kind="stable")
-        r, i, prefix = r[by], i[by], prefix[by]
-        head = np.append(True, prefix[1:] != prefix[:-1])
-        text = view[at[r] + i]
-        perm = np.arange(len(r))
-        kind.sort(perm, head, text)
-        starts = np.flatnonzero(head)
-        v = value[r[perm]]
-        sizes = np.diff(np.append(starts, len(v)))
-        if kind.by_first:
-            bit = np.repeat(np.minimum.reduceat(v, starts), sizes) < v
-        else:
-            bit = np.repeat(np.add.reduceat(v, starts), sizes) > 1
-        np.add.at(mask, r[perm][bit], np.int64(1) << i[perm][bit])
+        heads = np.flatnonzero(np.append(True, prefix[by][1:] != prefix[by][:-1]))
+        sizes = np.diff(np.append(heads, len(by)))
+        cuts = np.append(heads, len(by))
+        g = 0
+        while g < len(heads):  # whole prefixes, about ``kind.group`` suffixes
+            last = max(g + 1, int(np.searchsorted(cuts, cuts[g] + kind.group, "right")) - 1)
+            own = by[cuts[g] : cuts[last]]
+            head = np.zeros(len(own), bool)
+            head[heads[g:last] - cuts[g]] = True
+            perm = np.arange(len(own))
+            if not (last == g + 1 and equal[own[0]]):  # else one string only, which needs no order
+                columns = np.arange(kind.reach)
+                text = np.where(columns < size[own][:, None], flat[np.minimum(start[own][:, None] + columns, len(flat) - 1)], 0).astype(flat.dtype)
+                kind.sort(perm, head, text, size[own])
+            g = last
+            own = own[perm]
+            starts = np.flatnonzero(head)
+            v = value[r[own]]
+            sizes = np.diff(np.append(starts, len(v)))
+            if kind.by_first:
+                bit = np.repeat(np.minimum.reduceat(v, starts), sizes) < v
+            else:
+                bit = np.repeat(np.add.reduceat(v, starts), sizes) > 1
+            np.add.at(mask, r[own][bit], np.int64(1) << i[own][bit])
     return mask
 
 
+def lengthened(prefix: np.ndarray, start: np.ndarray, flat: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of suffixes by number, so that one is of ``kind.group`` suffixes at most: larger ones grow by ``LONGER`` symbols until they are
+    small enough or as long as a window. Also which suffixes have a whole window for their prefix.
+    """
+    _, prefix = np.unique(prefix, return_inverse=True)
+    equal = np.zeros(len(prefix), bool)
+    for length in range(0, kind.window, LONGER):
+        large = np.flatnonzero((np.bincount(prefix) > kind.group)[prefix])
+        if not len(large):
+            break
+        keys = [flat[start[large] + c] for c in range(length, min(length + LONGER, kind.window))]
+        by = np.lexsort((*keys, prefix[large]))
+        new = np.append(True, prefix[large][by][1:] != prefix[large][by][:-1])
+        for k in keys:
+            new[1:] |= k[by][1:] != k[by][:-1]
+        number = np.cumsum(new) - 1
+        prefix = prefix * 1
+        prefix[large[by]] = prefix.max() + 1 + number
+        equal[large] = length + LONGER >= kind.window
+    return prefix, equal
+
+
 def refine(perm: np.ndarray, head: np.ndarray, text: np.ndarray) -> None:
     """Order the rows of each group (a run that starts where ``head`` is set) as a compacted trie does:
     skip to the depth where the group first differs and branch on that one symbol, until each group
@@ -271,14 +317,17 @@ def covered(part: Part, note: pa.Table, kind: Kind, buckets: int) -> np.ndarray:
     if len(first):
         u = s.take(first)
         order, at = C.bucket_order(u.h, buckets)
-        mask = C.spread(C.notes(note, WINDOWS), lambda d, k: np.frombuffer(d, np.uint32), order, at, np.uint32)[which]
+        mask = np.zeros(len(order), np.uint32)
+        for b, data in C.notes(note, WINDOWS).items():
+            mask[order[at[b] : at[b + 1]]] = np.frombuffer(data, np.uint32)
+        mask = mask[which]
         m = s.hi - s.lo + 1
         if kind.by_first:
             whole = part.ids[s.doc] > part.ids[u.doc][which]
         else:
             whole = (np.bincount(which) > 1)[which]
-        starts = _flat(s.lo, m)
-        bit = (np.repeat(mask, m) >> _flat(np.zeros(len(m), np.int64), m).astype(np.uint32)) & np.uint32(1)
+        starts = C.flat(s.lo, m)
+        bit = (np.repeat(mask, m) >> C.flat(np.zeros(len(m), np.int64), m).astype(np.uint32)) & np.uint32(1)
         flag[starts[(bit > 0) | np.repeat(whole, m)]] = True
     run = np.cumsum(flag, dtype=np.int32)
     out = run[:n] > 0
@@ -292,8 +341,8 @@ def find_repeats(docs: DataFrame, kind: Kind, load: Callable, finish: Callable,
     """
     parts = C.parts_for(docs)
     buckets = parts
-    rows = docs.select(C.part_of("doc_id", parts).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    copies = C.later_copies(rows.select("doc_id", "text"), parts)
+    rows = C.parted(docs, parts)
+    copies = C.later_copies(rows)
 
     def opened(table: pa.Table, note: pa.Table):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -305,7 +354,7 @@ def find_repeats(docs: DataFrame, kind: Kind, load: Callable, finish: Callable,
 
     def first_round(key, table, note):
         _, part, _, _ = opened(table, note)
-        return C.send_hashes(key[0].as_py(), part.pieces.h, buckets)
+        return C.send_hashes(key[0].as_py(), C.Distinct.of(part.pieces.h, buckets))
 
     def second_round(key, table, note):
         _, part, _, _ = opened(table, note)
