@@ -51,12 +51,22 @@ def test_exact_topk_query(spark, duck):
     same(one.op1_exact_topk(spark, f"{DATA}/sf0.001"), duck, one.SQL)
 
 
-def test_reading_stops_early():
+def test_bounds_decide_which_rows_are_resolved(spark):
     r = np.random.default_rng(1)
     x = np.floor(256 * r.normal(size=(4000, 64)) / 8).astype(np.int64)
-    lists = one.SortedLists(x)
-    left = [len(lists.survivors(x[q], 5, np.arange(4000) == q)) for q in range(20)]
-    assert max(left) <= max(one.FEW, one.PART * 4000)
+    heavy = x * np.where(np.arange(64) < 4, 40, 1)  # few lists decide: reading stops far from the ends
+    for vectors, part in ((x, 1.0), (heavy, 0.9)):
+        lists = one.SortedLists(vectors)
+        for q in range(12):
+            rows, read = lists.survivors(vectors[q], 5, np.arange(4000) == q)
+            score = vectors @ vectors[q]
+            score[q] = -(2**62)
+            assert set(np.argsort(-score, kind="stable")[:5]) <= set(rows.tolist())
+            assert len(rows) <= one.FEW and read < part * 4000 * 64
+    for n in (1, 3, 40, 64):  # small shards go the same way
+        lists = one.SortedLists(x[:n])
+        rows, read = lists.survivors(x[0], 5, np.arange(n) == 0)
+        assert read > 0 and len(rows) == min(n - 1, len(rows)) and set(np.argsort(-(x[:n] @ x[0])[1:], kind="stable")[:5] + 1) <= set(rows.tolist())
 
 
 def test_vectors_that_take_no_part(spark):
@@ -318,6 +328,23 @@ def test_stripping_by_groups(spark, limit):
     assert got == sorted(want, key=str)
 
 
+def test_phrases_are_small():
+    r = np.random.default_rng(0)
+    items = [(int(i), " ".join(f"w{j}" for j in r.integers(0, 20_000, 200))) for i in range(2000)]
+    items += [(i + 5000, t) for i, t in items[:50]]
+    p = seven.phrases(items)
+    assert sum(x.nbytes for x in vars(p).values()) < 20 * 2050 * 200 + (4 << 20)
+    assert len(p.start) == 2000 * 191 and len(p.items) == 2050 * 191 and (np.diff(p.item_at) == 2).sum() == 50 * 191
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"x {a} {b}")], "doc_id long, text string")
+    got = seven.find_contamination(docs, spark.createDataFrame([(1, a)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {1: 1, 2: 0, 3: 1}
+
+
 def test_index_finds_all_places():
     r = np.random.default_rng(0)
     text = r.integers(0, 6, 2000)
@@ -326,9 +353,7 @@ def test_index_finds_all_places():
     for _ in range(200):
         n = int(r.integers(1, 6))
         p = r.integers(1, 6, n)
-        symbols = np.zeros((1, 8), np.int64)
-        symbols[0, 8 - n :] = p
-        lo, hi = index.search(symbols)
+        lo, hi = index.search(p, np.array([0]), np.array([n]))
         want = [s for s in range(len(text) - n + 1) if (text[s : s + n] == p).all()]
         assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
 

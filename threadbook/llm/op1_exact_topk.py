@@ -10,17 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-
 K = 5
 SCALE = 256
 #: Vectors whose lists one task holds, and queries it answers.
-SHARD = 8192
+SHARD = 4096
 QUERIES = 4096
 #: Frontiers to which all lists are read, as multiples of the spread of one list's contributions.
-FRONTIERS = (0.4, 0.0, -0.4, -1.2, -np.inf)
-#: So many leaders are resolved early, and reading stops at FEW, or this part of the rows, that may still qualify.
-FEW, PART = 64, 0.15
+FRONTIERS = (1.0, 0.0, -0.5, -1.0, -1.5, -2.0, -2.5, -np.inf)
+#: Reading stops when at most so many rows may still qualify; their final scores are resolved.
+FEW = 32
 
 
 class SortedLists:
@@ -34,23 +32,25 @@ class SortedLists:
         self.flat = self.values.ravel()
         self.spread = vectors.std(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
 
-    def survivors(self, query: np.ndarray, k: int, barred: np.ndarray) -> np.ndarray:
-        """Rows that may be among the k best. All lists are read, from the end where they add most, down to one frontier after
-        another: entries that add more. A row's score is what was read of it, and from each other list at most the frontier
-        (or the list's first entry) and at least the smallest last entry. The leaders so far are resolved to raise the bar.
+    def survivors(self, query: np.ndarray, k: int, barred: np.ndarray) -> tuple[np.ndarray, int]:
+        """Rows that may be among the k best, and how many list entries were read to know that. No row is looked up on the way.
+
+        All lists are read in rounds, each from the end where it adds most, down to one frontier after another: the entries that add
+        more. What is unread of a list adds at most the frontier (or the list's first entry) and at least the list's last entry, which bounds
+        each row's score from above and below. The bar is the k-th largest lower bound; rows whose upper bound is below it are out, and rows
+        not seen at all go the same way, as their upper bound is the sum of the frontiers.
         """
         n = len(self.vectors)
         use = np.flatnonzero(query)
         open_rows = np.flatnonzero(~barred)
-        if len(open_rows) <= max(k, FEW) or not len(use):
-            return open_rows
+        if not len(use):
+            return open_rows, 0
         w = query[use].astype(np.float64)
         first = np.where(w > 0, w * self.values[use, -1], w * self.values[use, 0])
-        last = np.where(w > 0, w * self.values[use, 0], w * self.values[use, -1]).min()
+        last = np.where(w > 0, w * self.values[use, 0], w * self.values[use, -1])
         step = float(np.sqrt(np.mean((w * self.spread[use]) ** 2)))
-        partial, count = np.zeros(n), np.zeros(n, np.int64)
-        low, high = np.zeros(len(use), np.int64), np.full(len(use), n, np.int64)  # unread part of each list
-        bar = -np.inf
+        partial, count, floor = np.zeros(n), np.zeros(n, np.int64), np.full(n, last.sum())
+        low, high, read = np.zeros(len(use), np.int64), np.full(len(use), n, np.int64), 0  # unread part of each list
         for level in FRONTIERS:
             frontier = level * step if np.isfinite(level) else -np.inf
             if np.isfinite(frontier):
@@ -60,28 +60,26 @@ class SortedLists:
             a, b = np.where(w > 0, np.minimum(cut, high), low), np.where(w > 0, high, np.maximum(cut, low))
             high, low = np.where(w > 0, a, high), np.where(w > 0, low, b)
             size = b - a
+            read += int(size.sum())
             at = np.repeat(use * n + a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            rows = self.rows[at]
-            partial += np.bincount(rows, np.repeat(w, size) * self.flat[at], minlength=n)
+            rows, value = self.rows[at], np.repeat(w, size) * self.flat[at]
+            partial += np.bincount(rows, value, minlength=n)
+            floor += np.bincount(rows, value - np.repeat(last, size), minlength=n)
             count += np.bincount(rows, minlength=n)
-            unread = len(use) - count
-            if np.isfinite(frontier):
-                upper = partial + np.minimum(frontier, first).sum() - count * frontier
-            else:
+            if not np.isfinite(frontier):
                 upper = partial
-            lower = partial + unread * last
-            leaders = open_rows[np.argpartition(-partial[open_rows], FEW - 1)[:FEW]] if len(open_rows) > FEW else open_rows
-            known = np.sort(self.vectors[leaders] @ query)
-            floor = np.partition(lower[open_rows], len(open_rows) - k)[len(open_rows) - k] if len(open_rows) >= k else -np.inf
-            bar = max(bar, float(floor), float(known[-k]) if len(known) >= k else -np.inf)
+            else:
+                upper = partial + np.minimum(frontier, first).sum() - count * frontier
+            bar = np.partition(floor[open_rows], len(open_rows) - k)[len(open_rows) - k] if len(open_rows) >= k else -np.inf
             slack = 1e-9 * (abs(bar) + 1) if np.isfinite(bar) else 0.0  # rounding of very large sums
             open_rows = open_rows[upper[open_rows] >= bar - slack]
-            if len(open_rows) <= max(FEW, PART * n):
+            if len(open_rows) <= max(FEW, k):
                 break
-        return open_rows
+        return open_rows, read
+
 
     def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.survivors(query, k, ids == own)
+        rows, _ = self.survivors(query, k, ids == own)
         score = self.vectors[rows] @ query
         best = np.lexsort((ids[rows], -score))[:k]
         return ids[rows][best], score[best]
@@ -114,12 +112,11 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
     Rows are dealt to shards by id and every query goes to every shard, ``query_chunk`` at a time; a shard gives its own
     k best, and the best of those are the result. Null ids and vectors take no part; rows that share an id count once,
     with the smallest vector. Vectors of different lengths do not meet. Fewer rows than k give all. Empty tables give
-    no rows. Scores are 64-bit numbers.
+    no rows. Scores are 64-bit numbers. Very long vectors are whole lists each, as others are.
     """
-    spark = rows.sparkSession
     whole = lambda df: df.where("vec_id is not null and vector is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("vector").alias("vector"))
     rows, queries = whole(rows), whole(queries)
-    shards = max(shuffle_partitions(spark), math.ceil(rows.count() / shard))
+    shards = max(1, math.ceil(rows.count() / shard))
     chunks = max(1, math.ceil(queries.count() / query_chunk))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), every(chunks).alias("chunk"))

@@ -16,8 +16,8 @@ from . import common as C
 
 U64 = np.uint64
 WINDOW = 10
-#: Bytes of benchmark text that go to the tasks at once; larger benchmarks take several passes.
-MAX_BENCHMARK_BYTES = 32 << 20
+#: Bytes of benchmark text that go to the tasks at once, with some 22 bytes for each word of it; larger benchmarks take several passes.
+MAX_BENCHMARK_BYTES = 8 << 20
 #: Bytes of text in one shard, and the distance of sampled suffixes.
 SHARD_BYTES = 4 << 20
 SAMPLE = 8
@@ -28,10 +28,11 @@ SAMPLE = 8
 
 @dataclass
 class Phrases:
-    """The windows of the items as symbols 1.. of their vocabulary, aligned to the right; 0 is none."""
+    """The distinct windows of the items, as places in the items' words."""
 
     vocabulary: np.ndarray  # sorted hashes; symbol i + 1 stands for the i-th
-    symbols: np.ndarray
+    words: np.ndarray  # symbols of all items, end to end
+    start: np.ndarray  # of each phrase in words
     length: np.ndarray
     item_at: np.ndarray  # items of phrase i: items[item_at[i]:item_at[i + 1]]
     items: np.ndarray
@@ -41,23 +42,28 @@ class Phrases:
 def phrases(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> Phrases:
     """Rows without an id or without words take no part."""
     rows = sorted((int(i), t) for i, t in rows if i is not None and t)
+    ids = np.array([i for i, _ in rows], np.int64)
     buf, off = C.text_buffer(pa.array([t for _, t in rows], pa.string()))
     h, _, _, at = C.words(buf, off, C.ALNUM)
     vocabulary = np.unique(h)
-    symbol = np.searchsorted(vocabulary, h) + 1
-    of: dict[tuple[int, ...], set[int]] = {}
-    for (item, _), a, b in zip(rows, at[:-1], at[1:], strict=True):
-        s = symbol[a:b].tolist()
-        for i in range(max(1, len(s) - window + 1) if s else 0):
-            of.setdefault(tuple(s[i : i + window]), set()).add(item)
-    keys = sorted(of)
-    table = np.zeros((len(keys), window), np.int64)
-    for i, k in enumerate(keys):
-        table[i, window - len(k) :] = k
+    symbol = (np.searchsorted(vocabulary, h) + 1).astype(np.int32)
+    n = np.diff(at)
+    count = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    start, length, item = C.flat(at[:-1], count), np.repeat(np.minimum(n, window), count), np.repeat(ids, count)
+    # equal windows, by their symbols, next to each other
+    column = lambda c: np.where(c < length, symbol[np.minimum(start + c, len(symbol) - 1)], 0)
+    by = np.lexsort((item, *(column(c) for c in range(window - 1, -1, -1)))) if len(start) else np.zeros(0, np.int64)
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for c in range(window):
+        x = column(c)[by] if len(by) else new
+        new[1:] |= x[1:] != x[:-1]
+    again = np.append(False, (item[by][1:] == item[by][:-1]) & ~new[1:])[: len(by)]
+    item_at = np.append(np.cumsum(~again)[new] - 1, np.count_nonzero(~again))
     maybe = np.zeros(1 << 20, bool)
     maybe[vocabulary >> U64(44)] = True
-    items = [sorted(of[k]) for k in keys]
-    return Phrases(vocabulary, table, np.array([len(k) for k in keys], np.int64), np.cumsum([0, *map(len, items)]), np.array([x for y in items for x in y], np.int64), maybe)
+    first = by[new]
+    return Phrases(vocabulary, symbol, start[first].astype(np.int32), length[first].astype(np.int16), item_at.astype(np.int32), item[by][~again], maybe)
 
 
 # ---------------------------------------------------------------- index
@@ -122,17 +128,17 @@ class FMIndex:
         self.held = np.append(0, np.cumsum(held))
         self.places = order[held]
 
-    def search(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges [lo, hi) of right-aligned phrases, by backward search."""
-        lo = np.zeros(len(symbols), np.int64)
-        hi = np.full(len(symbols), self.n, np.int64)
-        for column in range(symbols.shape[1] - 1, -1, -1):
-            c = symbols[:, column]
-            on = np.flatnonzero((c > 0) & (lo < hi))
+    def search(self, words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges [lo, hi) of the phrases words[start:start + length], by backward search."""
+        lo = np.zeros(len(start), np.int64)
+        hi = np.full(len(start), self.n, np.int64)
+        for back in range(1, int(length.max(initial=0)) + 1):
+            on = np.flatnonzero((back <= length) & (lo < hi))
             if not len(on):
                 break
-            lo[on] = self.before[c[on]] + self.bwt.rank(c[on], lo[on])
-            hi[on] = self.before[c[on]] + self.bwt.rank(c[on], hi[on])
+            c = words[start[on] + length[on] - back].astype(np.int64)
+            lo[on] = self.before[c] + self.bwt.rank(c, lo[on])
+            hi[on] = self.before[c] + self.bwt.rank(c, hi[on])
         return lo, np.maximum(lo, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -183,7 +189,7 @@ def shard_hits(h: np.ndarray, at: np.ndarray, p: Phrases) -> tuple[np.ndarray, n
     origin = np.zeros(len(text), np.int64)
     origin[target] = words
     index = FMIndex(text, len(p.vocabulary))
-    lo, hi = index.search(p.symbols)
+    lo, hi = index.search(p.words, p.start, p.length)
     count = hi - lo
     which = np.repeat(np.arange(len(lo)), count)
     rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -269,7 +275,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_B
 
     Words are runs of letters, digits and non-ASCII characters with A-Z in lower case, compared by 64-bit hash. A window is 10
     consecutive words of an item, or all words of a shorter one. Null and empty texts have no words; items without
-    words or with a null id take no part; items that share an id count once. Repeated document rows and null ids are
+    words or with a null id take no part; items that share an id count once. Very long texts are whole shards of their own. Repeated document rows and null ids are
     kept. An empty table of documents gives no rows, an empty benchmark hits nothing. Other columns are ignored.
     """
     groups = benchmark_groups(benchmark, limit)
@@ -298,7 +304,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_B
 def strip_contamination(docs: DataFrame, benchmark: DataFrame, limit: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """The documents without their hit spans (a space stands for each) and with n_chars counted anew; all columns stay.
 
-    Every group of a large benchmark is held against the texts as they are, and what any of them hits is cut at once.
+    Every group of a large benchmark is held against the texts as they are, and what any of them hits is cut at once. Null and empty texts
+    stay as they are, very long ones are treated whole, repeated rows and null ids are kept, an empty table gives no rows, an empty
+    benchmark cuts nothing.
     """
     groups = benchmark_groups(benchmark, limit)
     first, second = next(groups), next(groups, None)
