@@ -183,6 +183,76 @@ def test_toxic_on_held_out_rows(spark):
     assert kept <= 0.25 * few.count()
 
 
+def brute_co_training(docs, labels, target, lowest):
+    """Score of every document by co-training over plain lists. docs: id, text, metadata bins, hash; one row an id."""
+    label = {}
+    for i, *v in labels:
+        v = v[five.TARGETS.index(target)]
+        if v is not None:
+            label[i] = (min if target == "quality" else max)(v, label.get(i, v))
+    y = np.array([label.get(d[0], np.nan) for d in docs], float)
+    fold = five._fold(np.array([d[0] for d in docs]))
+    buf, off = five.C.text_buffer(five.pa.array([d[1] for d in docs]))
+    bins = [set() for _ in docs]
+    for row, b in five.word_bins(buf, off):
+        for r, x in zip(row.tolist(), b.tolist(), strict=True):
+            bins[r].add(x)
+    train = [i for i in range(len(docs)) if fold[i] > 1 and not np.isnan(y[i])]
+    seen = {c: Counter(x for i in train if y[i] == c for x in bins[i]) for c in (1, 0)}
+    n = {c: sum(y[i] == c for i in train) for c in (1, 0)}
+
+    def g(x):
+        part = (seen[1][x] + seen[0][x]) / (n[1] + n[0])
+        cells = [(seen[c][x], part * n[c]) for c in (1, 0)] + [(n[c] - seen[c][x], (1 - part) * n[c]) for c in (1, 0)]
+        return round(sum(k * np.log(k / e) for k, e in cells if k > 0), 9)
+
+    best = sorted((-g(x), x) for x in set(seen[1]) | set(seen[0]) if seen[1][x] + seen[0][x] >= 3)
+    chosen = sorted(x for v, x in best[: five.TELLING] if v < 0)
+    text = np.column_stack([five.text_view(buf, off), np.array([[x in b for x in chosen] for b in bins], float)])
+    views = [text, five.metadata_view(*np.array([d[2] for d in docs]).T)]
+    narrow = [v.astype(np.float32).astype(float) for v in views]
+    known = ~np.isnan(y)
+    learner = five.CoTraining(tuple(v[known] for v in narrow), y[known], fold[known])
+    pool = {i for i in range(len(docs)) if np.isnan(y[i])}
+    taught = 0
+    for _ in range(five.ROUNDS):
+        lessons = []
+        for teacher in (0, 1):
+            m = learner.trust[teacher].margin(learner.models[teacher].margin(views[teacher])[:, None])
+            for c in (0.0, 1.0):
+                sure = [i for i in pool if (m[i] > 0) == (c == 1) and abs(m[i]) >= np.log(five.CONFIDENT / (1 - five.CONFIDENT))]
+                sure.sort(key=lambda i: (-round(abs(m[i]), 9), docs[i][3], docs[i][0]))
+                lessons.append((teacher, c, sorted(sure[: learner.most[c]], key=lambda i: docs[i][0])))
+        for teacher, c, rows in sorted(lessons):
+            learner.teach(1 - teacher, narrow[1 - teacher][rows], c)
+            pool -= set(rows)
+            taught += len(rows)
+        learner.fit()
+    assert taught > lowest
+    return learner.model().score(*views)[2]
+
+
+def test_co_training_against_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(five, "MEASURED", 2)
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text, (r.source_bin, r.lang_bin, r.size_bin), r.hash) for r in docs.select("doc_id", "text", *five.metadata_columns(), F.xxhash64("doc_id").alias("hash")).orderBy("doc_id").collect()]
+    marks = [(r.doc_id, r.quality, r.toxic) for r in labels.collect()]
+    got = {r.doc_id: r for r in five.score_documents(docs, labels).collect()}
+    for target, column, lowest in (("quality", "score", 100), ("toxic", "toxic_score", 0)):
+        want = brute_co_training(rows, marks, target, lowest)
+        assert max(abs(got[r[0]][column] - p) for r, p in zip(rows, want, strict=True)) < 1e-4
+
+
+def test_exchange_helps(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
+    alone, together = five.fit_both(docs, labels, rounds=0), five.fit_both(docs, labels)
+    assert alone.taught == [] and len(together.taught) == five.ROUNDS
+    assert together.quality.held_out["accuracy"] >= alone.quality.held_out["accuracy"]
+    assert together.held_out["caught"] - together.held_out["rejected"] >= alone.held_out["caught"] - alone.held_out["rejected"] - 2
+
+
 def test_quality_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
     docs = spark.createDataFrame([(1, None, None, None, None, 0.0), (2, "", "en", "a", 0, 0.0), (None, "some words", "en", "a", 10, 0.0), (3, "word " * 50_000, "en", "b", 250_000, 0.0), (3, "word", "en", "b", 4, 0.0)], schema)

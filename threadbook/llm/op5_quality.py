@@ -1,32 +1,47 @@
-"""Quality classifier by co-training: a text view and a page-metadata view teach each other, and their calibrated scores combine."""
+"""Quality classifier by co-training: a text view and a page-metadata view teach each other, and their calibrated scores combine.
+
+1. A bounded sample of labelled rows starts both views. The text view has byte frequencies, sizes and the words and pairs of words that
+   tell most about the target; which these are is counted on the executors.
+2. Each round, every unlabelled document of the corpus is scored by both views on the executors. The most confident ones of each class
+   are what a view teaches the other; ranks are by partial top lists, and only the rows that are taught come to the driver.
+3. Labelled rows of one fold calibrate the views and their combination, which scores all documents; another fold measures.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
 U64 = np.uint64
-#: Labelled and unlabelled rows that training sees at most, the ones with the smallest id hashes.
-LABELLED, UNLABELLED = 20_000, 10_000
+#: Labelled rows that training sees at most, the ones with the smallest id hashes.
+LABELLED = 20_000
 ROUNDS = 3
-#: Confidence from which a view passes a pseudo-label on, and how many of each class a round passes.
+#: Confidence from which a view teaches the other, and how many of each class it teaches in a round: the most confident of the corpus,
+#: as many as have labels of that class, so that neither the classes' shares nor the labels' weight is lost, and at most PASSED.
 CONFIDENT, PASSED = 0.97, 500
+#: Labelled rows of each class that the calibrating fold must have: with fewer, no confidence can be told and nothing is taught.
+MEASURED = 10
 #: Documents whose score is below are rejected.
 KEEP = 0.4
 #: Documents whose toxic score is at least this are toxic.
 TOXIC = 0.5
-#: Bins of word hashes, and how many of them, the most telling ones of the training rows, the toxic target's text view has.
+#: Bits of the hashes of words and of pairs of words, and how many of these bins, the most telling ones, a text view has.
 WORD_BITS, TELLING = 20, 64
 SOURCE_BINS, LANG_BINS, SIZE_BINS = 64, 16, 24
+TARGETS = ("quality", "toxic")
 _TEXT = 129 + 4
 #: Added to the size of a text, so that the bytes of very short ones weigh little.
 PRIOR_BYTES = 60
+#: Parts of a ranking before the last.
+SALTS = 64
 
 
 # ---------------------------------------------------------------- views
@@ -59,40 +74,25 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_bins(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct bins of each text's words (letters, digits and non-ASCII, A-Z in lower case), and the row offsets."""
-    bins, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+def word_bins(buf: np.ndarray, off: np.ndarray):
+    """Row and bin of each word (letters, digits and non-ASCII, A-Z in lower case) and of each pair of neighbours, some rows at a time."""
     for a, b in C.chunked_rows(off):
         h, _, _, at = C.words(buf[off[a] : off[b]], off[a : b + 1] - off[a], C.ALNUM)
-        of = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(at))
-        both = np.unique((of << WORD_BITS) | (h >> U64(64 - WORD_BITS)).astype(np.int64))
-        bins.append((both & ((1 << WORD_BITS) - 1)).astype(np.uint32))
-        sizes.append(np.bincount(both >> WORD_BITS, minlength=b - a))
-    return np.concatenate(bins), np.cumsum(np.concatenate(sizes))
-
-
-def telling_bins(bins: np.ndarray, at: np.ndarray, y: np.ndarray, most: int = TELLING) -> np.ndarray:
-    """The bins whose presence says most about ``y`` (0, 1 or nan for rows that do not count), by the G statistic."""
-    row = np.repeat(y, np.diff(at))
-    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
-    if not n1 or not n0:
-        return np.zeros(0, np.int64)
-    with1 = np.bincount(bins[row == 1], minlength=1 << WORD_BITS).astype(np.float64)
-    with0 = np.bincount(bins[row == 0], minlength=1 << WORD_BITS).astype(np.float64)
-    part = (with1 + with0) / (n1 + n0)
-    term = lambda k, expected: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-    g = term(with1, part * n1) + term(with0, part * n0) + term(n1 - with1, (1 - part) * n1) + term(n0 - with0, (1 - part) * n0)
-    g[with1 + with0 < 3] = 0
-    best = np.argsort(-g, kind="stable")[:most]
-    return np.sort(best[g[best] > 0])
-
-
-def word_view(bins: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(at) - 1, len(chosen)))
+        row = np.repeat(np.arange(a, b), np.diff(at))
+        near = np.flatnonzero(row[1:] == row[:-1])
+        pair = C.mix(h[near] * U64(3) + h[near + 1])
+        yield np.append(row, row[near]), (np.append(h, pair) >> U64(64 - WORD_BITS)).astype(np.int64)
+
+
+def word_view(buf: np.ndarray, off: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which of the chosen bins each text has."""
+    out = np.zeros((len(off) - 1, len(chosen)))
     place = np.full(1 << WORD_BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    column, row = place[bins], np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out[row[column >= 0], column[column >= 0]] = 1
+    for row, bins in word_bins(buf, off):
+        column = place[bins]
+        seen = column >= 0
+        out[row[seen], column[seen]] = 1
     return out
 
 
@@ -168,138 +168,230 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(self.joint.margin(np.column_stack([a, b])))
 
 
-def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``y`` is 1, 0 or nan (unlabelled). Labelled rows of fold 0 calibrate, of fold 1 measure, the others train."""
-    known = ~np.isnan(y)
-    train, tune, test = known & (fold > 1), known & (fold == 0), known & (fold == 1)
-    if not train.any():
-        train = tune = test = known
-    pool = np.flatnonzero(~known)
-    views = (text, metadata)
-    taught = [(np.flatnonzero(train), y[train]) for _ in views]
-    models: list[Logistic] = []
-    for r in range(rounds + 1):
-        models = [fit_logistic(v[rows], labels) for v, (rows, labels) in zip(views, taught, strict=True)]
-        if r == rounds or not len(pool):
-            break
-        used = np.zeros(len(y), bool)
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = sigmoid(models[teacher].margin(views[teacher][pool]))
-            for label, confidence in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-confidence, kind="stable")[:PASSED]
-                best = pool[best[confidence[best] >= CONFIDENT]]
-                rows, labels = taught[pupil]
-                taught[pupil] = (np.append(rows, best), np.append(labels, np.full(len(best), label)))
-                used[best] = True
-        pool = pool[~used[pool]]
-        if not used.any():
-            break
-    if not tune.any():
-        tune = train
-    scales = [fit_logistic(m.margin(v[tune])[:, None], y[tune], ridge=1e-3) for m, v in zip(models, views, strict=True)]
-    margins = np.column_stack([s.margin(m.margin(v)[:, None]) for s, m, v in zip(scales, models, views, strict=True)])
-    joint = fit_logistic(margins[tune], y[tune], ridge=1e-3)
-    p = sigmoid(joint.margin(margins[test])) if test.any() else np.zeros(0)
-    right = (p >= KEEP) == (y[test] == 1)
-    return Model(models[0], models[1], scales[0], scales[1], joint, {"rows": int(test.sum()), "accuracy": float(right.mean()) if len(right) else None})
+class CoTraining:
+    """Both views of one target. Labelled rows (``y`` is 1, 0 or nan for rows that do not count) of fold 0 calibrate, of fold 1 measure, the others train."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray):
+        known = ~np.isnan(y)
+        self.views, self.y = views, y
+        self.train, self.tune, self.test = known & (fold > 1), known & (fold == 0), known & (fold == 1)
+        if not self.train.any():
+            self.train = self.tune = self.test = known
+        if not self.tune.any():
+            self.tune = self.train
+        self.taught = [(v[self.train], y[self.train]) for v in views]
+        told = min(int((y[self.tune] == c).sum()) for c in (1, 0)) >= MEASURED
+        self.most = {c: min(PASSED, int((y[self.train] == c).sum())) * told for c in (1.0, 0.0)}
+        self.fit()
+
+    def fit(self) -> None:
+        """Fits the views, and how far their margins can be trusted by rows that they have not seen."""
+        self.models = [fit_logistic(x, labels) for x, labels in self.taught]
+        self.trust = [fit_logistic(m.margin(v[self.tune])[:, None], self.y[self.tune], ridge=1.0) for m, v in zip(self.models, self.views, strict=True)]
+
+    def teach(self, pupil: int, x: np.ndarray, label: float) -> None:
+        rows, labels = self.taught[pupil]
+        self.taught[pupil] = np.concatenate([rows, x]), np.append(labels, np.full(len(x), label))
+
+    def model(self) -> Model:
+        y, tune, test = self.y, self.tune, self.test
+        scales = [fit_logistic(m.margin(v[tune])[:, None], y[tune], ridge=1e-3) for m, v in zip(self.models, self.views, strict=True)]
+        margins = np.column_stack([s.margin(m.margin(v)[:, None]) for s, m, v in zip(scales, self.models, self.views, strict=True)])
+        joint = fit_logistic(margins[tune], y[tune], ridge=1e-3)
+        p = sigmoid(joint.margin(margins[test])) if test.any() else np.zeros(0)
+        right = (p >= KEEP) == (y[test] == 1)
+        return Model(*self.models, *scales, joint, {"rows": int(test.sum()), "accuracy": float(right.mean()) if len(right) else None})
 
 
 # ---------------------------------------------------------------- Spark
 
 
+@dataclass
+class Views:
+    """What a document's text and metadata views are, by target: the telling bins of each."""
+
+    chosen: dict[str, np.ndarray]
+
+    def of(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        buf, off = C.text_buffer(batch["text"])
+        text = text_view(buf, off)
+        metadata = metadata_view(*(np.asarray(batch[c], np.int64) for c in BINS))
+        return {t: np.column_stack([text, word_view(buf, off, c)]) for t, c in self.chosen.items()}, metadata
+
+
 @dataclass
 class Models:
-    """The models of both targets (None without labels of it), and the word bins that the toxic one sees. held_out: of labelled
-    rows that took no part in training, how many are toxic and not, how many of the toxic are caught and of the others rejected.
+    """The models of both targets, without those of which there are no labels. held_out: of labelled rows that took no part in training,
+    how many are toxic and not, how many of the toxic are caught and of the others rejected. taught: pseudo-labels by round.
     """
 
-    quality: Model | None
-    toxic: Model | None
-    chosen: np.ndarray
-    held_out: dict
+    views: Views
+    of: dict[str, Model]
+    held_out: dict = field(default_factory=dict)
+    taught: list[int] = field(default_factory=list)
+
+    @property
+    def quality(self) -> Model | None:
+        return self.of.get("quality")
 
     def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, metadata and joint score of quality, and the toxic score, by row."""
-        text, metadata = _views(batch)
         n = batch.num_rows
-        a, b, p = (np.ones(n),) * 3 if self.quality is None else self.quality.score(text, metadata)
-        toxic = np.zeros(n)
-        if self.toxic is not None:
-            bins, at = word_bins(*C.text_buffer(batch["text"]))
-            for i in range(0, n, 1024):
-                j = min(n, i + 1024)
-                seen = word_view(bins[at[i] : at[j]], at[i : j + 1] - at[i], self.chosen)
-                toxic[i:j] = self.toxic.score(np.column_stack([text[i:j], seen]), metadata[i:j])[2]
-        return a, b, p, toxic
+        parts = []
+        for i in range(0, n, ROWS):
+            text, metadata = self.views.of(batch.slice(i, ROWS))
+            k = len(metadata)
+            quality = self.of["quality"].score(text["quality"], metadata) if "quality" in self.of else (np.ones(k),) * 3
+            parts.append((*quality, self.of["toxic"].score(text["toxic"], metadata)[2] if "toxic" in self.of else np.zeros(k)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 4
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_view(*C.text_buffer(batch["text"])), metadata_view(*(np.asarray(batch[c], np.int64) for c in ("source_bin", "lang_bin", "size_bin")))
+#: Rows whose features are held at once.
+ROWS = 1024
+BINS = ["source_bin", "lang_bin", "size_bin"]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int) -> DataFrame:
-    """doc_id, quality and toxic of the sampled ids: both bounds are parameters, so the frame may be broadcast."""
-    by = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
-    some = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*by).limit(labelled)
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    none = F.lit(None).cast("double")
-    rest = ids.join(known, "doc_id", "left_anti").orderBy(*by).limit(unlabelled).withColumn("quality", none).withColumn("toxic", none)
-    return some.unionByName(rest)
+def _fold(ids: np.ndarray) -> np.ndarray:
+    return (C.mix(ids.astype(np.int64).view(U64)) % U64(10)).astype(np.int64)
 
 
-def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Models:
-    """Trains both targets on one bounded sample; its features are made on the executors."""
-    chosen = C.written(_sample(docs, labels, labelled, unlabelled))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *metadata_columns()).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text", "source_bin", "lang_bin", "size_bin")
+def _sample(docs: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """doc_id, quality and toxic of the sampled labelled ids: the bound is a parameter, so the frame may be broadcast."""
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(*[f(t).cast("double").alias(t) for f, t in ((F.min, "quality"), (F.max, "toxic"))])
+    return known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+
+
+def _telling(rows: DataFrame, y: dict[str, tuple[int, int]], most: int = TELLING) -> dict[str, np.ndarray]:
+    """By target, the bins whose presence in the training rows says most about it, by the G statistic; ``y`` has the numbers of rows of class 1 and 0."""
+
+    def seen(batches):
+        for b in batches:
+            train = _fold(np.asarray(b["doc_id"])) > 1
+            marks = [np.asarray(b[t].to_pandas(), np.float64) for t in TARGETS]
+            for row, bins in word_bins(*C.text_buffer(b["text"])):
+                both = np.unique((row << WORD_BITS) | bins)  # once a text
+                row, bins = both >> WORD_BITS, both & ((1 << WORD_BITS) - 1)
+                counts = [np.bincount(bins[train[row] & (m[row] == v)], minlength=1 << WORD_BITS) for m in marks for v in (1, 0)]
+                some = np.flatnonzero(sum(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some]) for c in counts)], ["bin", "quality1", "quality0", "toxic1", "toxic0"])
+
+    counts = rows.select("doc_id", "text", *TARGETS).mapInArrow(seen, "bin long, quality1 long, quality0 long, toxic1 long, toxic0 long")
+    counts = C.written(counts.groupBy("bin").agg(*[F.sum(c).cast("double").alias(c) for c in counts.columns[1:]]))
+    out = {}
+    for t, (n1, n0) in y.items():
+        with1, with0 = F.col(f"{t}1"), F.col(f"{t}0")
+        part = (with1 + with0) / float(n1 + n0)
+        term = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+        g = term(with1, part * n1) + term(with0, part * n0) + term(n1 - with1, (1 - part) * n1) + term(n0 - with0, (1 - part) * n0)
+        best = counts.where(with1 + with0 >= 3).select("bin", F.round(g, 9).alias("g")).where("g > 0").orderBy(F.desc("g"), "bin").limit(most)
+        out[t] = np.sort(np.array([r.bin for r in best.collect()], np.int64))
+    return out
+
+
+def _views_of(rows: DataFrame, views: Views) -> pd.DataFrame:
+    """Features of a bounded number of rows, made on the executors: doc_id, the columns of ``rows`` that are no input, and a view a column."""
+    other = [c for c in rows.columns if c not in ("doc_id", "text", *BINS)]
 
     def features(batches):
         for b in batches:
-            both = np.column_stack(_views(b)).astype(np.float32)
-            bins, at = word_bins(*C.text_buffer(b["text"]))
-            words = C.binary_rows(bins.view(np.uint8), at * 4)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"], b["toxic"], pa.array([x.tobytes() for x in both], pa.binary()), words], ["doc_id", "quality", "toxic", "x", "words"])
-
-    got = rows.mapInArrow(features, "doc_id long, quality double, toxic double, x binary, words binary").toPandas()
-    got = got.sort_values(["doc_id", "x", "words"]).drop_duplicates("doc_id")
-    quality, toxic = (got[c].to_numpy(np.float64) for c in ("quality", "toxic"))
-    none = np.zeros(0, np.int64)
-    if np.isnan(quality).all() and np.isnan(toxic).all():
-        return Models(None, None, none, {})
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
-    fold = (C.mix(got["doc_id"].to_numpy(np.int64).astype(U64)) % U64(10)).astype(np.int64)
-    text, metadata = x[:, :_TEXT], x[:, _TEXT:]
-    out = Models(None if np.isnan(quality).all() else co_train(text, metadata, quality, fold), None, none, {})
-    if not np.isnan(toxic).all():
-        bins, at = np.frombuffer(b"".join(got["words"]), np.uint32), np.cumsum(np.append(0, got["words"].str.len().to_numpy(np.int64) // 4))
-        del got
-        out.chosen = telling_bins(bins, at, np.where(fold > 1, toxic, np.nan))
-        text = np.column_stack([text, word_view(bins, at, out.chosen)])
-        out.toxic = co_train(text, metadata, toxic, fold)
-        test = (fold == 1) & ~np.isnan(toxic)
-        found, bad = out.toxic.score(text[test], metadata[test])[2] >= TOXIC, toxic[test] == 1
+            text, metadata = views.of(b)
+            packed = [pa.array([x.tobytes() for x in m.astype(np.float32)], pa.binary()) for m in (*text.values(), metadata)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in other), *packed], ["doc_id", *other, *(f"x_{t}" for t in views.chosen), "metadata"])
+
+    kinds = dict(rows.dtypes)
+    shape = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in other), *(f"x_{t} binary" for t in views.chosen), "metadata binary"])
+    got = rows.mapInArrow(features, shape).toPandas()
+    return got.sort_values(list(got.columns)).drop_duplicates(["doc_id", *other]).reset_index(drop=True)
+
+
+def _matrix(packed: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1).astype(np.float64) if len(packed) else np.zeros((0, 0))
+
+
+def _confident(rows: DataFrame, marks: DataFrame, views: Views, learners: dict[str, CoTraining], used: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, target, teacher and label of the rows to teach: of all unlabelled documents, the most confident ones of each teacher and class."""
+    models = {t: (x.models, x.trust) for t, x in learners.items() if any(x.most.values())}
+
+    def margins(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                text, metadata = views.of(part)
+                ids = np.asarray(part["doc_id"])
+                for t, (views_of, trust) in models.items():
+                    fresh = ~np.isin(ids, used[t])
+                    for teacher, x in enumerate((text[t], metadata)):
+                        m = trust[teacher].margin(views_of[teacher].margin(x)[:, None])
+                        sure = np.flatnonzero(fresh & (np.abs(m) >= np.log(CONFIDENT / (1 - CONFIDENT))))
+                        k = len(sure)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[sure]), pa.array([t] * k, pa.string()), pa.array(np.full(k, teacher)), pa.array((m[sure] > 0).astype(np.float64)), pa.array(np.abs(m[sure]))], ["doc_id", "target", "teacher", "label", "margin"])
+
+    sure = rows.where("doc_id is not null").mapInArrow(margins, "doc_id long, target string, teacher long, label double, margin double")
+    known = marks.select("doc_id", F.explode(F.array(*[F.when(F.col(t).isNotNull(), F.lit(t)) for t in TARGETS])).alias("target")).where("target is not null").distinct()
+    pool = sure.join(known, ["doc_id", "target"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    for keys in (["target", "teacher", "label", "salt"], ["target", "teacher", "label"]):
+        best = W.partitionBy(*keys).orderBy(F.desc(F.round("margin", 9)), F.xxhash64("doc_id"), "doc_id")
+        pool = pool.withColumn("n", F.row_number().over(best)).where(F.col("n") <= PASSED)
+    most = F.coalesce(*[F.when((F.col("target") == t) & (F.col("label") == c), F.lit(k)) for t, x in learners.items() for c, k in x.most.items()])
+    return pool.where(F.col("n") <= most).select("doc_id", "target", "teacher", "label")
+
+
+def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Models:
+    """Trains both targets: on a bounded sample of labelled rows, and on what the views teach each other of all others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns())
+    chosen = C.written(_sample(docs, labels, labelled))
+    marks = chosen.toPandas()
+    fold = _fold(marks["doc_id"].to_numpy(np.int64))
+    targets = [t for t in TARGETS if marks[t].notna().any()]
+    none = Views({t: np.zeros(0, np.int64) for t in targets})
+    if not targets:
+        return Models(none, {})
+    sampled = rows.join(F.broadcast(chosen), "doc_id")
+    classes = {t: tuple(int(((marks[t] == v) & (fold > 1)).sum()) for v in (1, 0)) for t in targets}
+    telling = _telling(sampled, {t: n for t, n in classes.items() if min(n)})
+    views = Views({t: telling.get(t, none.chosen[t]) for t in targets})
+    got = _views_of(sampled, views).drop_duplicates("doc_id")
+    fold, metadata = _fold(got["doc_id"].to_numpy(np.int64)), _matrix(got["metadata"])
+    learners = {t: CoTraining((_matrix(got[f"x_{t}"]), metadata), got[t].to_numpy(np.float64), fold) for t in targets}
+    used, taught = {t: np.zeros(0, np.int64) for t in targets}, []
+    for _ in range(rounds if any(n for x in learners.values() for n in x.most.values()) else 0):
+        pseudo = C.written(_confident(rows, labels, views, learners, used))  # a bounded number for each teacher and class
+        pairs = pseudo.toPandas()
+        if not len(pairs):
+            break
+        taught.append(len(pairs))
+        new = _views_of(rows.join(F.broadcast(pseudo.select("doc_id").distinct()), "doc_id"), views).drop_duplicates("doc_id").set_index("doc_id")
+        for (t, teacher, label), ids in pairs.sort_values(list(pairs.columns)).groupby(["target", "teacher", "label"])["doc_id"]:
+            learners[t].teach(1 - teacher, _matrix(new.loc[ids, f"x_{t}" if teacher == 1 else "metadata"]), label)
+            used[t] = np.union1d(used[t], ids)
+        for x in learners.values():
+            x.fit()
+    out = Models(views, {t: x.model() for t, x in learners.items()}, taught=taught)
+    if "toxic" in out.of:
+        x = learners["toxic"]
+        found, bad = out.of["toxic"].score(*(v[x.test] for v in x.views))[2] >= TOXIC, x.y[x.test] == 1
         out.held_out = {"toxic": int(bad.sum()), "caught": int((found & bad).sum()), "others": int((~bad).sum()), "rejected": int((found & ~bad).sum())}
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
     """The model of quality. None without any labelled document."""
-    return fit_both(docs, labels, labelled, unlabelled).quality
+    return fit_both(docs, labels, labelled).quality
 
 
 SCHEMA = "doc_id long, text_score double, metadata_score double, score double, keep boolean, toxic_score double"
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """Returns one row per input row: doc_id, text_score, metadata_score (calibrated chances of quality 1), score, keep (by quality
     alone) and toxic_score (the chance of toxic 1; a document is toxic from ``TOXIC``).
 
-    Null and empty texts have zero text features; null source, lang and n_chars have bins of their own. Null ids and
+    Null and empty texts have zero text features; very long ones count in full; null source, lang and n_chars have bins of their own. Null ids and
     repeated rows are scored, but only one row of an id trains, and repeated labels count once with the smaller quality and the
     larger toxic. Without labels of quality every document is kept with score 1, without labels of toxic none is toxic. An empty
     table gives no rows. Other columns are ignored.
     """
-    models = fit_both(docs, labels, labelled, unlabelled)
+    models = fit_both(docs, labels, labelled)
 
     def run(batches):
         for b in batches:
@@ -309,9 +401,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns()).mapInArrow(run, SCHEMA)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
-    """The rows that none of ``targets`` rejects, with all their columns."""
-    models, columns = fit_both(docs, labels, labelled, unlabelled), docs.columns
+def keep_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
+    """The rows that none of ``targets`` rejects, with all their columns.
+
+    Rows count as in ``score_documents``: null and empty texts, null ids, very long texts and repeated rows are judged like any others, without
+    labels every row stays, and an empty table gives no rows.
+    """
+    models, columns = fit_both(docs, labels, labelled), docs.columns
 
     def run(batches):
         for b in batches:
