@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_dir, written
+from ..scratch import cleared, mark, shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["cleared", "mark", "shared_dir", "written"]
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at once.
@@ -341,10 +341,12 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` has a and b. Returns node and component, the smallest node that edges reach, for all nodes of edges.
 
     Each round takes the least label among the neighbours, then follows the labels' own labels. Rounds go by way of
-    the shared folder; only the number of changes comes to the driver.
+    the shared folder, each in place of the one before; only whether labels have changed comes to the driver.
     """
+    spark = edges.sparkSession
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.distinct())
+    done = mark(spark)
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
@@ -352,6 +354,7 @@ def components(edges: DataFrame) -> DataFrame:
         far = labels.select(F.col("node").alias("seen"), F.col("component").alias("far"))
         step = written(own.join(far, "seen", "left").select("node", "old", F.least("seen", F.coalesce("far", "seen")).alias("component")))
         changed = step.where("old <> component").limit(1).count()
+        cleared(spark, done, keep=1)
         labels = step.drop("old")
         if not changed:
             return labels

@@ -30,15 +30,25 @@ SPACED = r"(?:\A[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 class Mix:
     """documents: row_id, doc_id, source, size, source_size, target, offset (words of the source before the document).
     drawn: shard, source, epoch, block: the blocks that each output shard takes, one row a slot.
-    corpus: shard, source, epoch, block, at, row_id, words, text: the text of the blocks in ``drawn``, a row for each document
-    that is in one, in order of ``at`` (words of the source before it). Written in the shared folder.
-    taken: row_id, taken: the words of the document that are in ``corpus``.
+    texts: row_id, doc_id, source, size, source_size, target, taken and pieces (shard, epoch, block, at, words, text) of each document
+    that is taken. Written in the shared folder.
     """
 
     documents: DataFrame
     drawn: DataFrame
-    corpus: DataFrame
-    taken: DataFrame
+    texts: DataFrame
+
+    @property
+    def corpus(self) -> DataFrame:
+        """shard, source, epoch, block, at, row_id, words, text: the text of the blocks in ``drawn``, a row for each document that is
+        in one, in order of ``at`` (words of the source before it).
+        """
+        return self.texts.select("row_id", "source", F.explode("pieces").alias("p")).select("p.shard", "source", "p.epoch", "p.block", "p.at", "row_id", "p.words", "p.text")
+
+    @property
+    def taken(self) -> DataFrame:
+        """row_id, taken: the words of the document that are in ``corpus``."""
+        return self.texts.select("row_id", "taken")
 
 
 def n_words(text: str) -> Column:
@@ -118,7 +128,7 @@ def by_leading_keys(spark: SparkSession):
 
 
 def cut(placed: DataFrame, block: int) -> DataFrame:
-    """The pieces of blocks: nil, name, bucket, row_id, block, at, words and text. Each text is split once."""
+    """The pieces of blocks: nil, name, bucket, row_id, about, block, at, words and text. Each text is split once."""
     end = F.col("offset") + F.col("size")
 
     def piece(words: Column, b: Column) -> Column:
@@ -129,7 +139,7 @@ def cut(placed: DataFrame, block: int) -> DataFrame:
 
     numbers = F.sequence(F.floor(F.col("offset") / block), F.floor((end - 1) / block))
     cuts = F.transform(F.array(F.regexp_extract_all("text", F.lit(SPACED), 0)), lambda words: F.transform(numbers, lambda b: piece(words, b)))
-    keys = ["nil", "name", "bucket", "row_id"]
+    keys = ["nil", "name", "bucket", "row_id", "about"]
     return placed.select(*keys, F.explode(F.element_at(cuts, 1)).alias("p")).select(*keys, "p.*")
 
 
@@ -188,10 +198,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
     texts = named(docs.select("doc_id", source, F.col("text").cast("string").alias("text"), digest)).withColumn("bucket", bucket)
     texts = texts.withColumn("nth", F.row_number().over(in_bucket.orderBy("doc_id", "digest"))).select(*keys, "nth", "text")
     with by_leading_keys(docs.sparkSession):
-        pieces = cut(texts.join(full.select(*keys, "nth", "row_id", "offset", "size"), [*keys, "nth"]), block)
-        corpus = written(pieces.join(wanted, [*keys, "block"]).select("shard", "source", "epoch", "block", "at", "row_id", "words", "text"))
-    taken = corpus.groupBy("row_id").agg(F.sum("words").alias("taken"))
-    return Mix(placed.drop(*keys, "nth", "digest"), slots, corpus, taken)
+        about = F.struct("doc_id", "source", "size", "source_size", "target").alias("about")
+        pieces = cut(texts.join(full.select(*keys, "nth", "row_id", "offset", "size", about), [*keys, "nth"]), block).join(wanted.drop("source"), [*keys, "block"])
+        pieces = pieces.groupBy(*keys, "row_id").agg(F.first("about").alias("about"), F.collect_list(F.struct("shard", "epoch", "block", "at", "words", "text")).alias("pieces"))
+        words = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+        corpus = written(pieces.select("row_id", "about.*", words.alias("taken"), "pieces"))
+    return Mix(placed.drop(*keys, "nth", "digest"), slots, corpus)
 
 
 def shard_texts(mix: Mix) -> DataFrame:
@@ -206,6 +218,14 @@ def mixed(mix: Mix) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
+def mixed_texts(mix: Mix) -> DataFrame:
+    """As ``mixed``, with the pieces of each document's text that the mix takes, in order; none for one that is not taken."""
+    columns = ["doc_id", "size", "source_size", "target", "taken", "source", "pieces"]
+    taken = mix.texts.withColumn("pieces", F.sort_array("pieces"))
+    rest = mix.documents.join(mix.texts.select("row_id"), "row_id", "left_anti").withColumn("taken", F.lit(0).cast("long"))
+    return taken.select(columns).unionByName(rest.withColumn("pieces", F.array().cast(mix.texts.schema["pieces"].dataType)).select(columns))
+
+
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     return mixed(mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
