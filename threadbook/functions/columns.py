@@ -62,8 +62,8 @@ def chat_prompt(prompt: str | Column, system: str = SYSTEM_PROMPT) -> Column:
 
 def without_fences(text: str | Column) -> Column:
     t = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
-    bare = F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?\s*\n?", ""), r"\n?```\s*$", "")
-    return F.when(t.startswith("```"), bare).otherwise(t)
+    inner = F.regexp_extract(t, r"(?s)\A`{3}(?:json)?\s*+(.*?)\s*(?:`{3})?\z", 1)
+    return F.when(t.startswith("```"), inner).otherwise(t)
 
 
 def parse_extraction(text: str | Column) -> Column:

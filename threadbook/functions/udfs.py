@@ -29,6 +29,36 @@ def _usable(p: str | None) -> bool:
     return True
 
 
+# What both matchers, the JVM's in (?iud) mode, take alike: literals, one simple class, dots, groups, alternatives, anchors and single quantifiers.
+_ATOM = r"""(?:[A-Za-z0-9_ /:;,=<>@%&'"~.!#-]|\\[.\[\](){}*+?|^$/\\-]|\[\^?[A-Za-z0-9_ .]+(?:-[A-Za-z0-9](?!-))?[A-Za-z0-9_ .]*\])[*+?]?"""
+_ALIKE = re.compile(rf"(?:{_ATOM}|\((?!\?)|\)[*+?]?|[|^$](?![*+?]))*")
+
+
+def _matcher(p: str | None) -> str:
+    if p is None or len(p) > MAX_PATTERN:
+        return "jvm" if p is None else "none"
+    try:
+        re.compile(p, re.IGNORECASE)
+    except (re.error, OverflowError, RecursionError):
+        return "none"
+    return "jvm" if _ALIKE.fullmatch(p) else "python"
+
+
+def pattern_matcher(pattern: str | Column) -> Column:
+    """Which matcher finds the pattern: "jvm" where it means the same there, "python" for any other that compiles, or "none"."""
+    return F.pandas_udf(lambda s: s.map(_matcher), "string")(pattern)
+
+
+def python_search(text: str | Column, pattern: str | Column) -> Column:
+    """Whether the pattern is found in the text in any case, by the matcher that patterns are written for."""
+
+    def run(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+        compiled = {p: re.compile(p, re.IGNORECASE) for p in patterns.unique()}
+        return pd.Series([compiled[p].search(t) is not None for t, p in zip(texts, patterns, strict=True)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(text, pattern)
+
+
 def pattern_ok(pattern: str | Column) -> Column:
     return F.pandas_udf(lambda s: s.map(_usable).astype(bool), "boolean")(pattern)
 
@@ -128,9 +158,15 @@ def hashed_embedder(dimensions: int = 64) -> Callable[[], Callable[[list[str]],
     return load
 
 
+def _unit_rows(m) -> list:
+    m = np.asarray(m, float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return [x.astype(np.float32).tolist() if n > 0 else None for x, n in zip(m / np.where(norm > 0, norm, 1), norm[:, 0], strict=True)]
+
+
 def embed(df: DataFrame, text: str = "raw_text", to: str = "embedding", load=None, batch: int = 64) -> DataFrame:
-    """Adds the unit vector of a text. ``load`` makes an embedder (texts -> matrix) once for each worker; a batch that
-    fails leaves null vectors and its message in ``<to>_error``.
+    """Adds the unit vector of a text. ``load`` makes an embedder (texts -> matrix) once for each worker; the rows of a batch that
+    fails are tried one at a time, and those that fail alone have null vectors and a message in ``<to>_error``.
     """
     load = load or hashed_embedder()
     rest = [c for c in df.columns if c not in (to, f"{to}_error")]
@@ -143,13 +179,20 @@ def embed(df: DataFrame, text: str = "raw_text", to: str = "embedding", load=Non
                 some = s.iloc[i : i + batch].fillna("").tolist()
                 try:
                     model = model or load()
-                    m = np.asarray(model(some), float)
-                    norm = np.linalg.norm(m, axis=1, keepdims=True)
-                    vectors += [x.astype(np.float32).tolist() if n > 0 else None for x, n in zip(m / np.where(norm > 0, norm, 1), norm[:, 0], strict=True)]
-                    errors += [None] * len(some)
+                    made = _unit_rows(model(some)), [None] * len(some)
                 except Exception as e:  # a model's failure is a result
-                    vectors += [None] * len(some)
-                    errors += [f"{type(e).__name__}: {e}"] * len(some)
+                    made = [], []
+                    for t in some:  # which rows it fails on does not depend on their batch
+                        try:
+                            if model is None or len(some) == 1:
+                                raise e
+                            one = _unit_rows(model([t])), [None]
+                        except Exception as why:
+                            one = [None], [f"{type(why).__name__}: {why}"]
+                        made[0].extend(one[0])
+                        made[1].extend(one[1])
+                vectors += made[0]
+                errors += made[1]
             yield pd.DataFrame({"vector": vectors, "error": errors})
 
     made = F.pandas_udf(run, "vector array<float>, error string")(F.col(text).cast("string"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions.udfs import pattern_ok
-from ..schemas import CAPTURED_TOOLS, LISTS, MAX_RETRIES, SKIPPED_TOOLS
+from ..schemas import CAPTURED_TOOLS, CHECKED_TOOLS, LISTS, MAX_RETRIES, SKIPPED_TOOLS
 
 LIST_LIMIT = 100
 
@@ -21,6 +21,11 @@ def capture_allowlist(df: DataFrame, tools: tuple[str, ...] = CAPTURED_TOOLS, to
     return df.where(F.col(tool).isin(*tools))
 
 
+def lesson_checked(df: DataFrame, tool: str = "tool_name") -> DataFrame:
+    """Calls of the tools that lessons are held against."""
+    return capture_allowlist(df, CHECKED_TOOLS, tool)
+
+
 def observation_defaults(df: DataFrame) -> DataFrame:
     """Absent title, type and lists get their defaults."""
     filled = {"title": F.coalesce("title", F.lit("Untitled")), "type": F.coalesce("type", F.lit("discovery"))}

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from .ingest import LIST_LIMIT, validate_trigger_pattern, with_optional_project
+from ..functions.udfs import pattern_matcher, python_search
+from ..scratch import written
+from .ingest import LIST_LIMIT, with_optional_project
 
 #: Rows of lessons up to which they are broadcast; larger tables meet the calls by a shuffle on tool and salt.
 BROADCAST_ROWS = 50_000
@@ -18,23 +20,32 @@ def match_lessons(calls: DataFrame, lessons: DataFrame, projects: DataFrame, k:
     """The lessons that each call (call_id, tool_name, project, preview) hits: active, for its tool or any, for its project or global,
     and without a pattern or with one found in the preview, in any case. Critical first, then by id; at most k a call.
 
-    The tool is an equality on (tool or "any"), so the join hashes. Patterns that do not compile never hit. With a
-    ``candidate_limit`` only so many lessons in that order are tried.
+    The tool is an equality on (tool or "any"), so the join hashes. Patterns are those of Python's ``re``: what the JVM's matcher takes
+    alike is matched there, any other that compiles in Arrow batches, on the pairs that agree in tool and project; what does not compile, or
+    is too long, never hits. No pattern fails the job. With a ``candidate_limit`` only so many lessons in that order are tried.
     """
-    rules = validate_trigger_pattern(with_optional_project(lessons.where("active"), projects)).where("pattern_ok")
-    rules = rules.select(F.col("id").alias("lesson_id"), "severity", "rule", F.col("project_name").alias("lesson_project"), F.col("project_id").isNull().alias("is_global"), F.concat(F.lit("(?i)"), "trigger_pattern").alias("pattern"), F.coalesce("trigger_tool", F.lit("")).alias("tool_key"), X.severity_order().alias("level"))
+    rules = with_optional_project(lessons.where("active"), projects).withColumn("matcher", pattern_matcher("trigger_pattern")).where("matcher <> 'none'")
+    rules = rules.select(F.col("id").alias("lesson_id"), "severity", "rule", F.col("project_name").alias("lesson_project"), F.col("project_id").isNull().alias("is_global"), F.col("trigger_pattern").alias("pattern"), "matcher", F.coalesce("trigger_tool", F.lit("")).alias("tool_key"), X.severity_order().alias("level"))
     if candidate_limit is not None:
         rules = rules.orderBy("level", "lesson_id").limit(candidate_limit)
     keyed = calls.withColumn("tool_key", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("tool_name", F.lit(""))))))
-    found = F.col("pattern").isNull() | F.rlike(F.coalesce("preview", F.lit("")), F.col("pattern"))
     here = F.col("is_global") | (F.col("lesson_project") == F.col("project"))
-    if rules.limit(limit_rows + 1).count() <= limit_rows:
-        joined = keyed.join(F.broadcast(rules), "tool_key")
-    else:
-        spread = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("call_id"), F.lit(SALTS)).cast("int")).join(spread, ["tool_key", "salt"]).drop("salt")
+    rules = written(rules)  # small, and the patterns are looked at once
+    few = rules.count() <= limit_rows
+
+    def met(some: DataFrame) -> DataFrame:
+        if few:
+            return keyed.join(F.broadcast(some), "tool_key").where(here)
+        spread = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return keyed.withColumn("salt", F.pmod(F.xxhash64("call_id"), F.lit(SALTS)).cast("int")).join(spread, ["tool_key", "salt"]).where(here).drop("salt")
+
+    preview = F.coalesce("preview", F.lit(""))
+    pattern = F.concat(F.lit("(?iud)"), F.when(F.col("matcher") == "jvm", F.col("pattern")))  # null where the JVM is not to see it
+    found = met(rules.where("matcher = 'jvm'")).where(F.col("pattern").isNull() | F.rlike(preview, pattern))
+    if rules.where("matcher = 'python'").limit(1).count():
+        found = found.unionByName(met(rules.where("matcher = 'python'")).where(python_search(preview, F.col("pattern"))))
     best = W.partitionBy("call_id").orderBy("level", "lesson_id")
-    hits = joined.where(here & found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    hits = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return hits.select("call_id", "rank", "lesson_id", "severity", "rule", "lesson_project")
 
 
@@ -42,7 +53,8 @@ def format_lesson_hits(hits: DataFrame) -> DataFrame:
     """One text for each call: a heading and a line for each hit."""
     line = F.concat(F.upper("severity"), F.lit(" ["), F.coalesce("lesson_project", F.lit("global")), F.lit("]: "), F.col("rule"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
-    return hits.groupBy("call_id").agg(F.concat_ws("\n", F.lit("## Active Lessons"), lines).alias("message"))
+    heading = F.lit("## Active Lessons")  # fixed value
+    return hits.groupBy("call_id").agg(F.concat_ws("\n", heading, lines).alias("message"))
 
 
 def list_lessons(lessons: DataFrame, projects: DataFrame, project: str | None = None, severity: str | None = None, active: bool | None = True, limit: int = 50) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ STOP_WORDS = tuple(
     all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
 )
 
+_STOP = frozenset(STOP_WORDS)
+#: Lexemes of a search up to which they are looked for within the rows.
+FEW_LEXEMES = 64
+
 
 def lexemes(text: str | Column) -> Column:
     """Words in lower case, in order."""
@@ -33,15 +38,57 @@ def _stemmed(df: DataFrame) -> DataFrame:
     return df.join(stems, "lexeme").withColumn("lexeme", F.col("_stem")).drop("_stem")
 
 
-def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem: bool = False, key: str = "id") -> DataFrame:
-    """lexeme, id, field, weight, tf, positions (from 0, ascending) of the weighted text fields, without stop words. Null fields are empty."""
+def _grouped_words(words: pa.Array) -> pa.Array:
+    """For each list of words its distinct ones but for stop words, in order, with their number and places."""
+    words = words.fill_null([]) if words.null_count else words
+    off = words.offsets.to_numpy().astype(np.int64)
+    coded = words.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = np.argsort(np.argsort(np.array(names, object))) if names else np.zeros(0, np.int64)
+    stop = np.array([n in _STOP for n in names], bool)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(words)), np.diff(off))
+    place = np.arange(len(code)) - (off[:-1] - off[0])[row]
+    kept = np.flatnonzero(~stop[code]) if len(code) else code
+    kept = kept[np.lexsort((place[kept], order[code[kept]], row[kept]))]
+    new = np.append(True, (row[kept][1:] != row[kept][:-1]) | (code[kept][1:] != code[kept][:-1]))[: len(kept)]
+    first = np.append(np.flatnonzero(new), len(kept))
+    lexeme = coded.dictionary.take(pa.array(code[kept[first[:-1]]]))
+    positions = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(place[kept], pa.int32()))
+    entries = pa.StructArray.from_arrays([lexeme.cast(pa.string()), pa.array(np.diff(first), pa.int64()), positions], ["lexeme", "tf", "positions"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[kept[first[:-1]]], np.arange(len(words) + 1)), pa.int32()), entries)
+
+
+def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem: bool = False, key: str = "id", only: DataFrame | None = None) -> DataFrame:
+    """lexeme, id, field, weight, tf, positions (from 0, ascending) of the weighted text fields, without stop words. Null fields are empty.
+
+    ``key`` names a row. Each field's words are grouped where the row is, in Arrow batches, so there is no shuffle but for stems. ``only`` (lexeme)
+    leaves out all others, before anything else is done with them: a search that has no stored index needs a handful.
+    """
     weights = weights or FIELD_WEIGHTS
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), lexemes(f).alias("words")) for f, w in weights.items()])
-    words = df.select(F.col(key).alias("id"), F.explode(fields).alias("f")).select("id", "f.field", "f.weight", F.posexplode("f.words").alias("position", "lexeme"))
-    words = words.where(~F.col("lexeme").isin(*STOP_WORDS))
-    if stem:
-        words = _stemmed(words)
-    return words.groupBy("lexeme", "id", "field", "weight").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    grouped = F.arrow_udf(_grouped_words, "array<struct<lexeme: string, tf: long, positions: array<int>>>")
+    wanted = None
+    if only is not None and not stem:
+        wanted = [r.lexeme for r in only.select("lexeme").distinct().limit(FEW_LEXEMES + 1).collect()]
+        wanted = F.array(*map(F.lit, wanted)).cast("array<string>") if len(wanted) <= FEW_LEXEMES else None
+
+    def words_of(f: str) -> Column:
+        words = lexemes(f)
+        if wanted is None:
+            return grouped(words)
+        places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(wanted, x["w"]))
+        each = lambda w: F.transform(F.filter(places, lambda x: x["w"] == w), lambda x: x["i"])
+        return F.transform(F.array_distinct(F.transform(places, lambda x: x["w"])), lambda w: F.struct(w.alias("lexeme"), F.size(each(w)).cast("long").alias("tf"), each(w).alias("positions")))
+
+    one = df.select(F.col(key).alias("id"), *[words_of(f).alias(f"_{n}") for n, f in enumerate(weights)])
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.col(f"_{n}").alias("words")) for n, (f, w) in enumerate(weights.items())])
+    words = one.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.weight", F.explode("f.words").alias("w")).select("w.lexeme", "id", "field", "weight", "w.tf", "w.positions")
+    if only is not None and wanted is None and not stem:
+        words = words.join(only.select("lexeme").distinct(), "lexeme", "left_semi")
+    if not stem:
+        return words
+    merged = _stemmed(words).groupBy("lexeme", "id", "field", "weight")
+    return merged.agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 BUCKETS = 64
@@ -95,10 +142,13 @@ def fts_rank(queries: DataFrame, postings: DataFrame, first_words: int | None =
 
 def cover_score(positions: list, words: list, weights: list, needed: int) -> float:
     """Sum of weight / span over the minimal covers: stretches that hold every word and no shorter such stretch."""
-    order = np.argsort(positions, kind="stable")
+    order = np.argsort(positions, kind="stable").tolist()
+    upto = [0.0]
+    for i in order:
+        upto.append(upto[-1] + weights[i])
     counts: dict = {}
     total, left = 0.0, 0
-    for at in order:
+    for right, at in enumerate(order):
         counts[words[at]] = counts.get(words[at], 0) + 1
         while len(counts) == needed:
             w = words[order[left]]
@@ -107,17 +157,23 @@ def cover_score(positions: list, words: list, weights: list, needed: int) -> flo
                 left += 1
                 continue
             span = positions[at] - positions[order[left]] + 1
-            total += float(np.mean([weights[i] for i in order[left : np.searchsorted(np.asarray(positions)[order], positions[at], "right")]])) / span
+            total += (upto[right + 1] - upto[left]) / (right + 1 - left) / span
             del counts[w]
             left += 1
     return total
 
 
+#: Places between the last hit in a field and the next field.
+GAP = 1_000_000
+
+
 def fts_cover_rank(queries: DataFrame, postings: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:
     """The matches with a cover-density score: the closer the query's words stand, the higher. Fields follow each other with a gap."""
     hits = _hits(queries, postings, first_words, stem)
-    offset = F.dense_rank().over(W.partitionBy("query_id", "id").orderBy(F.desc("weight"), "field")) * 1_000_000
-    place = hits.withColumn("_offset", offset)
+    ends = hits.groupBy("query_id", "id", "field", "weight").agg((F.max(F.element_at("positions", -1)) + GAP).cast("long").alias("_end"))
+    before = W.partitionBy("query_id", "id").orderBy(F.desc("weight"), "field").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("query_id", "id", "field", F.coalesce(F.sum("_end").over(before), F.lit(0)).alias("_offset"))
+    place = hits.join(ends, ["query_id", "id", "field"])
     spots = F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct((p + F.col("_offset")).alias("p"), F.col("lexeme").alias("l"), F.col("weight").alias("w")))))
     found = place.groupBy("query_id", "id").agg(F.count_distinct("lexeme").alias("n"), F.first("needed").alias("needed"), spots.alias("s")).where("n = needed")
 

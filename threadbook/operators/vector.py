@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ def _by_blocks(k: int):
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, path: str | None = None, by: str | None = None) -> DataFrame:
     """The k most similar rows of ``corpus`` (id, embedding) for each query (query_id, vector): query_id, id, score, rank from 0.
 
-    Only ids and vectors move. With few queries (path "sql") the corpus stays where it is; with many (path "matmul") shards
+    Only ids and vectors move. With few queries (path "sql") the corpus stays where it is; with many, or by path "matmul", shards
     of the corpus meet blocks of queries, and each pair keeps k rows a query. ``by`` is a column of both sides that must be
     equal, such as a project. Filters belong on the corpus, so that they are applied before the cut.
     """
@@ -49,47 +49,73 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, path: str | None
     q = _vectors(queries, "query_id", "vector", *keep)
     c = _vectors(corpus, "id", "embedding", *keep)
     if path is None:
-        path = "sql" if by or q.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else "matmul"
-    if path == "sql":
+        path = "sql"
+    if path == "sql" and q.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
         q = q.withColumnRenamed("unit", "q_unit")
-        pairs = c.join(F.broadcast(q), by) if by else c.join(F.broadcast(q))  # FEW_QUERIES vectors at most, unless by is given
+        pairs = c.join(F.broadcast(q), by) if by else c.join(F.broadcast(q))  # FEW_QUERIES vectors at most
         scored = pairs.select("query_id", "id", F.round(X.dot("q_unit", "unit"), DIGITS).alias("score"))
     else:
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(c.count() / SHARD))
         chunks = max(1, math.ceil(q.count() / CHUNK))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-        left = c.select("id", "unit", deal("id", shards).alias("shard"), each(chunks).alias("chunk"))
-        right = q.select("query_id", "unit", deal("query_id", chunks).alias("chunk"), each(shards).alias("shard"))
-        scored = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(_by_blocks(k), SCORED)
+        left = c.select("id", "unit", *keep, deal("id", shards).alias("shard"), each(chunks).alias("chunk"))
+        right = q.select("query_id", "unit", *keep, deal("query_id", chunks).alias("chunk"), each(shards).alias("shard"))
+        keys = [*keep, "shard", "chunk"]
+        scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_by_blocks(k), SCORED)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "id", "score", (F.col("rank") - 1).cast("int").alias("rank"))
 
 
-def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 16, bits: int = 7, probes: int = 1, seed: int = 7) -> DataFrame:
+TABLES, BITS = 16, 7
+INDEX = "id long, table int, bucket long"
+
+
+def _buckets(df: DataFrame, key: str, tables: int, bits: int, dims: int, seed: int) -> DataFrame:
+    """key, table and bucket of each unit vector: the signs of ``bits`` random projections a table."""
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, dims))
+
+    def signs(s: pd.Series) -> pd.Series:
+        m = np.stack(s.to_list()) if len(s) else np.zeros((0, dims))
+        b = (m @ planes.T > 0).reshape(len(s), tables, bits)
+        return pd.Series(list((b * (1 << np.arange(bits))).sum(2)))
+
+    return df.where(F.size("unit") == dims).select(key, F.posexplode(F.pandas_udf(signs, "array<long>")("unit")).alias("table", "bucket"))
+
+
+def build_ann(corpus: DataFrame, dims: int, tables: int = TABLES, bits: int = BITS, seed: int = 7) -> DataFrame:
+    """The index of ``corpus`` (id, embedding): id, table, bucket, for every row with a vector of ``dims`` numbers."""
+    return _buckets(_vectors(corpus, "id", "embedding"), "id", tables, bits, dims, seed)
+
+
+def write_ann(index: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Stores an index by table and sorted by bucket, so that a search reads the row groups of its buckets; ``mode`` append adds new rows."""
+    index.repartition("table", F.pmod(F.xxhash64("bucket"), F.lit(8))).sortWithinPartitions("table", "bucket").write.mode(mode).partitionBy("table").parquet(path)
+
+
+def read_ann(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, tables: int = TABLES, bits: int = BITS, probes: int = 1, seed: int = 7, index: DataFrame | None = None) -> DataFrame:
     """About the k most similar rows, by signs of random projections: a row is looked at if it shares the bucket of a query in one
     of ``tables``, or a bucket that differs in one sign (``probes`` = 1). Shape as of vector_topk; tests measure a recall of 0.9 and more, on
     vectors without any structure too, where about half of all pairs are looked at; structured ones need far fewer.
 
-    Every row is indexed. Buckets meet by a hash join; a pair found in several tables is scored once.
+    Every row is indexed, in ``index`` (a stored one of the same parameters) or on the way. Buckets meet by a hash join of ids alone; each pair
+    is scored once, with vectors fetched for it.
     """
     dims = corpus.where("embedding is not null").select(F.size("embedding")).first()
     if dims is None:
         return vector_topk(queries, corpus, k, "matmul")
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, dims[0]))
-
-    def signs(s: pd.Series) -> pd.Series:
-        m = np.stack(s.to_list()) if len(s) else np.zeros((0, dims[0]))
-        b = (m @ planes.T > 0).reshape(len(s), tables, bits)
-        return pd.Series(list((b * (1 << np.arange(bits))).sum(2)))
-
-    keyed = F.pandas_udf(signs, "array<long>")
-    c = _vectors(corpus, "id", "embedding").select("id", "unit", F.posexplode(keyed("unit")).alias("table", "bucket"))
+    held = build_ann(corpus, dims[0], tables, bits, seed) if index is None else index
     near = F.array(F.col("bucket"), *[F.col("bucket").bitwiseXOR(F.lit(1 << i)) for i in range(bits)][: bits if probes else 0])
-    q = _vectors(queries, "query_id", "vector").select("query_id", F.col("unit").alias("q_unit"), F.posexplode(keyed("unit")).alias("table", "bucket"))
-    q = q.withColumn("bucket", F.explode(near))
-    pairs = c.join(q, ["table", "bucket"]).groupBy("query_id", "id").agg(F.round(F.first(X.dot("q_unit", "unit")), DIGITS).alias("score"))
+    q = _vectors(queries, "query_id", "vector")
+    asked = _buckets(q, "query_id", tables, bits, dims[0], seed).withColumn("bucket", F.explode(near))
+    pairs = held.join(asked, ["table", "bucket"]).select("query_id", "id").distinct()
+    scored = pairs.join(_vectors(corpus, "id", "embedding"), "id").join(q.withColumnRenamed("unit", "q_unit"), "query_id")
+    scored = scored.select("query_id", "id", F.round(X.dot("q_unit", "unit"), DIGITS).alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "id", "score", (F.col("rank") - 1).cast("int").alias("rank"))

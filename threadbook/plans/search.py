@@ -48,9 +48,11 @@ def _branches(queries: DataFrame, corpus: DataFrame, weights: dict[str, float],
     if s.mode in ("hybrid", "vector") and "embedding" in corpus.columns:
         out.append(vector_topk(queries, corpus, k))
     if s.mode in ("hybrid", "fts"):
-        index = text.build_postings(corpus, weights, s.stem) if postings is None else postings.join(corpus.select("id"), "id", "left_semi")
-        score = text.fts_cover_rank if s.cover else text.fts_rank
-        out.append(text.ranked(score(queries, index, s.first_words, s.stem), k))
+        index = text.build_postings(corpus, weights, s.stem, only=text.query_lexemes(queries, s.first_words)) if postings is None else postings
+        scored = (text.fts_cover_rank if s.cover else text.fts_rank)(queries, index, s.first_words, s.stem)
+        if postings is not None:  # the lexemes have cut the index to its hits
+            scored = scored.join(corpus.select("id"), "id", "left_semi").select("query_id", "id", "score")
+        out.append(text.ranked(scored, k))
     return out
 
 

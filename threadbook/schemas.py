@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names and types of tables and fields, and the domain's values.
 LISTS = ("facts", "concepts", "files_read", "files_modified")
 
 TABLES = {
@@ -25,13 +26,10 @@ def schema(ddl: str) -> T.StructType:
 TOOL_CALL = "session_id string, tool_name string, tool_input string, tool_response_preview string, cwd string, last_user_message string"
 EXTRACTION = "skip boolean, title string, subtitle string, type string, narrative string, facts array<string>, concepts array<string>, files_read array<string>, files_modified array<string>"
 
-# Fixed values of the domain.
 OBSERVATION_TYPES = ("decision", "bugfix", "feature", "refactor", "discovery", "change", "pattern", "gotcha")
 LEGACY_TYPES = ("decision", "bugfix", "feature", "refactor", "discovery", "change")
-CONCEPT_TAGS = ("how-it-works", "why-it-exists", "what-changed", "problem-solution", "gotcha", "pattern", "trade-off")
 SEVERITIES = ("critical", "warning", "info")
 SESSION_STATUS = ("active", "completed", "failed")
-QUEUE_STATUS = ("pending", "processing", "done", "failed", "skipped")
 SKIPPED_TOOLS = (
     "ListMcpResourcesTool", "SlashCommand", "Skill", "TodoWrite", "AskUserQuestion", "TaskCreate", "TaskUpdate",
     "TaskGet", "TaskList", "TaskOutput", "TaskStop", "EnterPlanMode", "ExitPlanMode",

@@ -3,47 +3,105 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import columns as X
 from ..functions.udfs import embed, extract
-from ..operators.ingest import advance_queue, observation_defaults
+from ..operators.ingest import advance_queue, observation_defaults, resolve_session_project, validate_observations
 from ..operators.lessons import match_lessons
-from ..schemas import SKIPPED_TOOLS
+from ..schemas import MAX_RETRIES, SKIPPED_TOOLS
+from ..scratch import cleared, mark, written
 from ..sources.tables import payload_hash
 
 
-def process_queue(queue: DataFrame, extractor: Callable[[str], str | None], at: str, load=None, fallback=None) -> tuple[DataFrame, DataFrame]:
+def process_queue(queue: DataFrame, extractor: Callable[[str], str | None], at: str, load=None, fallback=None, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One batch of queue rows: finished observations, and the queue after it. Low-value tools and answers that say so are skipped;
-    a missing or broken answer is an error and is tried again later.
+    a missing or broken answer, or one that breaks the table's constraints, is an error and is tried again later.
+
+    With ``sessions`` the project is that of the row's session, and a row without one is an error that no model is asked about; else it is
+    named after the working directory. The model is asked once a row: answers are written before anything is derived from them.
     """
     due = queue.where("status = 'pending'")
     skipped = F.coalesce(F.col("tool_name"), F.lit("")).isin(*SKIPPED_TOOLS)
-    asked = extract(due.where(~skipped).withColumn("prompt", X.extraction_prompt()), extractor, fallback)
-    outcomes = asked.select("id", "outcome").unionByName(due.where(skipped).select("id", F.lit("skip").alias("outcome")))
-    made = asked.where("outcome = 'ok'").select(F.col("id").alias("queue_id"), "session_id", X.derive_project("cwd").alias("project"), "tool_name", "created_at", "data.*").drop("skip")
-    made = observation_defaults(made).withColumn("raw_text", X.build_raw_text())
-    return embed(made, load=load), advance_queue(queue, outcomes, at)
-
-
-def stream_observations(queue: DataFrame, extractor: Callable[[str], str | None], sink: str, checkpoint: str, at: str, load=None, fallback=None) -> StreamingQuery:
+    outcomes = [due.where(skipped).select("id", F.lit("skip").alias("outcome"))]
+    work, project = due.where(~skipped), X.derive_project("cwd").alias("project")
+    if sessions is not None:
+        held = resolve_session_project(work, sessions)
+        outcomes.append(held.where("outcome = 'error'").select("id", "outcome"))
+        work, project = held.where("outcome is null").drop("outcome", "session_key"), F.col("project_id")
+    asked = extract(work.withColumn("prompt", X.extraction_prompt()), extractor, fallback)
+    asked = written(asked.select("id", "session_id", project, "tool_name", "created_at", "outcome", "data"))
+    made = asked.where("outcome = 'ok'").select(F.col("id").alias("queue_id"), "session_id", asked.columns[2], "tool_name", "created_at", "data.*").drop("skip")
+    made, rejects = validate_observations(observation_defaults(made).withColumn("raw_text", X.build_raw_text()))
+    outcomes += [asked.where("outcome <> 'ok'").select("id", "outcome"), made.select(F.col("queue_id").alias("id"), F.lit("ok").alias("outcome")), rejects.select(F.col("queue_id").alias("id"), F.lit("error").alias("outcome"))]
+    return embed(made, load=load), advance_queue(queue, reduce(DataFrame.unionByName, outcomes), at)
+
+
+def stream_observations(queue: DataFrame, extractor: Callable[[str], str | None], sink: str, checkpoint: str, at: str, load=None, fallback=None, sessions: DataFrame | None = None, retry: bool = False) -> StreamingQuery:
     """The queue as a stream. Each micro-batch writes its observations and queue rows to a folder of its number, so a batch that runs
-    again replaces what it wrote. Rows that have to be retried stay pending below ``sink``/queue; ``retry_failed`` reads them.
+    again replaces what it wrote. Rows that have to be retried stay pending below ``sink``/queue.
+
+    With ``retry``, they go into the next batch, and only rows that are through stay below ``sink``/queue; those that wait are in
+    ``sink``/pending, and ``finish_retries`` sees to them when no more batches come.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        made, after = process_queue(batch, extractor, at, load, fallback)
-        made.write.mode("overwrite").parquet(f"{sink}/observations/batch={number}")
-        after.write.mode("overwrite").parquet(f"{sink}/queue/batch={number}")
-        batch.unpersist()
+        step = mark(spark := batch.sparkSession)
+        held = _waiting(spark, sink, number - 1, batch.schema) if retry and number else None
+        batch = written(batch if held is None else batch.unionByName(held))
+        try:
+            _process(batch, str(number), extractor, sink, at, load, fallback, sessions, retry)
+        finally:
+            cleared(spark, step)
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _process(batch: DataFrame, name: str, extractor, sink: str, at: str, load, fallback, sessions, retry: bool) -> int:
+    """Writes one batch under ``name``; gives the number of rows that wait."""
+    made, after = process_queue(batch, extractor, at, load, fallback, sessions)
+    save = lambda df, folder: df.write.mode("overwrite").parquet(f"{sink}/{folder}/batch={name}")
+    save(made, "observations")
+    if not retry:
+        save(after, "queue")
+        return 0
+    waits = after.where("status = 'pending'")
+    save(after.where("status <> 'pending'"), "queue")
+    save(waits, "pending")
+    return batch.sparkSession.read.schema(batch.schema).parquet(f"{sink}/pending/batch={name}").count()
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName().removeprefix("batch=") for s in store.listStatus(path)] if store.exists(path) else []
+
+
+def _waiting(spark: SparkSession, sink: str, number: int, schema) -> DataFrame | None:
+    """The rows that wait after batch ``number`` and what ``finish_retries`` did after it."""
+    after = [n for n in _names(spark, f"{sink}/pending") if n.split(".")[0] == str(number)]
+    last = max(after, key=lambda n: int((n.split(".") + ["0"])[1]), default=None)
+    return None if last is None else spark.read.schema(schema).parquet(f"{sink}/pending/batch={last}")
+
+
+def finish_retries(spark: SparkSession, schema, extractor: Callable[[str], str | None], sink: str, at: str, load=None, fallback=None, sessions: DataFrame | None = None) -> int:
+    """Processes what waits below ``sink``/pending again until nothing does: a row ends as done, skipped or failed after ``MAX_RETRIES`` retries
+    at most. ``schema`` is the queue's. For a stream that is not running. Returns the number of rounds.
+    """
+    for step in range(MAX_RETRIES + 2):
+        number = max((int(n.split(".")[0]) for n in _names(spark, f"{sink}/pending")), default=None)
+        held = None if number is None else _waiting(spark, sink, number, schema)
+        if held is None or not held.limit(1).count():
+            return step
+        last = max(int((n.split(".") + ["0"])[1]) for n in _names(spark, f"{sink}/pending") if n.split(".")[0] == str(number))
+        _process(held, f"{number}.{last + 1}", extractor, sink, at, load, fallback, sessions, True)
+    return MAX_RETRIES + 2
+
+
 def retry_failed(queue: DataFrame) -> DataFrame:
     """Rows of a finished batch that go into the next one."""
     return queue.where("status = 'pending' and retry_count > 0")
