@@ -32,11 +32,11 @@ from . import common as C
 
 U64 = np.uint64
 _AT = U64((1 << 24) - 1)
-_STEP = 1 << 20
+_STEP = 1 << 19
 SHARED, WINDOWS = 1, 2
 NO_ID = np.iinfo(np.int64).max
 #: Windows that are looked at in one numpy pass, suffixes that are sorted together, and symbols by which prefixes grow.
-BATCH, GROUP, LONGER = 400_000, 50_000, 8
+BATCH, GROUP, LONGER = 200_000, 25_000, 8
 
 
 @dataclass(frozen=True)
