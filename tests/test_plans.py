@@ -33,3 +33,18 @@ def test_scans_read_what_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in text
     one = plan(QUERIES["get_observation"](spark, f"{DATA}/sf0.001"))
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,42)]" in one
+
+
+def test_time_lines_have_no_window_over_a_session(spark):
+    text = plan(QUERIES["timeline"](spark, f"{DATA}/sf0.001"))
+    assert "Window" not in text
+
+
+def test_index_buckets_meet_without_vectors(spark):
+    text = plan(QUERIES["write_ann"](spark, f"{DATA}/sf0.001"))
+    joined = next(line for line in text.splitlines() if "Join" in line and "bucket" in line)
+    assert "unit" not in joined
+
+
+def test_stored_index_is_cut_by_lexemes_first(spark):
+    assert "dynamicpruning" in plan(QUERIES["hybrid_search_stored"](spark, f"{DATA}/sf0.001"))

@@ -68,3 +68,58 @@ def test_spool(spark, tmp_path):
 def test_late_retry(spark):
     queue = spark.createDataFrame([(1, "pending", 1), (2, "pending", 0), (3, "failed", 4)], "id long, status string, retry_count int")
     assert [r.id for r in streams.retry_failed(queue).select(F.col("id")).collect()] == [1]
+
+
+QUEUE = "id long, session_id string, tool_name string, tool_input string, tool_response_preview string, cwd string, last_user_message string, status string, retry_count int, created_at timestamp, processed_at timestamp"
+
+
+def queue_row(i, session="s", cwd="/w/p", message=None, tool="Bash", retries=0):
+    return (i, session, tool, "{}", None, cwd, message, "pending", retries, datetime(2024, 1, 1), None)
+
+
+def counted(path):
+    """A model that leaves a line for each prompt it is asked."""
+
+    def ask(prompt):
+        with open(path, "a") as f:
+            f.write("x\n")
+        kind = prompt.split("User request: ")[1].split("\n")[0]
+        return {"good": '{"title": "t", "type": "change"}', "odd": '{"title": "t", "type": "rumour"}', "skip": '{"skip": true}'}.get(kind)
+
+    return ask
+
+
+def test_the_model_is_asked_once_a_row(spark, tmp_path):
+    rows = [queue_row(i, message=m) for i, m in enumerate(["good", "odd", "skip", "none"] * 5)] + [queue_row(90, message="good", tool="TodoWrite"), queue_row(91, "nowhere", message="good")]
+    queue = spark.createDataFrame(rows, QUEUE).repartition(3)
+    sessions = spark.createDataFrame([(7, "s", 3)], "id long, session_id string, project_id long")
+    made, after = streams.process_queue(queue, counted(f"{tmp_path}/calls"), NOW, sessions=sessions)
+    assert {(r.queue_id, r.project_id) for r in made.collect()} == {(i, 3) for i in range(0, 20, 4)}
+    status = {r.id: (r.status, r.retry_count) for r in after.collect()}
+    want = {"good": ("done", 0), "odd": ("pending", 1), "skip": ("skipped", 0), "none": ("pending", 1)}
+    assert status == {**{r[0]: want[r[6]] for r in rows[:20]}, 90: ("skipped", 0), 91: ("pending", 1)}
+    assert sum(1 for _ in open(f"{tmp_path}/calls")) == 20
+
+
+def test_retries_come_back_and_end(spark, tmp_path):
+    sink, ask = f"{tmp_path}/sink", counted(f"{tmp_path}/calls")
+    batches = [[queue_row(1, message="good"), queue_row(2, message="none")], [queue_row(3, message="odd")], [queue_row(4, message="skip")]]
+    s = stream_of(spark, str(tmp_path / "in"), batches, QUEUE)
+    streams.stream_observations(s, ask, sink, f"{tmp_path}/state", NOW, retry=True).awaitTermination()
+    waits = {r.id: r.retry_count for r in streams._waiting(spark, sink, 2, s.schema).collect()}
+    assert set(waits) == {2, 3} and waits[2] >= waits[3] >= 1
+    assert streams.finish_retries(spark, s.schema, ask, sink, NOW) >= 1
+    assert streams.finish_retries(spark, s.schema, ask, sink, NOW) == 0
+    read = lambda t: spark.read.option("recursiveFileLookup", "true").parquet(f"{sink}/{t}")
+    assert {r.id: (r.status, r.retry_count) for r in read("queue").collect()} == {1: ("done", 0), 2: ("failed", 4), 3: ("failed", 4), 4: ("skipped", 0)}
+    assert [r.queue_id for r in read("observations").collect()] == [1]
+    assert sum(1 for _ in open(f"{tmp_path}/calls")) == 1 + 4 + 4 + 1
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    sink, ask = f"{tmp_path}/sink", counted(f"{tmp_path}/calls")
+    batch = spark.createDataFrame([queue_row(1, message="good"), queue_row(2, message="none")], QUEUE)
+    for _ in (1, 2):
+        assert streams._process(batch, "0", ask, sink, NOW, None, None, None, True) == 1
+    read = lambda t: spark.read.parquet(f"{sink}/{t}")
+    assert (read("observations").count(), read("queue").count(), read("pending").count()) == (1, 1, 1)

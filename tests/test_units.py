@@ -1,5 +1,6 @@
 """Pinned cases, one by one."""
 
+import re
 from datetime import datetime
 
 import numpy as np
@@ -11,6 +12,7 @@ from threadbook.functions import udfs
 from threadbook.operators import dims, fusion, ingest, lessons, sessions, text, vector
 from threadbook.plans import search
 from threadbook.sources import tables
+from threadbook.streaming import streams
 
 T0 = datetime(2024, 2, 15)
 
@@ -366,3 +368,66 @@ def test_import_twice_changes_nothing(spark):
     new = ingest.legacy_new_rows(legacy, legacy.where("id < 2"))
     assert new.count() == 3 and ingest.legacy_new_rows(legacy, legacy.where("id < 2").unionByName(new)).count() == 0
 
+
+
+BRACES = ['{"K"', "a{,3}{", "${HOME}", "[[]x", "a{2}b", "(?P<n>k)ey", "(?i)x(?-i:Y)z", "(", "[z-a]", "x" * 501, "ſet", "pass(word|wd)?s*", "[a-c_]+\\.py$", "^ls -l", "tab\\tend", "\\bcat\\b"]
+PREVIEWS = ['see {"k": 1}', "aaa{", "${HOME}", "[x", "AAB", "Key", "xYZ", "SET", "passwds", "lib/AB_c.PY", "LS -L", "tab\tend", "a CAT sat", "", None]
+
+
+def _brace_case(spark):
+    rules = spark.createDataFrame([(i, None, "critical", "r", None, p, True) for i, p in enumerate(BRACES)], "id long, project_id long, severity string, rule string, trigger_tool string, trigger_pattern string, active boolean")
+    calls = spark.createDataFrame([(i, "Bash", "p", t) for i, t in enumerate(PREVIEWS)], "call_id long, tool_name string, project string, preview string")
+    want = set()
+    for i, p in enumerate(BRACES):
+        for j, t in enumerate(PREVIEWS):
+            try:
+                hit = len(p) <= 500 and re.search(p, t or "", re.IGNORECASE) is not None
+            except re.error:
+                hit = False
+            if hit:
+                want.add((j, i))
+    return calls, rules, spark.createDataFrame([(1, "p")], "id long, name string"), want
+
+
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_no_pattern_fails_the_job(spark, tmp_path):
+    calls, rules, projects, want = _brace_case(spark)
+    assert {udfs._matcher(p) for p in BRACES} == {"jvm", "python", "none"}
+    for rows in (50_000, 3):
+        got = lessons.match_lessons(calls, rules, projects, k=50, limit_rows=rows)
+        assert set(values(got, "call_id", "lesson_id")) == want
+    calls.write.parquet(str(tmp_path / "calls"))
+    stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls"))
+    streams.stream_lesson_matches(stream, rules, projects, str(tmp_path / "sink"), str(tmp_path / "state"), 50).awaitTermination()
+    assert set(values(spark.read.parquet(str(tmp_path / "sink")), "call_id", "lesson_id")) == want
+
+
+def test_covers_in_long_fields(spark):
+    """The score of a text with very many hits takes no quadratic time, and fields never overlap."""
+    n = 200_000
+    assert text.cover_score(list(range(n)), ["a", "b"] * (n // 2), [1.0] * n, 2) == pytest.approx((n - 1) / 2)
+    docs = spark.createDataFrame([(1, "x " * 50 + "cat", "dog " + "x " * 50)], "id long, title string, raw_text string")
+    got = text.fts_cover_rank(spark.createDataFrame([(1, "dog cat")], "query_id long, text string"), text.build_postings(docs, {"title": 1.0, "raw_text": 1.0})).first()
+    assert got.score < 1e-5
+
+
+def test_postings_of_wanted_words_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"A cat w{i % 5} and a cat w{i % 3} the", None if i % 2 else f"w{i % 3} dog") for i in range(40)], "id long, title string, raw_text string")
+    weights = {"title": 1.0, "raw_text": 0.1}
+    only = spark.createDataFrame([("cat",), ("w1",), ("dog",), ("cat",)], "lexeme string")
+    every = sorted(map(str, text.build_postings(docs, weights).where("lexeme in ('cat', 'w1', 'dog')").collect()))
+    assert sorted(map(str, text.build_postings(docs, weights, only=only).collect())) == every
+    monkeypatch.setattr(text, "FEW_LEXEMES", 1)
+    assert sorted(map(str, text.build_postings(docs, weights, only=only).collect())) == every
+    assert "Exchange" not in text.build_postings(docs, weights)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_queries_of_one_group_are_not_broadcast(spark):
+    r = np.random.default_rng(0)
+    corpus = spark.createDataFrame([(i, i % 3, r.normal(size=4).tolist()) for i in range(300)], "id long, project_id long, embedding array<float>")
+    queries = corpus.select(F.col("id").alias("query_id"), "project_id", F.col("embedding").alias("vector"))
+    many = vector.vector_topk(queries, corpus, 4, by="project_id")
+    assert "FlatMapCoGroups" in many._jdf.queryExecution().executedPlan().toString()
+    few = queries.where("query_id < 60")
+    a = sorted(values(vector.vector_topk(few, corpus, 4, by="project_id"), "query_id", "id", "rank"))
+    assert a == [x for x in sorted(values(many, "query_id", "id", "rank")) if x[0] < 60]

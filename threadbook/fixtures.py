@@ -131,8 +131,8 @@ class Fixtures:
 
     @cached_property
     def queries(self) -> DataFrame:
-        few = self.read("embeddings").where(F.col("vec_id") < len(TEXTS))  # the stated query set
-        return few.select(F.col("vec_id").alias("query_id"), _pick(TEXTS, F.col("vec_id")).alias("text"), F.col("embedding").alias("vector"))
+        stated = self.read("embeddings").where(F.col("vec_id") % 100 == 0)  # the stated query set
+        return stated.select(F.col("vec_id").alias("query_id"), _pick(TEXTS, F.floor(F.col("vec_id") / 100) % len(TEXTS)).alias("text"), F.col("embedding").alias("vector"))
 
     @cached_property
     def models(self) -> DataFrame:
@@ -172,7 +172,7 @@ CTES = {
   CASE WHEN item_id % 3 = 0 THEN 'PURCHASE|ERROR' WHEN item_id % 11 <> 1 THEN '"K": [' || (item_id % 10) || (item_id * 3 % 10) || '][0-9]' END AS trigger_pattern,
   substr(text, 1, 80) || chr(10) || text AS raw_text, item_id % 13 <> 12 AS active, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(item_id AS INTEGER)) AS created_at FROM benchmark""",
     "legacy": "SELECT id, CASE WHEN id % 50 <> 0 THEN title END AS title, 'src' || project_id AS project, created_at FROM observations",
-    "queries": f"SELECT vec_id AS query_id, ({_list(TEXTS)})[1 + vec_id] AS text, embedding AS vector FROM embeddings WHERE vec_id < {len(TEXTS)}",
+    "queries": f"SELECT vec_id AS query_id, ({_list(TEXTS)})[1 + (vec_id // 100) % {len(TEXTS)}] AS text, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0",
 }
 NEEDS = {"sessions": ["observations"], "legacy": ["observations"], "calls": ["queue"]}
 

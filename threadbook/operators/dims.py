@@ -10,6 +10,7 @@ from ..functions import columns as X
 from ..functions.udfs import embed
 from ..schemas import SESSION_STATUS
 from ..scratch import written
+from .ingest import observation_defaults, validate_observations, validate_trigger_pattern
 
 
 def assign_ids(df: DataFrame, order: list[str], base: int = 0, name: str = "id") -> DataFrame:
@@ -84,7 +85,8 @@ def record_triggers(lessons: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumns({"trigger_count": F.col("trigger_count") + F.coalesce("_n", F.lit(0)), "last_triggered_at": F.coalesce("_last", "last_triggered_at")}).select(*lessons.columns)
 
 
-MEMORY_SESSION, MEMORY_PROJECT = "manual-memories", "manual"
+# Fixed values.
+MEMORY_SESSION, MEMORY_PROJECT, AGENT = "manual-memories", "manual", "claude-code"
 
 
 def save_memories(df: DataFrame, load=None) -> DataFrame:
@@ -108,6 +110,44 @@ def create_observations(df: DataFrame, load=None) -> DataFrame:
     return embed(df.withColumn("raw_text", X.build_raw_text()), load=load)
 
 
+def with_ids(rows: DataFrame, projects: DataFrame, sessions: DataFrame | None, at: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``rows`` (project and, with ``sessions``, session_id) with project_id and session_key, and the tables with a new row for each project and
+    session that was missing. A null project stays without one. A session's project is the first seen, by name.
+    """
+    projects = written(ensure_projects(projects, rows.select(F.col("project").alias("name"))))
+    out = rows.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project", "left")
+    if sessions is None:
+        return out, projects, None
+    when = F.to_timestamp(F.lit(at)).alias("created_at")
+    events = out.where("session_id is not null").select("session_id", "project_id", F.lit(AGENT).alias("agent_type"), when)
+    sessions = written(ensure_sessions(sessions, events))
+    return out.join(sessions.select("session_id", F.col("id").alias("session_key")), "session_id", "left"), projects, sessions
+
+
+def store_memories(df: DataFrame, projects: DataFrame, sessions: DataFrame, at: str, load=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``save_memories`` with the ids of project and session, both made where they are missing; and the tables after it."""
+    return with_ids(save_memories(df, load), projects, sessions, at)
+
+
+def store_lessons(df: DataFrame, projects: DataFrame, at: str, load=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``create_lessons`` with the project's id, made where it is missing (global lessons have none); the projects after it; and the rules
+    that are refused for their pattern.
+    """
+    held = validate_trigger_pattern(df)
+    rows, projects, _ = with_ids(create_lessons(held.where("pattern_ok").drop("pattern_ok"), load), projects, None, at)
+    return rows, projects, held.where("not pattern_ok").drop("pattern_ok")
+
+
+def store_observations(df: DataFrame, projects: DataFrame, sessions: DataFrame, at: str, load=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``create_observations`` with defaults for what is absent and the ids of project and session, both made where they are missing; the
+    tables after it; and the rows that break the constraints of the table.
+    """
+    made = observation_defaults(df).withColumn("raw_text", X.build_raw_text())
+    ok, rejects = validate_observations(made)
+    rows, projects, sessions = with_ids(embed(ok, load=load), projects, sessions, at)
+    return rows, projects, sessions, rejects
+
+
 def register_model(models: DataFrame, name: str, dimensions: int, provider: str | None = None) -> DataFrame:
     """The models with ``name`` as the only default, added if it is new."""
     is_it = F.col("model_name") == name

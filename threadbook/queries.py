@@ -206,6 +206,14 @@ def ann_topk(x):
     return vector.ann_topk(_many(x), x.observations, 20)
 
 
+@query()
+def write_ann(x):
+    path = shared_dir(x.spark)
+    vector.write_ann(vector.build_ann(x.observations.where("id % 2 = 0"), 64), path)
+    vector.write_ann(vector.build_ann(x.observations.where("id % 2 = 1"), 64), path, "append")
+    return vector.ann_topk(_many(x), x.observations, 20, index=vector.read_ann(x.spark, path))
+
+
 @query(with_tables("observations", "SELECT lexeme, id, field, weight, tf, positions FROM postings", **_postings(FIELD_WEIGHTS, "observations")))
 def build_postings(x):
     return text.build_postings(x.rows).select("lexeme", "id", "field", "weight", "tf", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"))
@@ -273,6 +281,13 @@ def hybrid_search(x):
     return _index(search.hybrid_search(x.queries, x.observations, x.projects, NOW))
 
 
+@query(SQL["hybrid_search"])
+def hybrid_search_stored(x):
+    path = shared_dir(x.spark)
+    text.write_postings(text.build_postings(x.rows), path)
+    return _index(search.hybrid_search(x.queries, x.observations, x.projects, NOW, postings=text.read_postings(x.spark, path)))
+
+
 _NARROW = "project_id = 3 AND type IN ('decision', 'bugfix', 'refactor', 'pattern', 'gotcha') AND created_at >= TIMESTAMP '2024-01-02 00:00:00' AND created_at <= TIMESTAMP '2024-02-20 00:00:00'"
 
 
@@ -321,6 +336,11 @@ def capture_allowlist(x):
     return ingest.capture_allowlist(x.queue).select("id", "tool_name")
 
 
+@query(with_tables("queue", "SELECT id, tool_name FROM queue WHERE tool_name IN ('Edit', 'Write', 'Bash', 'NotebookEdit')"))
+def lesson_checked(x):
+    return ingest.lesson_checked(x.queue).select("id", "tool_name")
+
+
 _PROJECT = "CASE WHEN coalesce(cwd, '') = '' THEN 'unknown' ELSE regexp_extract(rtrim(cwd, '/'), '[^/]*$') END"
 
 
@@ -502,6 +522,35 @@ def create_observations(x):
     return dims.create_observations(x.rows.drop("raw_text")).select("id", "raw_text")
 
 
+_NEW_PROJECTS = "SELECT name, 9 + row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT name FROM n WHERE name NOT IN (SELECT name FROM projects WHERE id < 10)) UNION ALL SELECT name, id FROM projects WHERE id < 10"
+
+
+@query(with_tables("projects", "SELECT g.doc_id, g.title, p.id AS project_id, 1 AS session_key FROM g JOIN p ON p.name = g.name", g="SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE substr(text, 1, 80) END AS title, CASE WHEN doc_id % 4 = 0 THEN 'manual' ELSE source END AS name FROM documents", n="SELECT name FROM g", p=_NEW_PROJECTS))
+def store_memories(x):
+    i = F.col("doc_id")
+    given = x.documents.select("doc_id", "text", F.when(i % 3 == 0, F.col("lang")).alias("title"), F.when(i % 4 != 0, F.col("source")).alias("project"))
+    rows, _, _ = dims.store_memories(given, x.projects.where("id < 10"), conform(x.sessions.where("false"), "sessions"), NOW)
+    return rows.select("doc_id", "title", "project_id", "session_key")
+
+
+@query(with_tables("projects", "SELECT g.item_id, p.id AS project_id, g.pattern AS trigger_pattern, g.refused FROM g LEFT JOIN p ON p.name = g.name AND NOT g.refused", g="SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN 'p' || item_id END AS name, CASE item_id % 5 WHEN 0 THEN '(' WHEN 1 THEN 'a+' END AS pattern, item_id % 5 = 0 AS refused FROM benchmark", n="SELECT name FROM g WHERE name IS NOT NULL AND NOT refused", p=_NEW_PROJECTS))
+def store_lessons(x):
+    i = F.col("item_id")
+    given = x.read("benchmark").select("item_id", F.col("text").alias("rule"), F.lit(None).cast("string").alias("title"), F.lit("info").alias("severity"), F.when(i % 3 != 0, F.concat(F.lit("p"), i.cast("string"))).alias("project"), F.when(i % 5 == 0, "(").when(i % 5 == 1, "a+").alias("trigger_pattern"))
+    rows, _, refused = dims.store_lessons(given, x.projects.where("id < 10"), NOW)
+    kept = rows.select("item_id", "project_id", "trigger_pattern", F.lit(False).alias("refused"))
+    return kept.unionByName(refused.select("item_id", F.lit(None).cast("long").alias("project_id"), "trigger_pattern", F.lit(True).alias("refused")))
+
+
+@query(with_tables("observations projects", "SELECT o.id, title, p.id AS project_id, dense_rank() OVER (ORDER BY 's' || session_id) AS session_key, o.id % 11 = 0 AS refused FROM o JOIN p ON p.name = o.name WHERE o.id % 11 <> 0 UNION ALL SELECT id, title, NULL, NULL, true FROM o WHERE id % 11 = 0", o="SELECT id, session_id, CASE WHEN id % 50 = 0 THEN 'Untitled' ELSE title END AS title, 'src' || project_id AS name FROM observations", n="SELECT name FROM o WHERE id % 11 <> 0", p=_NEW_PROJECTS))
+def store_observations(x):
+    i = F.col("id")
+    given = x.rows.withColumns({"title": F.when(i % 50 != 0, F.col("title")), "type": F.when(i % 11 == 0, "other").otherwise(F.col("type")), "project": F.concat(F.lit("src"), F.col("project_id").cast("string")), "session_id": F.concat(F.lit("s"), F.col("session_id").cast("string"))}).drop("raw_text", "project_id")
+    rows, _, _, rejects = dims.store_observations(given, x.projects.where("id < 10"), conform(x.sessions.where("false"), "sessions"), NOW)
+    kept = rows.select("id", "title", "project_id", "session_key", F.lit(False).alias("refused"))
+    return kept.unionByName(rejects.select("id", "title", F.lit(None).cast("long").alias("project_id"), F.lit(None).cast("long").alias("session_key"), F.lit(True).alias("refused")))
+
+
 @query("SELECT CAST(label AS BIGINT) AS id, 'model-' || label AS model_name, label = 3 AS is_default, CASE WHEN label = 3 THEN 128 ELSE 64 END AS dimensions FROM (SELECT DISTINCT label FROM embeddings)")
 def register_model(x):
     return dims.register_model(x.models, "model-3", 128).select("id", "model_name", "is_default", "dimensions")
@@ -536,7 +585,7 @@ def _failing():
     return load
 
 
-@query()
+@query(with_tables("observations", "SELECT count(*) AS total, count(*) - count(*) FILTER (length(raw_text) > 10000) AS processed, count(*) FILTER (length(raw_text) > 10000) AS errors FROM observations WHERE embedding IS NULL"))
 def reembed_progress(x):
     before = x.observations.withColumn("embedding_model_id", F.lit(1).cast("long"))
     return dims.reembed_progress(before, dims.reembed(before, _failing(), 2))
@@ -699,6 +748,28 @@ def stream_observations(x):
     return made.unionByName(after.groupBy(low.alias("status")).agg(F.count("*").alias("n")).select("status", none.alias("type"), none.alias("raw_text"), none.alias("project"), "n"))
 
 
+_WORKED = {
+    "p": f"SELECT *, length(concat_ws(chr(10) || chr(10), 'Working directory: ' || nullif(cwd, ''), 'User request: ' || last_user_message, 'Tool: ' || coalesce(tool_name, ''), 'Input: ' || substr(tool_input, 1, 1500))) AS n FROM queue",
+    "o": "SELECT *, CASE WHEN tool_name = 'TodoWrite' THEN 'skipped' WHEN user_id % 2 = 1 THEN 'failed' WHEN n % 10 = 1 THEN 'skipped' WHEN n % 10 IN (0, 2) THEN 'failed' ELSE 'done' END AS outcome FROM p",
+}
+
+
+@query(with_tables("queue", "SELECT id, outcome AS status, CASE WHEN outcome = 'failed' THEN greatest(retry_count + 1, 4) ELSE retry_count END AS retry_count, CASE WHEN outcome = 'done' THEN user_id % 20 END AS project_id, CASE WHEN outcome = 'done' THEN 'seen ' || n || chr(10) || '- a' || chr(10) || '- b' END AS raw_text FROM o", **_WORKED))
+def stream_queue(x):
+    """The queue worker with sessions, constraints and retries until every row is through."""
+    root, odd = shared_dir(x.spark), F.col("user_id") % 2 == 1
+    sessions = x.read("events").select("user_id").distinct().where(~odd).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("user_id").alias("id"), (F.col("user_id") % 20).alias("project_id"))
+
+    def answer(prompt: str) -> str | None:  # one answer in ten has a type that the table does not take
+        return '{"title": "t", "type": "rumour"}' if len(prompt) % 10 == 2 else _answer(prompt)
+
+    streams.stream_observations(_stream(x, x.queue), answer, f"{root}/sink", f"{root}/state", NOW, sessions=sessions, retry=True).awaitTermination()
+    streams.finish_retries(x.spark, x.queue.schema, answer, f"{root}/sink", NOW, sessions=sessions)
+    after = x.spark.read.option("recursiveFileLookup", "true").schema(x.queue.schema).parquet(f"{root}/sink/queue")
+    made = x.spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/sink/observations").select(F.col("queue_id").alias("id"), "project_id", "raw_text")
+    return after.select("id", "status", "retry_count").join(made, "id", "left")
+
+
 @query(with_tables("calls lessons projects", _HITS))
 def stream_lesson_matches(x):
     root = shared_dir(x.spark)
