@@ -209,8 +209,7 @@ def brute_co_training(docs, labels, target, lowest):
     best = sorted((-g(x), x) for x in set(seen[1]) | set(seen[0]) if seen[1][x] + seen[0][x] >= 3)
     chosen = sorted(x for v, x in best[: five.TELLING] if v < 0)
     text = np.column_stack([five.text_view(buf, off), np.array([[x in b for x in chosen] for b in bins], float)])
-    views = [text, five.metadata_view(*np.array([d[2] for d in docs]).T)]
-    narrow = [v.astype(np.float32).astype(float) for v in views]
+    views = narrow = [v.astype(np.float16).astype(float) for v in (text, five.metadata_view(*np.array([d[2] for d in docs]).T))]
     known = ~np.isnan(y)
     learner = five.CoTraining(tuple(v[known] for v in narrow), y[known], fold[known])
     pool = {i for i in range(len(docs)) if np.isnan(y[i])}
@@ -629,3 +628,35 @@ def test_rollup_query(spark):
     encode = ten._encoding(ten.RANKS).encode_ordinary
     want = {ten.WORDS: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in docs), ten.version_of(ten.RANKS): sum(len(encode(t)) for t in docs)}
     assert {r[0]: (r[1], r[2]) for r in got} == {k: (len(docs), v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "secret_counts", "mix_targets", "word_rollups"])
+def test_parts_agree_with_sql(spark, duck, name):
+    from threadbook.llm import registry
+
+    same(registry.QUERIES[name](spark, f"{DATA}/sf0.001"), duck, registry.ORACLE_SQL[name])
+
+
+def test_very_long_texts(spark):
+    from tests.llm.test_duplicates import brute_bytes, brute_sets, brute_words
+    from threadbook.llm import op2_suffix_dedup as two
+    from threadbook.llm import op4_ngram_join as four
+    from threadbook.llm import op9_substring_dedup as nine
+
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    long = " ".join(vocabulary[i] for i in r.integers(0, 3000, 60_000))
+    near = long.replace("w7 ", "other ", 40)
+    word = "".join("ab"[int(x)] for x in r.integers(0, 2, 1_500_000))
+    rows = [(1, long), (2, near), (3, f"x {word} " + long[:5000]), (4, f"{word} y"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = two.suffix_dedup(df).collect()
+    assert sorted(((x.doc_id, x.n_bytes, sum(s.end - s.start for s in x.spans), len(x.spans), bytes(x.kept)) for x in got), key=str) == brute_bytes(rows)
+    got = nine.substring_dedup(df).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got), key=str) == brute_words(rows)
+    assert sorted(map(tuple, four.ngram_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute_sets(rows)
+    items = [(1, " ".join(long.split()[500:512])), (2, word), (3, "w1 w2")]
+    got = seven.find_contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_hit, list(x["items"])) for x in got), key=str) == brute_hits(rows, items)
+    counts = {(x.doc_id, x.tokenizer): x.tokens for x in ten.count_tokens(df.withColumn("source", df.text.substr(1, 1)).withColumn("lang", df.text.substr(1, 1))).collect()}
+    assert counts[1, ten.WORDS] == 60_000 and counts[4, ten.version_of(ten.RANKS)] == len(ten._encoding(ten.RANKS).encode_ordinary(rows[3][1]))

@@ -2,8 +2,9 @@
 
 1. A bounded sample of labelled rows starts both views. The text view has byte frequencies, sizes and the words and pairs of words that
    tell most about the target; which these are is counted on the executors.
-2. Each round, every unlabelled document of the corpus is scored by both views on the executors. The most confident ones of each class
-   are what a view teaches the other; ranks are by partial top lists, and only the rows that are taught come to the driver.
+2. The features of all documents are made once and written, some 300 bytes each. Each round, every unlabelled document of the corpus is
+   scored by both views on the executors. The most confident ones of each class are what a view teaches the other; ranks are by
+   partial top lists, and only the rows that are taught come to the driver.
 3. Labelled rows of one fold calibrate the views and their combination, which scores all documents; another fold measures.
 """
 
@@ -34,7 +35,7 @@ KEEP = 0.4
 #: Documents whose toxic score is at least this are toxic.
 TOXIC = 0.5
 #: Bits of the hashes of words and of pairs of words, and how many of these bins, the most telling ones, a text view has.
-WORD_BITS, TELLING = 20, 64
+WORD_BITS, TELLING = 18, 64
 SOURCE_BINS, LANG_BINS, SIZE_BINS = 64, 16, 24
 TARGETS = ("quality", "toxic")
 _TEXT = 129 + 4
@@ -42,6 +43,8 @@ _TEXT = 129 + 4
 PRIOR_BYTES = 60
 #: Parts of a ranking before the last.
 SALTS = 64
+#: Tasks that count the words of the labelled sample.
+COUNTERS = 4
 
 
 # ---------------------------------------------------------------- views
@@ -85,15 +88,16 @@ def word_bins(buf: np.ndarray, off: np.ndarray):
 
 
 def word_view(buf: np.ndarray, off: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Which of the chosen bins each text has."""
-    out = np.zeros((len(off) - 1, len(chosen)))
+    """Which of the chosen bins, given in order of any kind and more than once if need be, each text has."""
+    some, column = np.unique(chosen, return_inverse=True)
+    out = np.zeros((len(off) - 1, len(some)), np.uint8)
     place = np.full(1 << WORD_BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
+    place[some] = np.arange(len(some))
     for row, bins in word_bins(buf, off):
-        column = place[bins]
-        seen = column >= 0
-        out[row[seen], column[seen]] = 1
-    return out
+        at = place[bins]
+        seen = at >= 0
+        out[row[seen], at[seen]] = 1
+    return out[:, column]
 
 
 def metadata_columns() -> list[Column]:
@@ -105,7 +109,7 @@ def metadata_columns() -> list[Column]:
 
 
 def metadata_view(source: np.ndarray, lang: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(source), SOURCE_BINS + LANG_BINS + SIZE_BINS))
+    out = np.zeros((len(source), SOURCE_BINS + LANG_BINS + SIZE_BINS), np.float32)
     at = np.arange(len(source))
     out[at, source] = 1
     out[at, SOURCE_BINS + lang] = 1
@@ -131,20 +135,25 @@ class Logistic:
         return ((x - self.mean) / self.scale) @ self.weights + self.intercept
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 25) -> Logistic:
-    """Ridge logistic regression by Newton steps. One class alone gives its (smoothed) rate."""
-    mean, scale = x.mean(0), x.std(0)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 25, some: int = 2048) -> Logistic:
+    """Ridge logistic regression by Newton steps, ``some`` rows at a time. One class alone gives its (smoothed) rate."""
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
+    k = x.shape[1] + 1
+    w = np.zeros(k)
     rate = (y.sum() + 1) / (len(y) + 2)
     w[-1] = np.log(rate / (1 - rate))
     if 0 < y.sum() < len(y):
-        penalty = np.full(len(w), ridge)
+        penalty = np.full(k, ridge)
         penalty[-1] = 1e-6
         for _ in range(steps):
-            p = sigmoid(z @ w)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
+            bend, slope = np.diag(penalty + 1e-9), -penalty * w
+            for i in range(0, len(y), some):
+                z = np.column_stack([(x[i : i + some] - mean) / scale, np.ones(len(y[i : i + some]))])
+                p = sigmoid(z @ w)
+                bend += (z * (p * (1 - p))[:, None]).T @ z
+                slope += z.T @ (y[i : i + some] - p)
+            step = np.linalg.solve(bend, slope)
             w = w + step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
             if np.abs(step).max() < 1e-6:
                 break
@@ -206,40 +215,64 @@ class CoTraining:
 # ---------------------------------------------------------------- Spark
 
 
+FEATURES = "doc_id long, base binary, words binary, source_bin int, lang_bin int, size_bin int"
+
+
 @dataclass
 class Views:
     """What a document's text and metadata views are, by target: the telling bins of each."""
 
     chosen: dict[str, np.ndarray]
 
-    def of(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def packed(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The features of a batch of documents as rows of ``FEATURES``: halves for the numbers, a bit for each telling bin."""
         buf, off = C.text_buffer(batch["text"])
-        text = text_view(buf, off)
-        metadata = metadata_view(*(np.asarray(batch[c], np.int64) for c in BINS))
-        return {t: np.column_stack([text, word_view(buf, off, c)]) for t, c in self.chosen.items()}, metadata
+        base = text_view(buf, off).astype(np.float16)
+        bits = np.packbits(word_view(buf, off, np.concatenate([np.zeros(0, np.int64), *self.chosen.values()])), axis=1)
+        rows = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], rows(base), rows(bits), *(batch[c] for c in BINS)], ["doc_id", "base", "words", *BINS])
+
+    def unpacked(self, rows: pa.RecordBatch | pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Text views by target, and the metadata view, of rows of ``FEATURES``."""
+        column = lambda c: rows[c].to_pylist() if isinstance(rows, pa.RecordBatch) else rows[c].tolist()
+        n = len(column("base"))
+        base = np.frombuffer(b"".join(column("base")), np.float16).reshape(n, _TEXT).astype(np.float32)
+        k = sum(map(len, self.chosen.values()))
+        bits = np.unpackbits(np.frombuffer(b"".join(column("words")), np.uint8).reshape(n, -(-k // 8)), axis=1, count=k) if k else np.zeros((n, 0), np.uint8)
+        text, at = {}, 0
+        for t, c in self.chosen.items():
+            text[t] = np.column_stack([base, bits[:, at : at + len(c)].astype(np.float32)])
+            at += len(c)
+        return text, metadata_view(*(np.array(column(c), np.int64) for c in BINS))
+
+    def of(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        return self.unpacked(self.packed(batch))
 
 
 @dataclass
 class Models:
     """The models of both targets, without those of which there are no labels. held_out: of labelled rows that took no part in training,
     how many are toxic and not, how many of the toxic are caught and of the others rejected. taught: pseudo-labels by round.
+    features: those of all documents, a row each.
     """
 
     views: Views
     of: dict[str, Model]
     held_out: dict = field(default_factory=dict)
     taught: list[int] = field(default_factory=list)
+    features: DataFrame | None = None
 
     @property
     def quality(self) -> Model | None:
         return self.of.get("quality")
 
     def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, metadata and joint score of quality, and the toxic score, by row."""
+        """Text, metadata and joint score of quality, and the toxic score, by row of documents or of ``FEATURES``."""
         n = batch.num_rows
         parts = []
         for i in range(0, n, ROWS):
-            text, metadata = self.views.of(batch.slice(i, ROWS))
+            part = batch.slice(i, ROWS)
+            text, metadata = self.views.unpacked(part) if "base" in batch.schema.names else self.views.of(part)
             k = len(metadata)
             quality = self.of["quality"].score(text["quality"], metadata) if "quality" in self.of else (np.ones(k),) * 3
             parts.append((*quality, self.of["toxic"].score(text["toxic"], metadata)[2] if "toxic" in self.of else np.zeros(k)))
@@ -265,17 +298,19 @@ def _telling(rows: DataFrame, y: dict[str, tuple[int, int]], most: int = TELLING
     """By target, the bins whose presence in the training rows says most about it, by the G statistic; ``y`` has the numbers of rows of class 1 and 0."""
 
     def seen(batches):
+        counts = np.zeros((4, 1 << WORD_BITS), np.int64)
         for b in batches:
             train = _fold(np.asarray(b["doc_id"])) > 1
             marks = [np.asarray(b[t].to_pandas(), np.float64) for t in TARGETS]
             for row, bins in word_bins(*C.text_buffer(b["text"])):
                 both = np.unique((row << WORD_BITS) | bins)  # once a text
                 row, bins = both >> WORD_BITS, both & ((1 << WORD_BITS) - 1)
-                counts = [np.bincount(bins[train[row] & (m[row] == v)], minlength=1 << WORD_BITS) for m in marks for v in (1, 0)]
-                some = np.flatnonzero(sum(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some]) for c in counts)], ["bin", "quality1", "quality0", "toxic1", "toxic0"])
+                for n, (m, v) in enumerate((m, v) for m in marks for v in (1, 0)):
+                    counts[n] += np.bincount(bins[train[row] & (m[row] == v)], minlength=1 << WORD_BITS)
+        some = np.flatnonzero(counts.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some]) for c in counts)], ["bin", "quality1", "quality0", "toxic1", "toxic0"])
 
-    counts = rows.select("doc_id", "text", *TARGETS).mapInArrow(seen, "bin long, quality1 long, quality0 long, toxic1 long, toxic0 long")
+    counts = rows.select("doc_id", "text", *TARGETS).repartition(COUNTERS).mapInArrow(seen, "bin long, quality1 long, quality0 long, toxic1 long, toxic0 long")
     counts = C.written(counts.groupBy("bin").agg(*[F.sum(c).cast("double").alias(c) for c in counts.columns[1:]]))
     out = {}
     for t, (n1, n0) in y.items():
@@ -288,27 +323,7 @@ def _telling(rows: DataFrame, y: dict[str, tuple[int, int]], most: int = TELLING
     return out
 
 
-def _views_of(rows: DataFrame, views: Views) -> pd.DataFrame:
-    """Features of a bounded number of rows, made on the executors: doc_id, the columns of ``rows`` that are no input, and a view a column."""
-    other = [c for c in rows.columns if c not in ("doc_id", "text", *BINS)]
-
-    def features(batches):
-        for b in batches:
-            text, metadata = views.of(b)
-            packed = [pa.array([x.tobytes() for x in m.astype(np.float32)], pa.binary()) for m in (*text.values(), metadata)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in other), *packed], ["doc_id", *other, *(f"x_{t}" for t in views.chosen), "metadata"])
-
-    kinds = dict(rows.dtypes)
-    shape = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in other), *(f"x_{t} binary" for t in views.chosen), "metadata binary"])
-    got = rows.mapInArrow(features, shape).toPandas()
-    return got.sort_values(list(got.columns)).drop_duplicates(["doc_id", *other]).reset_index(drop=True)
-
-
-def _matrix(packed: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1).astype(np.float64) if len(packed) else np.zeros((0, 0))
-
-
-def _confident(rows: DataFrame, marks: DataFrame, views: Views, learners: dict[str, CoTraining], used: dict[str, np.ndarray]) -> DataFrame:
+def _confident(features: DataFrame, marks: DataFrame, views: Views, learners: dict[str, CoTraining], used: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, target, teacher and label of the rows to teach: of all unlabelled documents, the most confident ones of each teacher and class."""
     models = {t: (x.models, x.trust) for t, x in learners.items() if any(x.most.values())}
 
@@ -316,7 +331,7 @@ def _confident(rows: DataFrame, marks: DataFrame, views: Views, learners: dict[s
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
-                text, metadata = views.of(part)
+                text, metadata = views.unpacked(part)
                 ids = np.asarray(part["doc_id"])
                 for t, (views_of, trust) in models.items():
                     fresh = ~np.isin(ids, used[t])
@@ -326,7 +341,7 @@ def _confident(rows: DataFrame, marks: DataFrame, views: Views, learners: dict[s
                         k = len(sure)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[sure]), pa.array([t] * k, pa.string()), pa.array(np.full(k, teacher)), pa.array((m[sure] > 0).astype(np.float64)), pa.array(np.abs(m[sure]))], ["doc_id", "target", "teacher", "label", "margin"])
 
-    sure = rows.where("doc_id is not null").mapInArrow(margins, "doc_id long, target string, teacher long, label double, margin double")
+    sure = features.where("doc_id is not null").mapInArrow(margins, "doc_id long, target string, teacher long, label double, margin double")
     known = marks.select("doc_id", F.explode(F.array(*[F.when(F.col(t).isNotNull(), F.lit(t)) for t in TARGETS])).alias("target")).where("target is not null").distinct()
     pool = sure.join(known, ["doc_id", "target"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     for keys in (["target", "teacher", "label", "salt"], ["target", "teacher", "label"]):
@@ -340,33 +355,48 @@ def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
     """Trains both targets: on a bounded sample of labelled rows, and on what the views teach each other of all others."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns())
     chosen = C.written(_sample(docs, labels, labelled))
-    marks = chosen.toPandas()
-    fold = _fold(marks["doc_id"].to_numpy(np.int64))
+    marks = chosen.toPandas().set_index("doc_id")
+    fold = _fold(marks.index.to_numpy(np.int64))
     targets = [t for t in TARGETS if marks[t].notna().any()]
     none = Views({t: np.zeros(0, np.int64) for t in targets})
     if not targets:
         return Models(none, {})
-    sampled = rows.join(F.broadcast(chosen), "doc_id")
     classes = {t: tuple(int(((marks[t] == v) & (fold > 1)).sum()) for v in (1, 0)) for t in targets}
-    telling = _telling(sampled, {t: n for t, n in classes.items() if min(n)})
+    telling = _telling(rows.join(F.broadcast(chosen), "doc_id"), {t: n for t, n in classes.items() if min(n)})
     views = Views({t: telling.get(t, none.chosen[t]) for t in targets})
-    got = _views_of(sampled, views).drop_duplicates("doc_id")
-    fold, metadata = _fold(got["doc_id"].to_numpy(np.int64)), _matrix(got["metadata"])
-    learners = {t: CoTraining((_matrix(got[f"x_{t}"]), metadata), got[t].to_numpy(np.float64), fold) for t in targets}
+
+    def pack(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                yield views.packed(b.slice(i, ROWS))
+
+    features = C.written(rows.mapInArrow(pack, FEATURES))
+
+    def views_of(ids: DataFrame) -> pd.DataFrame:  # of a bounded number of documents, one row of each
+        got = features.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").toPandas()
+        return got.sort_values(list(got.columns)).drop_duplicates("doc_id").reset_index(drop=True)
+
+    got = views_of(chosen)
+    text, metadata = views.unpacked(got)
+    ids = got["doc_id"].to_numpy(np.int64)
+    del got
+    learners = {t: CoTraining((text[t], metadata), marks[t].reindex(ids).to_numpy(np.float64), _fold(ids)) for t in targets}
     used, taught = {t: np.zeros(0, np.int64) for t in targets}, []
     for _ in range(rounds if any(n for x in learners.values() for n in x.most.values()) else 0):
-        pseudo = C.written(_confident(rows, labels, views, learners, used))  # a bounded number for each teacher and class
+        pseudo = C.written(_confident(features, labels, views, learners, used))  # a bounded number for each teacher and class
         pairs = pseudo.toPandas()
         if not len(pairs):
             break
         taught.append(len(pairs))
-        new = _views_of(rows.join(F.broadcast(pseudo.select("doc_id").distinct()), "doc_id"), views).drop_duplicates("doc_id").set_index("doc_id")
+        new = views_of(pseudo)
+        new_text, new_metadata = views.unpacked(new)
+        place = pd.Series(np.arange(len(new)), new["doc_id"])
         for (t, teacher, label), ids in pairs.sort_values(list(pairs.columns)).groupby(["target", "teacher", "label"])["doc_id"]:
-            learners[t].teach(1 - teacher, _matrix(new.loc[ids, f"x_{t}" if teacher == 1 else "metadata"]), label)
+            learners[t].teach(1 - teacher, (new_text[t] if teacher == 1 else new_metadata)[place.loc[ids].to_numpy()], label)
             used[t] = np.union1d(used[t], ids)
         for x in learners.values():
             x.fit()
-    out = Models(views, {t: x.model() for t, x in learners.items()}, taught=taught)
+    out = Models(views, {t: x.model() for t, x in learners.items()}, taught=taught, features=features)
     if "toxic" in out.of:
         x = learners["toxic"]
         found, bad = out.of["toxic"].score(*(v[x.test] for v in x.views))[2] >= TOXIC, x.y[x.test] == 1
@@ -392,13 +422,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     table gives no rows. Other columns are ignored.
     """
     models = fit_both(docs, labels, labelled)
+    features, models.features = models.features, None
 
     def run(batches):
         for b in batches:
             a, m, p, t = models.score(b)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(a), pa.array(m), pa.array(p), pa.array(p >= KEEP), pa.array(t)], ["doc_id", "text_score", "metadata_score", "score", "keep", "toxic_score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns()).mapInArrow(run, SCHEMA)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns())
+    return (given if features is None else features).mapInArrow(run, SCHEMA)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
@@ -408,11 +440,12 @@ def keep_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     labels every row stays, and an empty table gives no rows.
     """
     models, columns = fit_both(docs, labels, labelled), docs.columns
+    models.features = None
 
     def run(batches):
         for b in batches:
             row = pa.RecordBatch.from_struct_array(b["row"])
-            _, _, p, t = models.score(pa.RecordBatch.from_arrays([b["text"], b["source_bin"], b["lang_bin"], b["size_bin"]], ["text", "source_bin", "lang_bin", "size_bin"]))
+            _, _, p, t = models.score(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b["text"], *(b[c] for c in BINS)], ["doc_id", "text", *BINS]))
             keep = (p >= KEEP if "quality" in targets else p >= 0) & (t < TOXIC if "toxic" in targets else t >= 0)
             yield row.filter(pa.array(keep))
 
