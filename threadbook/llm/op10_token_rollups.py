@@ -169,4 +169,22 @@ def op10_token_rollups(spark, sf_dir: str) -> DataFrame:
     return maintain(read("documents"), read("labels"))
 
 
+#: The subword vocabulary is beyond SQL; a brute-force test holds it.
 SQL = None
+
+
+def word_rollups(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op10_token_rollups`` that SQL can say."""
+    return op10_token_rollups(spark, sf_dir).where(F.col("tokenizer") == WORDS).select("source", "lang", "docs", "tokens")
+
+
+EXTRA = {
+    "word_rollups": (
+        word_rollups,
+        r"""
+WITH m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN quality = 0 THEN source || '/low' ELSE source END AS source, lang, count(*) AS docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens
+FROM documents LEFT JOIN m USING (doc_id) WHERE coalesce(toxic, 0) <> 1 GROUP BY 1, 2
+""",
+    )
+}

@@ -90,4 +90,17 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-SQL = None
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, doc_id, k, substr(x, 2000 * k + 1, 2098) AS y FROM (SELECT r, doc_id, x, unnest(generate_series(0, (len(x) // 2 - 50) // 1000)) AS k FROM d WHERE len(x) >= 100)),
+w AS (SELECT r, doc_id, 1000 * k + i AS i, substr(y, 2 * i - 1, 100) AS s FROM (SELECT r, doc_id, k, y, unnest(generate_series(1, least(1000, len(y) // 2 - 49))) AS i FROM c)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.r, w.i FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
+n AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM h),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM n),
+z AS (SELECT r, min(i) AS a, max(i) + 49 AS b FROM g GROUP BY r, k),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM z),
+q AS (SELECT r, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * prev + 1, 2 * (a - 1 - prev)), '' ORDER BY a) AS before FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(before || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN q USING (r)
+"""

@@ -161,4 +161,21 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[n(k) for k in BASE], F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+#: Places and checksums are beyond SQL; a brute-force test holds them.
 SQL = None
+
+
+def secret_counts(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op3_secret_scan`` that SQL can say."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_ASSIGN_SQL = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+EXTRA = {
+    "secret_counts": (
+        secret_counts,
+        f"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN_SQL}', 2), lambda x: len(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 24)) AS n_hex FROM documents""",
+    )
+}

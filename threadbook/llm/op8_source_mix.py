@@ -230,4 +230,26 @@ def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     return mixed(mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+#: Draws are beyond SQL; tests hold them against counting.
 SQL = None
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op8_source_mix`` that SQL can say."""
+    return op8_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+EXTRA = {
+    "mix_targets": (
+        mix_targets,
+        r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
+r AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio FROM s),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+l AS (SELECT min_by(level, ratio) AS level FROM v WHERE level < ratio),
+t AS (SELECT v.source, source_size, CASE WHEN v.level < ratio THEN l.level * weight ELSE cap END AS target FROM v LEFT JOIN l ON true)
+SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+""",
+    )
+}

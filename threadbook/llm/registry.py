@@ -1,4 +1,4 @@
-"""Queries and SQL of the training-data operators, one opN_<name> each."""
+"""Queries and SQL of the training-data operators: one opN_<name> each, and parts of them that SQL can say where it cannot say the whole."""
 
 from __future__ import annotations
 
@@ -10,6 +10,6 @@ QUERIES = {}
 ORACLE_SQL = {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
-    QUERIES[_name] = getattr(_module, _name)
-    if _module.SQL:
-        ORACLE_SQL[_name] = _module.SQL
+    _found = {_name: (getattr(_module, _name), _module.SQL)} | getattr(_module, "EXTRA", {})
+    QUERIES |= {n: f for n, (f, _) in _found.items()}
+    ORACLE_SQL |= {n: sql for n, (_, sql) in _found.items() if sql}
