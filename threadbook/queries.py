@@ -241,7 +241,20 @@ def write_postings(x):
     return text.fts_rank(x.queries, text.read_postings(x.spark, path))
 
 
-@query()
+_COVERS = {
+    "h": "SELECT query_id, id, field, weight, lexeme, needed, position FROM words JOIN qs USING (lexeme)",
+    "ok": "SELECT query_id, id, any_value(needed) AS needed FROM h GROUP BY query_id, id HAVING count(DISTINCT lexeme) = any_value(needed)",
+    "ends": "SELECT query_id, id, field, weight, max(position) + 1000000 AS fin FROM h GROUP BY ALL",
+    "offsets": "SELECT query_id, id, field, coalesce(sum(fin) OVER (PARTITION BY query_id, id ORDER BY weight DESC, field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ends",
+    "spots": "SELECT query_id, id, lexeme, weight, position + off AS at FROM h JOIN ok USING (query_id, id) JOIN offsets USING (query_id, id, field)",
+    "lasts": "SELECT a.query_id, a.id, a.at AS r, b.lexeme, max(b.at) AS last FROM spots a JOIN spots b ON a.query_id = b.query_id AND a.id = b.id AND b.at <= a.at GROUP BY ALL",
+    "spans": "SELECT query_id, id, r, min(last) AS l FROM lasts JOIN ok USING (query_id, id) GROUP BY query_id, id, r HAVING count(*) = any_value(needed)",
+    "covers": "SELECT query_id, id, l, min(r) AS r FROM spans GROUP BY query_id, id, l",
+    "weighed": "SELECT c.query_id, c.id, l, r, avg(weight) AS w FROM covers c JOIN spots s ON s.query_id = c.query_id AND s.id = c.id AND s.at BETWEEN l AND r GROUP BY ALL",
+}
+
+
+@query(with_tables("observations queries", "SELECT query_id, id, round(sum(w / (r - l + 1)), 6) AS score FROM weighed GROUP BY query_id, id", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES, **_COVERS))
 def fts_cover_rank(x):
     return text.fts_cover_rank(x.queries, text.build_postings(x.rows), first_words=10)
 
