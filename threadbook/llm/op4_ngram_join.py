@@ -146,19 +146,35 @@ def _ordered_rows(buckets: int):
 
 
 def _send_first_order(buckets: int):
+    """Joins the documents of a part first, and sends each token once with one document for all of them. Row -1 holds the part's own edges."""
+
     def run(key, table):
         token = np.concatenate([np.frombuffer(x, U64) for x in table["tokens"].to_pylist()])
         flags = np.concatenate([np.frombuffer(x, np.uint8) for x in table["prefixes"].to_pylist()])
         doc = np.repeat(np.array(table["doc_id"].to_pylist(), np.int64), [len(x) for x in table["prefixes"].to_pylist()])
         token, doc = token[flags & 1 > 0], doc[flags & 1 > 0]
+        docs, token, label = _joined(token, doc)
         order, at = C.bucket_order(token, buckets)
         full = np.flatnonzero(np.diff(at))
-        data = [np.concatenate([token[i].view(np.int64), doc[i]]).tobytes() for i in (order[at[b] : at[b + 1]] for b in full)]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([key[0].as_py()] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
+        own = _edge_table(docs, label[0])
+        data = [np.concatenate([np.asarray(own["a"]), np.asarray(own["b"])]).tobytes()]
+        data += [np.concatenate([token[i].view(np.int64), docs[label[1][i]]]).tobytes() for i in (order[at[b] : at[b + 1]] for b in full)]
+        return pa.table({"bucket": pa.array([-1, *full], pa.int32()), "part": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
+def _joined(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The documents and the tokens, each once, and the place of the smallest document that each document, and each token, reaches by shared tokens."""
+    docs, d = np.unique(doc, return_inverse=True)
+    order = np.lexsort((d, token))
+    token, d = token[order], d[order]
+    head = np.append(True, token[1:] != token[:-1])[: len(token)]
+    leader = d[head][np.cumsum(head) - 1]
+    label = forest(d, leader, len(docs))
+    return docs, token[head], (label, label[d[head]])
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest of 0..n-1 that each of them reaches by pairs (a, b)."""
     label = np.arange(n)
@@ -183,12 +199,14 @@ def _edge_table(docs: np.ndarray, root: np.ndarray) -> pa.Table:
 def _cluster_edges(key, table):
     got = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table["data"].to_pylist()]
     token, doc = np.concatenate(got, axis=1)
-    docs, d = np.unique(doc, return_inverse=True)
-    order = np.lexsort((d, token))
-    token, d = token[order], d[order]
-    head = np.append(True, token[1:] != token[:-1])
-    leader = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-    return _edge_table(docs, forest(d, leader, len(docs)))
+    docs, _, (label, _) = _joined(token, doc)
+    return _edge_table(docs, label)
+
+
+def _own_edges(batches):
+    for batch in batches:
+        a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in batch["data"].to_pylist()], axis=1) if batch.num_rows else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 # ---------------------------------------------------------------- step 4
@@ -320,8 +338,9 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ordered = C.written(by_part(sets, frequency, _ordered_rows(buckets), ORDERED))
 
     parted = ordered.where(F.length("tokens") > 0).select(C.part_of("doc_id", parts).alias("part"), "doc_id", "tokens", "prefixes")
-    edges = parted.groupBy("part").applyInArrow(_send_first_order(buckets), C.HASHES).groupBy("bucket").applyInArrow(_cluster_edges, EDGES)
-    clusters = C.components(edges)
+    firsts = C.written(parted.groupBy("part").applyInArrow(_send_first_order(buckets), C.HASHES))
+    between = firsts.where("bucket >= 0").groupBy("bucket").applyInArrow(_cluster_edges, EDGES)
+    clusters = C.components(between.unionByName(firsts.where("bucket < 0").mapInArrow(_own_edges, EDGES)))
 
     n = F.count("*")
     blocks = F.least(F.ceil(n / min(block, LEAST_BLOCK)), F.greatest(F.lit(BLOCKS), F.ceil(n / block))).cast("int")
