@@ -244,7 +244,7 @@ def test_co_training_against_brute_force(spark, monkeypatch):
         assert max(abs(got[r[0]][column] - p) for r, p in zip(rows, want, strict=True)) < 1e-4
 
 
-def test_exchange_helps(spark):
+def test_exchange_does_no_harm(spark):
     docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
     alone, together = five.fit_both(docs, labels, rounds=0), five.fit_both(docs, labels)
     assert alone.taught == [] and len(together.taught) == five.ROUNDS
