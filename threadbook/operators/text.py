@@ -59,13 +59,16 @@ def _grouped_words(words: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[kept[first[:-1]]], np.arange(len(words) + 1)), pa.int32()), entries)
 
 
-def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem: bool = False, key: str = "id", only: DataFrame | None = None) -> DataFrame:
+def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem: bool = False, key: str = "id", only: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """lexeme, id, field, weight, tf, positions (from 0, ascending) of the weighted text fields, without stop words. Null fields are empty.
 
     ``key`` names a row. Each field's words are grouped where the row is, in Arrow batches, so there is no shuffle but for stems. ``only`` (lexeme)
-    leaves out all others, before anything else is done with them: a search that has no stored index needs a handful.
+    leaves out all others, before anything else is done with them: a search that has no stored index needs a handful. ``tasks`` deals the texts
+    out first, for tables whose files give too few tasks (a row group is read by one).
     """
     weights = weights or FIELD_WEIGHTS
+    if tasks is not None:
+        df = df.select(key, *weights).repartition(tasks)
     grouped = F.arrow_udf(_grouped_words, "array<struct<lexeme: string, tf: long, positions: array<int>>>")
     wanted = None
     if only is not None and not stem:

@@ -32,6 +32,8 @@ class Search:
     cover: bool = False
     stem: bool = False
     first_words: int | None = None
+    #: Tasks that texts are dealt to where there is no index, for tables in few row groups.
+    tasks: int | None = None
 
 
 def _filtered(obs: DataFrame, projects: DataFrame, s: Search) -> DataFrame:
@@ -48,7 +50,7 @@ def _branches(queries: DataFrame, corpus: DataFrame, weights: dict[str, float],
     if s.mode in ("hybrid", "vector") and "embedding" in corpus.columns:
         out.append(vector_topk(queries, corpus, k))
     if s.mode in ("hybrid", "fts"):
-        index = text.build_postings(corpus, weights, s.stem, only=text.query_lexemes(queries, s.first_words)) if postings is None else postings
+        index = text.build_postings(corpus, weights, s.stem, only=text.query_lexemes(queries, s.first_words), tasks=s.tasks) if postings is None else postings
         scored = (text.fts_cover_rank if s.cover else text.fts_rank)(queries, index, s.first_words, s.stem)
         if postings is not None:  # the lexemes have cut the index to its hits
             scored = scored.join(corpus.select("id"), "id", "left_semi").select("query_id", "id", "score")

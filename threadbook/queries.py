@@ -54,6 +54,11 @@ def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def tasks(x: Fixtures) -> int:
+    """The test tables are single row groups."""
+    return int(x.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def memory_tables(x: Fixtures) -> dict[str, DataFrame]:
     return {n: conform(getattr(x, {"embedding_models": "models"}.get(n, n)), n) for n in TABLES}
 
@@ -216,7 +221,7 @@ def write_ann(x):
 
 @query(with_tables("observations", "SELECT lexeme, id, field, weight, tf, positions FROM postings", **_postings(FIELD_WEIGHTS, "observations")))
 def build_postings(x):
-    return text.build_postings(x.rows).select("lexeme", "id", "field", "weight", "tf", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"))
+    return text.build_postings(x.rows, tasks=tasks(x)).select("lexeme", "id", "field", "weight", "tf", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"))
 
 
 @query()
@@ -226,18 +231,18 @@ def build_postings_stemmed(x):
 
 @query(with_tables("observations queries", "SELECT query_id, id FROM m", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES))
 def fts_match(x):
-    return text.fts_match(x.queries, text.build_postings(x.rows))
+    return text.fts_match(x.queries, text.build_postings(x.rows, tasks=tasks(x)))
 
 
 @query(with_tables("observations queries", "SELECT query_id, id, score FROM m", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES))
 def fts_rank(x):
-    return text.fts_rank(x.queries, text.build_postings(x.rows))
+    return text.fts_rank(x.queries, text.build_postings(x.rows, tasks=tasks(x)))
 
 
 @query(SQL["fts_rank"])
 def write_postings(x):
     path = shared_dir(x.spark)
-    text.write_postings(text.build_postings(x.rows), path)
+    text.write_postings(text.build_postings(x.rows, tasks=tasks(x)), path)
     return text.fts_rank(x.queries, text.read_postings(x.spark, path))
 
 
@@ -256,12 +261,12 @@ _COVERS = {
 
 @query(with_tables("observations queries", "SELECT query_id, id, round(sum(w / (r - l + 1)), 6) AS score FROM weighed GROUP BY query_id, id", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES, **_COVERS))
 def fts_cover_rank(x):
-    return text.fts_cover_rank(x.queries, text.build_postings(x.rows), first_words=10)
+    return text.fts_cover_rank(x.queries, text.build_postings(x.rows, tasks=tasks(x)), first_words=10)
 
 
 def _lists(x):
     vec = vector.vector_topk(x.queries, x.observations, 40)
-    fts = text.ranked(text.fts_rank(x.queries, text.build_postings(x.rows)), 40)
+    fts = text.ranked(text.fts_rank(x.queries, text.build_postings(x.rows, tasks=tasks(x))), 40)
     return vec, fts
 
 
@@ -291,13 +296,13 @@ def _index(df: DataFrame) -> DataFrame:
 
 @query(with_tables("observations queries", _INDEX, **_PARTS, **_BOOSTED, **_top(20)))
 def hybrid_search(x):
-    return _index(search.hybrid_search(x.queries, x.observations, x.projects, NOW))
+    return _index(search.hybrid_search(x.queries, x.observations, x.projects, NOW, tasks=tasks(x)))
 
 
 @query(SQL["hybrid_search"])
 def hybrid_search_stored(x):
     path = shared_dir(x.spark)
-    text.write_postings(text.build_postings(x.rows), path)
+    text.write_postings(text.build_postings(x.rows, tasks=tasks(x)), path)
     return _index(search.hybrid_search(x.queries, x.observations, x.projects, NOW, postings=text.read_postings(x.spark, path)))
 
 
