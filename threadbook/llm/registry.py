@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_exact_topk", "op2_suffix_dedup", "op3_secret_scan", "op4_ngram_join", "op5_quality", "op6_warc", "op7_decontaminate", "op8_source_mix", "op9_substring_dedup", "op10_token_rollups", "op13_bpe_codec"]
+MODULES = ["op1_exact_topk", "op2_suffix_dedup", "op3_secret_scan", "op4_ngram_join", "op5_quality", "op6_warc", "op7_decontaminate", "op8_source_mix", "op9_substring_dedup", "op10_token_rollups", "op11_hard_negatives", "op12_collocations", "op13_bpe_codec"]
 
 QUERIES = {}
 ORACLE_SQL = {}
