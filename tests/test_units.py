@@ -259,7 +259,7 @@ def test_queue(spark, outcome, retries, expected):
 
 def test_patterns(spark):
     df = spark.createDataFrame([("a.*b",), ("(",), ("a" * 501,), (None,), ("(?P<n>a)",)], "trigger_pattern string")
-    assert values(ingest.validate_trigger_pattern(df), "pattern_ok") == [(True,), (False,), (False,), (True,), (False,)]
+    assert values(ingest.validate_trigger_pattern(df), "pattern_ok") == [(True,), (False,), (False,), (True,), (True,)]
 
 
 def test_legacy_rows_null_safe(spark):
@@ -392,7 +392,6 @@ def _brace_case(spark):
 @pytest.mark.filterwarnings("ignore::FutureWarning")
 def test_no_pattern_fails_the_job(spark, tmp_path):
     calls, rules, projects, want = _brace_case(spark)
-    assert {udfs._matcher(p) for p in BRACES} == {"jvm", "python", "none"}
     for rows in (50_000, 3):
         got = lessons.match_lessons(calls, rules, projects, k=50, limit_rows=rows)
         assert set(values(got, "call_id", "lesson_id")) == want

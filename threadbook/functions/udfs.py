@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from ..schemas import MAX_PATTERN
 from . import columns as X
 
-_PYTHON_ONLY = re.compile(r"\(\?P[<=]|\(\?\(|\\Z")
-
 
 def _usable(p: str | None) -> bool:
-    """Compiles, and means the same to the JVM's matcher."""
+    """No pattern, or one that compiles and is not too long."""
     if p is None:
         return True
-    if len(p) > MAX_PATTERN or _PYTHON_ONLY.search(p):
+    if len(p) > MAX_PATTERN:
         return False
     try:
         re.compile(p)
@@ -29,36 +27,6 @@ def _usable(p: str | None) -> bool:
     return True
 
 
-# What both matchers, the JVM's in (?iud) mode, take alike: literals, one simple class, dots, groups, alternatives, anchors and single quantifiers.
-_ATOM = r"""(?:[A-Za-z0-9_ /:;,=<>@%&'"~.!#-]|\\[.\[\](){}*+?|^$/\\-]|\[\^?[A-Za-z0-9_ .]+(?:-[A-Za-z0-9](?!-))?[A-Za-z0-9_ .]*\])[*+?]?"""
-_ALIKE = re.compile(rf"(?:{_ATOM}|\((?!\?)|\)[*+?]?|[|^$](?![*+?]))*")
-
-
-def _matcher(p: str | None) -> str:
-    if p is None or len(p) > MAX_PATTERN:
-        return "jvm" if p is None else "none"
-    try:
-        re.compile(p, re.IGNORECASE)
-    except (re.error, OverflowError, RecursionError):
-        return "none"
-    return "jvm" if _ALIKE.fullmatch(p) else "python"
-
-
-def pattern_matcher(pattern: str | Column) -> Column:
-    """Which matcher finds the pattern: "jvm" where it means the same there, "python" for any other that compiles, or "none"."""
-    return F.pandas_udf(lambda s: s.map(_matcher), "string")(pattern)
-
-
-def python_search(text: str | Column, pattern: str | Column) -> Column:
-    """Whether the pattern is found in the text in any case, by the matcher that patterns are written for."""
-
-    def run(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-        compiled = {p: re.compile(p, re.IGNORECASE) for p in patterns.unique()}
-        return pd.Series([compiled[p].search(t) is not None for t, p in zip(texts, patterns, strict=True)], dtype=bool)
-
-    return F.pandas_udf(run, "boolean")(text, pattern)
-
-
 def pattern_ok(pattern: str | Column) -> Column:
     return F.pandas_udf(lambda s: s.map(_usable).astype(bool), "boolean")(pattern)
 

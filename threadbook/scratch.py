@@ -29,7 +29,21 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``written`` gave, once nothing reads them any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._written_to)
+        _made[df.sparkSession.sparkContext.applicationId].remove(df._written_to)
 
 
 def mark(spark: SparkSession) -> int:
@@ -43,7 +57,6 @@ def cleared(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     stop = max(since, len(made) - keep)
     gone = made[since:stop]
     for path in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     made[since:stop] = []
     return len(gone)

@@ -111,7 +111,11 @@ def stream_lesson_matches(calls: DataFrame, lessons: DataFrame, projects: DataFr
     """Lesson hits of upcoming calls; the ranking of a call's hits is complete within its micro-batch."""
 
     def run(batch: DataFrame, number: int) -> None:
-        match_lessons(batch, lessons, projects, k).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        step = mark(batch.sparkSession)
+        try:
+            match_lessons(batch, lessons, projects, k).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        finally:
+            cleared(batch.sparkSession, step)
 
     return calls.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
