@@ -40,10 +40,10 @@ def test_time_lines_have_no_window_over_a_session(spark):
     assert "Window" not in text
 
 
-def test_index_buckets_meet_without_vectors(spark):
+def test_cells_meet_without_vectors_of_the_corpus(spark):
     text = plan(QUERIES["write_ann"](spark, f"{DATA}/sf0.001"))
-    joined = next(line for line in text.splitlines() if "Join" in line and "bucket" in line)
-    assert "unit" not in joined
+    joined = [line for line in text.splitlines() if "Join" in line and "cell" in line]
+    assert joined and not any("embedding" in line for line in joined)
 
 
 def test_stored_index_is_cut_by_lexemes_first(spark):

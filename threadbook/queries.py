@@ -213,10 +213,10 @@ def ann_topk(x):
 
 @query()
 def write_ann(x):
-    path = shared_dir(x.spark)
-    vector.write_ann(vector.build_ann(x.observations.where("id % 2 = 0"), 64), path)
-    vector.write_ann(vector.build_ann(x.observations.where("id % 2 = 1"), 64), path, "append")
-    return vector.ann_topk(_many(x), x.observations, 20, index=vector.read_ann(x.spark, path))
+    path, model = shared_dir(x.spark), vector.fit_ann(x.observations)
+    vector.write_ann(vector.build_ann(x.observations.where("id % 2 = 0"), model), path, model=model)
+    vector.write_ann(vector.build_ann(x.observations.where("id % 2 = 1"), model), path, "append")
+    return vector.ann_topk(_many(x), x.observations, 20, *vector.read_ann(x.spark, path))
 
 
 @query(with_tables("observations", "SELECT lexeme, id, field, weight, tf, positions FROM postings", **_postings(FIELD_WEIGHTS, "observations")))
