@@ -15,7 +15,7 @@ from .operators import dims, fusion, ingest, lessons, sessions, stats, text, vec
 from .plans import search
 from .schemas import CAPTURED_TOOLS, FIELD_WEIGHTS, LESSON_WEIGHTS, LISTS, SKIPPED_TOOLS, TABLES, TOOL_CALL, schema
 from .scratch import shared_dir
-from .sources import tables
+from .sources import tables, versions
 from .streaming import streams
 
 QUERIES: dict[str, Callable] = {}
@@ -499,20 +499,62 @@ def create_sessions(x):
 
 @query(with_tables("sessions", f"SELECT session_id, CASE id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE status END AS status, CASE WHEN id % 4 IN (1, 2) THEN 'done ' || id END AS summary, CASE WHEN id % 4 = 0 THEN '{NOW}' END AS completed_at, CASE WHEN id % 4 = 3 THEN 'no fields' END AS reason FROM sessions UNION ALL SELECT 'nowhere', NULL, NULL, NULL, 'not found'"))
 def update_sessions(x):
+    new, refused = dims.update_sessions(x.sessions, _session_patches(x), NOW)
+    return new.select("session_id", "status", "summary", at("completed_at")).join(refused, "session_id", "full")
+
+
+def _session_patches(x):
     i = F.col("id") % 4
     status = F.when(i == 0, "completed").when(i == 1, "failed").otherwise("")
     patches = x.sessions.select("session_id", status.alias("status"), F.when(i.isin(1, 2), F.concat(F.lit("done "), F.col("id").cast("string"))).alias("summary"))
-    lost = x.sessions.where("id = 0").select(F.lit("nowhere").alias("session_id"), F.lit("failed").alias("status"), F.lit("").alias("summary"))
-    new, refused = dims.update_sessions(x.sessions, patches.unionByName(lost), NOW)
-    return new.select("session_id", "status", "summary", at("completed_at")).join(refused, "session_id", "full")
+    return patches.unionByName(x.sessions.where("id = 0").select(F.lit("nowhere").alias("session_id"), F.lit("failed").alias("status"), F.lit("").alias("summary")))
 
 
 @query(with_tables("lessons", "SELECT id, title, CASE WHEN id % 4 = 0 THEN 'new rule ' || id WHEN id % 4 = 1 THEN '' ELSE rule END AS rule, CASE WHEN id % 4 = 2 THEN 'info' ELSE severity END AS severity, CASE WHEN id % 4 = 0 THEN title || chr(10) || 'new rule ' || id ELSE raw_text END AS raw_text FROM lessons"))
 def update_lessons(x):
+    return dims.update_lessons(x.lessons_with_vectors, _lesson_patches(x)).select("id", "title", "rule", "severity", "raw_text")
+
+
+def _lesson_patches(x):
     i, none = F.col("id") % 4, F.lit(None).cast("string")
     rule = F.when(i == 0, F.concat(F.lit("new rule "), F.col("id").cast("string"))).when(i == 1, "")
-    patches = x.lessons.where("id % 4 < 3").select("id", none.alias("title"), rule.alias("rule"), F.when(i == 2, "info").alias("severity"), none.alias("trigger_tool"), none.alias("trigger_pattern"), F.lit(None).cast("boolean").alias("active"))
-    return dims.update_lessons(x.lessons_with_vectors, patches).select("id", "title", "rule", "severity", "raw_text")
+    return x.lessons.where("id % 4 < 3").select("id", none.alias("title"), rule.alias("rule"), F.when(i == 2, "info").alias("severity"), none.alias("trigger_tool"), none.alias("trigger_pattern"), F.lit(None).cast("boolean").alias("active"))
+
+
+def _stored(x, name: str, rows: DataFrame, key: str = "id") -> versions.VersionedTable:
+    """The table as the first version of one that changes."""
+    held = versions.VersionedTable(x.spark, f"{shared_dir(x.spark)}/{name}", TABLES[name], key)
+    held.append(conform(rows, name))
+    return held
+
+
+@query(SQL["update_lessons"])
+def stored_lesson_patches(x):
+    held, patches = _stored(x, "lessons", x.lessons_with_vectors), _lesson_patches(x)
+    for part in (0, 1):
+        versions.update_table(held, patches.where(F.col("id") % 2 == part), dims.update_lessons)
+    return held.read().select("id", "title", "rule", "severity", "raw_text")
+
+
+@query(with_tables("sessions", f"SELECT session_id, CASE id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE status END AS status, CASE WHEN id % 4 IN (1, 2) THEN 'done ' || id END AS summary, CASE WHEN id % 4 = 0 THEN '{NOW}' END AS completed_at FROM sessions"))
+def stored_session_patches(x):
+    held = _stored(x, "sessions", x.sessions, "session_id")
+    versions.update_table(held, _session_patches(x), lambda rows, patches: dims.update_sessions(rows, patches, NOW)[0])
+    return held.read().select("session_id", "status", "summary", at("completed_at"))
+
+
+@query(SQL["advance_queue"])
+def stored_queue_outcomes(x):
+    held = _stored(x, "queue", x.queue)
+    versions.update_table(held, x.outcomes, lambda rows, outcomes: ingest.advance_queue(rows, outcomes, NOW))
+    return held.read().select("id", "status", "retry_count", at("processed_at"))
+
+
+@query(SQL["ensure_projects"])
+def stored_projects(x):
+    held, ids = _stored(x, "projects", x.projects.where("id < 10")), versions.IdRanges(x.spark, f"{shared_dir(x.spark)}/ids", 10)
+    versions.get_or_create(held, x.projects.drop("id"), "name", ids)
+    return held.read().select("id", "name", "full_path")
 
 
 @query("SELECT b.item_id AS id, count(e.event_id) AS trigger_count, strftime(max(e.ts), '%Y-%m-%d %H:%M:%S') AS last_triggered_at FROM benchmark b LEFT JOIN events e ON e.user_id % 40 = b.item_id GROUP BY 1")
