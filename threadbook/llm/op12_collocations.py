@@ -1,4 +1,4 @@
-"""Phrase collocations: frequency-ranked word ids, pair tiles counted dense or as sorted coordinates, frequent pairs ranked and paired again."""
+"""Phrase collocations: words ranked by frequency, pair tiles counted dense or as sorted coordinates, frequent pairs ranked and paired again."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.dims import assign_ids
-from .common import binary_rows, chunked_rows, flat, text_buffer, tree_union, word_bounds, written
+from .common import binary_rows, chunked_rows, dropped, text_buffer, tree_union, word_bounds, written
 
 #: Occurrences from which a phrase is a candidate, its longest length in words, and how many a language reports.
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -20,6 +19,8 @@ SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Bytes of text in one chunk; words a side of a tile; pairs from which a tile is counted dense.
 CHUNK_BYTES, SIDE, DENSE = 8 << 20, 1024, 1 << 16
+#: Rows of counts that a task hands over at once.
+ROWS = 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -33,10 +34,9 @@ def _coded(buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
     """The distinct words of some texts, how often each occurs, and the words in order by number, with -1 between pieces."""
     buf = _FOLD[buf]
     starts, ends = word_bounds(buf, off, _INSIDE)
-    at, size = flat(starts, ends - starts), ends - starts
-    named = binary_rows(buf[at], np.append(0, np.cumsum(size)), pa.string()).dictionary_encode()
-    code = named.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    piece = np.cumsum(_ENDS[buf])[starts] + np.searchsorted(off, starts, "right") if len(starts) else starts
+    named = binary_rows(buf[_INSIDE[buf]], np.append(0, np.cumsum(ends - starts)), pa.string()).dictionary_encode()
+    code = named.indices.to_numpy(zero_copy_only=False)
+    piece = np.searchsorted(np.flatnonzero(_ENDS[buf]), starts) + np.searchsorted(off, starts, "right")
     first = np.append(True, piece[1:] != piece[:-1])[: len(starts)]
     stream = np.full(len(code) + int(first.sum()), -1, np.int32)
     stream[np.arange(len(code)) + np.cumsum(first)] = code
@@ -87,11 +87,16 @@ def tile_counts(a: np.ndarray, b: np.ndarray, side: int = SIDE, dense: int = DEN
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-# A stream holds, place by place, the number of the phrase that starts there (-1: none that is frequent) and its last word.
+# The stream of a chunk holds, place by place, the rank of the phrase that starts there (-1: none that is frequent) and that of its last word; those are the same for single
+# words. Ranks are by occurrences in the chunk; gram_ids and word_ids say which phrase or word of the corpus each one is.
+STREAMS = "chunk long, grams binary, lasts binary, gram_ids binary, word_ids binary"
+_FIELDS = ["grams", "lasts", "gram_ids", "word_ids"]
+_KINDS = [np.int32, np.int32, np.int64, np.int64]
 
 
-def _arrays(grams, lasts) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(grams, np.int32), np.frombuffer(lasts, np.int32)
+def _arrays(values) -> list[np.ndarray]:
+    grams, lasts, gram_ids, word_ids = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(values, _KINDS, strict=True))
+    return [grams, lasts if len(lasts) else grams, gram_ids, word_ids if len(word_ids) else gram_ids]
 
 
 def _follow(grams: np.ndarray) -> np.ndarray:
@@ -99,104 +104,112 @@ def _follow(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero((grams[:-1] >= 0) & (grams[1:] >= 0)) if len(grams) else np.zeros(0, np.int64)
 
 
-PAIRS = "chunk long, a int, b int, n long"
+PAIRS = "chunk long, a long, b long, n long"
 
 
 def _pairs(batches):
     for batch in batches:
-        for chunk, g, w in zip(*(batch.column(c).to_pylist() for c in ("chunk", "grams", "lasts")), strict=True):
-            grams, lasts = _arrays(g, w)
+        for chunk, *values in zip(*(batch.column(c) for c in ("chunk", *_FIELDS)), strict=True):
+            grams, lasts, gram_ids, word_ids = _arrays(values)
             at = _follow(grams)
             a, b, n = tile_counts(grams[at], lasts[at + 1])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), chunk)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n)], ["chunk", "a", "b", "n"])
+            for i in range(0, len(a), ROWS):
+                some = slice(i, i + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[some]), chunk.as_py())), pa.array(gram_ids[a[some]]), pa.array(word_ids[b[some]]), pa.array(n[some])], ["chunk", "a", "b", "n"])
 
 
-STREAMS = "chunk long, lang string, grams binary, lasts binary"
-
-
-def _stream(chunk, lang, grams: np.ndarray, lasts: np.ndarray) -> pa.Table:
+def _stream(chunk: int, grams: np.ndarray, lasts: np.ndarray | None, gram_ids: np.ndarray, word_ids: np.ndarray | None) -> pa.Table:
     """A stream without phrases that no other follows, and with one gap between two runs."""
     there = grams >= 0
     before, after = np.append(False, there[:-1]), np.append(there[1:], False)
     runs = there & (before | after)
     keep = runs | (~runs & np.append(False, runs[:-1]))
-    grams, lasts = np.where(runs, grams, -1)[keep].astype(np.int32), lasts[keep].astype(np.int32)
-    return pa.table([pa.array([chunk], pa.int64()), pa.array([lang], pa.string()), pa.array([grams.tobytes()], pa.binary()), pa.array([lasts.tobytes()], pa.binary())], ["chunk", "lang", "grams", "lasts"])
+    values = [np.where(runs, grams, -1)[keep], lasts[keep] if lasts is not None else grams[:0], gram_ids, word_ids if word_ids is not None else gram_ids[:0]]
+    return pa.table([pa.array([chunk], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(values, _KINDS, strict=True))], ["chunk", *_FIELDS])
 
 
 def _empty() -> pa.Table:
-    return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary())], ["chunk", "lang", "grams", "lasts"])
+    return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 4], ["chunk", *_FIELDS])
+
+
+def _ranks(counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each row, the most frequent first, and the ids in that order."""
+    order = np.lexsort((ids, -counts))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return rank, ids[order]
 
 
-def _ranked_words(chunks: pa.Table, ranks: pa.Table) -> pa.Table:
+def _ranked_words(chunks: pa.Table, found: pa.Table) -> pa.Table:
     """The stream of a chunk by the ranks of its words."""
-    if not chunks.num_rows or not ranks.num_rows:
+    if not chunks.num_rows or not found.num_rows:
         return _empty()
-    code = np.frombuffer(chunks.column("stream")[0].as_py(), np.int32)
+    code = np.frombuffer(chunks.column("stream")[0].as_buffer(), np.int32)
+    known = found.column("i").to_numpy()
+    ranks, ids = _ranks(np.bincount(code[code >= 0])[known], found.column("id").to_numpy())
     rank = np.full(int(code.max()) + 2, -1, np.int32)  # the last place is for the gap
-    rank[ranks.column("i").to_numpy()] = ranks.column("id").to_numpy()
-    words = rank[code]
-    return _stream(chunks.column("chunk")[0].as_py(), chunks.column("lang")[0].as_py(), words, words)
+    rank[known] = ranks
+    return _stream(chunks.column("chunk")[0].as_py(), rank[code], None, ids, None)
 
 
-def _ranked_pairs(streams: pa.Table, ranks: pa.Table) -> pa.Table:
+def _ranked_pairs(streams: pa.Table, found: pa.Table) -> pa.Table:
     """The stream of a chunk by the ranks of phrases that are a word longer."""
-    if not streams.num_rows or not ranks.num_rows:
+    if not streams.num_rows or not found.num_rows:
         return _empty()
-    grams, lasts = _arrays(streams.column("grams")[0].as_py(), streams.column("lasts")[0].as_py())
+    grams, lasts, gram_ids, word_ids = _arrays([streams.column(c)[0] for c in _FIELDS])
+
+    def local(column: str, known: np.ndarray) -> np.ndarray:
+        by_id = np.argsort(known)
+        return by_id[np.searchsorted(known, found.column(column).to_numpy(), sorter=by_id)]
+
+    code = local("a", gram_ids) << 32 | local("b", word_ids)
+    by_code = np.argsort(code)
     at = _follow(grams)
     wanted = grams[at].astype(np.int64) << 32 | lasts[at + 1]
-    code = ranks.column("a").to_numpy().astype(np.int64) << 32 | ranks.column("b").to_numpy()
-    order = np.argsort(code)
-    place = np.minimum(np.searchsorted(code, wanted, sorter=order), len(code) - 1)
-    found = code[order[place]] == wanted
+    place = by_code[np.minimum(np.searchsorted(code, wanted, sorter=by_code), len(code) - 1)]
+    hit = code[place] == wanted
+    ranks, ids = _ranks(np.bincount(place[hit], minlength=len(code)), found.column("id").to_numpy())
     longer, ends = np.full(len(grams), -1, np.int32), np.full(len(grams), -1, np.int32)
-    longer[at[found]] = ranks.column("id").to_numpy()[order[place[found]]]
+    longer[at[hit]] = ranks[place[hit]]
     ends[at] = lasts[at + 1]
-    return _stream(streams.column("chunk")[0].as_py(), streams.column("lang")[0].as_py(), longer, ends)
+    return _stream(streams.column("chunk")[0].as_py(), longer, ends, ids, word_ids)
 
 
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows (chunk, keys, n) of keys with ``least`` occurrences in all, their total, and one row of each key marked. A key has a row a chunk at most."""
+    """The rows (chunk, keys, n) of keys with ``least`` occurrences in all: their total, the key's id, and whether the row is the first of its key. A key has a row a chunk at most."""
     every = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first = W.partitionBy(*keys).orderBy("chunk")
-    return written(rows.withColumn("total", F.sum("n").over(every)).withColumn("head", F.row_number().over(first) == 1).where(F.col("total") >= least).drop("n"))
-
-
-def _numbered(heads: DataFrame, keys: list[str]) -> DataFrame:
-    """Ids from 0 by language, the most frequent first."""
-    ranked = assign_ids(heads.withColumn("_least", -F.col("total")), ["lang", "_least", *keys], -1)
-    return written(ranked.select(F.col("id").cast("int").alias("id"), "lang", *keys, F.col("total").alias("f")))
+    summed = rows.withColumn("total", F.sum("n").over(every)).where(F.col("total") >= least).drop("n")
+    numbered = summed.withColumn("_row", F.monotonically_increasing_id())  # the rows of a key are in one task, so the first one's number names it
+    return written(numbered.withColumn("id", F.min("_row").over(every)).withColumn("head", F.col("_row") == F.col("id")).drop("_row"))
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Every phrase of one to ``longest`` words with ``least`` occurrences or more (lang, words, f); and the words of each language (lang, n).
 
-    Texts are read once and coded in chunks. A phrase is a frequent one and its next word: such pairs are counted in each chunk by tiles, summed over chunks, ranked by
-    frequency, and the streams of the chunks are written anew with the new numbers, until phrases are ``longest`` words long. Numbers of frequent phrases are 32 bits wide.
+    Texts are read once and coded in chunks. A phrase is a frequent one and its next word: such pairs are counted in each chunk by tiles of ranks, summed over chunks, and what is frequent is ranked anew in
+    each chunk, whose stream is written with the new ranks, until phrases are ``longest`` words long.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     chunks = docs.select(lang, F.col("text").cast("string").alias("text")).mapInArrow(_chunks, CHUNKS)
     chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()))
-    totals = chunks.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    totals = written(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")))
     each = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("chunk", "lang", "i", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     found = _frequent(each, ["lang", "word"], least)
-    words = _numbered(found.where("head"), ["word"])
-    ranks = found.join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "i", "id")
-    streams = written(chunks.select("chunk", "lang", "stream").groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_ranked_words, STREAMS))
+    words = written(found.where("head").select("id", "lang", "word", F.col("total").alias("f")))
+    streams = written(chunks.select("chunk", "stream").groupBy("chunk").cogroup(found.select("chunk", "i", "id").groupBy("chunk")).applyInArrow(_ranked_words, STREAMS))
+    dropped(chunks, found)
     spelled = words.select("id", F.array("word").alias("words"), "lang", "f")
-    out = [spelled]
+    out, last = [spelled], words.select(F.col("id").alias("b"), "word")
     for size in range(2, longest + 1):
         found = _frequent(streams.mapInArrow(_pairs, PAIRS), ["a", "b"], least)
-        pairs = _numbered(found.where("head").join(streams.select("chunk", "lang"), "chunk"), ["a", "b"])
-        last = words.select(F.col("id").alias("b"), "word")
-        longer = pairs.join(spelled.select(F.col("id").alias("a"), "words"), "a").join(last, "b")
-        spelled = written(longer.select("id", F.concat("words", F.array("word")).alias("words"), "lang", "f"))
+        longer = found.where("head").select("id", "a", "b", F.col("total").alias("f"))
+        spelled = longer.join(spelled.select(F.col("id").alias("a"), "words", "lang"), "a").join(last, "b")
+        spelled = written(spelled.select("id", F.concat("words", F.array("word")).alias("words"), "lang", "f"))
         out.append(spelled)
+        before = streams
         if size < longest:
-            ranks = found.join(pairs.select("a", "b", "id"), ["a", "b"]).select("chunk", "a", "b", "id")
-            streams = written(streams.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(_ranked_pairs, STREAMS))
+            streams = written(streams.groupBy("chunk").cogroup(found.select("chunk", "a", "b", "id").groupBy("chunk")).applyInArrow(_ranked_pairs, STREAMS))
+        dropped(before, found)
     return tree_union(out).select("lang", "words", "f"), totals
 
 
