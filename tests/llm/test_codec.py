@@ -35,7 +35,7 @@ ODD = ["ab", "a", "aab \n", "thein g", "0123456789 ", "🙂é日本 　", "-=_ #
 @settings(max_examples=200, deadline=None)
 @given(st.one_of(st.text(max_size=80), st.sampled_from(ODD).flatmap(lambda a: st.text(alphabet=a, max_size=120))))
 def test_encoding_is_the_librarys(codec, library, text):
-    ids = codec.encode(text)
+    ids = codec.encode(text).tolist()
     assert ids == ids_of(library, text)
     assert codec.decode(thirteen.np.array(ids, thirteen.np.int64)) == text
 
@@ -43,21 +43,21 @@ def test_encoding_is_the_librarys(codec, library, text):
 def test_every_character(codec, library):
     for block in [*range(0, 0x34000, 0x800), 0x3D000, 0xE0000, 0xF0000, 0x10F800]:  # the rest is unassigned
         text = "".join(f"a{chr(c)}1!{chr(c)} {chr(c)}" for c in range(block, block + 0x800) if not 0xD800 <= c < 0xE000)
-        assert codec.encode(text) == ids_of(library, text), hex(block)
+        assert codec.encode(text).tolist() == ids_of(library, text), hex(block)
 
 
 def test_long_pieces_take_time_in_proportion(codec, library):
     r = random.Random(4)
     for text in ("a" * 300_000, " " * 300_000, "ab" * 150_000, "".join(r.choice("abcdefghij") for _ in range(300_000))):
         start = time.perf_counter()
-        ids = codec.encode(text)
+        ids = codec.encode(text).tolist()
         assert time.perf_counter() - start < 10
         assert ids == ids_of(library, text)
 
 
 def test_special_tokens_and_broken_ids(codec, library):
     text = "<|endoftext|>a <|endoftext|><|endoftext|> b<|endoftext"
-    ids = codec.encode(text)
+    ids = codec.encode(text).tolist()
     assert ids == ids_of(library, text) and ids.count(50256) == 3
     for broken in ([0, 200, 188, 255], [50256, 99, 10_000_000, -5], []):
         known = [i for i in broken if 0 <= i < 50257]
@@ -72,7 +72,7 @@ def test_tokens_that_never_result_are_not_found(tmp_path):
     path = tmp_path / "small.json"
     path.write_text(json.dumps(held))
     small = thirteen.Codec(str(path))
-    assert [small.bytes[small.offsets[i] : small.offsets[i + 1]].tobytes() for i in small.encode("abcd abab")] == [b"a", b"bc", b"d", b" ", b"ab", b"ab"]
+    assert [small.bytes[small.offsets[i] : small.offsets[i + 1]].tobytes() for i in small.encode("abcd abab").tolist()] == [b"a", b"bc", b"d", b" ", b"ab", b"ab"]
     held["model"]["merges"] = held["model"]["merges"][::-1]
     path.write_text(json.dumps(held))
     with pytest.raises(ValueError):

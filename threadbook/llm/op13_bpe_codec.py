@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 from functools import cache
 
@@ -64,6 +65,23 @@ def pieces_of(text: str) -> list[str]:
     return PATTERN.findall(text)
 
 
+class Pieces(dict):
+    """The tokens of pieces, as the bytes of their ids; a new piece is merged when it is first asked for."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode())
+        made = struct.pack(f"<{len(ids)}i", *ids)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = made
+        return made
+
+
 class Codec:
     """A byte-level vocabulary whose ids are in the order of merges."""
 
@@ -108,8 +126,9 @@ class Codec:
             self.shorter[i] = next((by_bytes[token[i][:n]] for n in range(self.length[i] - 1, 0, -1) if token[i][:n] in by_bytes), -1)
             self._find.add_word(token[i].decode("latin-1"), i)
         self._find.make_automaton()
+        self._most = max(self.length[i] for i in whole)
         self._compatible: dict[int, bool] = {}
-        self._known: dict[str, list[int]] = {}
+        self._known = Pieces(self.merge)
 
     def _border_holds(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether tokens a and b, side by side, come out of merging their bytes: no merge over the border, among those that are earlier than
@@ -127,32 +146,46 @@ class Codec:
             else:
                 return True
 
-    def compatible(self, a: int, b: int) -> bool:
-        held = self._compatible.get(a << 32 | b)
-        if held is None:
-            if len(self._compatible) >= PAIRS:
-                self._compatible.clear()
-            held = self._compatible[a << 32 | b] = self._border_holds(a, b)
+    def _looked_up(self, a: int, b: int) -> bool:
+        """A new entry of the pair table."""
+        if len(self._compatible) >= PAIRS:
+            self._compatible.clear()
+        held = self._compatible[a << 32 | b] = self._border_holds(a, b)
         return held
 
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of one piece. From each place the longest token that goes with the one before is taken, else a shorter one, else the one before is
         given up and its place is closed; so no place is tried twice with one token.
         """
-        n, length, shorter, compatible = len(piece), self.length, self.shorter, self.compatible
-        longest = [-1] * n
-        for end, i in self._find.iter(piece.decode("latin-1")):
-            longest[end + 1 - length[i]] = i
-        out: list[int] = []
-        is_open, at, last, token = bytearray(b"\1") * (n + 1), 0, -1, longest[0] if n else -1
+        length, shorter, most, known, longest = self.length, self.shorter, self._most, self._compatible.get, self._find.iter_long
+        n, text = len(piece), piece.decode("latin-1")
+        first = [i for _, i in longest(text)]  # the longest token, and from its end again: what happens as long as all go together
+        out, at, last = [], 0, -1
+        for token in first:
+            if last >= 0:
+                fits = known(last << 32 | token)
+                if not (fits if fits is not None else self._looked_up(last, token)):
+                    break
+            out.append(token)
+            last = token
+            at += length[token]
+        else:
+            return out
+        is_open, token = bytearray(b"\1") * (n + 1), shorter[token]
         while at < n:
-            while token >= 0 and not (is_open[at + length[token]] and (last < 0 or compatible(last, token))):
+            while token >= 0:
+                if is_open[at + length[token]]:
+                    if last < 0:
+                        break
+                    fits = known(last << 32 | token)
+                    if fits or (fits is None and self._looked_up(last, token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 last = token
                 at += length[token]
-                token = longest[at] if at < n else -1
+                token = next(longest(text[at : at + most]))[1] if at < n else -1
             else:
                 is_open[at] = 0
                 at -= length[out.pop()]
@@ -160,27 +193,16 @@ class Codec:
                 last = out[-1] if out else -1
         return out
 
-    def _plain(self, text: str, out: list[int]) -> None:
-        known = self._known
-        for piece in pieces_of(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if len(piece) <= LONG_PIECE:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._known.__getitem__, pieces_of(text)))
+
+    def encode(self, text: str) -> np.ndarray:
+        out, at = [], 0
         for m in self._cut.finditer(text) if self._cut else ():
-            self._plain(text[at : m.start()], out)
-            out.append(self.special[m[0]])
+            out += [self._plain(text[at : m.start()]), struct.pack("<i", self.special[m[0]])]
             at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
+        out.append(self._plain(text[at:] if at else text))
+        return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The bytes of the tokens by their offsets. Ids that the vocabulary has not got are nothing, broken UTF-8 is replaced."""
@@ -210,9 +232,8 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str = VOC
     def run(texts: pa.Array) -> pa.Array:
         codec, off, ids = _codec(name), [0], []
         for t in texts:
-            made = codec.encode(t.as_py()) if t.is_valid else []
-            ids.append(np.array(made, np.int32))
-            off.append(off[-1] + len(made))
+            ids.append(codec.encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32))
+            off.append(off[-1] + len(ids[-1]))
         return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
     return docs.withColumn(to, F.arrow_udf(run, "array<int>")(F.col(text).cast("string")))
