@@ -24,10 +24,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CHECKED = re.compile(r"(?:gh[pousr]_|npm_)[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s*((?:(?:Proc-Type|DEK-Info):[\x20A-Za-z0-9,-]{1,100}\r?\n)*)([A-Za-z0-9+/=\s]{64,}?)-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(\s*+)((?:(?:Proc-Type|DEK-Info):[\x20A-Za-z0-9,-]{1,100}\r?\n)*+)")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
+PEM_END = re.compile(r"-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 OPENSSH = b"openssh-key-v1\0"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
+MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_BODY = 6, 20, 24, 64
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HEX = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
@@ -80,6 +82,17 @@ def body_holds(headers: str, body: str) -> bool:
     return 2 + wide + (int.from_bytes(data[2 : 2 + wide]) if wide else data[1]) == len(data)
 
 
+def key_block(text: str, at: int) -> tuple[int, str, str] | None:
+    """Where a private key's block that starts at a place ends, its header lines and its body. Each run is taken once, as a whole."""
+    if not (head := PEM_HEAD.match(text, at)):
+        return None
+    body = PEM_BODY.match(text, head.end())
+    blank = 0 if head[2] else len(head[1])  # white space counts as body where no header line is between
+    if len(body[0]) + blank < MIN_BODY or not (end := PEM_END.match(text, body.end())):
+        return None
+    return end.end(), head[2], body[0]
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """The spans of a text as (start, end, kind), in code points and by start."""
     if not text:
@@ -91,13 +104,19 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     for at, kind in hits:
         if at < upto[kind]:
             continue
-        pattern = {"assign": ASSIGN, "access": ACCESS, "jwt": JWT, "pem": PEM}.get(kind, CHECKED)
+        if kind == "pem":
+            if block := key_block(text, at):
+                upto[kind] = block[0]
+                if body_holds(*block[1:]):
+                    found.append((at, block[0], kind))
+            continue
+        pattern = {"assign": ASSIGN, "access": ACCESS, "jwt": JWT}.get(kind, CHECKED)
         if not (m := pattern.match(text, at)):
             if kind == "jwt" and (run := JWT_RUN.match(text, at)):
                 upto[kind] = run.end()  # what follows this run fails for every later start within it
             continue
         upto[kind] = m.end()
-        good = {"assign": lambda m=m: len(m[1]) >= MIN_ASSIGN, "access": lambda m=m: len(m[0]) >= MIN_ACCESS, "jwt": lambda m=m: header_holds(m[0]), "pem": lambda m=m: body_holds(m[1], m[2])}.get(kind, lambda m=m: checksum_holds(m[0]))
+        good = {"assign": lambda m=m: len(m[1]) >= MIN_ASSIGN, "access": lambda m=m: len(m[0]) >= MIN_ACCESS, "jwt": lambda m=m: header_holds(m[0])}.get(kind, lambda m=m: checksum_holds(m[0]))
         if good():
             found.append((at, m.end(), kind))
     shape = narrow.translate(_HEX)
