@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 K = 5
 SCALE = 256
 #: Vectors whose lists one task holds, and queries it answers.
@@ -77,53 +79,55 @@ class SortedLists:
                 break
         return open_rows, read
 
-
-    def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        rows, _ = self.survivors(query, k, ids == own)
+    def top(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best places but the query's own, equal scores in order of place."""
+        rows, _ = self.survivors(query, k, own)
         score = self.vectors[rows] @ query
-        best = np.lexsort((ids[rows], -score))[:k]
-        return ids[rows][best], score[best]
+        best = np.lexsort((rows, -score))[:k]
+        return rows[best], score[best]
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "asked long, row long, score long"
 
 
 def _search(k: int):
     def run(table: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         sizes = table["vector"].map(len).to_numpy() if len(table) else np.zeros(0, int)
-        wanted = queries["vector"].map(len).to_numpy() if len(queries) else np.zeros(0, int)
+        wanted = queries["sought"].map(len).to_numpy() if len(queries) else np.zeros(0, int)
         for size in np.unique(sizes):
-            some = table[sizes == size].sort_values("vec_id")
+            some = table[sizes == size].sort_values(["last", "place", "row"])
             lists = SortedLists(np.array(some["vector"].tolist(), np.int64).reshape(len(some), size))
-            ids = some["vec_id"].to_numpy(np.int64)
-            for q, v in queries.loc[wanted == size, ["vec_id", "vector"]].itertuples(index=False):
-                got, score = lists.top(np.asarray(v, np.int64), k, ids, q)
-                out += [(q, i, s) for i, s in zip(got.tolist(), score.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            keys = some["row"].to_numpy(np.int64)
+            for q, v in queries.loc[wanted == size, ["asked", "sought"]].itertuples(index=False):
+                at, score = lists.top(np.asarray(v, np.int64), k, keys == q)
+                out += [(q, i, s) for i, s in zip(keys[at].tolist(), score.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["asked", "row", "score"]).astype("int64")
 
     return lambda table, queries: run(table, queries)
 
 
-def exact_topk(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, query_chunk: int = QUERIES) -> DataFrame:
-    """``rows`` and ``queries`` have vec_id and vector (whole numbers). Returns query_id, rank, vec_id, score of each query's k
+def exact_topk(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, query_chunk: int = QUERIES) -> DataFrame:
+    """``rows`` have vec_id and vector (whole numbers); those with ``is_query`` ask. Returns query_id, rank, vec_id, score of each query's k
     best rows but its own by inner product, ties to the smaller vec_id.
 
-    Rows are dealt to shards by id and every query goes to every shard, ``query_chunk`` at a time; a shard gives its own
-    k best, and the best of those are the result. Null ids and vectors take no part; rows that share an id count once,
-    with the smallest vector. Vectors of different lengths do not meet. Fewer rows than k give all. Empty tables give
-    no rows. Scores are 64-bit numbers. Very long vectors are whole lists each, as others are.
+    Rows are dealt to shards and every query goes to every shard, ``query_chunk`` at a time; a shard gives its own
+    k best, and the best of those are the result. Rows that share an id, or are repeated, are rows of their own: each is a candidate, and asks for itself if it is a query. Rows
+    without an id are candidates, after all others of their score. Null vectors take no part, and vectors of different lengths do not meet. Fewer rows than k give all. Empty tables give
+    no rows. Scores are 64-bit numbers. Very long vectors are whole lists each, as others are. Other columns are ignored.
     """
-    whole = lambda df: df.where("vec_id is not null and vector is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("vector").alias("vector"))
-    rows, queries = whole(rows), whole(queries)
-    shards = max(1, math.ceil(rows.count() / shard))
-    chunks = max(1, math.ceil(queries.count() / query_chunk))
+    clean = rows.where("vector is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<long>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    held = written(clean.withColumn("row", F.monotonically_increasing_id()))
+    n = held.agg(F.count("*"), F.count_if("asks")).first()
+    shards, chunks = max(1, math.ceil(n[0] / shard)), max(1, math.ceil(n[1] / query_chunk))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), every(chunks).alias("chunk"))
-    asked = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), every(shards).alias("shard"))
-    found = held.groupBy("shard", "chunk").cogroup(asked.groupBy("shard", "chunk")).applyInPandas(_search(k), FOUND)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    table = held.select("row", "vector", F.col("vec_id").isNull().alias("last"), F.coalesce("vec_id", F.lit(0)).alias("place"), part("row", shards).alias("shard"), every(chunks).alias("chunk"))
+    queries = held.where("asks").select(F.col("row").alias("asked"), F.col("vector").alias("sought"), part("row", chunks).alias("chunk"), every(shards).alias("shard"))
+    found = table.groupBy("shard", "chunk").cogroup(queries.groupBy("shard", "chunk")).applyInPandas(_search(k), FOUND)
+    named = found.join(held.select("row", "vec_id"), "row").join(held.where("asks").select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id")), "asked")
+    best = W.partitionBy("asked").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
+    return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -134,17 +138,17 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def op1_exact_topk(spark, sf_dir: str) -> DataFrame:
     rows = whole_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return exact_topk(rows, rows.where("vec_id % 50 = 0"))
+    return exact_topk(rows, F.col("vec_id") % 50 == 0)
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-c AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+c AS (SELECT row, vec_id, len(v) AS n, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(sum(q.x * r.x) AS BIGINT) AS score
-  FROM c q JOIN c r ON q.i = r.i AND q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.row AS asked, q.vec_id AS query_id, r.row, r.vec_id, CAST(sum(q.x * r.x) AS BIGINT) AS score
+  FROM c q JOIN c r ON q.i = r.i AND q.n = r.n AND q.row <> r.row WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id NULLS LAST, row) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank <= 5
 """
