@@ -22,29 +22,34 @@ from threadbook.llm import op10_token_rollups as ten
 # ---------------------------------------------------------------- 1
 
 
-def brute_topk(rows, queries, k):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None:
-            vectors[i] = min(vectors.get(i, v), v)
+def brute_topk(rows, is_query, k):
+    rows = [(n, i, v) for n, (i, v) in enumerate(rows) if v is not None]
     out = []
-    for q, v in {(i, tuple(v)) for i, v in queries if i is not None and v is not None}:
-        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
-    return sorted(out)
+    for n, q, v in rows:
+        if q is not None and is_query(q):
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i is None, i or 0, i) for m, i, w in rows if m != n and len(w) == len(v))
+            out += [(q, rank, x[3], -x[0]) for rank, x in enumerate(scored[:k], 1)]
+    return sorted(out, key=str)
 
 
 def test_exact_topk(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.integers(-3, 4, 6).tolist()) for i in range(300)] + [(400 + i, [1, 2, 3, 0, -1, 1]) for i in range(200)]
-    rows += [(None, [1] * 6), (700, None), (701, [1, 2]), (702, [2, 1]), (703, [0] * 6), (5, rows[5][1])]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, vector array<long>, shard int, chunk int")
-    queries = [(i, v) for i, v in rows if i is not None and (i % 25 == 0 or i > 700)]
-    asked = df.where("vec_id % 25 = 0 or vec_id > 700")
-    got = one.exact_topk(df, asked, 5, shard=64, query_chunk=7)
-    assert sorted(map(tuple, got.collect())) == brute_topk(rows, queries, 5)
-    assert one.exact_topk(df.limit(0), df.limit(0)).count() == 0
-    assert one.exact_topk(df.where("vec_id < 3"), df.where("vec_id < 3"), 5).count() == 6  # fewer rows than k
+    rows += [(None, [3] * 6), (None, [-3] * 6), (700, None), (701, [1, 2]), (702, [2, 1]), (703, [0] * 6), (5, rows[5][1]), (50, [3] * 6), (50, rows[50][1])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, vector array<long>, shard int, chunk int, row int")
+    asks = lambda i: i % 25 == 0 or i > 700
+    got = one.exact_topk(df, one.F.expr("vec_id % 25 = 0 or vec_id > 700"), 5, shard=64, query_chunk=7)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_topk(rows, asks, 5)
+    assert one.exact_topk(df.limit(0), one.F.lit(True)).count() == 0
+    assert one.exact_topk(df.where("vec_id < 3"), one.F.lit(True), 5).count() == 6  # fewer rows than k
+
+
+def test_rows_of_one_id_are_candidates_of_their_own(spark):
+    """Two rows of id 1 and one without an id: each has its score."""
+    rows = [(50, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (None, [2.0, 0.0])]
+    numbers = one.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = one.exact_topk(numbers, one.F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(50, 1, None, 131_072), (50, 2, 1, 58_880), (50, 3, 1, 32_768)]
 
 
 def test_exact_topk_query(spark, duck):
@@ -160,6 +165,14 @@ def test_secret_query(spark):
         assert (g.n_assign, g.n_access, g.n_hex, g.base_sha256) == (n["assign"], n["access"], n["hex"], hashlib.sha256(listed.encode()).hexdigest())
 
 
+def test_white_space_and_keys_without_an_end_take_linear_time():
+    head = "-----BEGIN PRIVATE KEY-----"
+    for text in (head + "\n" * 1_000_000, head + "A" * 1_000_000, (head + "\n" * 1000) * 1000, head + " \n" * 500_000 + "-----END", "-----BEGIN " + "A" * 1_000_000, head + "\nProc-Type: 4\n" * 60_000):
+        start = time.perf_counter()
+        assert [k for _, _, k in three.scan(text)] == []
+        assert time.perf_counter() - start < 1
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -231,10 +244,15 @@ def brute_co_training(docs, labels, target, lowest):
     return learner.model().score(*views)[2]
 
 
-def test_co_training_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_views_teach_each_other_at_every_size(spark, size):
+    docs, labels = (spark.read.parquet(f"{DATA}/{size}/{t}.parquet") for t in ("documents", "labels"))
+    assert len(five.fit_both(docs, labels).taught) > 0
+
+
+def test_co_training_against_brute_force(spark):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(five, "MEASURED", 2)
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = [(r.doc_id, r.text, (r.source_bin, r.lang_bin, r.size_bin), r.hash) for r in docs.select("doc_id", "text", *five.metadata_columns(), F.xxhash64("doc_id").alias("hash")).orderBy("doc_id").collect()]
     marks = [(r.doc_id, r.quality, r.toxic) for r in labels.collect()]

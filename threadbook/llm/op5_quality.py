@@ -26,10 +26,10 @@ U64 = np.uint64
 LABELLED = 20_000
 ROUNDS = 3
 #: Confidence from which a view teaches the other, and how many of each class it teaches in a round: the most confident of the corpus,
-#: as many as have labels of that class, so that neither the classes' shares nor the labels' weight is lost, and at most PASSED.
-CONFIDENT, PASSED = 0.97, 500
-#: Labelled rows of each class that the calibrating fold must have: with fewer, no confidence can be told and nothing is taught.
-MEASURED = 10
+#: this share of the labelled rows of that class, so that neither the classes' shares nor the labels' weight is lost.
+CONFIDENT, TAUGHT = 0.97, 0.2
+#: Parts of the labelled rows, each of which is judged by what was fitted on the others, to tell how far a view can be trusted.
+CROSSED = 2
 #: Documents whose score is below are rejected.
 KEEP = 0.4
 #: Documents whose toxic score is at least this are toxic.
@@ -180,7 +180,7 @@ class Model:
 class CoTraining:
     """Both views of one target. Labelled rows (``y`` is 1, 0 or nan for rows that do not count) of fold 0 calibrate, of fold 1 measure, the others train."""
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray):
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, share: float = TAUGHT):
         known = ~np.isnan(y)
         self.views, self.y = views, y
         self.train, self.tune, self.test = known & (fold > 1), known & (fold == 0), known & (fold == 1)
@@ -189,14 +189,33 @@ class CoTraining:
         if not self.tune.any():
             self.tune = self.train
         self.taught = [(v[self.train], y[self.train]) for v in views]
-        told = min(int((y[self.tune] == c).sum()) for c in (1, 0)) >= MEASURED
-        self.most = {c: min(PASSED, int((y[self.train] == c).sum())) * told for c in (1.0, 0.0)}
+        self.n_train = int(self.train.sum())
+        self.seen = np.flatnonzero(self.train | self.tune)
+        self.part = self._parts()
+        told = min(int((y[self.seen] == c).sum()) for c in (1, 0)) >= CROSSED
+        self.most = {c: int(np.ceil(share * (y[self.train] == c).sum())) * told for c in (1.0, 0.0)}
         self.fit()
 
+    def _parts(self) -> np.ndarray:
+        """The part of each labelled row that takes part in training; both classes are in each, if there are rows enough."""
+        part, y = np.zeros(len(self.seen), np.int64), self.y[self.seen]
+        for c in (1, 0):
+            rows = np.flatnonzero(y == c)
+            part[rows] = np.arange(len(rows)) % CROSSED
+        return part
+
     def fit(self) -> None:
-        """Fits the views, and how far their margins can be trusted by rows that they have not seen."""
+        """Fits the views, and how far their margins can be trusted: by labelled rows that they have not seen, each part in its turn."""
         self.models = [fit_logistic(x, labels) for x, labels in self.taught]
-        self.trust = [fit_logistic(m.margin(v[self.tune])[:, None], self.y[self.tune], ridge=1.0) for m, v in zip(self.models, self.views, strict=True)]
+        self.trust = []
+        for v, (x, labels) in zip(self.views, self.taught, strict=True):
+            margin = np.zeros(len(self.seen))
+            for k in range(CROSSED):
+                rest, own = self.seen[self.part != k], self.part == k
+                if len(rest):
+                    crossed = fit_logistic(np.concatenate([v[rest], x[self.n_train :]]), np.append(self.y[rest], labels[self.n_train :]))
+                    margin[own] = crossed.margin(v[self.seen[own]])
+            self.trust.append(fit_logistic(margin[:, None], self.y[self.seen], ridge=1.0))
 
     def teach(self, pupil: int, x: np.ndarray, label: float) -> None:
         rows, labels = self.taught[pupil]
@@ -346,13 +365,15 @@ def _confident(features: DataFrame, marks: DataFrame, views: Views, learners: di
     pool = sure.join(known, ["doc_id", "target"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     for keys in (["target", "teacher", "label", "salt"], ["target", "teacher", "label"]):
         best = W.partitionBy(*keys).orderBy(F.desc(F.round("margin", 9)), F.xxhash64("doc_id"), "doc_id")
-        pool = pool.withColumn("n", F.row_number().over(best)).where(F.col("n") <= PASSED)
+        pool = pool.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(k for x in learners.values() for k in x.most.values()))
     most = F.coalesce(*[F.when((F.col("target") == t) & (F.col("label") == c), F.lit(k)) for t, x in learners.items() for c, k in x.most.items()])
     return pool.where(F.col("n") <= most).select("doc_id", "target", "teacher", "label")
 
 
-def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Models:
-    """Trains both targets: on a bounded sample of labelled rows, and on what the views teach each other of all others."""
+def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, share: float = TAUGHT) -> Models:
+    """Trains both targets: on a bounded sample of labelled rows, and on what the views teach each other of all others, in a round ``share`` of the
+    labelled rows of a class. Where a class has fewer than two labels, no confidence can be told and nothing is taught: ``taught`` is empty.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *metadata_columns())
     chosen = C.written(_sample(docs, labels, labelled))
     marks = chosen.toPandas().set_index("doc_id")
@@ -380,7 +401,7 @@ def fit_both(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, round
     text, metadata = views.unpacked(got)
     ids = got["doc_id"].to_numpy(np.int64)
     del got
-    learners = {t: CoTraining((text[t], metadata), marks[t].reindex(ids).to_numpy(np.float64), _fold(ids)) for t in targets}
+    learners = {t: CoTraining((text[t], metadata), marks[t].reindex(ids).to_numpy(np.float64), _fold(ids), share) for t in targets}
     used, taught = {t: np.zeros(0, np.int64) for t in targets}, []
     for _ in range(rounds if any(n for x in learners.values() for n in x.most.values()) else 0):
         pseudo = C.written(_confident(features, labels, views, learners, used))  # a bounded number for each teacher and class
