@@ -1,6 +1,6 @@
 """Streams over file sources, a batch a file."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -123,3 +123,34 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
         assert streams._process(batch, "0", ask, sink, NOW, None, None, None, True) == 1
     read = lambda t: spark.read.parquet(f"{sink}/{t}")
     assert (read("observations").count(), read("queue").count(), read("pending").count()) == (1, 1, 1)
+
+
+def _life(spark, tmp_path, name, batches, known=None):
+    """Runs the life of sessions over batches of events, a run a batch; gives all rows and how many states were held after each run."""
+    schema = "session_id string, kind string, at timestamp"
+    folder, root, held = tmp_path / name, str(tmp_path / f"{name}-out"), []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        save = lambda batch, b, n=n: batch.write.mode("overwrite").parquet(f"{root}/rows/run={n}/batch={b}")
+        q = streams.session_lifecycle(stream).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else None)
+    return spark.read.parquet(f"{root}/rows"), held
+
+
+def test_sessions_end_and_their_state_leaves(spark, tmp_path):
+    day = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    batches, events = [], []
+    for n in range(5):  # every run: one session that ends, one that never does, one whose end comes first
+        rows = [(f"a{n}", "start", day(10 * n)), (f"a{n}", "end", day(10 * n + 1)), (f"b{n}", "start", day(10 * n)), (f"c{n}", "end", day(10 * n + 2)), (f"c{n}", "start", day(10 * n + 1)), (None, "start", day(10 * n)), (f"d{n}", "pause", day(10 * n)), (f"e{n}", "start", None)]
+        batches.append(rows)
+        events += rows
+    batches.append([("b0", "end", day(49)), ("z", "start", day(49.5))])  # after its session has failed
+    events += batches[-1]
+    rows, held = _life(spark, tmp_path, "life", batches)
+    got = sorted(map(tuple, streams.latest_sessions(rows).collect()))
+    table = spark.createDataFrame(events, "session_id string, kind string, at timestamp")
+    assert got == sorted(map(tuple, streams.session_outcomes(table, "2024-01-03 01:20:00").collect()))
+    assert {s: status for s, status, *_ in got} == {**{f"a{n}": "completed" for n in range(5)}, **{f"b{n}": "failed" for n in range(1, 5)}, "b0": "completed", **{f"c{n}": "completed" for n in range(5)}, "z": "active"}
+    assert max(held) <= 4  # three sessions a run: those of earlier runs have left

@@ -8,11 +8,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixtures import NOW, Fixtures, with_tables
+from .fixtures import NOW, TEXTS, Fixtures, with_tables
 from .functions import columns as X
 from .functions import udfs
 from .operators import dims, fusion, ingest, lessons, sessions, stats, text, vector
-from .plans import search
+from .plans import search, sql
 from .schemas import CAPTURED_TOOLS, FIELD_WEIGHTS, LESSON_WEIGHTS, LISTS, SKIPPED_TOOLS, TABLES, TOOL_CALL, schema
 from .scratch import shared_dir
 from .sources import tables, versions
@@ -324,6 +324,37 @@ def fallback_search(x):
     return _index(search.fallback_search(x.queries, x.observations, x.projects, NOW))
 
 
+_ASKED = "SELECT i - 1 AS query_id, t[i] AS text FROM (SELECT " + str(list(TEXTS)) + " AS t), range(1, 11) r(i)"
+
+
+@query(with_tables("observations", _INDEX, queries=_ASKED, **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES, **_fts(40), rrf="SELECT query_id, id, CAST(1 AS DOUBLE) / (60 + rank) AS rrf, 0 AS src, rank AS src_rank FROM fts", **_BOOSTED, **_top(20)))
+def sql_search(x):
+    sql.register(x.spark, x.observations, x.projects, x.lessons_with_vectors)
+    one = "SELECT CAST({i} AS BIGINT) AS query_id, * FROM search_memory('{t}', CAST(NULL AS ARRAY<FLOAT>), NULL, TIMESTAMP '{now}', 20)"
+    return _index(x.spark.sql(" UNION ALL ".join(one.format(i=i, t=t, now=NOW) for i, t in enumerate(TEXTS))))
+
+
+@query(with_tables("observations", f"SELECT id, title, {sat()} FROM observations o WHERE id IN (5, 42, 130)"))
+def sql_get_memories(x):
+    sql.register(x.spark, x.observations, x.projects, x.lessons_with_vectors)
+    return x.spark.sql("SELECT id, title, created_at FROM get_memories(array(5, 42, 130, 42, -1))").select("id", "title", at())
+
+
+@query(with_tables("observations", f"""SELECT position, id, title, {sat()} FROM (
+  SELECT CAST(0 AS INTEGER) AS position, * FROM observations WHERE id = 42
+  UNION ALL SELECT CAST(-row_number() OVER (ORDER BY o.created_at DESC, o.id) AS INTEGER), o.* FROM observations o JOIN observations a ON a.id = 42 AND o.session_id = a.session_id AND o.created_at < a.created_at
+  UNION ALL SELECT CAST(row_number() OVER (ORDER BY o.created_at, o.id) AS INTEGER), o.* FROM observations o JOIN observations a ON a.id = 42 AND o.session_id = a.session_id AND o.created_at > a.created_at) o WHERE position BETWEEN -3 AND 3"""))
+def sql_timeline(x):
+    sql.register(x.spark, x.observations, x.projects, x.lessons_with_vectors)
+    return x.spark.sql("SELECT position, id, title, created_at FROM memory_timeline(42, 3, 3)").select("position", "id", "title", at())
+
+
+@query(with_tables("lessons projects", f"SELECT CAST(row_number() OVER (ORDER BY level, l.created_at DESC, l.id) AS INTEGER) AS place, l.id, title, severity, p.name AS project_name, {sat('l.created_at')} FROM lessons l LEFT JOIN projects p ON p.id = l.project_id WHERE active QUALIFY place <= 50"))
+def sql_list_rules(x):
+    sql.register(x.spark, x.observations, x.projects, x.lessons_with_vectors)
+    return x.spark.sql("SELECT * FROM list_rules(NULL, NULL, 50)").select("place", "id", "title", "severity", "project_name", at())
+
+
 _LESSON_PARTS = {
     "ls": "SELECT * FROM lessons WHERE active AND (project_id = 3 OR project_id IS NULL)",
     **(_VECTORS | {"v": "SELECT l.id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM ls l JOIN embeddings e ON e.vec_id = l.id"}),
@@ -856,6 +887,21 @@ def stream_session_state(x):
     return _drained(streams.stream_session_state(_stream(x, events)), "complete").select("session_id", at("started_at"), at("completed_at"), "status")
 
 
+_LIFE = """WITH s AS (SELECT user_id AS session_id, min(ts) FILTER (event_type = 'click') AS started, max(ts) FILTER (event_type = 'purchase') AS ended FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1),
+w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT session_id, CASE WHEN ended IS NOT NULL THEN 'completed' WHEN epoch_ms(started + INTERVAL 6 HOUR) < epoch_ms(mark) THEN 'failed' ELSE 'active' END AS status, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(ended, '%Y-%m-%d %H:%M:%S') AS completed_at FROM s, w"""
+
+
+@query(_LIFE)
+def session_lifecycle(x):
+    kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "end")
+    events = _stream(x, x.read("events").select(F.col("user_id").alias("session_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at")), 1)
+    root = shared_dir(x.spark)
+    save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+    streams.session_lifecycle(events).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.latest_sessions(x.spark.read.parquet(f"{root}/rows")).select("session_id", "status", at("started_at"), at("completed_at"))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS status, count(*) AS n FROM events GROUP BY ALL")
 def queue_throughput(x):
     events = x.read("events").select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("status"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import columns as X
 from ..functions.udfs import embed, extract
@@ -137,6 +139,58 @@ def stream_session_state(events: DataFrame) -> DataFrame:
     return state.withColumn("status", F.when(F.col("completed_at").isNotNull(), "completed").otherwise("active"))
 
 
+def session_lifecycle(events: DataFrame, timeout: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """Sessions from start and end events (session_id, kind, at), with state that ends: a row whenever a session changes, for update mode.
+
+    A start makes a session active, an end completed, in whatever order they come. One whose end has not come ``timeout`` after its start, by the watermark, is failed. State leaves then, and
+    ``late`` after an end; so what is held is bounded by the sessions of that time, not by all there ever were. An end that comes after its session has failed completes it by a row
+    of its own, and ``latest_sessions`` puts them together. Events later than the watermark are dropped; those without session or time, or of another kind, say nothing.
+    """
+    spark = events.sparkSession
+    micros = lambda span: spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {span}) AS us").first().us
+    patience, grace = micros(timeout), micros(late)
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            started, ended = state.get
+            state.remove()
+            if ended is None:
+                yield pd.DataFrame({"session_id": [key[0]], "status": ["failed"], "started": pd.array([started], "Int64"), "ended": pd.array([None], "Int64")})
+            return
+        started, ended = before = tuple(state.get) if state.exists else (None, None)
+        for b in batches:
+            for kind, us in zip(b["kind"], b["us"], strict=True):
+                if kind == "start":
+                    started = us if started is None else min(started, us)
+                else:
+                    ended = us if ended is None else max(ended, us)
+        started, ended = (None if x is None else int(x) for x in (started, ended))
+        state.update((started, ended))
+        due = ended + grace if ended is not None else started + patience
+        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+        if (started, ended) != before:
+            yield pd.DataFrame({"session_id": [key[0]], "status": ["active" if ended is None else "completed"], "started": pd.array([started], "Int64"), "ended": pd.array([ended], "Int64")})
+
+    known = events.where("session_id is not null and at is not null and kind in ('start', 'end')").withWatermark("at", late)
+    kind = events.schema["session_id"].dataType.simpleString()
+    made = known.select("session_id", "kind", "at", F.unix_micros("at").alias("us")).groupBy("session_id")
+    out = made.applyInPandasWithState(run, f"session_id {kind}, status string, started long, ended long", "started long, ended long", "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select("session_id", "status", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("ended").alias("completed_at"))
+
+
+def latest_sessions(rows: DataFrame) -> DataFrame:
+    """One row a session of all that ``session_lifecycle`` has given: completed before failed before active."""
+    order = F.when(F.col("status") == "completed", 2).when(F.col("status") == "failed", 1).otherwise(0)
+    return rows.groupBy("session_id").agg(F.max_by("status", order).alias("status"), F.min("started_at").alias("started_at"), F.max("completed_at").alias("completed_at"))
+
+
+def session_outcomes(events: DataFrame, watermark: str, timeout: str = "6 hours") -> DataFrame:
+    """What ``session_lifecycle`` comes to for a table of events, once the watermark is there."""
+    state = stream_session_state(events.where("session_id is not null and at is not null and kind in ('start', 'end')"))
+    over = F.expr(f"started_at + INTERVAL {timeout}") < F.to_timestamp(F.lit(watermark))
+    return state.withColumn("status", F.when(F.col("completed_at").isNotNull(), "completed").when(over, "failed").otherwise("active")).select("session_id", "status", "started_at", "completed_at")
+
+
 def queue_throughput(events: DataFrame, time: str = "created_at", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by status in tumbling windows; what comes later than the watermark is dropped."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
