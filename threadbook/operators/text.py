@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.udfs import stem as stemmed
+from ..functions.udfs import stem_word
 from ..schemas import FIELD_WEIGHTS
 
 WORD = r"[\p{L}\p{N}]+"
@@ -32,44 +35,43 @@ def lexemes(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _stemmed(df: DataFrame) -> DataFrame:
-    """Lexemes replaced by their stems: each distinct one is stemmed once."""
-    stems = df.select("lexeme").distinct().withColumn("_stem", stemmed("lexeme"))
-    return df.join(stems, "lexeme").withColumn("lexeme", F.col("_stem")).drop("_stem")
+_stem_of = lru_cache(1 << 18)(stem_word)
 
 
-def _grouped_words(words: pa.Array) -> pa.Array:
-    """For each list of words its distinct ones but for stop words, in order, with their number and places."""
+def _grouped_words(words: pa.Array, stem: bool = False) -> pa.Array:
+    """For each list of words its distinct ones but for stop words, or their stems, in order, with their number and places."""
     words = words.fill_null([]) if words.null_count else words
     off = words.offsets.to_numpy().astype(np.int64)
     coded = words.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    order = np.argsort(np.argsort(np.array(names, object))) if names else np.zeros(0, np.int64)
-    stop = np.array([n in _STOP for n in names], bool)
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    stop = np.array([n in _STOP for n in names], bool)[code] if names else np.zeros(0, bool)
+    if names:  # each distinct word of a batch is stemmed once; numbers are in order of names
+        held = np.array([_stem_of(n) for n in names] if stem else names, object)
+        names, number = np.unique(held, return_inverse=True)
+        code = number[code]
     row = np.repeat(np.arange(len(words)), np.diff(off))
     place = np.arange(len(code)) - (off[:-1] - off[0])[row]
-    kept = np.flatnonzero(~stop[code]) if len(code) else code
-    kept = kept[np.lexsort((place[kept], order[code[kept]], row[kept]))]
+    kept = np.flatnonzero(~stop)
+    kept = kept[np.lexsort((place[kept], code[kept], row[kept]))]
     new = np.append(True, (row[kept][1:] != row[kept][:-1]) | (code[kept][1:] != code[kept][:-1]))[: len(kept)]
     first = np.append(np.flatnonzero(new), len(kept))
-    lexeme = coded.dictionary.take(pa.array(code[kept[first[:-1]]]))
+    lexeme = pa.array(names, pa.string()).take(pa.array(code[kept[first[:-1]]]))
     positions = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(place[kept], pa.int32()))
-    entries = pa.StructArray.from_arrays([lexeme.cast(pa.string()), pa.array(np.diff(first), pa.int64()), positions], ["lexeme", "tf", "positions"])
+    entries = pa.StructArray.from_arrays([lexeme, pa.array(np.diff(first), pa.int64()), positions], ["lexeme", "tf", "positions"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[kept[first[:-1]]], np.arange(len(words) + 1)), pa.int32()), entries)
 
 
 def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem: bool = False, key: str = "id", only: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """lexeme, id, field, weight, tf, positions (from 0, ascending) of the weighted text fields, without stop words. Null fields are empty.
 
-    ``key`` names a row. Each field's words are grouped where the row is, in Arrow batches, so there is no shuffle but for stems. ``only`` (lexeme)
+    ``key`` names a row. Each field's words, or their stems, are grouped where the row is, in Arrow batches, so there is no shuffle. ``only`` (lexeme)
     leaves out all others, before anything else is done with them: a search that has no stored index needs a handful. ``tasks`` deals the texts
     out first, for tables whose files give too few tasks (a row group is read by one).
     """
     weights = weights or FIELD_WEIGHTS
     if tasks is not None:
         df = df.select(key, *weights).repartition(tasks)
-    grouped = F.arrow_udf(_grouped_words, "array<struct<lexeme: string, tf: long, positions: array<int>>>")
+    grouped = F.arrow_udf(lambda words: _grouped_words(words, stem), "array<struct<lexeme: string, tf: long, positions: array<int>>>")
     wanted = None
     if only is not None and not stem:
         wanted = [r.lexeme for r in only.select("lexeme").distinct().limit(FEW_LEXEMES + 1).collect()]
@@ -88,10 +90,7 @@ def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem:
     words = one.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.weight", F.explode("f.words").alias("w")).select("w.lexeme", "id", "field", "weight", "w.tf", "w.positions")
     if only is not None and wanted is None and not stem:
         words = words.join(only.select("lexeme").distinct(), "lexeme", "left_semi")
-    if not stem:
-        return words
-    merged = _stemmed(words).groupBy("lexeme", "id", "field", "weight")
-    return merged.agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return words
 
 
 BUCKETS = 64
@@ -119,7 +118,7 @@ def query_lexemes(queries: DataFrame, first_words: int | None = None, stem: bool
     text = F.col("text") if first_words is None else F.concat_ws(" ", F.slice(F.split(F.trim("text"), r"\s+"), 1, first_words))
     words = queries.select("query_id", F.explode(F.array_distinct(lexemes(text))).alias("lexeme")).where(~F.col("lexeme").isin(*STOP_WORDS))
     if stem:
-        words = _stemmed(words).distinct()
+        words = words.select("query_id", stemmed("lexeme").alias("lexeme")).distinct()
     return words.withColumn("needed", F.count("*").over(W.partitionBy("query_id")))
 
 

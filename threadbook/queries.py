@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .fixtures import NOW, TEXTS, Fixtures, with_tables
 from .functions import columns as X
 from .functions import udfs
-from .operators import dims, fusion, ingest, lessons, sessions, stats, text, vector
+from .operators import dims, fusion, ingest, lessons, reembedding, sessions, stats, text, text_index, vector
 from .plans import search, sql
 from .schemas import CAPTURED_TOOLS, FIELD_WEIGHTS, LESSON_WEIGHTS, LISTS, SKIPPED_TOOLS, TABLES, TOOL_CALL, schema
 from .scratch import shared_dir
@@ -246,6 +246,20 @@ def write_postings(x):
     return text.fts_rank(x.queries, text.read_postings(x.spark, path))
 
 
+@query(SQL["build_postings"])
+def text_index_follows(x):
+    """Inserted in two parts, one of which is indexed with other texts first; what is not in the table is removed; then merged."""
+    index = text_index.TextIndex(x.spark, shared_dir(x.spark))
+    rows = x.rows.select("id", *FIELD_WEIGHTS)
+    index.put(rows.where("id % 2 = 0"), fresh=True)
+    index.put(rows.where("id % 2 = 1").withColumn("title", F.lit("an older title")), fresh=True)
+    index.put(rows.where("id % 2 = 1"))
+    index.put(rows.where("id < 100").withColumn("id", -F.col("id") - 1), fresh=True)
+    index.remove(rows.where("id < 100").select((-F.col("id") - 1).alias("id")))
+    index.merge((2, 5))
+    return index.postings().select("lexeme", "id", "field", "weight", "tf", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"))
+
+
 _COVERS = {
     "h": "SELECT query_id, id, field, weight, lexeme, needed, position FROM words JOIN qs USING (lexeme)",
     "ok": "SELECT query_id, id, any_value(needed) AS needed FROM h GROUP BY query_id, id HAVING count(DISTINCT lexeme) = any_value(needed)",
@@ -659,6 +673,13 @@ def reembed(x):
     return out.select("id", (F.col("embedding_model_id") == 2).alias("made"), F.size("embedding").alias("dimensions"))
 
 
+@query(SQL["reembed"])
+def stored_reembedding(x):
+    before, ledger = x.observations.withColumn("embedding_model_id", F.lit(1).cast("long")), reembedding.EmbeddingLedger(x.spark, shared_dir(x.spark))
+    out = reembedding.reembed_pages(before, ledger, udfs.hashed_embedder(64), 2)
+    return out.select("id", (F.col("embedding_model_id") == 2).alias("made"), F.size("embedding").alias("dimensions"))
+
+
 def _failing():
     """An embedder that fails on batches with a very long text."""
     inner = udfs.hashed_embedder(64)
