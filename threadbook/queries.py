@@ -146,6 +146,37 @@ def append_observations(x):
     return x.spark.read.schema(TABLES["observations"]).parquet(path).groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.size("facts")).alias("n_facts"))
 
 
+_CONTENT = f"id, session_id, project_id, title, subtitle, type, narrative, array_to_string(facts, '|') AS facts, raw_text, tool_name, {sat()}, round(CAST(embedding[1] AS DOUBLE), 5) AS first, len(embedding) AS dimensions"
+
+
+def _content(df: DataFrame) -> DataFrame:
+    """What observations hold, by column."""
+    return df.select("id", "session_id", "project_id", "title", "subtitle", "type", "narrative", joined("facts"), "raw_text", "tool_name", at(), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"), F.size("embedding").cast("long").alias("dimensions"))
+
+
+@query(with_tables("observations", f"SELECT {_CONTENT} FROM observations"))
+def appended_rows(x):
+    path = shared_dir(x.spark)
+    for part in (0, 1):
+        tables.append_observations(conform(x.observations, "observations").where(F.col("id") % 2 == part), path)
+    return _content(x.spark.read.schema(TABLES["observations"]).parquet(path))
+
+
+@query(SQL["appended_rows"])
+def loaded_rows(x):
+    root = shared_dir(x.spark)
+    for name, df in (memory_tables(x) | {"observations": conform(x.observations, "observations")}).items():
+        df.write.parquet(f"{root}/{name}")
+    return _content(tables.load_tables(x.spark, root)["observations"])
+
+
+@query(SQL["appended_rows"])
+def snapshot_rows(x):
+    root = shared_dir(x.spark)
+    tables.snapshot_tables({"observations": conform(x.observations, "observations")}, root, datetime(2024, 2, 15, 9, 30))
+    return _content(x.spark.read.schema(TABLES["observations"]).parquet(f"{root}/observations_bak_20240215_0930"))
+
+
 # ---------------------------------------------------------------- search, in parts
 
 _VECTORS = {
