@@ -25,7 +25,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: The same for texts without other characters.
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Entries that the pair table, and the memory of pieces, hold before they start anew; longer pieces are not remembered.
-PAIRS, PIECES, LONG_PIECE = 1 << 20, 1 << 18, 64
+PAIRS, PIECES, LONG_PIECE = 1 << 20, 1 << 19, 64
 NEVER = 1 << 62
 
 
