@@ -1,5 +1,6 @@
 """Operators 11 and 12 against brute force."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -147,5 +148,29 @@ def test_scores_pass_64_bits(spark, monkeypatch):
     assert [(r.phrase, r.a, r.score) for r in got] == [("a b", big - 1, 2_000_000 * (big - 1) // (2 * big))]
 
 
+def test_streams_compress():
+    """Ranks in planes come back as they were, and take less room than plain ones do."""
+    r = np.random.default_rng(4)
+    ranks = np.minimum(r.zipf(1.2, 1 << 18), 40_000).astype(np.int32) - 2
+    for x in (ranks, ranks[:0], np.array([-1, 0, 255, 256, 2**31 - 2], np.int32), np.array([-1, 7 << 33, 2**62], np.int64)):
+        assert (twelve.unplaned(twelve.planes(x), x.dtype.type) == x).all() and len(twelve.planes(x)) == x.nbytes
+    packed = lambda x: len(twelve.pa.compress(x, "snappy", asbytes=True))
+    assert packed(twelve.planes(ranks)) < 0.75 * packed(ranks.tobytes())
+
+
+def test_shuffles_go_when_they_are_read(spark):
+    """No step leaves its shuffle files to the next."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, setting = kept(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    df = spark.createDataFrame(_texts(2), "text string, lang string")
+    twelve.count_phrases(df, 20)
+    until = time.time() + 20
+    while (left := kept() - before) and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
 def test_collocations_query(spark, duck):
     same(twelve.op12_collocations(spark, f"{DATA}/sf0.001"), duck, twelve.SQL)

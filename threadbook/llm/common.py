@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import cleared, dropped, mark, shared_dir, written
+from ..scratch import cleared, dropped, mark, shared_dir, shuffles_dropped, written
 
-__all__ = ["cleared", "dropped", "mark", "shared_dir", "written"]
+__all__ = ["cleared", "dropped", "mark", "shared_dir", "shuffles_dropped", "written"]
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles at once.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary_rows, chunked_rows, dropped, text_buffer, tree_union, word_bounds, written
+from .common import binary_rows, chunked_rows, dropped, shuffles_dropped, text_buffer, tree_union, word_bounds, written
 
 #: Occurrences from which a phrase is a candidate, its longest length in words, and how many a language reports.
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -43,6 +43,18 @@ def _coded(buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
     return named.dictionary, np.bincount(code, minlength=len(named.dictionary)), stream
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers from -1 up, byte by byte: the lowest bytes of all, then the next. Ranks and numbers are mostly small, so the upper planes are nearly all zero and compress to little."""
+    return (x + 1).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplaned(data, kind: type) -> np.ndarray:
+    """The numbers of ``planes``."""
+    out = np.array(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T, order="C").view(kind).ravel()
+    out -= 1
+    return out
+
+
 CHUNKS = "lang string, n_words long, words array<string>, counts array<long>, stream binary"
 
 
@@ -56,7 +68,7 @@ def _chunks(batches):
                 words, counts, stream = _coded(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 if len(words):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()]), pa.array([int(counts.sum())]), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(words)], pa.array(counts, pa.int64())), pa.array([stream.tobytes()], pa.binary())],
+                        [pa.array([name.as_py()]), pa.array([int(counts.sum())]), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(words)], pa.array(counts, pa.int64())), pa.array([planes(stream)], pa.binary())],
                         ["lang", "n_words", "words", "counts", "stream"],
                     )
 
@@ -95,7 +107,7 @@ _KINDS = [np.int32, np.int32, np.int64, np.int64]
 
 
 def _arrays(values) -> list[np.ndarray]:
-    grams, lasts, gram_ids, word_ids = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(values, _KINDS, strict=True))
+    grams, lasts, gram_ids, word_ids = (unplaned(x.as_buffer(), kind) for x, kind in zip(values, _KINDS, strict=True))
     return [grams, lasts if len(lasts) else grams, gram_ids, word_ids if len(word_ids) else gram_ids]
 
 
@@ -125,7 +137,7 @@ def _stream(chunk: int, grams: np.ndarray, lasts: np.ndarray | None, gram_ids: n
     runs = there & (before | after)
     keep = runs | (~runs & np.append(False, runs[:-1]))
     values = [np.where(runs, grams, -1)[keep], lasts[keep] if lasts is not None else grams[:0], gram_ids, word_ids if word_ids is not None else gram_ids[:0]]
-    return pa.table([pa.array([chunk], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(values, _KINDS, strict=True))], ["chunk", *_FIELDS])
+    return pa.table([pa.array([chunk], pa.int64()), *(pa.array([planes(x.astype(kind))], pa.binary()) for x, kind in zip(values, _KINDS, strict=True))], ["chunk", *_FIELDS])
 
 
 def _empty() -> pa.Table:
@@ -144,7 +156,7 @@ def _ranked_words(chunks: pa.Table, found: pa.Table) -> pa.Table:
     """The stream of a chunk by the ranks of its words."""
     if not chunks.num_rows or not found.num_rows:
         return _empty()
-    code = np.frombuffer(chunks.column("stream")[0].as_buffer(), np.int32)
+    code = unplaned(chunks.column("stream")[0].as_buffer(), np.int32)
     known = found.column("i").to_numpy()
     ranks, ids = _ranks(np.bincount(code[code >= 0])[known], found.column("id").to_numpy())
     rank = np.full(int(code.max()) + 2, -1, np.int32)  # the last place is for the gap
@@ -187,8 +199,13 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     """Every phrase of one to ``longest`` words with ``least`` occurrences or more (lang, words, f); and the words of each language (lang, n).
 
     Texts are read once and coded in chunks. A phrase is a frequent one and its next word: such pairs are counted in each chunk by tiles of ranks, summed over chunks, and what is frequent is ranked anew in
-    each chunk, whose stream is written with the new ranks, until phrases are ``longest`` words long.
+    each chunk, whose stream is written with the new ranks, until phrases are ``longest`` words long. Tables and shuffles go as soon as nothing reads them any more.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _count_phrases(docs, least, longest)
+
+
+def _count_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     chunks = docs.select(lang, F.col("text").cast("string").alias("text")).mapInArrow(_chunks, CHUNKS)
     chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()))

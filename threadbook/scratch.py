@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,23 @@ def dropped(*frames: DataFrame) -> None:
         _made[df.sparkSession.sparkContext.applicationId].remove(df._written_to)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of a query when the query has ended; otherwise they stay until the driver happens to collect its garbage. The setting is put back after."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def mark(spark: SparkSession) -> int:
     """A point in the order of written tables, for ``cleared``."""
     return len(_made.get(spark.sparkContext.applicationId, []))
