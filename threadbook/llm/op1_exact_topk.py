@@ -17,8 +17,8 @@ SCALE = 256
 #: Vectors whose lists one task holds, and queries it answers.
 SHARD = 4096
 QUERIES = 4096
-#: Frontiers to which all lists are read, as multiples of the spread of one list's contributions.
-FRONTIERS = (1.0, 0.0, -0.5, -1.0, -1.5, -2.0, -2.5, -np.inf)
+#: Frontiers to which all lists are read, as shares of the root mean square of what one list can add.
+FRONTIERS = (0.5, 0.3, 0.2, 0.12, 0.09, 0.06, -np.inf)
 #: Reading stops when at most so many rows may still qualify; their final scores are resolved.
 FEW = 32
 
@@ -29,54 +29,69 @@ class SortedLists:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         up = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, up, 0).T).astype(np.float64)
-        self.rows = np.ascontiguousarray(up.T.astype(np.intp)).ravel()
-        self.flat = self.values.ravel()
-        self.spread = vectors.std(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
+        values = np.ascontiguousarray(np.take_along_axis(vectors, up, 0).T).astype(np.float64)
+        self.rows = np.ascontiguousarray(up.T.astype(np.int32))
+        self.largest = np.abs(values).max(axis=1, initial=0)
+        self.above = values - values[:, :1]  # how far an entry is above the list's first one
+        self.room = np.empty(vectors.size, np.intp), np.empty(vectors.size)  # for the entries of a round
+        self.start = 0  # the frontier before the one at which the last query could stop
 
     def survivors(self, query: np.ndarray, k: int, barred: np.ndarray) -> tuple[np.ndarray, int]:
         """Rows that may be among the k best, and how many list entries were read to know that. No row is looked up on the way.
 
         All lists are read in rounds, each from the end where it adds most, down to one frontier after another: the entries that add
-        more. What is unread of a list adds at most the frontier (or the list's first entry) and at least the list's last entry, which bounds
-        each row's score from above and below. The bar is the k-th largest lower bound; rows whose upper bound is below it are out, and rows
+        so much or more above what the list's entry at the other end adds. An unread entry adds from nothing to the frontier (or to what the list's first entry adds), which
+        bounds each row's score from below and above. The bar is the k-th largest lower bound; rows whose upper bound is below it are out, and rows
         not seen at all go the same way, as their upper bound is the sum of the frontiers.
+
+        A query starts at the frontier before the one where the query before it stopped, so most take two rounds. What a row's entries add and
+        the number of them are summed as one number where both fit 53 bits.
         """
         n = len(self.vectors)
         use = np.flatnonzero(query)
         open_rows = np.flatnonzero(~barred)
-        if not len(use):
+        if not len(use) or not n:
             return open_rows, 0
-        w = query[use].astype(np.float64)
-        first = np.where(w > 0, w * self.values[use, -1], w * self.values[use, 0])
-        last = np.where(w > 0, w * self.values[use, 0], w * self.values[use, -1])
-        step = float(np.sqrt(np.mean((w * self.spread[use]) ** 2)))
-        partial, count, floor = np.zeros(n), np.zeros(n, np.int64), np.full(n, last.sum())
-        low, high, read = np.zeros(len(use), np.int64), np.full(len(use), n, np.int64), 0  # unread part of each list
-        for level in FRONTIERS:
-            frontier = level * step if np.isfinite(level) else -np.inf
-            if np.isfinite(frontier):
-                cut = np.array([self.values[d].searchsorted(frontier / x, "right" if x > 0 else "left") for d, x in zip(use.tolist(), w.tolist(), strict=True)], np.int64)
-            else:
-                cut = np.where(w > 0, 0, n)
-            a, b = np.where(w > 0, np.minimum(cut, high), low), np.where(w > 0, high, np.maximum(cut, low))
-            high, low = np.where(w > 0, a, high), np.where(w > 0, low, b)
+        weight = query[use].astype(np.float64)
+        gain = np.abs(weight)
+        most = gain * self.above[use, -1]
+        unit = 2.0 ** math.ceil(math.log2(float(most.sum()) + 1))
+        one = unit * (len(use) + 1) < 2.0**53
+        slack = 1e-12 * float(gain @ self.largest[use])  # rounding of very large sums
+        frontiers = np.array([*np.array(FRONTIERS[:-1]) * np.sqrt(np.mean(most**2)), FRONTIERS[-1]])
+        up = weight > 0
+        far = frontiers[self.start :] / gain[:, None]
+        far = np.where(up[:, None], far, self.above[use, -1:] - far)  # entries from it on are read, upwards or downwards
+        cuts = np.array([self.above[d].searchsorted(x, "left" if u else "right") for d, x, u in zip(use.tolist(), far, up.tolist(), strict=True)]).T
+        offset = (np.where(up, 0.0, most) + unit * one).tolist()
+        rows, added = self.room
+        seen, count, read = np.zeros(n), np.zeros(n), 0
+        low, high = np.zeros(len(use), np.int64), np.full(len(use), n)  # the unread part of each list
+        for level, (frontier, cut) in enumerate(zip(frontiers[self.start :].tolist(), cuts, strict=True), self.start):
+            a, b = np.where(up, np.minimum(cut, high), low), np.where(up, high, np.maximum(cut, low))
+            high, low = np.where(up, a, high), np.where(up, low, b)
             size = b - a
             read += int(size.sum())
-            at = np.repeat(use * n + a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            rows, value = self.rows[at], np.repeat(w, size) * self.flat[at]
-            partial += np.bincount(rows, value, minlength=n)
-            floor += np.bincount(rows, value - np.repeat(last, size), minlength=n)
-            count += np.bincount(rows, minlength=n)
-            if not np.isfinite(frontier):
-                upper = partial
-            else:
-                upper = partial + np.minimum(frontier, first).sum() - count * frontier
-            bar = np.partition(floor[open_rows], len(open_rows) - k)[len(open_rows) - k] if len(open_rows) >= k else -np.inf
-            slack = 1e-9 * (abs(bar) + 1) if np.isfinite(bar) else 0.0  # rounding of very large sums
-            open_rows = open_rows[upper[open_rows] >= bar - slack]
+            i = 0
+            for d, x, y, m, c in zip(use.tolist(), a.tolist(), b.tolist(), weight.tolist(), offset, strict=True):
+                if x < y:
+                    j = i + y - x
+                    rows[i:j] = self.rows[d, x:y]
+                    np.multiply(self.above[d, x:y], m, out=added[i:j])
+                    added[i:j] += c
+                    i = j
+            if i:
+                both = np.bincount(rows[:i], added[:i], minlength=n)
+                number = np.floor(both / unit) if one else np.bincount(rows[:i], minlength=n)
+                seen += both - number * (unit * one)
+                count += number
+            lower = seen[open_rows]
+            upper = lower + (np.minimum(frontier, most).sum() - frontier * count[open_rows]) if frontier >= 0 else lower
+            bar = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
+            open_rows = open_rows[upper >= bar - slack]
             if len(open_rows) <= max(FEW, k):
                 break
+        self.start = max(0, level - 1)
         return open_rows, read
 
     def top(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
