@@ -591,6 +591,19 @@ def test_every_time_round_visits_each_block_once(spark):
     assert all(abs(drawn[i] - 512 * share) < 5 * (512 * share * (1 - share)) ** 0.5 for i in range(len(slots) // 512)) and len(set(drawn.values())) > 3
 
 
+def _broadcast_by(df) -> list[str]:
+    return re.findall(r"BroadcastHashJoin \[([^\]]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_mix_sends_no_blocks_to_the_driver(spark, monkeypatch):
+    """Blocks, slots and documents grow with the input; only the table of sources may be sent around."""
+    plans = []
+    monkeypatch.setattr(eight, "written", lambda df, f=eight.written: (plans.extend(_broadcast_by(df)), f(df))[1])
+    mix = eight.mix_sources(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"))
+    plans += _broadcast_by(eight.mixed(mix))
+    assert [p for p in plans if re.search("block|bucket|nth|row_id", p)] == []
+
+
 def test_mix_runs_no_python(spark):
     plan = eight.op8_source_mix(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -111,7 +111,7 @@ def starts(df: DataFrame, bucket: str, order: list[str], value: str, extra: Data
     totals = df.groupBy("nil", "name", bucket).agg(F.sum(value).alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
     totals = totals.join(named(extra).drop("source"), ["nil", "name"])
     out = df.withColumn("within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    joined = out.join(totals, ["nil", "name", bucket]).withColumn("offset", F.col("base") + F.col("within"))
+    joined = out.join(totals.hint("merge"), ["nil", "name", bucket]).withColumn("offset", F.col("base") + F.col("within"))
     return joined.drop("base", "within")
 
 
@@ -191,15 +191,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = B
 
     keys = ["nil", "name", "bucket"]
     full = placed.where("size > 0")
+    # merge: Spark takes an exploded table to be as small as what it was made of, and would send all blocks through the driver
     ranges = full.groupBy(*keys).agg(F.min("offset").alias("low"), F.max(F.col("offset") + F.col("size") - 1).alias("high"))
     ranges = ranges.select(*keys, F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))).alias("block"))
-    wanted = ranges.join(named(slots), ["nil", "name", "block"])
+    wanted = ranges.join(named(slots).hint("merge"), ["nil", "name", "block"])
     # equal ids and digests are equal texts, so it does not matter which of them is the n-th
     texts = named(docs.select("doc_id", source, F.col("text").cast("string").alias("text"), digest)).withColumn("bucket", bucket)
     texts = texts.withColumn("nth", F.row_number().over(in_bucket.orderBy("doc_id", "digest"))).select(*keys, "nth", "text")
     with by_leading_keys(docs.sparkSession):
         about = F.struct("doc_id", "source", "size", "source_size", "target").alias("about")
-        pieces = cut(texts.join(full.select(*keys, "nth", "row_id", "offset", "size", about), [*keys, "nth"]), block).join(wanted.drop("source"), [*keys, "block"])
+        pieces = cut(texts.join(full.select(*keys, "nth", "row_id", "offset", "size", about).hint("merge"), [*keys, "nth"]), block).join(wanted.drop("source").hint("merge"), [*keys, "block"])
         pieces = pieces.groupBy(*keys, "row_id").agg(F.first("about").alias("about"), F.collect_list(F.struct("shard", "epoch", "block", "at", "words", "text")).alias("pieces"))
         words = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
         corpus = written(pieces.select("row_id", "about.*", words.alias("taken"), "pieces"))
@@ -214,7 +215,7 @@ def shard_texts(mix: Mix) -> DataFrame:
 
 
 def mixed(mix: Mix) -> DataFrame:
-    out = mix.documents.join(mix.taken, "row_id", "left")
+    out = mix.documents.join(mix.taken.hint("merge"), "row_id", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
