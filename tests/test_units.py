@@ -84,6 +84,15 @@ def test_stems():
         assert udfs.stem_word(word) == stem, word
 
 
+#: Their signed counts cancel out, in 64 numbers.
+CANCEL = "house window"
+
+
+def test_a_text_with_words_has_a_vector(spark):
+    made = udfs.embed(spark.createDataFrame(list(enumerate([CANCEL, "word", "..."])), "id long, raw_text string"), load=udfs.hashed_embedder(64))
+    assert {r.id: r.embedding and len(r.embedding) for r in made.collect()} == {0: 64, 1: 64, 2: None}
+
+
 def test_text_queries(spark):
     docs = spark.createDataFrame([(1, "running fast", "the cat runs"), (2, None, "a dog"), (3, "cat", "")], "id long, title string, raw_text string")
     post = text.build_postings(docs, {"title": 1.0, "raw_text": 0.1}, stem=True)

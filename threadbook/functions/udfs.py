@@ -108,7 +108,7 @@ def stem(word: str | Column) -> Column:
 
 
 def hashed_embedder(dimensions: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """A stand-in that needs no model: signed word counts by hash."""
+    """A stand-in that needs no model: signed word counts by hash, without signs where those cancel out, so that only a text without words has no vector."""
 
     def load():
         import zlib
@@ -116,9 +116,12 @@ def hashed_embedder(dimensions: int = 64) -> Callable[[], Callable[[list[str]],
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimensions))
             for i, t in enumerate(texts):
-                for w in re.findall(r"\w+", t.lower()):
-                    h = zlib.crc32(w.encode())
+                hashes = [zlib.crc32(w.encode()) for w in re.findall(r"\w+", t.lower())]
+                for h in hashes:
                     out[i, h % dimensions] += 1 if h & (1 << 31) else -1
+                if hashes and not out[i].any():
+                    for h in hashes:
+                        out[i, h % dimensions] += 1
             return out
 
         return embed
