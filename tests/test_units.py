@@ -93,6 +93,12 @@ def test_a_text_with_words_has_a_vector(spark):
     assert {r.id: r.embedding and len(r.embedding) for r in made.collect()} == {0: 64, 1: 64, 2: None}
 
 
+def test_a_text_with_words_is_embedded_anew(spark):
+    before = spark.createDataFrame([(1, CANCEL, None, 1)], "id long, raw_text string, embedding array<float>, embedding_model_id long")
+    after = dims.reembed(before, udfs.hashed_embedder(64), 2).first()
+    assert after.embedding_model_id == 2 and len(after.embedding) == 64
+
+
 def test_text_queries(spark):
     docs = spark.createDataFrame([(1, "running fast", "the cat runs"), (2, None, "a dog"), (3, "cat", "")], "id long, title string, raw_text string")
     post = text.build_postings(docs, {"title": 1.0, "raw_text": 0.1}, stem=True)
