@@ -74,3 +74,10 @@ def test_odd_tables(spark, tmp_path):
     out = reembed_pages(obs.where("raw_text is not null or id is null"), EmbeddingLedger(spark, str(tmp_path / "some")), load, 2, only_missing=False, page_rows=1)
     got = {(r.id, r.raw_text): (r.embedding is not None, r.embedding_model_id, r.embedding_error) for r in out.collect()}
     assert got == {(1, "bad"): (True, 1, "ValueError: no"), (None, "x"): (False, 1, None), (2, "words"): (True, 2, None)}
+
+
+def test_pages_hold_a_vector_for_every_text_with_words(spark, tmp_path):
+    """The signed counts of both words cancel out."""
+    obs = spark.createDataFrame([(1, "house window", None, 1)], "id long, raw_text string, embedding array<float>, embedding_model_id long")
+    after = reembed_pages(obs, EmbeddingLedger(spark, str(tmp_path / "ledger")), udfs.hashed_embedder(64), 2).first()
+    assert after.embedding_model_id == 2 and len(after.embedding) == 64
