@@ -36,6 +36,11 @@ def test_stages(spark):
     assert b.where("taken <> aggregate(pieces, 0L, (n, p) -> n + p.words)").count() == 0
 
 
+def test_mixture_sends_no_documents_to_the_driver(spark):
+    out = corpus_pipeline.mixture(spark, spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"), f"{DATA}/sf0.001")
+    assert "BroadcastHashJoin [row_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").where("taken > 0").count() > 0
 

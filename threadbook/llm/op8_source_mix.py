@@ -223,7 +223,7 @@ def mixed_texts(mix: Mix) -> DataFrame:
     """As ``mixed``, with the pieces of each document's text that the mix takes, in order; none for one that is not taken."""
     columns = ["doc_id", "size", "source_size", "target", "taken", "source", "pieces"]
     taken = mix.texts.withColumn("pieces", F.sort_array("pieces"))
-    rest = mix.documents.join(mix.texts.select("row_id"), "row_id", "left_anti").withColumn("taken", F.lit(0).cast("long"))
+    rest = mix.documents.join(mix.texts.select("row_id").hint("merge"), "row_id", "left_anti").withColumn("taken", F.lit(0).cast("long"))
     return taken.select(columns).unionByName(rest.withColumn("pieces", F.array().cast(mix.texts.schema["pieces"].dataType)).select(columns))
 
 
