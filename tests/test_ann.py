@@ -81,3 +81,17 @@ def test_tables_with_few_vectors(spark):
         queries = spark.createDataFrame([(7, [1.0, 0.1]), (8, None), (9, [0.0, 0.0])], "query_id long, vector array<float>")
         got = sorted((r.query_id, r.rank, r.id) for r in vector.ann_topk(queries, corpus, 2).collect())
         assert got == [(7, n, i) for n, (i, v) in enumerate([x for x in rows if x[1]][:2])]
+
+
+def test_rows_of_a_cell_travel_by_chunk_of_queries(spark, monkeypatch):
+    """Not once a query, and what a task holds at once changes no result."""
+    corpus, queries = _clustered(spark, 3_000, 20)
+    model = vector.fit_ann(corpus)
+    index = vector.build_ann(corpus, model).cache()
+    want = sorted(map(tuple, vector.ann_topk(queries, corpus, 10, model, index).collect()))
+    for name, n in (("CODED", 500), ("CODED_CHUNK", 7), ("CODED_ASKED", 3)):
+        monkeypatch.setattr(vector, name, n)
+    got = vector.ann_topk(queries, corpus, 10, model, index)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "scored(" not in plan
+    assert sorted(map(tuple, got.collect())) == want

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from ..scratch import written
 #: Queries up to which each task takes all of them in one expression; more go in blocks by matrix product.
 FEW_QUERIES = 64
 SHARD, CHUNK = 16_384, 1_024
+#: Queries that a task scores at once.
+ASKED = 128
 #: Digits of a similarity that decide ranks, the id beyond.
 DIGITS = 6
 SCORED = "query_id long, id long, score double"
@@ -28,19 +31,62 @@ def _vectors(df: DataFrame, key: str, vector: str, *keep: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), X.unit_vector(vector).alias("unit"), *keep).where("unit is not null")
 
 
+def _matrix(units: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    units = units.combine_chunks()
+    flat, n = units.flatten().to_numpy(zero_copy_only=False), len(units)
+    if n and (np.diff(units.offsets.to_numpy()) * n != len(flat)).any():
+        raise ValueError("vectors that are compared must have the same length")
+    return flat.reshape(n, -1)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and score of the k highest finite scores of each row, ties to the smaller id. With ``digits`` scores are rounded before they are compared; ``slack`` is what rounding may move two of them."""
+    n = score.shape[1]
+    if n > k:
+        least = np.partition(score, n - k, axis=1)[:, n - k, None] - slack
+        row, at = np.nonzero((score >= least) & (score > -np.inf))
+    else:
+        row, at = np.nonzero(score > -np.inf)
+    value, held = score[row, at], ids[at]
+    if digits is not None:
+        value = np.round(value, digits) + 0.0
+    order = np.lexsort((held, -value, row))
+    row, held, value = row[order], held[order], value[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], held[kept], value[kept]
+
+
 def _by_blocks(k: int):
-    def run(corpus: pd.DataFrame, queries: pd.DataFrame):
-        if not len(corpus) or not len(queries):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        corpus = corpus.sort_values("id")
-        a, b = np.stack(queries["unit"].to_list()), np.stack(corpus["unit"].to_list())
-        score = np.round(a @ b.T, DIGITS) + 0.0
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), best.shape[1]), "id": corpus["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
+    def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [([], [], [])]
+        if len(corpus) and len(queries):
+            a, b = _matrix(queries["unit"]), _matrix(corpus["unit"])
+            asked, ids = queries["query_id"].to_numpy(), corpus["id"].to_numpy()
+            for i in range(0, len(a), ASKED):
+                row, held, value = _best(a[i : i + ASKED] @ b.T, ids, k, 2 * 10.0**-DIGITS, DIGITS)
+                found.append((asked[i + row], held, value))
+        query_id, held, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": pa.array(query_id, pa.int64()), "id": pa.array(held, pa.int64()), "score": pa.array(value, pa.float64())})
 
     return lambda corpus, queries: run(corpus, queries)
 
 
+def _shards(spark: SparkSession, rows: int, shard: int, chunks: int) -> int:
+    """Parts of a corpus of ``rows``: as many as bound what a task holds, or as give every core work. Every part meets all queries, so more would cost more."""
+    return max(1, math.ceil(rows / shard), math.ceil(2 * spark.sparkContext.defaultParallelism / chunks))
+
+
+def _each(n: int) -> Column:
+    """A row for each of 0..n-1."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _deal(*key_and_n) -> Column:
+    *key, n = key_and_n
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, path: str | None = None, by: str | None = None) -> DataFrame:
     """The k most similar rows of ``corpus`` (id, embedding) for each query (query_id, vector): query_id, id, score, rank from 0.
 
@@ -59,14 +105,12 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, path: str | None
         pairs = c.join(F.broadcast(q), by) if by else c.join(F.broadcast(q))  # FEW_QUERIES vectors at most
         scored = pairs.select("query_id", "id", F.round(X.dot("q_unit", "unit"), DIGITS).alias("score"))
     else:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(c.count() / SHARD))
         chunks = max(1, math.ceil(q.count() / CHUNK))
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-        left = c.select("id", "unit", *keep, deal("id", shards).alias("shard"), each(chunks).alias("chunk"))
-        right = q.select("query_id", "unit", *keep, deal("query_id", chunks).alias("chunk"), each(shards).alias("shard"))
+        shards = _shards(spark, c.count(), SHARD, chunks)
+        left = c.select("id", "unit", *keep, _deal("id", shards).alias("shard"), _each(chunks).alias("chunk"))
+        right = q.select("query_id", "unit", *keep, _deal("query_id", chunks).alias("chunk"), _each(shards).alias("shard"))
         keys = [*keep, "shard", "chunk"]
-        scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_by_blocks(k), SCORED)
+        scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_by_blocks(k), SCORED)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "id", "score", (F.col("rank") - 1).cast("int").alias("rank"))
@@ -82,6 +126,8 @@ CELL_ROWS, FIRST, PARTS, BLOCK_ROWS = 256, 1_024, 1_024, 4_096
 PIECE, WORDS = 4, 256
 #: The share of true neighbours within the sample whose cells a search looks into, and rows a result whose whole vectors it compares.
 REACH, WHOLE = 0.97, 20
+#: Coded rows and queries that meet in one task, and queries that it scores at once.
+CODED, CODED_CHUNK, CODED_ASKED = 65_536, 512, 32
 BLOCKS = "cell long, block int, rows array<struct<id: long, code: binary>>"
 
 
@@ -136,11 +182,16 @@ class AnnModel:
         score = (self.first @ q)[:, None] + (self.parts @ q)[None, :]
         return np.argsort(-score.ravel(), kind="stable")[:probes]
 
-    def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Similarities of a vector with the coded rows of a cell."""
-        out = np.full(len(codes), float(self.centre(np.array([cell]))[0] @ q))
-        for i, w in enumerate(self.words):
-            out += (w @ q[i * PIECE : (i + 1) * PIECE])[codes[:, i]]
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each piece of the code the similarity of every value with each vector. No matrix products: equal codes have equal scores wherever they are."""
+        pieces = [q[:, i * PIECE : (i + 1) * PIECE] for i in range(len(self.words))]
+        return [sum(p[:, j, None] * w[None, :, j] for j in range(p.shape[1])) for p, w in zip(pieces, self.words, strict=True)]
+
+    def scores(self, q: np.ndarray, tables: list[np.ndarray], cell: int, codes: np.ndarray) -> np.ndarray:
+        """Similarities of vectors with the coded rows of a cell; ``tables`` are those of the vectors."""
+        out = np.repeat((q * self.centre(np.array([cell]))).sum(1)[:, None], len(codes), 1)
+        for i, t in enumerate(tables):
+            out += t[:, codes[:, i]]
         return out
 
 
@@ -224,34 +275,67 @@ def read_ann(spark: SparkSession, path: str) -> tuple[AnnModel, DataFrame]:
     return AnnModel(np.array(r.first).reshape(-1, r.dims), np.array(r.parts).reshape(-1, r.dims), words, r.probes), spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
 
-def ann_candidates(queries: DataFrame, k: int, model: AnnModel, index: DataFrame, probes: int | None = None, whole: int = WHOLE) -> DataFrame:
-    """query_id, id, seen: for each query the ``whole`` * k rows whose codes score highest in the cells that it looks into; ``seen`` counts the rows of all those cells."""
-    probes = probes or model.probes
+def _coded_blocks(k: int, model: AnnModel):
+    """The k best rows by codes of each query, among the blocks of a shard that it asks for."""
+
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [([], [], [])]
+        if len(index) and len(queries):
+            rows = index["rows"].combine_chunks()
+            ends, flat = rows.offsets.to_numpy(), rows.values
+            ids = flat.field("id").to_numpy()
+            codes = np.frombuffer(b"".join(flat.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            cell, number = index["cell"].to_numpy(), {}
+            blocks = list(zip(cell.tolist(), index["block"].to_pylist(), strict=True))
+            for i, x in enumerate(blocks):  # what was appended may have blocks of the same name
+                number.setdefault(x, []).append(i)
+            units, asked = _matrix(queries["unit"]), queries["query_id"].to_numpy()
+            looked = np.zeros((len(units), len(blocks)), bool)
+            for i, x in enumerate(queries["asked"].to_pylist()):
+                looked[i, [n for a in x for n in number.get((a["cell"], a["block"]), ())]] = True
+            for i in range(0, len(units), CODED_ASKED):
+                q, some = units[i : i + CODED_ASKED], looked[i : i + CODED_ASKED]
+                tables, score = model.tables(q), np.full((len(q), len(ids)), -np.inf)
+                for n in np.flatnonzero(some.any(0)):
+                    own = np.flatnonzero(some[:, n])
+                    score[own, ends[n] : ends[n + 1]] = model.scores(q[own], [t[own] for t in tables], cell[n], codes[ends[n] : ends[n + 1]])
+                row, held, value = _best(score, ids, k)
+                found.append((asked[i + row], held, value))
+        query_id, held, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": pa.array(query_id, pa.int64()), "id": pa.array(held, pa.int64()), "score": pa.array(value, pa.float64())})
+
+    return lambda index, queries: run(index, queries)
+
+
+def _looked_into(queries: DataFrame, model: AnnModel, index: DataFrame, probes: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The queries' vectors, the cells that each looks into (query_id, cell, last, n), and the size of all cells."""
 
     def asked(s: pd.Series) -> pd.Series:
-        return pd.Series([model.probed(np.asarray(q), probes) for q in s])
+        return pd.Series([model.probed(np.asarray(q), probes or model.probes) for q in s])
 
     q = _vectors(queries, "query_id", "vector").where(F.size("unit") == model.dims)
-    q = q.withColumn("cell", F.explode(F.pandas_udf(asked, "array<long>")("unit")))
-    held = index.groupBy("cell").agg(F.max("block").alias("last"))  # a cell's blocks are many keys
-    q = q.join(held, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).select("query_id", "unit", "cell", "block")
-
-    def scored(units: pd.Series, cells: pd.Series, blocks: pd.Series) -> pd.Series:
-        out = []
-        for u, cell, rows in zip(units, cells, blocks, strict=True):
-            ids = np.array([r["id"] for r in rows], np.int64)
-            codes = np.frombuffer(b"".join(r["code"] for r in rows), np.uint8).reshape(len(rows), len(model.words))
-            score = model.scores(np.asarray(u), cell, codes)
-            best = np.lexsort((ids, -score))[: whole * k]
-            out.append([{"id": i, "score": s} for i, s in zip(ids[best].tolist(), score[best].tolist(), strict=True)])
-        return pd.Series(out, dtype=object)
-
-    met = q.join(index, ["cell", "block"]).select("query_id", F.size("rows").alias("n"), F.pandas_udf(scored, "array<struct<id: long, score: double>>")("unit", "cell", "rows").alias("found"))
-    seen = met.groupBy("query_id").agg(F.sum("n").alias("seen"))
-    each = met.select("query_id", F.explode("found").alias("f")).select("query_id", "f.id", "f.score")
+    held = index.groupBy("cell").agg(F.max("block").alias("last"), F.sum(F.size("rows")).alias("n"))  # a cell's blocks are many keys
+    return q, q.select("query_id", F.explode(F.pandas_udf(asked, "array<long>")("unit")).alias("cell")).join(held, "cell"), held
+
+
+def _candidates(queries: DataFrame, k: int, model: AnnModel, index: DataFrame, probes: int | None, whole: int) -> DataFrame:
+    """query_id, id of the ``whole`` * k rows whose codes score highest. Shards of blocks meet chunks of queries, and each pair keeps as many rows a query."""
+    q, cells, held = _looked_into(queries, model, index, probes)
+    chunks = max(1, math.ceil(q.count() / CODED_CHUNK))
+    shards = _shards(index.sparkSession, held.agg(F.sum("n")).first()[0] or 0, CODED, chunks)
+    wanted = cells.withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).groupBy("query_id", _deal("cell", "block", shards).alias("shard"))
+    wanted = wanted.agg(F.collect_list(F.struct("cell", "block")).alias("asked"))
+    right = q.join(wanted, "query_id").select("query_id", "unit", "asked", "shard", _deal("query_id", chunks).alias("chunk"))
+    left = index.select("cell", "block", "rows", _deal("cell", "block", shards).alias("shard"), _each(chunks).alias("chunk"))
+    found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInArrow(_coded_blocks(whole * k, model), SCORED)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = each.withColumn("place", F.row_number().over(best)).where(F.col("place") <= whole * k)
-    return top.join(seen, "query_id").select("query_id", "id", "seen")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= whole * k).select("query_id", "id")
+
+
+def ann_candidates(queries: DataFrame, k: int, model: AnnModel, index: DataFrame, probes: int | None = None, whole: int = WHOLE) -> DataFrame:
+    """query_id, id, seen: for each query the ``whole`` * k rows whose codes score highest in the cells that it looks into; ``seen`` counts the rows of all those cells."""
+    seen = _looked_into(queries, model, index, probes)[1].groupBy("query_id").agg(F.sum("n").alias("seen"))
+    return _candidates(queries, k, model, index, probes, whole).join(seen, "query_id").select("query_id", "id", "seen")
 
 
 def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, model: AnnModel | None = None, index: DataFrame | None = None, probes: int | None = None, whole: int = WHOLE) -> DataFrame:
@@ -264,8 +348,8 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, k: int, model: AnnModel | No
     model = model or fit_ann(corpus)
     if model is None:
         return vector_topk(queries, corpus, k, "matmul")
-    index = build_ann(corpus, model) if index is None else index
-    pairs = ann_candidates(queries, k, model, index, probes, whole).select("query_id", "id")
+    index = written(build_ann(corpus, model)) if index is None else index
+    pairs = _candidates(queries, k, model, index, probes, whole)
     q = _vectors(queries, "query_id", "vector").withColumnRenamed("unit", "q_unit")
     scored = pairs.join(_vectors(corpus, "id", "embedding"), "id").join(q, "query_id")
     scored = scored.select("query_id", "id", F.round(X.dot("q_unit", "unit"), DIGITS).alias("score"))
