@@ -95,3 +95,12 @@ def test_rows_of_a_cell_travel_by_chunk_of_queries(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "scored(" not in plan
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_written_index_is_searched_by_chunk_of_queries(spark, tmp_path):
+    corpus, queries = _clustered(spark, 1_000, 10)
+    model = vector.fit_ann(corpus)
+    vector.write_ann(vector.build_ann(corpus, model), str(tmp_path / "index"), model=model)
+    got = vector.ann_topk(queries, corpus, 10, *vector.read_ann(spark, str(tmp_path / "index")))
+    assert "scored(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert _recall(spark, queries, corpus, 10, got) >= 0.9
