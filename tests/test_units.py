@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from threadbook.functions import columns as X
 from threadbook.functions import udfs
 from threadbook.operators import dims, fusion, ingest, lessons, sessions, text, vector
 from threadbook.plans import search
+from threadbook.queries import QUERIES
 from threadbook.sources import tables
 from threadbook.streaming import streams
 
@@ -109,6 +111,38 @@ def test_text_queries(spark):
     assert values(text.query_lexemes(spark.createDataFrame([(1, "one two three")], "query_id long, text string"), first_words=2), "lexeme") == [("one",), ("two",)]
 
 
+def _scored_by(df) -> set[str]:
+    """What the lexemes or places of a row are grouped by, besides its id."""
+    return set(re.findall(r"Aggregate \[(\w+)#\d+L, id#\d+L\][^\n]*(?:lexeme|places)", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+@pytest.mark.parametrize("name", ["fts_cover_rank"])
+def test_scores_of_a_query_are_those_of_its_search(spark, name):
+    assert _scored_by(QUERIES[name](spark, f"{DATA}/sf0.001")) == {"search"}
+
+
+def test_queries_with_the_same_words_are_one_search(spark):
+    """Scores are made once for the words, whoever asks."""
+    docs = spark.createDataFrame([(i, f"cat w{i % 3} dog cat") for i in range(30)], "id long, raw_text string")
+    post = text.build_postings(docs, {"raw_text": 1.0})
+    asked = lambda n: spark.createDataFrame([(None if i == 3 else i, ("Cat dog", "dog, cat", "the", "w1 cat")[i % 4]) for i in range(n)], "query_id long, text string")
+    few = {t: {(r.id, r.score) for r in text.fts_rank(asked(4), post).collect() if r.query_id == q} for t, q in ((0, 0), (1, 1), (3, None))}
+    got = text.fts_rank(asked(40), post)
+    by_query = {}
+    for r in got.collect():
+        by_query.setdefault(r.query_id, set()).add((r.id, r.score))
+    assert {q: len(v) for q, v in by_query.items()} == {q: 10 if q is None or q % 4 == 3 else 30 for q in [None, *range(40)] if q is None or q != 3 and q % 4 != 2}
+    assert all(v == few[3 if q is None else q % 4] for q, v in by_query.items())
+    assert _scored_by(got) == {"search"}
+    top = text.fts_topk(asked(40), post, 2)
+    assert sorted((r.query_id or -1, r.rank, r.id) for r in top.collect()) == sorted((r.query_id or -1, r.rank, r.id) for r in text.ranked(got, 2).collect())
+
+
+def test_cover_scores_do_not_depend_on_hits_before(spark):
+    assert text.cover_score([0, 63], ["cat", "dog"], [0.1, 0.1], 2) == 0.1 / 64
+    assert text.cover_score([0, 1, 2, 2000, 2063], ["cat", "cat", "cat", "cat", "dog"], [0.7, 0.7, 0.7, 0.1, 0.1], 2) == 0.1 / 64
+
+
 def test_stored_index_is_pruned(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"w{i % 7} common w{i % 11}") for i in range(60)], "id long, raw_text string")
     post = text.build_postings(docs, {"raw_text": 1.0})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
+from math import fsum
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -66,11 +67,13 @@ def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem:
 
     ``key`` names a row. Each field's words, or their stems, are grouped where the row is, in Arrow batches, so there is no shuffle. ``only`` (lexeme)
     leaves out all others, before anything else is done with them: a search that has no stored index needs a handful. ``tasks`` deals the texts
-    out first, for tables whose files give too few tasks (a row group is read by one).
+    out first where files give less than a task for each core (a row group is read by one); all other texts stay where they are.
     """
     weights = weights or FIELD_WEIGHTS
     if tasks is not None:
-        df = df.select(key, *weights).repartition(tasks)
+        df = df.select(key, *weights)
+        if df.select(F.spark_partition_id()).distinct().count() < min(tasks, df.sparkSession.sparkContext.defaultParallelism):
+            df = df.repartition(tasks)
     grouped = F.arrow_udf(lambda words: _grouped_words(words, stem), "array<struct<lexeme: string, tf: long, positions: array<int>>>")
     wanted = None
     if only is not None and not stem:
@@ -82,8 +85,12 @@ def build_postings(df: DataFrame, weights: dict[str, float] | None = None, stem:
         if wanted is None:
             return grouped(words)
         places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(wanted, x["w"]))
-        each = lambda w: F.transform(F.filter(places, lambda x: x["w"] == w), lambda x: x["i"])
-        return F.transform(F.array_distinct(F.transform(places, lambda x: x["w"])), lambda w: F.struct(w.alias("lexeme"), F.size(each(w)).cast("long").alias("tf"), each(w).alias("positions")))
+
+        def entries(held: Column) -> Column:
+            each = lambda w: F.transform(F.filter(held, lambda x: x["w"] == w), lambda x: x["i"])
+            return F.transform(F.array_distinct(F.transform(held, lambda x: x["w"])), lambda w: F.struct(w.alias("lexeme"), F.size(each(w)).cast("long").alias("tf"), each(w).alias("positions")))
+
+        return F.element_at(F.transform(F.array(places), entries), 1)  # as a variable, the text is split once
 
     one = df.select(F.col(key).alias("id"), *[words_of(f).alias(f"_{n}") for n, f in enumerate(weights)])
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), F.col(f"_{n}").alias("words")) for n, (f, w) in enumerate(weights.items())])
@@ -122,11 +129,45 @@ def query_lexemes(queries: DataFrame, first_words: int | None = None, stem: bool
     return words.withColumn("needed", F.count("*").over(W.partitionBy("query_id")))
 
 
-def _hits(queries: DataFrame, postings: DataFrame, first_words: int | None, stem: bool) -> DataFrame:
-    words = query_lexemes(queries, first_words, stem)
+#: Rows of searches that are sent to every task; more are shuffled.
+SENT = 100_000
+
+
+@dataclass(frozen=True)
+class _Searches:
+    """Queries with the same lexemes are one search: its matches are scored once, however many ask. ``asked`` has query_id and search (the least query_id of the same lexemes),
+    ``words`` has search, lexeme and needed.
+    """
+
+    asked: DataFrame
+    words: DataFrame
+
+    @classmethod
+    def of(cls, queries: DataFrame, first_words: int | None, stem: bool) -> _Searches:
+        held = query_lexemes(queries, first_words, stem).groupBy("query_id").agg(F.sort_array(F.collect_list("lexeme")).alias("lexemes"))
+        once = held.groupBy("lexemes").agg(F.min("query_id").alias("search"), F.count("*").alias("n"))
+        words = once.select("search", F.explode("lexemes").alias("lexeme"), F.size("lexemes").cast("long").alias("needed"))
+        asked = held.join(once.select("lexemes", "search"), "lexemes").select("query_id", "search")
+        sizes = once.agg(F.sum("n"), F.sum(F.size("lexemes"))).first()
+        few = lambda df, n: F.broadcast(df) if (n or 0) <= SENT else df
+        return cls(few(asked, sizes[0]), few(words, sizes[1]))
+
+    def expanded(self, scored: DataFrame) -> DataFrame:
+        """Rows of searches as rows of queries."""
+        return scored.join(self.asked, scored["search"].eqNullSafe(self.asked["search"])).select("query_id", *[c for c in scored.columns if c != "search"])
+
+
+def _hits(searches: _Searches, postings: DataFrame) -> DataFrame:
     if "bucket" in postings.columns:
-        return postings.join(words.withColumn("bucket", lexeme_bucket()), ["bucket", "lexeme"])
-    return postings.join(words, "lexeme")
+        return postings.join(searches.words.withColumn("bucket", lexeme_bucket()), ["bucket", "lexeme"])
+    return postings.join(searches.words, "lexeme")
+
+
+def _ranks(searches: _Searches, postings: DataFrame) -> DataFrame:
+    hits = _hits(searches, postings)
+    gain = F.col("weight") * (F.col("tf") / (F.col("tf") + 1.0))
+    found = hits.groupBy("search", "id").agg(F.count_distinct("lexeme").alias("n"), F.first("needed").alias("needed"), F.round(F.sum(gain), 6).alias("score"))
+    return found.where("n = needed").select("search", "id", "score")
 
 
 def fts_match(queries: DataFrame, postings: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:
@@ -136,18 +177,13 @@ def fts_match(queries: DataFrame, postings: DataFrame, first_words: int | None =
 
 def fts_rank(queries: DataFrame, postings: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:
     """The matches with score, the sum of weight * tf / (tf + 1) over lexemes and fields, to six digits."""
-    hits = _hits(queries, postings, first_words, stem)
-    gain = F.col("weight") * (F.col("tf") / (F.col("tf") + 1.0))
-    found = hits.groupBy("query_id", "id").agg(F.count_distinct("lexeme").alias("n"), F.first("needed").alias("needed"), F.round(F.sum(gain), 6).alias("score"))
-    return found.where("n = needed").select("query_id", "id", "score")
+    searches = _Searches.of(queries, first_words, stem)
+    return searches.expanded(_ranks(searches, postings))
 
 
 def cover_score(positions: list, words: list, weights: list, needed: int) -> float:
     """Sum of weight / span over the minimal covers: stretches that hold every word and no shorter such stretch."""
     order = np.argsort(positions, kind="stable").tolist()
-    upto = [0.0]
-    for i in order:
-        upto.append(upto[-1] + weights[i])
     counts: dict = {}
     total, left = 0.0, 0
     for right, at in enumerate(order):
@@ -159,7 +195,7 @@ def cover_score(positions: list, words: list, weights: list, needed: int) -> flo
                 left += 1
                 continue
             span = positions[at] - positions[order[left]] + 1
-            total += (upto[right + 1] - upto[left]) / (right + 1 - left) / span
+            total += fsum(weights[i] for i in order[left : right + 1]) / (right + 1 - left) / span  # a place is in as many covers as there are words, at most
             del counts[w]
             left += 1
     return total
@@ -169,23 +205,49 @@ def cover_score(positions: list, words: list, weights: list, needed: int) -> flo
 GAP = 1_000_000
 
 
-def fts_cover_rank(queries: DataFrame, postings: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:
-    """The matches with a cover-density score: the closer the query's words stand, the higher. Fields follow each other with a gap."""
-    hits = _hits(queries, postings, first_words, stem)
-    ends = hits.groupBy("query_id", "id", "field", "weight").agg((F.max(F.element_at("positions", -1)) + GAP).cast("long").alias("_end"))
-    before = W.partitionBy("query_id", "id").orderBy(F.desc("weight"), "field").rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.select("query_id", "id", "field", F.coalesce(F.sum("_end").over(before), F.lit(0)).alias("_offset"))
-    place = hits.join(ends, ["query_id", "id", "field"])
-    spots = F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct((p + F.col("_offset")).alias("p"), F.col("lexeme").alias("l"), F.col("weight").alias("w")))))
-    found = place.groupBy("query_id", "id").agg(F.count_distinct("lexeme").alias("n"), F.first("needed").alias("needed"), spots.alias("s")).where("n = needed")
+def _cover_ranks(searches: _Searches, postings: DataFrame) -> DataFrame:
+    places = F.collect_list(F.struct("field", "weight", "lexeme", "positions")).alias("places")
+    found = _hits(searches, postings).groupBy("search", "id").agg(places, F.first("needed").alias("needed"))
+    found = found.where(F.size(F.array_distinct("places.lexeme")) == F.col("needed"))
+
+    def score(places: pa.Array, needed: pa.Array) -> pa.Array:
+        out, ends, hits = [], places.offsets.to_numpy(), places.values
+        positions = hits.field("positions")
+        at, spots = positions.offsets.to_numpy(), positions.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        field, weight, lexeme = (hits.field(n).to_pylist() for n in ("field", "weight", "lexeme"))
+        for n, first, last in zip(needed.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            fields: dict = {}
+            for i in range(first, last):
+                fields.setdefault((-weight[i], field[i]), []).append(i)
+            where, words, weights, offset = [], [], [], 0
+            for key in sorted(fields):
+                for i in fields[key]:
+                    where.append(spots[at[i] : at[i + 1]] + offset)
+                    words += [lexeme[i]] * len(where[-1])
+                    weights += [weight[i]] * len(where[-1])
+                offset += int(max(spots[at[i + 1] - 1] for i in fields[key])) + GAP
+            out.append(cover_score(np.concatenate(where).tolist(), words, weights, n))
+        return pa.array(out, pa.float64())
+
+    return found.select("search", "id", F.round(F.arrow_udf(score, "double")("places", "needed"), 6).alias("score"))
 
-    def score(s: pd.Series, needed: pd.Series) -> pd.Series:
-        return pd.Series([round(cover_score([x["p"] for x in a], [x["l"] for x in a], [x["w"] for x in a], n), 6) for a, n in zip(s, needed, strict=True)], dtype=float)
 
-    return found.select("query_id", "id", F.pandas_udf(score, "double")("s", "needed").alias("score"))
+def fts_cover_rank(queries: DataFrame, postings: DataFrame, first_words: int | None = None, stem: bool = False) -> DataFrame:
+    """The matches with a cover-density score: the closer the query's words stand, the higher. Fields follow each other with a gap."""
+    searches = _Searches.of(queries, first_words, stem)
+    return searches.expanded(_cover_ranks(searches, postings))
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
+def ranked(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query with rank from 0; ties to the smaller id."""
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = W.partitionBy(by).orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))
+
+
+def fts_topk(queries: DataFrame, postings: DataFrame, k: int, first_words: int | None = None, stem: bool = False, cover: bool = False, within: DataFrame | None = None) -> DataFrame:
+    """``ranked`` of ``fts_rank``, or with ``cover`` of ``fts_cover_rank``: each search is ranked once, and the queries that ask for it get its k rows. ``within`` (id) leaves out other rows."""
+    searches = _Searches.of(queries, first_words, stem)
+    scored = (_cover_ranks if cover else _ranks)(searches, postings)
+    if within is not None:
+        scored = scored.join(within, "id", "left_semi")
+    return searches.expanded(ranked(scored, k, "search").select("search", "id", "score", "rank"))

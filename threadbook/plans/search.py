@@ -51,10 +51,8 @@ def _branches(queries: DataFrame, corpus: DataFrame, weights: dict[str, float],
         out.append(vector_topk(queries, corpus, k))
     if s.mode in ("hybrid", "fts"):
         index = text.build_postings(corpus, weights, s.stem, only=text.query_lexemes(queries, s.first_words), tasks=s.tasks) if postings is None else postings
-        scored = (text.fts_cover_rank if s.cover else text.fts_rank)(queries, index, s.first_words, s.stem)
-        if postings is not None:  # the lexemes have cut the index to its hits
-            scored = scored.join(corpus.select("id"), "id", "left_semi").select("query_id", "id", "score")
-        out.append(text.ranked(scored, k))
+        within = None if postings is None else corpus.select("id")  # the lexemes have cut the index to its hits
+        out.append(text.fts_topk(queries, index, k, s.first_words, s.stem, s.cover, within))
     return out
 
 

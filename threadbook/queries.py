@@ -260,14 +260,19 @@ def build_postings_stemmed(x):
     return text.build_postings(x.rows, stem=True)
 
 
+def _sought(x, first_words: int | None = None) -> DataFrame:
+    """The postings that the queries look for: a search without a stored index builds no others."""
+    return text.build_postings(x.rows, only=text.query_lexemes(x.queries, first_words), tasks=tasks(x))
+
+
 @query(with_tables("observations queries", "SELECT query_id, id FROM m", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES))
 def fts_match(x):
-    return text.fts_match(x.queries, text.build_postings(x.rows, tasks=tasks(x)))
+    return text.fts_match(x.queries, _sought(x))
 
 
 @query(with_tables("observations queries", "SELECT query_id, id, score FROM m", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES))
 def fts_rank(x):
-    return text.fts_rank(x.queries, text.build_postings(x.rows, tasks=tasks(x)))
+    return text.fts_rank(x.queries, _sought(x))
 
 
 @query(SQL["fts_rank"])
@@ -306,12 +311,12 @@ _COVERS = {
 
 @query(with_tables("observations queries", "SELECT query_id, id, round(sum(w / (r - l + 1)), 6) AS score FROM weighed GROUP BY query_id, id", **_postings(FIELD_WEIGHTS, "observations"), **_LEXEMES, **_COVERS))
 def fts_cover_rank(x):
-    return text.fts_cover_rank(x.queries, text.build_postings(x.rows, tasks=tasks(x)), first_words=10)
+    return text.fts_cover_rank(x.queries, _sought(x, 10), first_words=10)
 
 
 def _lists(x):
     vec = vector.vector_topk(x.queries, x.observations, 40)
-    fts = text.ranked(text.fts_rank(x.queries, text.build_postings(x.rows, tasks=tasks(x))), 40)
+    fts = text.fts_topk(x.queries, _sought(x), 40)
     return vec, fts
 
 
