@@ -116,7 +116,7 @@ def _scored_by(df) -> set[str]:
     return set(re.findall(r"Aggregate \[(\w+)#\d+L, id#\d+L\][^\n]*(?:lexeme|places)", df._jdf.queryExecution().optimizedPlan().toString()))
 
 
-@pytest.mark.parametrize("name", ["fts_cover_rank", "rrf_fuse", "fallback_search", "fts_match", "hybrid_search", "fts_rank"])
+@pytest.mark.parametrize("name", ["fts_cover_rank", "rrf_fuse", "fallback_search", "fts_match", "hybrid_search", "fts_rank", "write_postings"])
 def test_scores_of_a_query_are_those_of_its_search(spark, name):
     assert _scored_by(QUERIES[name](spark, f"{DATA}/sf0.001")) == {"search"}
 
@@ -143,6 +143,19 @@ def test_cover_scores_do_not_depend_on_hits_before(spark):
     assert text.cover_score([0, 1, 2, 2000, 2063], ["cat", "cat", "cat", "cat", "dog"], [0.7, 0.7, 0.7, 0.1, 0.1], 2) == 0.1 / 64
 
 
+def test_postings_are_packed_on_their_way(spark, tmp_path, monkeypatch):
+    """Packs of any size hold the same postings, in files sorted by lexeme; an empty index has none."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} common w{i % 11} é common") for i in range(60)], "id long, raw_text string")
+    post = text.build_postings(docs, {"raw_text": 1.0})
+    plain = lambda df: sorted((r.lexeme, r.id, r.field, r.weight, r.tf, tuple(r.positions), r.bucket) for r in df.collect())
+    for files in (1, 3):
+        text.write_postings(post, str(tmp_path / f"index{files}"), files)
+        held = text.read_postings(spark, str(tmp_path / f"index{files}"))
+        assert plain(held) == plain(post.withColumn("bucket", text.lexeme_bucket()))
+        assert held.where("lexeme = 'common'").select(F.input_file_name()).distinct().count() == files
+    assert sum(len(text.pa.ipc.open_stream(r).read_all()) for b in text._packed(iter([text.pa.RecordBatch.from_pydict({"lexeme": ["b", "a"], "bucket": [1, 0], "part": [0, 0]})])) for r in b["rows"].to_pylist()) == 2
+
+
 def test_stored_index_is_pruned(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"w{i % 7} common w{i % 11}") for i in range(60)], "id long, raw_text string")
     post = text.build_postings(docs, {"raw_text": 1.0})
