@@ -116,7 +116,7 @@ def _scored_by(df) -> set[str]:
     return set(re.findall(r"Aggregate \[(\w+)#\d+L, id#\d+L\][^\n]*(?:lexeme|places)", df._jdf.queryExecution().optimizedPlan().toString()))
 
 
-@pytest.mark.parametrize("name", ["fts_cover_rank", "rrf_fuse", "fallback_search", "fts_match", "hybrid_search", "fts_rank", "write_postings"])
+@pytest.mark.parametrize("name", ["fts_cover_rank", "rrf_fuse", "fallback_search", "fts_match", "hybrid_search", "fts_rank", "write_postings", "hybrid_search_stored"])
 def test_scores_of_a_query_are_those_of_its_search(spark, name):
     assert _scored_by(QUERIES[name](spark, f"{DATA}/sf0.001")) == {"search"}
 
